@@ -1,8 +1,9 @@
 """Quality classification by supervised subword embeddings.
 
-Model: each white-space word and each byte n-gram of 3 to 5 bytes inside a word
-(its first byte may be the boundary before it) is hashed to a bucket with a
-learned vector. A document is the average of the vectors of all its features,
+Model: each white-space word, each pair of neighbouring words (a word after
+itself is one feature, whatever the word) and each byte n-gram of 3 to 5 bytes
+inside a word (its first byte may be the boundary before it) is hashed to a
+bucket with a learned vector. A document is the average of the vectors of all its features,
 and a softmax layer gives the class probabilities. Vectors and layer are trained
 together by numpy stochastic gradient descent with a falling rate.
 
@@ -44,7 +45,16 @@ def _slots(data: np.ndarray, o: np.ndarray) -> Iterator[tuple[np.ndarray, np.nda
     shift = np.uint64(64 - BITS)
     s, length = B.words(data, o, B.SPACE)
     h = B.word_hashes(data, s, length)
-    yield (h >> shift).astype(np.int64), np.ones(len(h), bool), np.searchsorted(s, o)
+    first = np.searchsorted(s, o)
+    yield (h >> shift).astype(np.int64), np.ones(len(h), bool), first
+    # Word pairs; all pairs of a word with itself share one bucket.
+    again = np.zeros(len(h), bool)
+    again[1:] = h[1:] == h[:-1]
+    pair = np.zeros(len(h), np.uint64)
+    pair[1:] = B.mix(h[:-1] * B.MULTIPLIER + h[1:])
+    whole = np.ones(len(h), bool)
+    whole[first[:-1][first[:-1] < len(h)]] = False
+    yield np.where(again, 1, pair >> shift).astype(np.int64), whole, first
     row = np.repeat(np.arange(n, dtype=np.int64), np.diff(o))
     flat = np.full(len(data) + n + 8, 32, np.uint8)
     flat[np.arange(len(data)) + row + 1] = np.where(B.SPACE[data], np.uint8(32), data)

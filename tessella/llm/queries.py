@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tessella.llm import line_dedup, mixing
+from tessella.llm import line_dedup, mixing, quality, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_source_mixing": mixing.op2_source_mixing,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op8_line_dedup": line_dedup.op8_line_dedup,
+        "op9_quality": quality.op9_quality,
     }
 
 
