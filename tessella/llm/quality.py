@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.llm import bytesops as B
 from tessella.llm.shared import materialize
@@ -114,11 +115,12 @@ class EmbeddingModel:
         return np.round(1 / (1 + np.exp(-np.clip(np.round(out, 7) + self.bias, -40, 40))), 9)
 
 
-def fit(rows: list, epochs: int = 5, batch: int = 16, rate: float = 0.1, seed: int = 5) -> EmbeddingModel:
+def fit(rows: list, batch: int = 16, rate: float = 0.1, seed: int = 5) -> EmbeddingModel:
     y = np.array([r["label"] for r in rows], np.int64)
     if not len(y) or y.min() == y.max():
         share = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
         return EmbeddingModel(np.zeros(1 << BITS), np.log(share / (1 - share)))
+    epochs = int(np.clip(20_000 // len(y), 5, 50))  # small samples are gone through more often
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
     layer, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
@@ -175,7 +177,7 @@ def score(docs: DataFrame, model: EmbeddingModel, text_col: str = "text") -> Dat
                 [*batch.columns, pa.array(model.score(batch.column(at)))], [*batch.schema.names, "quality_score"]
             )
 
-    return docs.mapInArrow(run, docs.schema.add("quality_score", "double"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())]))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

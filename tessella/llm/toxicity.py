@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.llm import bytesops as B
 from tessella.llm.shared import materialize
@@ -208,7 +209,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Ord
 def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The input's columns with tox_severity double, tox_grade int, tox_p double and tox_flag boolean."""
     at = docs.columns.index(text_col)
-    schema = docs.schema.add("tox_severity", "double").add("tox_grade", "int").add("tox_p", "double").add("tox_flag", "boolean")
+    kinds = {"tox_severity": T.DoubleType(), "tox_grade": T.IntegerType(), "tox_p": T.DoubleType(), "tox_flag": T.BooleanType()}
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(k, v) for k, v in kinds.items()]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
