@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tessella.llm import line_dedup, mixing, quality, toxicity
+from tessella.llm import line_dedup, mixing, packing, quality, toxicity, wavelet
 
 
 def queries() -> dict:
     return {
         "op2_source_mixing": mixing.op2_source_mixing,
+        "op3_best_fit_packing": packing.op3_best_fit_packing,
+        "op4_wavelet_tokens": wavelet.op4_wavelet_tokens,
         "op5_toxicity": toxicity.op5_toxicity,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_quality": quality.op9_quality,

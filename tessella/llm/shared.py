@@ -32,3 +32,27 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def filesystem(uri: str):
+    """(pyarrow file system, path) of a URI or path in the shared folder; works on executors."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri) if "://" in uri else fs.FileSystem.from_uri(uri if not uri.startswith("file:") else uri.replace("file:", "file://", 1))
+
+
+def write_once(uri: str, parts: list[bytes]) -> None:
+    """Write a file so that a repeated or lost task leaves either nothing or the whole file."""
+    fs, path = filesystem(uri)
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    own = f"{path}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(own, compression=None) as out:
+        for x in parts:
+            out.write(x)
+    fs.move(own, path)
+
+
+def read_file(uri: str) -> bytes:
+    fs, path = filesystem(uri)
+    with fs.open_input_stream(path, compression=None) as f:
+        return f.read()

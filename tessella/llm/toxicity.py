@@ -38,7 +38,7 @@ from tessella.llm.shared import materialize
 MAX_TRAIN = 16000
 MAX_VOCABULARY = 20000
 EVIDENCE_LOG_ODDS = 2.5
-MIN_TOXIC_DF = 8
+MIN_TOXIC_DF = (3, 8)  # 1 % of the toxic rows, within these
 
 
 def _grams(data: np.ndarray, o: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -199,9 +199,10 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Ord
     sample = materialize(training_rows(docs, labels, "toxic", max_train), "toxicity-sample")
     n, pos = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     counts = sample.mapInArrow(_document_counts, "gram long, df long, tox long").groupBy("gram").agg(F.sum("df").alias("df"), F.sum("tox").alias("tox"))
+    least = min(max(MIN_TOXIC_DF[0], pos // 100), MIN_TOXIC_DF[1])
     # Grams without a toxic row were left out above: they are no evidence.
     odds = F.log((F.col("tox") + 0.5) / (pos + 1.0)) - F.log((F.col("df") - F.col("tox") + 0.5) / (n - pos + 1.0))
-    evidence = counts.filter((F.col("tox") >= MIN_TOXIC_DF) & (odds > EVIDENCE_LOG_ODDS)).orderBy(F.desc("tox"), "gram").limit(MAX_VOCABULARY)
+    evidence = counts.filter((F.col("tox") >= least) & (odds > EVIDENCE_LOG_ODDS)).orderBy(F.desc("tox"), "gram").limit(MAX_VOCABULARY)
     vocab = Vocabulary(np.array([x["gram"] for x in evidence.select("gram").collect()], np.int64).view(np.uint64))
     return fit(sample.mapInArrow(_bags(vocab), "label int, feats binary, counts binary").collect(), vocab)  # at most max_train rows
 
