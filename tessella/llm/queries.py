@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessella.llm import line_dedup, mixing, packing, quality, toxicity, wavelet
+from tessella.llm import fingerprint, line_dedup, mixing, packing, quality, toxicity, wavelet
 
 
 def queries() -> dict:
     return {
+        "op1_fingerprint": fingerprint.op1_fingerprint,
         "op2_source_mixing": mixing.op2_source_mixing,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op4_wavelet_tokens": wavelet.op4_wavelet_tokens,
