@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import fingerprint, line_dedup, mixing, packing, quality, toxicity, wavelet
+from tessella.llm import fingerprint, line_dedup, mixing, packing, quality, toxicity, warc, wavelet
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op4_wavelet_tokens": wavelet.op4_wavelet_tokens,
         "op5_toxicity": toxicity.op5_toxicity,
+        "op6_warc": warc.op6_warc,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_quality": quality.op9_quality,
     }
