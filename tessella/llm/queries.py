@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import fingerprint, line_dedup, mixing, packing, quality, toxicity, warc, wavelet
+from tessella.llm import fingerprint, jaccard_join, line_dedup, mixing, packing, quality, toxicity, warc, wavelet
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_wavelet_tokens": wavelet.op4_wavelet_tokens,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_warc": warc.op6_warc,
+        "op7_jaccard_join": jaccard_join.op7_jaccard_join,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_quality": quality.op9_quality,
     }
