@@ -2,20 +2,34 @@
 
 from __future__ import annotations
 
-from tessella.llm import fingerprint, jaccard_join, line_dedup, mixing, packing, quality, toxicity, warc, wavelet
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def queries() -> dict:
+from tessella.llm import fingerprint, jaccard_join, line_dedup, mixing, packing, quality, search, toxicity, warc, wavelet
+from tessella.llm.shared import ship
+
+
+def _shipped(query: Callable) -> Callable:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_fingerprint": fingerprint.op1_fingerprint,
+        "op1_fingerprint": _shipped(fingerprint.op1_fingerprint),
         "op2_source_mixing": mixing.op2_source_mixing,
-        "op3_best_fit_packing": packing.op3_best_fit_packing,
-        "op4_wavelet_tokens": wavelet.op4_wavelet_tokens,
-        "op5_toxicity": toxicity.op5_toxicity,
-        "op6_warc": warc.op6_warc,
-        "op7_jaccard_join": jaccard_join.op7_jaccard_join,
+        "op3_best_fit_packing": _shipped(packing.op3_best_fit_packing),
+        "op4_wavelet_tokens": _shipped(wavelet.op4_wavelet_tokens),
+        "op5_toxicity": _shipped(toxicity.op5_toxicity),
+        "op6_warc": _shipped(warc.op6_warc),
+        "op7_jaccard_join": _shipped(jaccard_join.op7_jaccard_join),
         "op8_line_dedup": line_dedup.op8_line_dedup,
-        "op9_quality": quality.op9_quality,
+        "op9_quality": _shipped(quality.op9_quality),
+        "op10_bm25_top_k": _shipped(search.op10_bm25_top_k),
     }
 
 
