@@ -41,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm import bytesops as B
@@ -96,16 +96,16 @@ def _from_six(raw: bytes) -> np.ndarray:
 
 
 def _write_sets(out: str, k: int):
-    names = ["doc_id", "n", "key", "s1", "s2"]
+    names = ["doc_id", "rid", "n", "key", "s1", "s2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task, part = TaskContext.get().partitionId(), 0
-        ids, sizes, keys, sums, kept, known, size = [], [], [], [], [], {}, 0
+        ids, rids, sizes, keys, sums, kept, known, size = [], [], [], [], [], [], {}, 0
 
         def flush():
-            nonlocal part, ids, sizes, keys, sums, kept, known, size
+            nonlocal part, ids, rids, sizes, keys, sums, kept, known, size
             base = (task << 44) | (part << 24)
             lengths = np.array([len(x) for x in kept], "<u4")
             body = np.concatenate(kept) if kept else np.zeros(0, np.uint64)
@@ -113,6 +113,7 @@ def _write_sets(out: str, k: int):
             rows = pa.RecordBatch.from_arrays(
                 [
                     pa.concat_arrays(ids),
+                    pa.concat_arrays(rids),
                     pa.array(sizes, pa.int64()),
                     pa.array([None if x < 0 else base | x for x in keys], pa.int64()),
                     pa.array([x[0] for x in sums], pa.int64()),
@@ -121,7 +122,7 @@ def _write_sets(out: str, k: int):
                 names,
             )
             part += 1
-            ids, sizes, keys, sums, kept, known, size = [], [], [], [], [], {}, 0
+            ids, rids, sizes, keys, sums, kept, known, size = [], [], [], [], [], [], {}, 0
             return rows
 
         for batch in batches:
@@ -129,6 +130,7 @@ def _write_sets(out: str, k: int):
                 n, tokens = shingle_sets(data, o, k)
                 cut = np.cumsum(n) - n
                 ids.append(batch.column(0).slice(a, b - a))
+                rids.append(batch.column(2).slice(a, b - a))
                 short = tokens >> np.uint64(16)
                 for i, (c, at) in enumerate(zip(n.tolist(), cut.tolist())):
                     t = tokens[at : at + c]
@@ -345,22 +347,22 @@ def _block_links(percent: int):
     return run
 
 
-def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, class, component_id), a row per input row.
+def classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, rid, n, class, comp), a row per input row.
 
-    ``class`` numbers equal sets; rows of one component share ``component_id``,
-    its smallest document id. It is null-safe to group by component_id and, for
-    null ids or empty sets, by class.
+    ``rid`` is xxhash64 of the text, ``class`` numbers equal sets and ``comp`` the
+    linked classes; both are null for an empty set.
     """
     spark = docs.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     out = fresh_path(spark, "shingles")
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(id_col, text_col).mapInArrow(_write_sets(out, k), f"doc_id {kind}, n long, key long, s1 long, s2 long")
+    rows = docs.select(id_col, text_col, F.xxhash64(text_col).alias("_rid"))
+    rows = rows.mapInArrow(_write_sets(out, k), f"doc_id {kind}, rid long, n long, key long, s1 long, s2 long")
     rows = materialize(rows, "shingle-rows")
     # Classes of equal sets, each with its smallest key.
-    classes = rows.filter("key is not null").groupBy("s1", "s2", "n").agg(F.min("key").alias("class"))
-    classes = materialize(classes, "shingle-classes")
+    members = rows.filter("key is not null").groupBy("s1", "s2", "n").agg(F.min("key").alias("class"))
+    members = materialize(members, "shingle-classes")
     # Frequencies and prefixes.
     files = rows.filter("key is not null").select(F.expr("((key >> 44) << 20) | ((key >> 24) & 1048575)").alias("m")).distinct()
     files = materialize(files, "shingle-files").repartition(ranges)
@@ -368,7 +370,7 @@ def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     shared = blocks.repartitionById(ranges, F.col("r")).mapInArrow(_shared_tokens, "m long, tokens binary, df binary")
     shared = shared.repartition(ranges, "m").sortWithinPartitions("m")
     sets = shared.mapInArrow(_prefixes(out, percent), "key long, n long, l int, base int, prefix array<bigint>, tokens array<bigint>")
-    sets = materialize(sets.join(classes.select(F.col("class").alias("key")), "key", "left_semi"), "shingle-prefixes")
+    sets = materialize(sets.join(members.select(F.col("class").alias("key")), "key", "left_semi"), "shingle-prefixes")
     post = sets.select("key", "n", "l", "base", F.posexplode("prefix").alias("at", "token"))
     post = post.select("token", "key", "n", "l", (F.col("at") < F.col("base")).alias("plain"))
     # Star round.
@@ -403,16 +405,38 @@ def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     links = materialize(links.union(more).union(blocks), "shingle-links")
     labels = components(links)
     # Back to the rows.
-    classes = classes.join(labels, F.col("class") == F.col("node"), "left").select("s1", "s2", F.col("n").alias("_n"), "class", F.coalesce("comp", "class").alias("comp"))
-    placed = rows.join(
-        classes, (rows["s1"] == classes["s1"]) & (rows["s2"] == classes["s2"]) & (rows["n"] == classes["_n"]), "left"
-    ).select(rows["doc_id"], rows["n"], "class", "comp")
+    joined = members.join(labels, F.col("class") == F.col("node"), "left")
+    joined = joined.select("s1", "s2", F.col("n").alias("_n"), "class", F.coalesce("comp", "class").alias("comp"))
+    same = (rows["s1"] == joined["s1"]) & (rows["s2"] == joined["s2"]) & (rows["n"] == joined["_n"])
+    return rows.join(joined, same, "left").select(rows["doc_id"], rows["rid"], rows["n"], "class", "comp")
+
+
+def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, class, component_id), a row per input row; see the module's text."""
+    placed = classes(docs, k, percent, id_col, text_col)
     smallest = placed.filter("comp is not null").groupBy(F.col("comp").alias("_c")).agg(F.min("doc_id").alias("least"))
+    own = F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     return placed.join(smallest, F.col("comp") == F.col("_c"), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), "class", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), "class", own.alias("component_id")
     )
 
 
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each component, and all without a word.
+
+    Of a component, the row with the smallest doc_id (null last), then text hash.
+    """
+    placed = materialize(classes(docs, k, percent), "shingle-classes-of-rows")
+    first = placed.filter("comp is not null").groupBy("comp").agg(F.min(F.struct(F.isnull("doc_id").alias("_no"), "doc_id", "rid")).alias("f"))
+    stay = first.select(F.coalesce("f.doc_id", F.lit(0)).alias("_i"), F.col("f._no").alias("_no"), F.col("f.rid").alias("_rid"), F.lit(True).alias("_one"))
+    bare = placed.filter("comp is null").select(F.coalesce("doc_id", F.lit(0)).alias("_i"), F.isnull("doc_id").alias("_no"), F.col("rid").alias("_rid"))
+    stay = stay.union(bare.distinct().withColumn("_one", F.lit(False)))
+    rows = docs.withColumns({"_i": F.coalesce("doc_id", F.lit(0)), "_no": F.isnull("doc_id"), "_rid": F.xxhash64("text")})
+    again = Window.partitionBy("_i", "_no", "_rid").orderBy(F.lit(0))
+    met = rows.join(stay, ["_i", "_no", "_rid"]).withColumn("_again", F.row_number().over(again))
+    return met.filter(~F.col("_one") | (F.col("_again") == 1)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return similarity_classes(docs, k=4, percent=85).select("doc_id", "n_shingles", "component_id")
+    return similarity_components(docs, k=4, percent=85).select("doc_id", "n_shingles", "component_id")
