@@ -2,56 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from tessella.plans import mined, ranked, rated, scored, shaped
+from tessella.plans.registry import QUERIES, SQL
 
-from tessella.functions.rules import Rule, compile_rules
-
-_QUERIES: dict = {}
-_SQL: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def put(f):
-        _QUERIES[name] = f
-        if sql:
-            _SQL[name] = sql
-        return f
-
-    return put
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-SET = [
-    Rule("tax_cap", "l_tax", "le", 0.06),
-    Rule("discount_guarded", "l_discount", "le", 0.05, guard_feature="l_quantity", guard_op="gt", guard_threshold=25.0),
-]
-
-
-@register(
-    "satisfaction_detection",
-    """
-    SELECT CASE WHEN l_returnflag = 'N' THEN 'reference' ELSE l_returnflag END AS kind,
-           count(*) AS n_rows,
-           round(avg(CASE WHEN l_tax <= 0.06 AND (NOT l_quantity > 25 OR l_discount <= 0.05) THEN 1.0 ELSE 0.0 END), 6) AS satisfied
-    FROM lineitem GROUP BY 1
-    """,
-)
-def satisfaction_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ok = compile_rules(SET)
-    return (
-        table(spark, sf_dir, "lineitem")
-        .groupBy(F.when(F.col("l_returnflag") == "N", "reference").otherwise(F.col("l_returnflag")).alias("kind"))
-        .agg(F.count("*").alias("n_rows"), F.round(F.avg(ok.cast("double")), 6).alias("satisfied"))
-    )
+MODULES = (rated, shaped, ranked, scored, mined)
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
