@@ -14,10 +14,11 @@ string of a special token, goes to the library whole. The ids equal those of
 from __future__ import annotations
 
 import re
+from struct import pack
 
 import numpy as np
 
-MEMO = 700_000
+MEMO = 1_000_000
 _ODD = re.compile(r"\s\s")
 _WORKER: dict[str, Encoder] = {}
 
@@ -40,7 +41,12 @@ class Encoder:
         size = self.library.get_vocab_size()
         #: Tokens whose text starts with a space or a newline, in the byte alphabet.
         self.heads = np.array([(self.library.id_to_token(i) or "")[:1] in ("Ġ", "Ċ") for i in range(size)])
+        # The byte alphabet: printable Latin-1 characters stand for themselves, the others follow 255.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        self.alphabet = {b: 256 + i for i, b in enumerate(rest)}
         self.memo: dict[str, bytes] = {}
+        self.odd: set[str] = set()
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -48,18 +54,24 @@ class Encoder:
     def _learn(self, pieces: set[str]) -> None:
         """The memo's key is a piece without its space; a piece after a newline keeps that.
 
-        A final comma or full stop after a letter is a cut of its own.
+        A final comma or full stop after a letter is a cut of its own, and a space
+        with letters alone is one cut, which the library's model takes directly.
         """
-        ends = {p for p in pieces if p[-1:] in (",", ".") and len(p) > 1 and p[-2].isalpha()}
-        cores = {p[:-1] for p in ends}.difference(self.memo)
-        self._encode_pieces(list((pieces - ends) | cores))
         memo, mark = self.memo, {c: self._whole(c) for c in ",."}
+        ends = {p for p in pieces if p[-1:] in (",", ".") and len(p) > 1 and p[-2].isalpha()}
+        cores = (pieces - ends) | {p[:-1] for p in ends}.difference(memo)
+        tokenize = self.library.model.tokenize
+        for p in cores:
+            if p.isalpha():
+                ids = [t.id for t in tokenize("Ġ" + (p if p.isascii() else p.encode().decode("latin-1").translate(self.alphabet)))]
+                memo[p] = pack(f"<{len(ids)}I", *ids)
+        self._encode_pieces([p for p in cores if not p.isalpha()])
         memo.update({p: memo[p[:-1]] + mark[p[-1]] for p in ends})
 
     def _encode_pieces(self, pieces: list[str]) -> None:
         texts = [p if p[:1] == "\n" else " " + p for p in pieces]
         for i in range(0, len(texts), 2000):
-            some = [(p, t) for p, t in zip(pieces[i : i + 2000], texts[i : i + 2000]) if len(t) > 1]
+            some = list(zip(pieces[i : i + 2000], texts[i : i + 2000]))
             ids = np.array(self.library.encode("".join([t for _, t in some]), add_special_tokens=False).ids, "<u4")
             cut = np.append(np.flatnonzero(self.heads[ids]), len(ids)).tolist()
             if len(cut) - 1 == len(some):
@@ -67,22 +79,29 @@ class Encoder:
                 self.memo.update({p: raw[4 * a : 4 * b] for (p, _), a, b in zip(some, cut, cut[1:])})
             else:  # some token inside a piece has a head's form
                 self.memo.update({p: self._whole(t) for p, t in some})
-        self.memo.update({p: self._whole(t) for p, t in zip(pieces, texts) if len(t) == 1})
 
     def _some(self, texts: list[str | None]) -> list[bytes]:
         # A newline is made a piece's first character by a space before it.
-        cut = [t.replace("\n", " \n").split(" ") if t and not _ODD.search(t) else None for t in texts]
-        pieces = set().union(*[c[1:] for c in cut if c])
-        new = pieces.difference(self.memo)
-        if new and len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = pieces
-        if new:
-            self._learn(new)
-        get = self.memo.__getitem__
+        cut = [t.replace("\n", " \n").split(" ") if t else [""] for t in texts]
+        heads = [c[0] for c in cut]
+        cut = [c[1:] for c in cut]
+        get = self.memo.get
+        got = [list(map(get, c)) for c in cut]
+        open_ = [i for i, g in enumerate(got) if None in g]
+        if open_:
+            new = {p for i in open_ for p, g in zip(cut[i], got[i]) if g is None} - self.odd
+            if len(self.memo) + len(new) > MEMO:
+                self.memo.clear()
+                open_ = range(len(cut))
+                new = set().union(*cut) - self.odd
+            # Two characters of white space beside each other: the text goes to the library whole.
+            self.odd |= (odd := {p for p in new if not p or p == "\n" or p[-1].isspace() or (p[0].isspace() and p[0] != "\n") or _ODD.search(p)})
+            self._learn(new - odd)
+            for i in open_:
+                got[i] = list(map(get, cut[i]))
         return [
-            (self._whole(c[0]) if c[0] else b"") + b"".join(map(get, c[1:])) if c else self._whole(t) if t else b""
-            for t, c in zip(texts, cut)
+            self._whole(t) if None in g or h[-1:].isspace() or _ODD.search(h) else (self._whole(h) if h else b"") + b"".join(g)
+            for t, h, g in zip([t or "" for t in texts], heads, got)
         ]
 
     def encode(self, texts: list[str | None], most: int = 1 << 20) -> list[bytes]:

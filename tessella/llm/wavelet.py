@@ -53,8 +53,11 @@ class WaveletMatrix:
         planes, zeros, directories = [], [], []
         for k in range(bits - 1, -1, -1):
             bit = (cur >> cur.dtype.type(k)) & cur.dtype.type(1) != 0
-            planes.append(np.packbits(bit, bitorder="little"))
-            blocks = np.add.reduceat(bit, np.arange(0, len(bit), BLOCK), dtype=np.uint32) if len(bit) else np.zeros(0, np.uint32)
+            plane = np.packbits(bit, bitorder="little")
+            planes.append(plane)
+            whole = np.zeros(-(-len(plane) // (BLOCK // 8)) * (BLOCK // 8), np.uint8)
+            whole[: len(plane)] = np.bitwise_count(plane)
+            blocks = whole.reshape(-1, BLOCK // 8).sum(1, dtype=np.uint32)
             directories.append(np.concatenate([[0], np.cumsum(blocks)]).astype(np.uint32))
             low = cur[~bit]
             zeros.append(len(low))
