@@ -71,10 +71,10 @@ def shingle_sets(data: np.ndarray, o: np.ndarray, k: int) -> tuple[np.ndarray, n
     at = np.arange(len(h)) - first[:-1][doc]
     whole = at + k <= n[doc]
     for i in np.flatnonzero((n > 0) & (n < k)):
-        y = h[first[i]]
-        for w in h[first[i] + 1 : first[i + 1]]:
-            y = B.mix(np.array([y * B.MULTIPLIER + w]))[0]
-        x[first[i]] = B.mix(np.array([y + np.uint64(n[i])]))[0]
+        y = h[first[i] : first[i] + 1]
+        for w in range(first[i] + 1, first[i + 1]):
+            y = B.mix(y * B.MULTIPLIER + h[w])
+        x[first[i]] = B.mix(y + np.uint64(n[i]))[0]
         whole[first[i]] = True
     x, doc = x[whole], doc[whole]
     order = np.lexsort((x, doc))

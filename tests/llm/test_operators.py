@@ -1,0 +1,463 @@
+"""Small fixtures with nulls, empty and long texts, ties, repeated rows, clashing names; brute force beside each."""
+
+from __future__ import annotations
+
+import base64
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tessella.llm import fingerprint, jaccard_join, line_dedup, mixing, packing, quality, search, tokens, toxicity, warc, wavelet
+from tessella.llm.components import components
+from tessella.llm.shared import fresh_path, ship
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra string"
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)] + ["Häuser", "the", "The", "été", "x,", "y."]
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    common = [line(12) for _ in range(3)]
+    out = []
+    for i in range(60):
+        parts = [line(rng.randint(1, 30)) for _ in range(rng.randint(1, 5))]
+        if i % 3 == 0:
+            parts.insert(rng.randint(0, len(parts)), rng.choice(common))
+        out.append((i, "\n".join(parts)))
+    base = line(200)
+    for i in range(60, 75):  # near copies
+        w = base.split(" ")
+        for _ in range(i % 5):
+            w[rng.randrange(len(w))] = f"n{i}"
+        out.append((i, " ".join(w)))
+    out += [(75 + i, out[0][1]) for i in range(12)]  # exact copies
+    out += [(100, None), (101, ""), (102, "   \n\t\n  "), (103, "one"), (104, "one two three"), (105, line(6000))]
+    out += [(106, "a\n\nb"), (106, "a\n\nb"), (107, "tie one text"), (107, "tie other text"), (None, "no id here at all"), (None, None)]
+    return [(i, t, rng.choice(["en", "de", None]), rng.choice(["src0", "src1", "web", None]), len(t or ""), "e") for i, t in out]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    ship(spark)
+    return spark.createDataFrame(rows, DOCS).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    ship(spark)
+    return spark.createDataFrame([], DOCS)
+
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def keep_lines(rows, min_docs, keep):
+    """Brute force: kept text and dropped count of each row, in row order."""
+    key = lambda x: x.strip(" \t\n\x0b\f\r").translate(LOWER)
+    found = collections.defaultdict(set)
+    first = {}
+    for n, (i, t, *_) in enumerate(rows):
+        for p, x in enumerate((t or "").split("\n")):
+            if key(x):
+                found[key(x)].add(n)
+                at = (i is not None, i or 0, p)
+                first[key(x)] = min(first.get(key(x), at), at)
+    out = []
+    for i, t, *_ in rows:
+        kept = [
+            x
+            for p, x in enumerate((t or "").split("\n"))
+            if len(found.get(key(x), ())) < min_docs or (keep == "first" and first[key(x)] == (i is not None, i or 0, p))
+        ]
+        out.append(("\n".join(kept), len((t or "").split("\n")) - len(kept)))
+    return out
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_line_dedup(docs, rows, keep):
+    # equal rows have equal bitmaps, so first occurrences are tested without the repeated ids
+    use = rows if keep == "none" else [r for r in rows if r[0] not in (106, 107, None)]
+    d = docs if keep == "none" else docs.filter("doc_id is not null and doc_id not in (106, 107)")
+    got = line_dedup.apply_drops(d, line_dedup.dropped_lines(d, min_docs=5, keep=keep)).collect()
+    want = collections.Counter((r[0], k, n) for r, (k, n) in zip(use, keep_lines(use, 5, keep)))
+    assert collections.Counter((r["doc_id"], r["_kept"], r["_n_dropped"]) for r in got) == want
+    assert sum(r["_n_dropped"] for r in got) > 12 and got[0]["extra"] == "e"
+
+
+def test_line_dedup_empty(empty):
+    assert line_dedup.apply_drops(empty, line_dedup.dropped_lines(empty)).count() == 0
+
+
+def budgets(caps, weights, total):
+    """Water-filling by brute force."""
+    got, left, open_ = {}, total, dict(weights)
+    while open_:
+        level = left / sum(open_.values())
+        full = [k for k in open_ if caps[k] <= level * open_[k]]
+        if not full:
+            return got | {k: level * w for k, w in open_.items()}
+        for k in full:
+            got[k] = caps[k]
+            left -= caps[k]
+            del open_[k]
+    return got
+
+
+def test_leaf_budgets(spark):
+    leaves = [("d0", "en", "a", 100), ("d0", "en", "b", 10), ("d0", "de", "a", 5), ("d1", "en", "c", 400), ("d1", "fr", "c", 0)]
+    df = spark.createDataFrame(leaves, "domain string, lang string, source string, tokens long").selectExpr("*", "300L as t")
+    got = {(r["domain"], r["lang"], r["source"]): r["budget"] for r in mixing.leaf_budgets(df, df["t"], 1).collect()}
+    top = budgets({"d0": 115, "d1": 400}, {"d0": 0.25, "d1": 0.25}, 300)
+    assert top == {"d0": 115, "d1": 185}
+    assert got == {("d0", "en", "a"): 100, ("d0", "en", "b"): 10, ("d0", "de", "a"): 5, ("d1", "en", "c"): 185, ("d1", "fr", "c"): 0}
+
+
+@pytest.mark.parametrize("fraction, epochs", [(0.4, 1), (0.9, 1), (1.5, 3)])
+def test_mixture_prefixes(spark, docs, rows, fraction, epochs):
+    got = mixing.mixture(docs.withColumn("domain", mixing.domain_of(docs["source"])), fraction, epochs, seed=5).collect()
+    count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    leaves = collections.defaultdict(list)
+    for i, t, lang, source, *_ in rows:
+        number = re.search(r"([0-9]{1,9})$", source or "")
+        leaves[(f"d{int(number[1]) % 4 if number else 0}", lang or "(none)", source or "(none)")].append((i, count(t)))
+    chosen = collections.Counter((r["domain"], r["lang"], r["source"], r["_id"], r["epoch"]) for r in got)
+    budget = {(r["domain"], r["lang"], r["source"]): r["leaf_budget"] for r in got}
+    assert sum(budget.values()) <= math.floor(sum(count(r[1]) for r in rows) * fraction)
+    for leaf, b in budget.items():
+        total = sum(n for _, n in leaves[leaf])
+        whole = b // total if total else 0
+        key = lambda i: hashlib.md5(f"5|{whole}|{'null' if i is None else i}".encode()).hexdigest()  # noqa: B023, E731
+        want, run = collections.Counter(), 0
+        for e in range(whole):
+            want.update((*leaf, i, e) for i, _ in leaves[leaf])
+        by = collections.defaultdict(list)
+        for i, n in leaves[leaf]:
+            by[key(i)].append((i, n))
+        for k in sorted(by):
+            run += sum(n for _, n in by[k])
+            if run > b - whole * total:
+                break
+            want.update((*leaf, i, whole) for i, _ in by[k])
+        if b > whole * total:
+            assert collections.Counter({k: v for k, v in chosen.items() if k[:3] == leaf}) == want
+
+
+def test_mixture_empty(empty):
+    assert mixing.mixture(empty.withColumn("domain", empty["source"]), 0.5, 1).count() == 0
+
+
+def test_encoder_equals_library():
+    e = tokens.Encoder(tokens.tokenizer_path())
+    rng = random.Random(1)
+    texts = ["", None, " ", "  ", "a  b", "a\n\nb", "\n", "x<|endoftext|>y", "it's we'll 12 34,5.", "don 't\n's é ü　 z", "a" * 4000 + " b"]
+    texts += ["".join(rng.choice("ab 1,.'\n\té") for _ in range(rng.randint(1, 25))) for _ in range(2000)]
+    want = [np.array(e.library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert e.encode(texts) == want and e.encode(texts) == want
+
+
+def ids_of(rows, end):
+    e = tokens.Encoder(tokens.tokenizer_path())
+    return [np.frombuffer(e._whole(t or ""), "<u4").tolist() + [end] for _, t, *_ in rows]
+
+
+def test_packing(docs, rows):
+    got = packing.packed_documents(docs).collect()
+    want = collections.Counter()
+    for (i, *_), ids in zip(rows, ids_of(rows, 0)):
+        first = (len(ids) - 1) % 2048 + 1
+        cuts = [0, *range(first, len(ids) + 1, 2048)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            want[(i, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes()))] += 1
+    assert collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    bins = collections.defaultdict(list)
+    for r in got:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for x in bins.values():
+        at = 0
+        for o, n in sorted(x):
+            assert o == at
+            at += n
+        assert at <= 2048
+    assert len(bins) <= math.ceil(sum(r["length"] for r in got) / 2048) + 1
+
+
+def test_best_two_fit_replaces_the_smallest():
+    # greedy: 6 + 3 leaves a gap of 1 that nothing fits; 2 + 2 in place of 3 fills it
+    assert packing.best_two_fit({6: 1, 3: 1, 2: 2}, 10)[0] == ([(6, 1), (2, 2)], 1)
+    rng = random.Random(2)
+    for _ in range(30):
+        h = {rng.randint(1, 50): rng.randint(1, 40) for _ in range(12)}
+        bins = packing.best_two_fit(h, 50)
+        placed = collections.Counter()
+        for pattern, m in bins:
+            assert sum(n * k for n, k in pattern) <= 50
+            placed.update({n: k * m for n, k in pattern})
+        assert placed == h
+    with pytest.raises(ValueError):
+        packing.best_two_fit({11: 1}, 10)
+
+
+def test_packing_empty(empty):
+    assert packing.packed_documents(empty).count() == 0
+
+
+@pytest.mark.parametrize("n, top", [(0, 5), (1, 1), (9000, 300), (5000, 70000)])
+def test_wavelet_matrix(n, top):
+    rng = np.random.default_rng(n)
+    ids = rng.integers(0, top, n).astype("<u4")
+    wm, names, lengths = wavelet.load(b"".join(wavelet.dump(ids, [3, None], np.array([n, 0]))))
+    assert (wm.to_array() == ids).all() and names == [3, None] and lengths.tolist() == [n, 0]
+    for i in rng.integers(0, max(1, n), 20).tolist() if n else []:
+        s = int(ids[i])
+        at = np.flatnonzero(ids == s)
+        assert wm.access(i) == s and wm.rank(s, i) == int((ids[:i] == s).sum()) and wm.count(s) == len(at)
+        k = int(np.searchsorted(at, i))
+        assert wm.select(s, k) == i and wm.select(s, len(at)) == -1
+    assert wm.count(1 << 20) == 0
+
+
+def test_wavelet_shards(spark, docs, rows):
+    got = wavelet.read_shards(wavelet.write_shards(docs, fresh_path(spark, "t"), shard_tokens=2000)).orderBy("start").collect()
+    by = collections.defaultdict(list)
+    for (i, *_), ids in zip(rows, ids_of(rows, 2)):
+        by[i].append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    seen, at = collections.defaultdict(list), 0
+    order = [r["doc_id"] for r in got]
+    assert order == sorted(order, key=lambda i: (i is not None, i or 0))
+    for r in got:
+        assert r["start"] == at
+        at += r["n_tokens"]
+        seen[r["doc_id"]].append((r["n_tokens"], r["ids_crc32"]))
+    assert {k: sorted(v) for k, v in seen.items()} == {k: sorted(v) for k, v in by.items()}
+
+
+def test_wavelet_empty(spark, empty):
+    assert wavelet.read_shards(wavelet.write_shards(empty, fresh_path(spark, "t"))).count() == 0
+
+
+def test_toxicity(spark, empty):
+    ship(spark)
+    rng = random.Random(4)
+    bad = ["stupid", "clown", "moron"]
+    make = lambda n, w: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega", *w]) for _ in range(n))
+    train = [(i, make(30, bad if i % 3 == 0 else []), int(i % 3 == 0)) for i in range(300)]
+    d = spark.createDataFrame([(i, t) for i, t, _ in train], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in train] + [(None, 1), (9999, None)], "doc_id long, toxic int")
+    model = toxicity.train(d, labels)
+    assert (np.diff(model.thresholds) > 0).all()
+    test = [(1, "what a Stupid, stupid CLOWN", 1), (2, make(40, []), 0), (3, None, 0), (4, "", 0), (4, "", 0), (None, "moron " * 3000, 1)]
+    df = spark.createDataFrame([(i, t, "x") for i, t, _ in test], "doc_id long, text string, toxic string")
+    got = toxicity.score(df, model).collect()
+    assert sorted((str(r["doc_id"]), int(r["tox_flag"])) for r in got) == sorted((str(i), y) for i, _, y in test)
+    sev = {r["doc_id"]: r["tox_severity"] for r in got}
+    assert sev[None] > sev[1] > sev[2] and sev[3] == sev[4] and got[0]["toxic"] == "x"
+    none = toxicity.train(d, labels.filter("toxic = 0"))
+    assert not any(r["tox_flag"] for r in toxicity.score(df, none).collect())
+    assert toxicity.score(empty, model).count() == 0
+    nothing = toxicity.train(empty.select("doc_id", "text"), labels)
+    assert not any(r["tox_flag"] for r in toxicity.score(df, nothing).collect())
+
+
+def test_cumulative_link_probabilities_fall():
+    m = toxicity.OrdinalModel(toxicity.Vocabulary(np.zeros(0, np.uint64)), np.zeros(0), np.array([0.5, 1.5]))
+    p = m.at_least(np.array([-3.0, 0.0, 3.0]))
+    assert (p[:, 0] > p[:, 1]).all() and (np.diff(p[:, 0]) > 0).all()
+
+
+def test_quality(spark, empty):
+    ship(spark)
+    rng = random.Random(5)
+    good = lambda: " ".join(rng.choice(["lorem", "ipsum", "dolor", "amet", "elit"]) for _ in range(40))
+    junk = lambda: " ".join(rng.choice(["L0R!!", "$$$x", "%%%", "IPS&&&"]) for _ in range(40))
+    train = [(i, good() if i % 2 else junk(), i % 2) for i in range(400)]
+    d = spark.createDataFrame([(i, t) for i, t, _ in train] + [(1000, None), (1001, ""), (None, good()), (1001, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in train], "doc_id long, quality int")
+    got = quality.score(d, quality.train(d, labels)).withColumn("held", quality.held_out(F.col("doc_id"))).collect()
+    score = {r["doc_id"]: r["quality_score"] for r in got}
+    held = [i for i, _, _ in train if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert {r["doc_id"] for r in got if r["held"]} == set(held) | {i for i in (1000, 1001) if zlib.crc32(str(i).encode()) % 4 == 2}
+    assert all((score[i] >= 0.7) == bool(i % 2) for i in held)
+    assert score[1000] == score[1001] and len(got) == 404 and all(0 <= r["quality_score"] <= 1 for r in got)
+    assert quality.score(empty, quality.fit([])).count() == 0 and quality.fit([{"label": 1, "feats": b"", "counts": b""}]).bias > 0
+
+
+def test_quality_ignores_held_out_labels(spark):
+    ship(spark)
+    d = spark.createDataFrame([(i, f"word{i} text") for i in range(200)], "doc_id long, text string")
+    flip = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    a = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    b = spark.createDataFrame([(i, 1 - i % 2 if flip(i) else i % 2) for i in range(200)], "doc_id long, quality int")
+    assert (quality.train(d, a).logit == quality.train(d, b).logit).all()
+
+
+PAGES = "page_id long, url string, html string, record_type string"
+
+
+def test_warc(spark):
+    ship(spark)
+    big = "<p>" + "ä" * 300_000
+    pages = [(5, "http://a/ b\n", "x", "r"), (3, None, "x", "r"), (9, "u", None, "r"), (8, "u", "", "r"), (7, "u", big, "r"), (1, "u", big, "r")]
+    pages += [(2, "u", "x", "r"), (2, "u", "x", "r"), (None, "u", "x", "r"), (None, "u", "alone", "r"), (4, "u", "\r\n\r\nHTTP", "r")]
+    df = spark.createDataFrame(pages, PAGES)
+    manifest = warc.write_bundles(df, fresh_path(spark, "w"))
+    got = collections.Counter(tuple(r) for r in warc.read_bundles(manifest).collect())
+    first = {}
+    for i, _, h, _ in pages:
+        if i is not None:
+            first[h or ""] = min(first.get(h or "", i), i)
+    want = collections.Counter()
+    for i, _, h, _ in pages:
+        b, f = (h or "").encode(), first.get(h or "")
+        again = f is not None and i != f
+        want[(i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "revisit" if again else "response", f if again else None)] += 1
+    assert got == want
+    # random access and a plain reader
+    import zstandard
+
+    for (path,) in manifest.select("path").collect():
+        b = warc.Bundle(path)
+        for key, *_ in b.map:
+            assert warc.parse(b.read(key))["headers"]["warc-record-id"] == key
+        fs, at = warc.filesystem(path)
+        with fs.open_input_stream(at, compression=None) as f:
+            plain = zstandard.ZstdDecompressor().stream_reader(f.read(), read_across_frames=True).read()
+        assert plain.count(b"WARC/1.1\r\n") == len(b.map)
+
+
+def test_warc_empty(spark):
+    ship(spark)
+    assert warc.read_bundles(warc.write_bundles(spark.createDataFrame([], PAGES), fresh_path(spark, "w"))).count() == 0
+
+
+def shingles(text, k):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+
+
+@pytest.mark.parametrize("k, percent, short", [(4, 85, 48), (5, 80, 0), (2, 50, 2)])
+def test_jaccard_join(docs, rows, monkeypatch, k, percent, short):
+    monkeypatch.setattr(jaccard_join, "SHORT_LIST", short)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    sets = [shingles(t, k) for _, t, *_ in rows]
+    parent = list(range(len(rows)))
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                parent[find(a)] = find(b)
+    least = {}
+    for n, (i, *_) in enumerate(rows):
+        if i is not None:
+            least[find(n)] = min(least.get(find(n), i), i)
+    want = collections.Counter((i, len(s), least.get(find(n)) if s else i) for n, ((i, *_), s) in enumerate(zip(rows, sets)))
+    got = jaccard_join.similarity_components(docs, k, percent)
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == want
+
+
+def test_one_of_each(docs, rows):
+    kept = [(r["doc_id"], r["text"]) for r in jaccard_join.one_of_each(docs, 5, 80).collect()]
+    bare = [(i, t) for i, t, *_ in rows if not shingles(t, 5)]
+    comps = jaccard_join.classes(docs, 5, 80).filter("comp is not null").select("comp").distinct().count()
+    assert sorted(map(str, [x for x in kept if x in bare])) == sorted(map(str, bare))
+    others = [x for x in kept if x not in bare]
+    assert len(others) == comps
+
+
+def test_jaccard_join_empty(empty):
+    assert jaccard_join.similarity_components(empty).count() == 0
+
+
+def test_components_of_a_path(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 101)], "a long, b long")
+    got = {r["node"]: r["comp"] for r in components(links).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_fingerprint(spark, docs, rows):
+    ranks = fingerprint.corpus_ranks(docs)
+    got = fingerprint.fingerprints(docs, ranks).collect()
+    assert len(got) == len(rows)
+    ids = [r["doc_id"] for r in got]
+    by = collections.defaultdict(set)
+    for i, t, *_ in rows:
+        by[i].add(t or "")
+    text = {}
+    for r in got:
+        text.setdefault(r["fingerprint"], []).append(r)
+        assert r["n_chars"] in {len(t) for t in by[r["doc_id"]]} and 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+    assert sorted(ids, key=str) == sorted([r[0] for r in rows], key=str)
+    # documents with single neighbours, against brute force
+    order = sorted({i for i in by if i is not None})
+    one = {r["doc_id"]: r for r in got}
+    for a, b in [(i, j) for i, j in zip(order, order[1:]) if len(by[i]) == len(by[j]) == 1 and i != 106 and j != 106]:
+        (x,), (y,) = by[a], by[b]
+        e = fingerprint.edited(x, y)
+        assert one[a]["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest()
+        assert one[a]["fingerprint"] == fingerprint.as_text(fingerprint.digests([x.encode()], ranks)[0])
+        assert one[a]["edited_fingerprint"] == fingerprint.as_text(fingerprint.digests([e.encode()], ranks)[0])
+    assert one[100]["fingerprint"] == one[101]["fingerprint"] == "" and one[100]["near_next"] == 1.0
+    assert one[70]["near_next"] > 0.5 > one[10]["near_next"]
+
+
+def test_entropy_levels_by_counting():
+    data = np.frombuffer("Häuser und the aaaa bbbb of the of the".encode() * 3, np.uint8)
+    got = fingerprint.entropy_levels(np.concatenate([data, np.zeros(40, np.uint8)]))
+    for i in range(len(data) - 32):
+        c = np.bincount(data[i : i + 32])
+        s = sum(int(round(k * math.log2(k) * fingerprint.SCALE)) for k in c[c > 0])
+        assert got[i] == s >> fingerprint.SHIFT
+
+
+def test_fingerprint_single_and_empty(spark, empty):
+    assert fingerprint.fingerprints(empty, fingerprint.corpus_ranks(empty)).count() == 0
+    one = spark.createDataFrame([(7, "only document in the whole table")], "doc_id long, text string")
+    r = fingerprint.fingerprints(one, fingerprint.corpus_ranks(one)).collect()[0]
+    assert r["near_next"] == 1.0
+
+
+def bm25(rows, query, k):
+    tf = [collections.Counter(re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").translate(LOWER).encode())) for _, t, *_ in rows]
+    df = collections.Counter(x for c in tf for x in c)
+    n, mean = len(rows), sum(map(lambda c: sum(c.values()), tf)) / len(rows)
+    q = collections.Counter(re.findall(rb"[0-9a-z\x80-\xff]+", (query or "").translate(LOWER).encode()))
+    out = []
+    for (i, *_), c in zip(rows, tf):
+        s = sum(
+            w * math.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * c[x] * 2.2 / (c[x] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean))
+            for x, w in q.items()
+            if x in c
+        )
+        if s > 0:
+            out.append((-round(s, 5), i is None, i or 0))
+    return sorted(out)[:k]
+
+
+def test_search(docs, rows, monkeypatch):
+    monkeypatch.setattr(search, "SEED_POSTINGS", 5)
+    got = search.top_k(docs, docs.filter("doc_id % 20 = 0 or doc_id is null"), k=5).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["query_id"]].append((r["rank"], -round(r["score"], 5), r["doc_id"] is None, r["doc_id"] or 0))
+    for i, t, *_ in rows:
+        if i is not None and i % 20 == 0:
+            assert [x[1:] for x in sorted(by[i])] == bm25(rows, t, 5)
+    assert None not in by and not by.get(100)
+
+
+def test_search_empty(docs, empty):
+    assert search.top_k(empty, docs.filter("doc_id = 0")).count() == 0
+    assert search.top_k(docs, empty).count() == 0
