@@ -100,3 +100,13 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: All but ASCII letters, digits and the bytes of other scripts.
 NOT_ALNUM = ~table(bytes([*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]))
+
+
+def trim() -> None:
+    """Give memory that a finished task freed back to the system, where the C library can."""
+    import ctypes
+
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
