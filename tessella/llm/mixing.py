@@ -131,12 +131,15 @@ def mixture(
             F.coalesce(F.min(F.when(~full, F.col("next"))), F.lit("~")).alias("bin"),
             (F.first("left_over") - F.coalesce(F.max(F.when(full, F.col("upto"))), F.lit(0))).alias("left_over"),
         )
+        # A written table of one row a leaf: its known size lets joins leave the documents where they are.
+        cuts = materialize(cuts, "mixing-cuts")
     width = 2 * rounds
     last = keyed.join(cuts, list(LEVELS)).filter(F.substring("key", 1, width) == F.col("bin"))
     run = Window.partitionBy(*LEVELS).orderBy("key")  # the default frame takes equal keys together
     last = last.withColumn("upto", F.sum("n_tokens").over(run)).filter(F.col("upto") <= F.col("left_over"))
     last = last.groupBy(*LEVELS).agg(F.max("key").alias("last_key"))
     cuts = cuts.join(last, list(LEVELS), "left").select(*LEVELS, F.coalesce("last_key", "bin").alias("cut"))
+    cuts = materialize(cuts, "mixing-cuts")
     chosen = keyed.join(cuts, list(LEVELS), "left")
     in_prefix = (F.col("rest") > 0) & (F.col("key") <= F.col("cut"))
     epochs = F.filter(
