@@ -28,11 +28,6 @@ from tessella.llm import jaccard_join, line_dedup, mixing, packing, toxicity
 from tessella.llm.shared import materialize, ship
 
 
-def _with_text(docs: DataFrame, text) -> DataFrame:
-    out = docs.withColumn("text", text)
-    return out.withColumn("n_chars", F.char_length("text").cast("bigint")) if "n_chars" in docs.columns else out
-
-
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -44,8 +39,9 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     out = line_dedup.apply_drops(docs, drops)
     emptied = (F.col("_n_dropped") > 0) & (F.btrim("_kept", F.lit(line_dedup.SPACE)) == "")
     out = out.filter(~emptied)
-    text = F.when(F.col("_n_dropped") > 0, F.col("_kept")).otherwise(F.col("text"))
-    return _with_text(out, text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    changed = {"text": F.col("_kept"), "n_chars": F.char_length("_kept").cast("bigint")}
+    new = {c: F.when(F.col("_n_dropped") > 0, v).otherwise(F.col(c)) for c, v in changed.items() if c in docs.columns}
+    return out.withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def jaccard_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
