@@ -7,7 +7,7 @@ newline, then the characters up to the next) that can be encoded on their own.
 Pieces repeat much more than texts, so each worker keeps the ids of the pieces it
 has met, up to ``MEMO`` of them, and only new ones go to the library, many joined
 at a time. A text with two neighbouring white-space characters, or with the
-string of a special token, goes to the library whole. The ids equal those of
+string of an added token, goes to the library whole. The ids equal those of
 ``encode(text, add_special_tokens=False)`` in each case.
 """
 
@@ -37,7 +37,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         size = self.library.get_vocab_size()
         #: Tokens whose text starts with a space or a newline, in the byte alphabet.
         self.heads = np.array([(self.library.id_to_token(i) or "")[:1] in ("Ġ", "Ċ") for i in range(size)])
@@ -51,6 +51,9 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _has_added(self, text: str | None) -> bool:
+        return bool(text) and any(a in text for a in self.added)
+
     def _learn(self, pieces: set[str]) -> None:
         """The memo's key is a piece without its space; a piece after a newline keeps that.
 
@@ -72,17 +75,19 @@ class Encoder:
         texts = [p if p[:1] == "\n" else " " + p for p in pieces]
         for i in range(0, len(texts), 2000):
             some = list(zip(pieces[i : i + 2000], texts[i : i + 2000]))
-            ids = np.array(self.library.encode("".join([t for _, t in some]), add_special_tokens=False).ids, "<u4")
+            joined = "".join([t for _, t in some])
+            ids = np.array(self.library.encode(joined, add_special_tokens=False).ids, "<u4")
             cut = np.append(np.flatnonzero(self.heads[ids]), len(ids)).tolist()
-            if len(cut) - 1 == len(some):
+            if len(cut) - 1 == len(some) and not self._has_added(joined):
                 raw = ids.tobytes()
                 self.memo.update({p: raw[4 * a : 4 * b] for (p, _), a, b in zip(some, cut, cut[1:])})
-            else:  # some token inside a piece has a head's form
+            else:  # some token inside a piece has a head's form, or pieces side by side make an added token
                 self.memo.update({p: self._whole(t) for p, t in some})
 
     def _some(self, texts: list[str | None]) -> list[bytes]:
         # A newline is made a piece's first character by a space before it.
-        cut = [t.replace("\n", " \n").split(" ") if t else [""] for t in texts]
+        added = [self._has_added(t) for t in texts]
+        cut = [t.replace("\n", " \n").split(" ") if t and not x else [""] for t, x in zip(texts, added)]
         heads = [c[0] for c in cut]
         cut = [c[1:] for c in cut]
         get = self.memo.get
@@ -100,8 +105,8 @@ class Encoder:
             for i in open_:
                 got[i] = list(map(get, cut[i]))
         return [
-            self._whole(t) if None in g or h[-1:].isspace() or _ODD.search(h) else (self._whole(h) if h else b"") + b"".join(g)
-            for t, h, g in zip([t or "" for t in texts], heads, got)
+            self._whole(t) if x or None in g or h[-1:].isspace() or _ODD.search(h) else (self._whole(h) if h else b"") + b"".join(g)
+            for t, x, h, g in zip([t or "" for t in texts], added, heads, got)
         ]
 
     def encode(self, texts: list[str | None], most: int = 1 << 20) -> list[bytes]:

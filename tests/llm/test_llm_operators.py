@@ -164,6 +164,20 @@ def test_encoder_equals_library():
     assert e.encode(texts) == want and e.encode(texts) == want
 
 
+def test_encoder_equals_a_fresh_library():
+    from tokenizers import Tokenizer
+
+    path = tokens.tokenizer_path()
+    fresh, e = Tokenizer.from_file(path), tokens.Encoder(path)
+    rng = random.Random(6)
+    mark = "<|endoftext|>"
+    texts = ["", None, mark, "x<|endoftext|>y", "a b " + mark, mark + " a b", f"a {mark} b\nc {mark}{mark}", "<|endoftext|", "<| endoftext|>", "a b"]
+    texts += [" ".join(rng.choice(["a", "b.", "1,", mark, "x" + mark, "\n", ""]) for _ in range(rng.randint(1, 8))) for _ in range(500)]
+    want = [np.array(fresh.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert e.encode(texts) == want and e.encode(texts) == want
+    assert any(50256 in np.frombuffer(x, "<u4") for x in want)
+
+
 def ids_of(rows, end):
     e = tokens.Encoder(tokens.tokenizer_path())
     return [np.frombuffer(e._whole(t or ""), "<u4").tolist() + [end] for _, t, *_ in rows]
