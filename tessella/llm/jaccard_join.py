@@ -65,7 +65,7 @@ def shingle_sets(data: np.ndarray, o: np.ndarray, k: int) -> tuple[np.ndarray, n
     with np.errstate(over="ignore"):
         # shingles start at each word with k - 1 more of the text after it
         x = h.copy()
-        for j in range(1, k):
+        for j in range(1, min(k, len(h))):
             x[: len(h) - j] = B.mix(x[: len(h) - j] * B.MULTIPLIER + h[j:])
     doc = np.repeat(np.arange(len(n)), n)
     at = np.arange(len(h)) - first[:-1][doc]

@@ -382,6 +382,24 @@ def test_jaccard_join(docs, rows, monkeypatch, k, percent, short):
     assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("k", [1, 2, 4, 5])
+def test_shingle_sets_of_one_short_document(k):
+    for n in range(k + 2):
+        text = " ".join(f"w{i}" for i in range(n)).encode()
+        size, x = jaccard_join.shingle_sets(np.frombuffer(text, np.uint8), np.array([0, len(text)]), k)
+        assert size.tolist() == [len(shingles(text.decode(), k))] and len(x) == size[0]
+        # the same set as beside another document
+        both = text + b"a longer text of many words"
+        sizes, y = jaccard_join.shingle_sets(np.frombuffer(both, np.uint8), np.array([0, len(text), len(both)]), k)
+        assert sizes[0] == size[0] and (y[: size[0]] == x).all()
+
+
+def test_jaccard_join_of_one_short_document(spark):
+    ship(spark)
+    one = spark.createDataFrame([(1, "two words")], "doc_id long, text string")
+    assert [tuple(r) for r in jaccard_join.similarity_components(one, 4, 85).select("doc_id", "n_shingles", "component_id").collect()] == [(1, 1, 1)]
+
+
 def test_one_of_each(docs, rows):
     kept = [(r["doc_id"], r["text"]) for r in jaccard_join.one_of_each(docs, 5, 80).collect()]
     bare = [(i, t) for i, t, *_ in rows if not shingles(t, 5)]
