@@ -86,8 +86,7 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             r, g, _ = _unique(np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got]))
             g, at, df = np.unique(g, return_inverse=True, return_counts=True)
             tox = np.bincount(at, label[a:b][r], minlength=len(g)).astype(np.int64)
-            keep = tox > 0
-            yield pa.record_batch([pa.array(g[keep].view(np.int64)), pa.array(df[keep]), pa.array(tox[keep])], ["gram", "df", "tox"])
+            yield pa.record_batch([pa.array(g.view(np.int64)), pa.array(df), pa.array(tox)], ["gram", "df", "tox"])
 
 
 class Vocabulary:
@@ -200,7 +199,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Ord
     n, pos = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     counts = sample.mapInArrow(_document_counts, "gram long, df long, tox long").groupBy("gram").agg(F.sum("df").alias("df"), F.sum("tox").alias("tox"))
     least = min(max(MIN_TOXIC_DF[0], pos // 100), MIN_TOXIC_DF[1])
-    # Grams without a toxic row were left out above: they are no evidence.
+    # Grams without a toxic row in the whole sample go here: they are no evidence.
+    counts = counts.filter("tox > 0")
     odds = F.log((F.col("tox") + 0.5) / (pos + 1.0)) - F.log((F.col("df") - F.col("tox") + 0.5) / (n - pos + 1.0))
     evidence = counts.filter((F.col("tox") >= least) & (odds > EVIDENCE_LOG_ODDS)).orderBy(F.desc("tox"), "gram").limit(MAX_VOCABULARY)
     vocab = Vocabulary(np.array([x["gram"] for x in evidence.select("gram").collect()], np.int64).view(np.uint64))

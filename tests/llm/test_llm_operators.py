@@ -281,6 +281,25 @@ def test_toxicity(spark, empty):
     assert not any(r["tox_flag"] for r in toxicity.score(df, nothing).collect())
 
 
+def test_toxicity_counts_do_not_depend_on_chunks():
+    import pyarrow as pa
+
+    texts, labels = ["clown stupid", "clown nice", "nice words", "clown"], [1, 0, 0, 1]
+
+    def counts(parts):
+        batches = [pa.record_batch([pa.array(texts[a:b]), pa.array(labels[a:b], pa.int32())], ["text", "label"]) for a, b in parts]
+        out = collections.Counter()
+        for x in toxicity._document_counts(iter(batches)):
+            for g, df, tox in zip(*[c.to_pylist() for c in x.columns]):
+                out[g, "df"] += df
+                out[g, "tox"] += tox
+        return out
+
+    whole = counts([(0, 4)])
+    assert counts([(i, i + 1) for i in range(4)]) == whole == counts([(0, 1), (1, 3), (3, 4)])
+    assert max(v for (_, k), v in whole.items() if k == "df") == 3 and max(v for (_, k), v in whole.items() if k == "tox") == 2
+
+
 def test_cumulative_link_probabilities_fall():
     m = toxicity.OrdinalModel(toxicity.Vocabulary(np.zeros(0, np.uint64)), np.zeros(0), np.array([0.5, 1.5]))
     p = m.at_least(np.array([-3.0, 0.0, 3.0]))
