@@ -91,6 +91,7 @@ for _query in (pairs_unordered, pairs_gap, rank_eval_continuous, coverage_accura
     """SELECT a.p_brand, count(*) AS n, sum(CAST(a.p_retailprice < b.p_retailprice AS INT))::BIGINT AS lower FROM part a JOIN part b ON a.p_brand = b.p_brand WHERE a.p_size > 45 AND b.p_size <= 5 GROUP BY 1""",
 )
 def bipartite_pairs(spark, sf):
+    # As in the SQL, sizes over 45 are the positives and sizes up to 5 the negatives; those between have no label.
     d = table(spark, sf, "part").filter("p_size > 45 OR p_size <= 5")
     p = pairs.bipartite(d, "p_brand", "p_partkey", F.col("p_size") > 45, ["p_retailprice"])
     return p.groupBy("p_brand").agg(F.count("*").alias("n"), F.sum((F.col("p_retailprice_p") < F.col("p_retailprice_n")).cast("long")).alias("lower"))
