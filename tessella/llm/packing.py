@@ -92,24 +92,18 @@ def best_two_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tu
 def _cut(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            end = np.array([END_ID], "<u4").tobytes()
-            step = 500
-            for a in range(0, batch.num_rows, step):
-                row, piece, start, length, crc = [], [], [], [], []
-                for i, raw in enumerate(encoder(path).encode(batch.column(1).slice(a, step).to_pylist())):
-                    raw += end
-                    n, at, k = len(raw) // 4, 0, 0
-                    while at < n:
-                        size = (n - 1) % capacity + 1 if at == 0 else capacity
-                        row.append(a + i)
-                        piece.append(k)
-                        start.append(at)
-                        length.append(size)
-                        crc.append(zlib.crc32(raw[4 * at : 4 * (at + size)]))
-                        at, k = at + size, k + 1
+            for a, _, ids, at in encoder(path).column(batch.column(1), END_ID):
+                n = np.diff(at)
+                count = -(-n // capacity)
+                row = np.repeat(np.arange(len(n)), count)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                first = ((n - 1) % capacity + 1)[row]
+                start = np.where(piece == 0, 0, first + (piece - 1) * capacity)
+                length = np.where(piece == 0, first, capacity)
+                raw, begin = memoryview(ids.astype("<u4")).cast("B"), 4 * (at[row] + start)
+                crc = [zlib.crc32(raw[x:y]) for x, y in zip(begin.tolist(), (begin + 4 * length).tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, length, crc)]],
+                    [batch.column(0).take(pa.array(a + row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())],
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 

@@ -155,32 +155,68 @@ def test_mixture_empty(empty):
     assert mixing.mixture(empty.withColumn("domain", empty["source"]), 0.5, 1).count() == 0
 
 
+def fresh_library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokens.tokenizer_path())
+
+
+def library_ids(library, text):
+    return np.array(library.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_encoder_equals_library():
-    e = tokens.Encoder(tokens.tokenizer_path())
+    e, fresh = tokens.Encoder(tokens.tokenizer_path()), fresh_library()
+    assert e.by_pieces
     rng = random.Random(1)
     texts = ["", None, " ", "  ", "a  b", "a\n\nb", "\n", "x<|endoftext|>y", "it's we'll 12 34,5.", "don 't\n's é ü　 z", "a" * 4000 + " b"]
-    texts += ["".join(rng.choice("ab 1,.'\n\té") for _ in range(rng.randint(1, 25))) for _ in range(2000)]
-    want = [np.array(e.library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    odd = "ab 1,.'\n\té\u00a0\u3000\u2028\u0085\u1680\u2009\u00d7\u00f7\u0394\u6f22\x1c—’\u180e\u200b"
+    texts += ["".join(rng.choice(odd) for _ in range(rng.randint(1, 25))) for _ in range(4000)]
+    any_char = lambda: chr(rng.choice([rng.randrange(32, 127), rng.randrange(128, 0x600), rng.randrange(0x600, 0xD800), rng.randrange(0xE000, 0x20000), 32, 10]))
+    texts += ["".join(any_char() for _ in range(rng.randint(1, 25))) for _ in range(4000)]
+    want = [library_ids(fresh, t) for t in texts]
     assert e.encode(texts) == want and e.encode(texts) == want
+    assert e.encode([]) == [] and e.encode(["", None]) == [b"", b""]
 
 
-def test_encoder_equals_a_fresh_library():
+def test_encoder_forgets_and_stays_exact(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO", 50)
+    monkeypatch.setattr(tokens, "CHUNK", 400)
+    e, fresh, rng = tokens.Encoder(tokens.tokenizer_path()), fresh_library(), random.Random(2)
+    texts = [" ".join("".join(rng.choice("abcdé") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(1, 60))) for _ in range(200)]
+    assert e.encode(texts) == [library_ids(fresh, t) for t in texts]
+    assert len(e.memo) < 200
+
+
+def test_encoder_of_a_very_long_text():
+    e, rng = tokens.Encoder(tokens.tokenizer_path()), random.Random(3)
+    text = " ".join(rng.choice(["word", "other,", "Häuser.", "x  y", "12"]) for _ in range(900_000))
+    assert len(text) > 5_000_000 and e.encode(["a", text, "b"])[1] == library_ids(fresh_library(), text)
+
+
+def test_encoder_of_another_form_uses_the_library():
     from tokenizers import Tokenizer
 
-    path = tokens.tokenizer_path()
-    fresh, e = Tokenizer.from_file(path), tokens.Encoder(path)
+    path = tokens.tokenizer_path("word_bpe_49k.json")
+    e, fresh = tokens.Encoder(path), Tokenizer.from_file(path)
+    texts = ["One two, THREE", None, "a  b\n\nc"]
+    assert not e.by_pieces and e.encode(texts) == [library_ids(fresh, t) for t in texts]
+
+
+def test_encoder_equals_a_fresh_library():
+    fresh, e = fresh_library(), tokens.Encoder(tokens.tokenizer_path())
     rng = random.Random(6)
     mark = "<|endoftext|>"
     texts = ["", None, mark, "x<|endoftext|>y", "a b " + mark, mark + " a b", f"a {mark} b\nc {mark}{mark}", "<|endoftext|", "<| endoftext|>", "a b"]
     texts += [" ".join(rng.choice(["a", "b.", "1,", mark, "x" + mark, "\n", ""]) for _ in range(rng.randint(1, 8))) for _ in range(500)]
-    want = [np.array(fresh.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    want = [library_ids(fresh, t) for t in texts]
     assert e.encode(texts) == want and e.encode(texts) == want
     assert any(50256 in np.frombuffer(x, "<u4") for x in want)
 
 
 def ids_of(rows, end):
-    e = tokens.Encoder(tokens.tokenizer_path())
-    return [np.frombuffer(e._whole(t or ""), "<u4").tolist() + [end] for _, t, *_ in rows]
+    library = fresh_library()
+    return [np.frombuffer(library_ids(library, t), "<u4").tolist() + [end] for _, t, *_ in rows]
 
 
 def test_packing(docs, rows):
@@ -239,6 +275,18 @@ def test_wavelet_matrix(n, top):
     assert wm.count(1 << 20) == 0
 
 
+def test_wavelet_queries_read_few_blocks():
+    import io
+
+    ids = np.random.default_rng(1).integers(0, 60000, 1_500_000).astype("<u4")
+    shard = wavelet.Shard(io.BytesIO(b"".join(wavelet.dump(ids, [1], np.array([len(ids)])))))
+    blocks = len(shard._offsets) - 1
+    assert shard.matrix.access(1_234_567) == int(ids[1_234_567]) and 0 < shard.blocks_read <= 16 < blocks
+    at = np.flatnonzero(ids == ids[77])
+    assert shard.matrix.count(int(ids[77])) == len(at) and shard.matrix.select(int(ids[77]), len(at) - 1) == at[-1]
+    assert shard.blocks_read < blocks / 2 and (shard.matrix.to_array() == ids).all()
+
+
 def test_wavelet_shards(spark, docs, rows):
     got = wavelet.read_shards(wavelet.write_shards(docs, fresh_path(spark, "t"), shard_tokens=2000)).orderBy("start").collect()
     by = collections.defaultdict(list)
