@@ -1,30 +1,74 @@
-"""Connected components of a link table by DataFrame rounds."""
+"""Connected components of a link table by DataFrame rounds, and joins that no key overloads."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import materialize
+from tessella.llm.shared import discard, materialize
+
+
+def frequent(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The most frequent keys, as many as there are shuffle partitions; any other key has a smaller share than one task."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_count"))
+    return counts.orderBy(F.desc("_count"), *keys).limit(n).select(*keys)
+
+
+def attach(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """``rows`` with the columns of ``table``, whose keys are unique; keys are not null.
+
+    The table's rows of the most frequent keys are broadcast, one a shuffle partition
+    at most, so that rows of such a key stay where they are; all other keys meet in
+    a shuffle. ``rows`` is read more than once.
+    """
+    hot = frequent(rows, keys) if hot is None else hot
+    near = rows.join(F.broadcast(hot.join(table, keys, how)), keys)
+    rest = rows.join(F.broadcast(hot), keys, "left_anti").join(table, keys, how)
+    return near.unionByName(rest)
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, comp) of every node of a link; comp is the component's smallest node.
 
-    Each round a node takes the smallest label among its own and its neighbours'
-    labels, then its label's label, so that the rounds grow with the logarithm of
-    a component's width. Only one count a round comes to the driver.
+    Each round a node takes the smallest among its own label, its neighbours' and
+    its label's label, so that the rounds grow with the logarithm of a component's
+    width. Only one count a round comes to the driver. Neither a node of many links
+    nor a component of many nodes is one task's work.
     """
     edges = links.select(F.col(a).alias("u"), F.col(b).alias("v"))
     edges = materialize(edges.union(edges.select("v", "u")).filter("u <> v").distinct(), "links")
+    hubs = materialize(frequent(edges, ["v"]), "link-hubs")
     labels = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("comp"))
     labels = materialize(labels, "labels")
     while True:
-        near = edges.join(labels, edges["v"] == labels["node"]).groupBy("u").agg(F.min("comp").alias("m"))
-        step = labels.join(near, labels["node"] == near["u"]).select("node", F.least("comp", "m").alias("comp"), F.col("comp").alias("was"))
-        up = step.select(F.col("node").alias("p"), F.col("comp").alias("pc"))
-        step = step.join(up, step["comp"] == up["p"]).select("node", F.least("comp", "pc").alias("comp"), "was")
-        step = materialize(step, "labels")
+        near = attach(edges, labels.select(F.col("node").alias("v"), "comp"), ["v"], hot=hubs)
+        near = near.groupBy(F.col("u").alias("node")).agg(F.min("comp").alias("m"))
+        up = attach(labels, labels.select(F.col("node").alias("comp"), F.col("comp").alias("up")), ["comp"])
+        step = up.join(near, "node").select("node", F.least("comp", "up", "m").alias("comp"), F.col("comp").alias("was"))
+        step, spent = materialize(step, "labels"), labels
         labels = step.select("node", "comp")
+        labels.written_at = step.written_at
+        discard(spent)
         if step.filter("comp <> was").isEmpty():
+            for table in (edges, hubs):
+                discard(table)
             return labels
+
+
+def mark_repeats(rows: DataFrame, keys: list[str], counts: DataFrame | None = None) -> DataFrame:
+    """``rows`` with a boolean ``again``: false for one row of each key (not null), true for others of that key.
+
+    Only rows whose key repeats are dealt by it, first within their input partition,
+    so that no key, however frequent, brings more than one row a partition to a task.
+    """
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("times")) if counts is None else counts
+    many = materialize(counts.filter("times > 1").select(*keys), "repeats")
+    if many.isEmpty():
+        return rows.withColumn("again", F.lit(False))
+    own = rows.join(many, keys, "left_semi").withColumn("task", F.spark_partition_id())
+    within = Window.partitionBy(*keys, "task").orderBy(F.lit(0))
+    own = own.withColumn("nth", F.row_number().over(within))
+    first = own.filter("nth = 1").withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("task")))
+    own = first.union(own.filter("nth > 1")).withColumn("again", F.col("nth") > 1).drop("nth", "task")
+    return rows.join(many, keys, "left_anti").withColumn("again", F.lit(False)).unionByName(own)

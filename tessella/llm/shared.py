@@ -31,9 +31,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset (tests)."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset and one machine does all (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         key = spark.sparkContext.applicationId
         at = _OWN.setdefault(key, "") or _OWN.update({key: tempfile.mkdtemp(prefix="tessella-")}) or _OWN[key]
     return at.rstrip("/")
@@ -51,14 +53,43 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table that ``materialize`` wrote and nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.written_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unique_names(taken: list[str], wanted: list[str]) -> list[str]:
+    """``wanted``, each with as many underscores after it as keep it apart from ``taken``, whatever the case of letters."""
+    low, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in low:
+            name += "_"
+        low.add(name.lower())
+        out.append(name)
+    return out
+
+
+def in_struct(docs: DataFrame):
+    """All columns of ``docs`` as one, so that their names meet no others: a column ``row`` to select and ``row.*`` to return."""
+    from pyspark.sql import functions as F
+
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
 
 
 def filesystem(uri: str):
     """(pyarrow file system, path) of a URI or path in the shared folder; works on executors."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri) if "://" in uri else fs.FileSystem.from_uri(uri if not uri.startswith("file:") else uri.replace("file:", "file://", 1))
+    if "://" not in uri:
+        uri = uri.replace("file:", "file://", 1) if uri.startswith("file:") else uri
+    return fs.FileSystem.from_uri("s3" + uri[3:] if uri[:6] in ("s3a://", "s3n://") else uri)
 
 
 def write_once(uri: str, parts: list[bytes]) -> None:
