@@ -21,12 +21,16 @@ Steps
    class only, so a group of near copies costs as many comparisons as members.
 5. Components of these links; then every list is finished exactly: only pairs of
    different components are compared. Short lists make pairs by a join and count
-   shared tokens; long lists are dealt in blocks of bounded size whose overlaps
-   are counted by matrix products, and only links leave them.
+   shared prefix tokens. Long lists are dealt in blocks of bounded size; as most of
+   a list is one component, pairs inside its main component are not dealt. In a
+   block matrix products count the shared prefix tokens of all pairs, those that
+   share as many as the multi-match rule asks for are verified on their whole sets
+   in the same way, and only a spanning forest of the links leaves.
 6. Components of all links; each takes its smallest document id.
 
 No link is missed and no list, candidate or partner is capped. Sets are compared
-by 48-bit token hashes (sizes by 64-bit ones).
+by 48-bit token hashes (sizes by 64-bit ones). Where a token, a document, a class
+or a component may hold a large share of the rows, it is joined by ``attach``.
 
 Defined cases: a null text is empty; a text without words has no shingle and links
 with nothing, itself its component; fewer words than k are one shingle; rows that
@@ -41,12 +45,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import bytesops as B
-from tessella.llm.components import components
-from tessella.llm.shared import fresh_path, materialize, read_file, write_once
+from tessella.llm.components import attach, components, mark_repeats
+from tessella.llm.shared import fresh_path, in_struct, materialize, read_file, write_once
 
 CHUNK = 16 << 20  # bytes of text in one file of sets
 COST = 16  # estimated candidates from which prefixes grow
@@ -303,45 +307,75 @@ def _prefixes(out: str, percent: int):
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
+    """The pairs (a, b) whose sets reach the threshold; ``a`` may be of many pairs."""
     left = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
+    met = attach(pairs, left, ["a"]).join(right, "b")
+    return met.filter(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
 def _fits(na, nb, percent: int):
     return (100 * F.col(na) >= percent * F.col(nb)) & (100 * F.col(nb) >= percent * F.col(na))
 
 
+def _overlaps(doc: np.ndarray, tok: np.ndarray, n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many tokens each document of ``left`` shares with each of ``right``."""
+    v, tok, count = np.unique(tok, return_inverse=True, return_counts=True)
+    new = np.cumsum(count > 1) - 1
+    doc, tok = doc[count[tok] > 1], new[tok[count[tok] > 1]]
+    order = np.argsort(tok, kind="stable")
+    doc, tok = doc[order], tok[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for s in range(0, int((count > 1).sum()), SLAB):
+        a, b = np.searchsorted(tok, [s, s + SLAB])
+        x = np.zeros((n, SLAB), np.float32)
+        x[doc[a:b], tok[a:b] - s] = 1
+        out += x[left] @ x[right].T
+    return out
+
+
+def _forest(ok: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """The smallest document that each of ``n`` documents reaches by links between ``left`` and ``right``."""
+    label = np.arange(n)
+    while True:
+        was = label.copy()
+        for rows, columns, links in ((left, right, ok), (right, left, ok.T)):
+            best = np.where(links, label[columns][None, :], n).min(1, initial=n)
+            label[rows] = np.minimum(label[rows], best)
+        label = label[label]
+        if (label == was).all():
+            return label
+
+
 def _block_links(percent: int):
-    """Links between different components inside one block, by matrix products over its tokens."""
+    """Pairs (a, b) that join the documents of different components that link inside one block."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        key, n, comp = (table.column(c).to_numpy() for c in ("key", "n", "comp"))
-        side, i, j = table.column("side").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        key, n, level, take, comp, side = (table.column(c).to_numpy() for c in ("key", "n", "l", "take", "comp", "side"))
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         lists = table.column("tokens").combine_chunks()
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
         sizes = np.diff(lists.offsets.to_numpy())
-        v, tok = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-        doc = np.repeat(np.arange(len(key)), sizes)
-        common = np.bincount(tok, minlength=len(v)) > 1
-        new = np.cumsum(common) - 1
-        doc, tok = doc[common[tok]], new[tok[common[tok]]]
-        order = np.argsort(tok, kind="stable")
-        doc, tok = doc[order], tok[order]
+        tok, doc = lists.flatten().to_numpy(), np.repeat(np.arange(len(key)), sizes)
+        in_prefix = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < take[doc]
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1) if i != j else np.flatnonzero(side == 0)
-        both = np.zeros((len(left), len(right)), np.float32)
-        for s in range(0, int(common.sum()), SLAB):
-            a, b = np.searchsorted(tok, [s, s + SLAB])
-            x = np.zeros((len(key), SLAB), np.float32)
-            x[doc[a:b], tok[a:b] - s] = 1
-            both += x[left] @ x[right].T
-        both = both.astype(np.int64)
-        ok = (100 * both >= percent * (n[left][:, None] + n[right][None, :] - both)) & (comp[left][:, None] != comp[right][None, :])
-        p, q = np.nonzero(ok)
-        a, b = key[left[p]], key[right[q]]
+        shared = _overlaps(doc[in_prefix], tok[in_prefix], len(key), left, right)
+        nl, nr = n[left][:, None], n[right][None, :]
+        ok = shared >= np.minimum(level[left][:, None], level[right][None, :])
+        ok &= (comp[left][:, None] != comp[right][None, :]) & (100 * nl >= percent * nr) & (100 * nr >= percent * nl)
+        # Only rows and columns with a candidate are verified.
+        rows, columns = ok.any(1), ok.any(0)
+        left, right, ok = left[rows], right[columns], ok[rows][:, columns]
+        if ok.any():
+            own = np.zeros(len(key), bool)
+            own[left] = own[right] = True
+            both = _overlaps(doc[own[doc]], tok[own[doc]], len(key), left, right).astype(np.int64)
+            ok &= 100 * both >= percent * (n[left][:, None] + n[right][None, :] - both)
+        label = _forest(ok, left, right, len(key))
+        some = np.flatnonzero(label != np.arange(len(key)))
+        a, b = key[label[some]], key[some]
         return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
     return run
@@ -376,16 +410,19 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
     # Star round.
     first = post.groupBy("token").agg(F.min(F.struct("key", "n")).alias("first"), F.count("*").alias("size")).filter("size > 1")
     first = materialize(first.select("token", F.col("first.key").alias("a"), F.col("first.n").alias("na"), "size"), "shingle-lists")
-    star = post.join(first, "token").filter(F.col("key") > F.col("a")).filter(_fits("n", "na", percent))
-    star = star.groupBy("a", F.col("key").alias("b")).agg(F.lit(1).alias("one")).select("a", "b")
+    hot = materialize(first.orderBy(F.desc("size"), "token").limit(ranges).select("token"), "shingle-long-lists")
+    star = attach(post, first, ["token"], hot=hot).filter(F.col("key") > F.col("a")).filter(_fits("n", "na", percent))
+    star = materialize(star.select("a", F.col("key").alias("b")).distinct(), "shingle-star-pairs")
     links = materialize(_linked(star, sets, percent), "shingle-star-links")
     labels = components(links)
     # Exact finish: lists with more than one component.
     labelled = sets.select("key").join(labels, F.col("key") == F.col("node"), "left").select("key", F.coalesce("comp", "key").alias("comp"))
     long = F.col("size") > SHORT_LIST
-    post = post.join(first.select("token", "size"), "token").join(labelled, "key")
-    several = post.groupBy("token").agg((F.min("comp") != F.max("comp")).alias("mixed")).filter("mixed").select("token")
-    post = materialize(post.join(several, "token", "left_semi"), "shingle-mixed-lists")
+    post = post.join(labelled, "key")
+    several = post.groupBy("token").agg((F.min("comp") != F.max("comp")).alias("mixed"), F.count("*").alias("size"), F.min_by("comp", "key").alias("main"))
+    several = materialize(several.filter("mixed").select("token", "size", "main"), "shingle-several")
+    hot = several.orderBy(F.desc("size"), "token").limit(ranges).select("token")
+    post = materialize(attach(post, several, ["token"], hot=hot), "shingle-mixed-lists")
     in_long = materialize(post.groupBy("key").agg(F.sum(long.cast("int")).alias("g")), "shingle-long-counts")
     side = post.filter(~long).join(in_long, "key").select("token", "key", "n", "l", "comp", "g")
     right = side.select("token", *[F.col(c).alias("r_" + c) for c in ("key", "n", "l", "comp", "g")])
@@ -393,48 +430,79 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
     pairs = pairs.groupBy(F.col("key").alias("a"), F.col("r_key").alias("b")).agg(
         F.count("*").alias("shared"), F.min(F.least("l", "r_l") - F.least("g", "r_g")).alias("need")
     )
-    more = _linked(pairs.filter("shared >= need").select("a", "b"), sets, percent)
-    # Long lists: blocks (token, i, j) of two parts of at most about BLOCK documents each.
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = post.filter(long & F.col("plain")).select("token", "key", "comp", parts.alias("parts"), F.pmod(F.xxhash64("key"), parts).cast("int").alias("p"))
-    dealt = dealt.select(
-        "token", "key", "comp", "p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    ).select("token", "key", "comp", F.least("p", "other").alias("i"), F.greatest("p", "other").alias("j"), (F.col("p") > F.col("other")).cast("int").alias("side"))
-    dealt = dealt.join(sets.select("key", "n", "tokens"), "key")
+    # Long lists: blocks (token, i, j) of two parts of about BLOCK documents each: parts of the
+    # main component come first and meet only those of the others, which meet all.
+    dealt = post.filter(long & F.col("plain")).withColumn("own", F.col("comp") == F.col("main"))
+    counts = dealt.groupBy("token").agg(F.count_if("own").alias("of_main"), F.count_if(~F.col("own")).alias("of_others"))
+    counts = counts.select("token", *[F.ceil(F.col(c) / BLOCK).cast("int").alias(c) for c in ("of_main", "of_others")])
+    counts = materialize(counts, "shingle-parts")
+    dealt = attach(dealt, counts, ["token"], hot=hot).filter("of_others > 0")
+    part = lambda c: F.pmod(F.xxhash64("key"), F.col(c)).cast("int")
+    dealt = dealt.withColumn("p", F.when(F.col("own"), part("of_main")).otherwise(F.col("of_main") + part("of_others")))
+    meets = F.sequence(F.when(F.col("own"), F.col("of_main")).otherwise(0), F.col("of_main") + F.col("of_others") - 1)
+    dealt = dealt.select("token", "key", "comp", "p", meets.alias("meets")).join(sets.select("key", "n", "l", F.size("prefix").alias("take"), "tokens"), "key")
+    dealt = dealt.select("token", "key", "n", "l", "take", "comp", "tokens", "p", F.explode("meets").alias("other"))
+    low, high = F.least("p", "other").alias("i"), F.greatest("p", "other").alias("j")
+    dealt = dealt.select("token", "key", "n", "l", "take", "comp", "tokens", low, high, (F.col("p") > F.col("other")).cast("int").alias("side"))
     blocks = dealt.groupBy("token", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
+    more = _linked(materialize(pairs.filter("shared >= need").select("a", "b"), "shingle-pairs"), sets, percent)
     links = materialize(links.union(more).union(blocks), "shingle-links")
     labels = components(links)
-    # Back to the rows.
+    # Back to the rows; a class may be of many rows.
     joined = members.join(labels, F.col("class") == F.col("node"), "left")
-    joined = joined.select("s1", "s2", F.col("n").alias("_n"), "class", F.coalesce("comp", "class").alias("comp"))
-    same = (rows["s1"] == joined["s1"]) & (rows["s2"] == joined["s2"]) & (rows["n"] == joined["_n"])
-    return rows.join(joined, same, "left").select(rows["doc_id"], rows["rid"], rows["n"], "class", "comp")
+    joined = joined.select("s1", "s2", "n", "class", F.coalesce("comp", "class").alias("comp"))
+    some = attach(rows.filter("key is not null"), joined, ["s1", "s2", "n"])
+    bare = rows.filter("key is null").withColumns({"class": F.lit(None).cast("long"), "comp": F.lit(None).cast("long")})
+    return some.unionByName(bare).select("doc_id", "rid", "n", "class", "comp")
 
 
 def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, class, component_id), a row per input row; see the module's text."""
-    placed = classes(docs, k, percent, id_col, text_col)
-    smallest = placed.filter("comp is not null").groupBy(F.col("comp").alias("_c")).agg(F.min("doc_id").alias("least"))
-    own = F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    return placed.join(smallest, F.col("comp") == F.col("_c"), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), "class", own.alias("component_id")
-    )
+    placed = materialize(classes(docs, k, percent, id_col, text_col), "shingle-classes-of-rows")
+    some = placed.filter("comp is not null")
+    some = attach(some, some.groupBy("comp").agg(F.min("doc_id").alias("component_id")), ["comp"])
+    bare = placed.filter("comp is null").withColumn("component_id", F.col("doc_id"))
+    return some.unionByName(bare).select("doc_id", F.col("n").alias("n_shingles"), "class", "component_id")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each component, and all without a word.
+    """The rows of ``docs`` that stay, with its columns: one of each component, and all without a word.
 
-    Of a component, the row with the smallest doc_id (null last), then text hash.
+    Of a component, the row with the smallest doc_id (null last), then text hash; of
+    rows that repeat both, one.
     """
     placed = materialize(classes(docs, k, percent), "shingle-classes-of-rows")
-    first = placed.filter("comp is not null").groupBy("comp").agg(F.min(F.struct(F.isnull("doc_id").alias("_no"), "doc_id", "rid")).alias("f"))
-    stay = first.select(F.coalesce("f.doc_id", F.lit(0)).alias("_i"), F.col("f._no").alias("_no"), F.col("f.rid").alias("_rid"), F.lit(True).alias("_one"))
-    bare = placed.filter("comp is null").select(F.coalesce("doc_id", F.lit(0)).alias("_i"), F.isnull("doc_id").alias("_no"), F.col("rid").alias("_rid"))
-    stay = stay.union(bare.distinct().withColumn("_one", F.lit(False)))
-    rows = docs.withColumns({"_i": F.coalesce("doc_id", F.lit(0)), "_no": F.isnull("doc_id"), "_rid": F.xxhash64("text")})
-    again = Window.partitionBy("_i", "_no", "_rid").orderBy(F.lit(0))
-    met = rows.join(stay, ["_i", "_no", "_rid"]).withColumn("_again", F.row_number().over(again))
-    return met.filter(~F.col("_one") | (F.col("_again") == 1)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = placed.filter("comp is not null").groupBy("comp").agg(F.min(F.struct(F.isnull("doc_id").alias("no"), "doc_id", "rid")).alias("f"))
+    stay = first.select(F.coalesce("f.doc_id", F.lit(0)).alias("i"), F.col("f.no").alias("no"), "f.rid", F.lit(True).alias("one"))
+    bare = placed.filter("comp is null").select(F.coalesce("doc_id", F.lit(0)).alias("i"), F.isnull("doc_id").alias("no"), "rid")
+    stay = stay.union(bare.distinct().withColumn("one", F.lit(False)))
+    rows = docs.select(in_struct(docs))
+    rows = rows.select("row", F.coalesce("row.doc_id", F.lit(0)).alias("i"), F.isnull("row.doc_id").alias("no"), F.xxhash64("row.text").alias("rid"))
+    keys = ["i", "no", "rid"]
+    met = rows.join(stay, keys)
+    counts = placed.groupBy(F.coalesce("doc_id", F.lit(0)).alias("i"), F.isnull("doc_id").alias("no"), "rid").agg(F.count("*").alias("times"))
+    counts = counts.join(stay.filter("one"), keys, "left_semi")
+    return mark_repeats(met, keys, counts).filter("not one or not again").select("row.*")
+
+
+OP7_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS ws FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM words WHERE len(ws) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_ FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * both_ >= 85 * (a.n + b.n - both_)
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+)
+SELECT r.x AS doc_id, coalesce(max(n), 0)::BIGINT AS n_shingles, min(r.y) AS component_id
+FROM reach r LEFT JOIN sizes ON sizes.doc_id = r.x GROUP BY r.x
+"""
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
