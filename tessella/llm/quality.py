@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.llm import bytesops as B
-from tessella.llm.shared import materialize
+from tessella.llm.shared import materialize, unique_names
 
 MAX_TRAIN = 4000
 BITS = 18
@@ -168,16 +168,15 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, seed:
 
 
 def score(docs: DataFrame, model: EmbeddingModel, text_col: str = "text") -> DataFrame:
-    """The input's columns with quality_score double."""
+    """The input's columns, then quality_score double (with an underscore after it where the input has that name)."""
     at = docs.columns.index(text_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField(*unique_names(docs.columns, ["quality_score"]), T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(model.score(batch.column(at)))], [*batch.schema.names, "quality_score"]
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(batch.column(at)))], schema.names)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())]))
+    return docs.mapInArrow(run, schema)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,4 +34,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": mixing.OP2_SQL, "op8_line_dedup": line_dedup.OP8_SQL}
+    return {
+        "op2_source_mixing": mixing.OP2_SQL,
+        "op6_warc": warc.OP6_SQL,
+        "op7_jaccard_join": jaccard_join.OP7_SQL,
+        "op8_line_dedup": line_dedup.OP8_SQL,
+        "op10_bm25_top_k": search.OP10_SQL,
+    }

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.llm import bytesops as B
-from tessella.llm.shared import materialize
+from tessella.llm.shared import materialize, unique_names
 
 #: Bounds of the training sample and of the vocabulary, and what counts as evidence.
 MAX_TRAIN = 16000
@@ -208,10 +208,14 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Ord
 
 
 def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The input's columns with tox_severity double, tox_grade int, tox_p double and tox_flag boolean."""
+    """The input's columns, then tox_severity double, tox_grade int, tox_p double and tox_flag boolean.
+
+    Where the input has a column of one of these names, the new one's name ends with an underscore.
+    """
     at = docs.columns.index(text_col)
-    kinds = {"tox_severity": T.DoubleType(), "tox_grade": T.IntegerType(), "tox_p": T.DoubleType(), "tox_flag": T.BooleanType()}
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(k, v) for k, v in kinds.items()]])
+    names = unique_names(docs.columns, ["tox_severity", "tox_grade", "tox_p", "tox_flag"])
+    kinds = [T.DoubleType(), T.IntegerType(), T.DoubleType(), T.BooleanType()]
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(k, v) for k, v in zip(names, kinds)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,7 +228,7 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", threshol
                 pa.array(p[:, 0]),
                 pa.array(p[:, 0] >= threshold),
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "tox_severity", "tox_grade", "tox_p", "tox_flag"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], schema.names)
 
     return docs.mapInArrow(run, schema)
 

@@ -14,7 +14,8 @@ copies meets in one task with its payloads.
 
 Defined cases: a null html is an empty payload; rows that repeat (same id and
 payload) are all responses if theirs is the smallest id; a null id is smallest
-only where all ids of the payload are null; a null url leaves the header out;
+only where all ids of the payload are null; records of one page id in a bundle get
+identifiers of their own (``:copy:n``); a null url leaves the header out;
 payloads under ``min_bytes`` are always responses; an empty table writes nothing
 and gives an empty table; other columns are not read.
 """
@@ -25,6 +26,7 @@ import base64
 import hashlib
 import json
 import struct
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,20 +47,21 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id) -> str:
-    return f"<urn:x-page:{'null' if page_id is None else page_id}>"
+def record_id(page_id, copy: int = 0) -> str:
+    """A record's identifier; ``copy`` tells records of one page id in a bundle apart."""
+    return f"<urn:x-page:{'null' if page_id is None else page_id}{f':copy:{copy}' if copy else ''}>"
 
 
 def _page_id(urn: str):
-    value = urn[len("<urn:x-page:") : -1]
+    value = urn[len("<urn:x-page:") : -1].partition(":")[0]
     return None if value == "null" else int(value)
 
 
-def record(page_id, url: str | None, payload: bytes, refers_to=None, revisit: bool = False) -> bytes:
+def record(page_id, url: str | None, payload: bytes, refers_to=None, revisit: bool = False, copy: int = 0) -> bytes:
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {record_id(page_id)}",
+        f"WARC-Record-ID: {record_id(page_id, copy)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         "Content-Type: application/http;msgtype=response",
         f"WARC-Payload-Digest: sha1:{digest(payload)}",
@@ -186,10 +189,11 @@ def write_bundles(pages: DataFrame, out: str, min_bytes: int = 0) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, part, w = TaskContext.get().partitionId(), 0, BundleWriter()
+        task, part, w, copies = TaskContext.get().partitionId(), 0, BundleWriter(), Counter()
 
         def flush():
             nonlocal part, w
+            copies.clear()
             name = f"{out}/bundle-{task:06d}-{part:04d}.warc.zst"
             write_once(name, w.finish())
             row = pa.record_batch([pa.array([name]), pa.array([len(w.map)], pa.int64())], ["path", "records"])
@@ -199,7 +203,8 @@ def write_bundles(pages: DataFrame, out: str, min_bytes: int = 0) -> DataFrame:
         for batch in batches:
             for s in range(0, batch.num_rows, 200):
                 for i, url, html, again, first in zip(*[c.to_pylist() for c in batch.slice(s, 200).columns]):
-                    w.add(record_id(i), record(i, url, (html or "").encode(), first, again))
+                    w.add(record_id(i, copies[i]), record(i, url, (html or "").encode(), first, again, copies[i]))
+                    copies[i] += 1
                     if w.stored >= BUNDLE:
                         yield flush()
         if w.map:
@@ -246,3 +251,15 @@ def read_bundles(manifest: DataFrame) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return read_bundles(write_bundles(pages, fresh_path(spark, "warc")))
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, octet_length(encode(body)) AS size, sha1(body) AS hex, min(page_id) OVER (PARTITION BY body) AS first FROM p)
+SELECT page_id, size::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((('0x' || substr(hex, (1 + i // 8 * 10)::INTEGER, 10))::BIGINT >> (35 - 5 * (i % 8))::INTEGER) & 31)::INTEGER + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
