@@ -25,23 +25,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import jaccard_join, line_dedup, mixing, packing, toxicity
-from tessella.llm.shared import materialize, ship
+from tessella.llm.shared import in_struct, materialize, ship
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).filter(~F.col("tox_flag")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    scored = toxicity.score(docs, model)  # the flag is the last column, whatever its name
+    return scored.filter(~F.col(f"`{scored.columns[-1]}`")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     drops = line_dedup.dropped_lines(docs, min_docs=10, min_chars=1, keep="first")
-    out = line_dedup.apply_drops(docs, drops)
-    emptied = (F.col("_n_dropped") > 0) & (F.btrim("_kept", F.lit(line_dedup.SPACE)) == "")
-    out = out.filter(~emptied)
-    changed = {"text": F.col("_kept"), "n_chars": F.char_length("_kept").cast("bigint")}
-    new = {c: F.when(F.col("_n_dropped") > 0, v).otherwise(F.col(c)) for c, v in changed.items() if c in docs.columns}
-    return out.withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = line_dedup.apply_drops(docs, drops, keep="first")
+    lost = F.col("n_dropped") > 0
+    out = out.filter(~(lost & (F.btrim("kept", F.lit(line_dedup.SPACE)) == "")))
+    new = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("bigint")}
+    own = lambda c: F.col(f"row.`{c}`")
+    return out.select(*[F.when(lost, new[c]).otherwise(own(c)).alias(c) if c in new else own(c) for c in docs.columns])
 
 
 def jaccard_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,11 +51,11 @@ def jaccard_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def source_mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = docs.withColumn("domain", mixing.domain_of(F.col("source")))
-    got = mixing.mixture(rows, fraction=0.75, max_epochs=1, seed=17).select("_id", F.col("_rid").alias("_got_rid")).distinct()
-    rows = docs.withColumn("_rid", F.xxhash64("text"))
-    met = rows.join(got, rows["doc_id"].eqNullSafe(got["_id"]) & (rows["_rid"] == got["_got_rid"]), "left_semi")
-    return met.select(*[F.col(f"`{c}`") for c in docs.columns])
+    leaves = docs.select("doc_id", "text", "lang", "source", mixing.domain_of(F.col("source")).alias("domain"))
+    got = mixing.mixture(leaves, fraction=0.75, max_epochs=1, seed=17).select("_id", F.col("_rid").alias("_got")).distinct()
+    rows = docs.select(in_struct(docs)).withColumns({"_doc": F.col("row.doc_id"), "_rid": F.xxhash64("row.text")})
+    met = rows.join(got, rows["_doc"].eqNullSafe(got["_id"]) & (rows["_rid"] == got["_got"]), "left_semi")
+    return met.select("row.*")
 
 
 def best_fit_packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
