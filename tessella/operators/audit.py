@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.running import running_totals
+
 
 def cohort_cube(df: DataFrame, cohorts: dict[str, Column], sets: dict[str, Column], group: str) -> DataFrame:
     """(cohort, law_set, n, micro, group_equal): every cohort and set from one scan; a row may be in several cohorts."""
@@ -24,32 +26,47 @@ def abstaining(df: DataFrame, score: str, correct: Column, group: str, threshold
     return per.groupBy("threshold").agg(F.avg("c").alias("coverage"), F.avg("a").alias("accuracy"))
 
 
-def single_feature_ceiling(df: DataFrame, features: list[str], label: str, fold: Column, folds: int, bins: int = 32) -> DataFrame:
-    """(feature, accuracy): what the best histogram of one feature predicts on held-out folds, all features in one job.
+def single_feature_ceiling(df: DataFrame, features: list[str], label: str, fold: Column, folds: int, leaf: int = 5) -> DataFrame:
+    """(feature, accuracy, majority): what one feature alone predicts on held-out folds, however fine its structure.
 
-    Bins are quantiles of the feature; a bin predicts the majority of the other folds.
+    The training rows of each fold's others are cut, in the feature's order, into
+    leaves of at least ``leaf`` rows with equal values together; a leaf predicts its
+    majority (a tie: label 1). ``fold`` must keep rows of one group together. Missing
+    values sort lowest. Values are counted once with a column a fold, so no task holds
+    a feature's rows; accuracies are means over folds.
     """
-    edges = df.agg(*[F.percentile_approx(f, [i / bins for i in range(1, bins)], 1000).alias(f) for f in features]).first()
-
-    def bin_of(f: str) -> Column:
-        e = sorted(set(edges[f] or []))
-        return F.coalesce(F.size(F.filter(F.array(*[F.lit(float(x)) for x in e]), lambda x: x < F.col(f))) if e else F.lit(0), F.lit(-1))
-
-    long = df.select(
-        F.col(label).cast("long").alias("y"),
-        fold.cast("int").alias("fold"),
-        F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.when(F.col(f).isNull(), -1).otherwise(bin_of(f)).alias("b")) for f in features])).alias("x"),
-    )
-    cell = long.groupBy("x.feature", "x.b", "fold").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
-    whole = cell.groupBy("feature", "b").agg(F.sum("p").alias("tp"), F.sum("n").alias("tn"))
-    base = cell.groupBy("feature", "fold").agg(F.sum("p").alias("fp"), F.sum("n").alias("fn"))
-    total = cell.groupBy("feature").agg(F.sum("p").alias("ap"), F.sum("n").alias("an"))
-    j = cell.join(whole, ["feature", "b"]).join(base, ["feature", "fold"]).join(total, "feature")
-    others_p, others_n = F.col("tp") - F.col("p"), F.col("tn") - F.col("n")
-    prior = (F.col("ap") - F.col("fp")) * 2 >= F.col("an") - F.col("fn")
-    guess = F.when(others_n > 0, others_p * 2 >= others_n).otherwise(prior)
-    right = F.when(guess, F.col("p")).otherwise(F.col("n") - F.col("p"))
-    return j.groupBy("feature").agg((F.sum(right) / F.sum("n")).alias("accuracy"))
+    low = F.lit(-1e18)
+    stacked = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.coalesce(F.col(f).cast("double"), low).alias("v")) for f in features]))
+    long = df.select(F.col(label).cast("long").alias("y"), fold.cast("int").alias("fold"), stacked.alias("x")).select("y", "fold", "x.feature", "x.v")
+    sums = {}
+    for k in range(folds):
+        held = F.col("fold") == k
+        sums |= {f"n{k}": held.cast("long"), f"p{k}": F.when(held, F.col("y")).otherwise(0)}
+    run = running_totals(long, "v", {**sums, "p": F.col("y")}, ["feature"])
+    views = F.explode(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(k).alias("fold"),
+                    # training rows before the value and at it, test rows at it
+                    (F.col("cum_n") - F.col("n") - F.col(f"cum_n{k}") + F.col(f"n{k}")).alias("before"),
+                    (F.col("n") - F.col(f"n{k}")).alias("n"),
+                    (F.col("p") - F.col(f"p{k}")).alias("p"),
+                    F.col(f"n{k}").alias("tn"),
+                    F.col(f"p{k}").alias("tp"),
+                )
+                for k in range(folds)
+            ]
+        )
+    ).alias("x")
+    at = run.select("feature", views).select("feature", "x.*").withColumn("leaf", F.floor(F.col("before") / leaf))
+    leaves = at.groupBy("feature", "fold", "leaf").agg(*[F.sum(c).alias(c) for c in ("n", "p", "tn", "tp")])
+    one = F.col("p") * 2 >= F.col("n")
+    right = F.when(F.col("n") > 0, F.when(one, F.col("tp")).otherwise(F.col("tn") - F.col("tp"))).otherwise(0)
+    per = leaves.groupBy("feature", "fold").agg(F.sum(right).alias("right"), *[F.sum(c).alias(c) for c in ("n", "p", "tn", "tp")])
+    base = F.when(F.col("p") * 2 >= F.col("n"), F.col("tp")).otherwise(F.col("tn") - F.col("tp"))
+    share = lambda c: F.avg(c / F.nullif(F.col("tn"), F.lit(0)))
+    return per.groupBy("feature").agg(share(F.col("right")).alias("accuracy"), share(base).alias("majority"))
 
 
 def provenance(declared: dict[str, dict]) -> dict[str, set]:

@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.quantiles import quantile_lists
+
 from tessella.operators.pairs import mirrored, unordered
 from tessella.operators.splits import crc_fold
 
@@ -29,8 +31,7 @@ class Scaler:
 
 
 def fit_scaler(df: DataFrame, features: list[str]) -> Scaler:
-    med = df.agg(*[F.percentile(f, 0.5).alias(f) for f in features]).first().asDict()
-    med = {f: 0.0 if v is None else v for f, v in med.items()}
+    med = {f: 0.0 if v is None else v[0] for f, v in quantile_lists(df, features, [0.5]).items()}
     filled = [F.coalesce(F.col(f), F.lit(med[f])) for f in features]
     row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(filled)], *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(filled)]).first()
     return Scaler(med, {f: row[f"m{i}"] for i, f in enumerate(features)}, {f: row[f"s{i}"] or 1.0 for i, f in enumerate(features)})

@@ -30,45 +30,67 @@ def radius_join(points: DataFrame, group: str, identity: str, xyz: tuple[str, st
 
 
 KINDS = ("S1", "S2", "S3", "S4", "S5")
+#: Ranges of the damage, and the least difference of swapped cations' charges.
+COMPRESSION, EXPANSION, DEVIATION, CHARGE_STEP = (0.15, 0.30), (0.20, 0.40), (0.3, 0.8), 1.0
+
+
+def _swap(rng: np.random.Generator, species: np.ndarray, charges: np.ndarray, first: np.ndarray, second: np.ndarray, allowed: np.ndarray):
+    """Species and charges with one allowed pair of sites exchanged; None if there is none."""
+    i, j = np.nonzero(allowed)
+    if not len(i):
+        return None
+    k = int(rng.integers(len(i)))
+    order = np.arange(len(species))
+    order[[first[i[k]], second[j[k]]]] = second[j[k]], first[i[k]]
+    return species[order], charges[order]
+
+
+def _damaged(kind: str, rng: np.random.Generator, species: np.ndarray, charges: np.ndarray, lattice: np.ndarray, at: np.ndarray):
+    """(species, charges, lattice, fractional positions) of one version, None where it can't be made."""
+    cations, anions = np.flatnonzero(charges > 0), np.flatnonzero(charges < 0)
+    if kind == "S1":
+        scale = np.ones((3, 1))
+        scale[rng.integers(3)] -= rng.uniform(*COMPRESSION)
+        return species, charges, lattice * scale, at
+    if kind == "S4":
+        return species, charges, lattice * (1 + rng.uniform(*EXPANSION)), at
+    if kind == "S3":
+        moved = rng.normal(0, rng.uniform(*DEVIATION), at.shape)
+        return (species, charges, lattice, at + moved @ np.linalg.inv(lattice)) if abs(np.linalg.det(lattice)) > 1e-9 else None
+    if kind == "S2":
+        q = charges[cations]
+        unlike = (species[cations][:, None] != species[cations][None, :]) & (np.abs(q[:, None] - q[None, :]) >= CHARGE_STEP)
+        got = _swap(rng, species, charges, cations, cations, np.triu(unlike))
+    else:
+        got = _swap(rng, species, charges, cations, anions, np.ones((len(cations), len(anions)), bool))
+    return None if got is None else (*got, lattice, at)
 
 
 def damage(structures: DataFrame) -> DataFrame:
-    """Up to five damaged versions of each structure (id, species array, charges array, lattice array of 9, positions array).
-
-    S1 compression, S2 swap of two unlike cations, S3 displacement, S4 expansion,
-    S5 swap of a cation and an anion. Randomness is seeded by crc32 of id and kind, so
-    a row's versions are the same wherever they are made. A version that needs sites
-    that are not there is left out.
+    """Up to five damaged versions of each structure (id, species array, charges array, lattice array of 9 in Angstrom,
+    positions array of fractional coordinates), with the charges of the sites.
+
+    S1 compression of one lattice vector, S2 exchange of two cations of unlike element
+    and charge, S3 displacement of every site, S4 expansion of the whole lattice, S5
+    exchange of a cation and an anion. Charges travel with their elements: without that
+    an exchange would leave the electrostatics as they are. Randomness is seeded by
+    crc32 of id and kind, so a row's versions are the same wherever they are made. A
+    version that needs sites that are not there is left out.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
+                given = np.array(list(r.species), object), np.asarray(r.charges, float)
+                shape = np.asarray(r.lattice, float).reshape(3, 3), np.asarray(r.positions, float).reshape(-1, 3)
                 for kind in KINDS:
-                    rng = np.random.default_rng(zlib.crc32(f"{r.id}|{kind}".encode()))
-                    species, charges = list(r.species), np.asarray(r.charges, float)
-                    lattice, pos = np.asarray(r.lattice, float), np.asarray(r.positions, float).reshape(-1, 3)
-                    if kind in ("S1", "S4"):
-                        lattice = lattice * (rng.uniform(0.80, 0.90) if kind == "S1" else rng.uniform(1.10, 1.25))
-                    elif kind == "S3":
-                        pos = pos + rng.normal(0, 0.05, pos.shape)
-                    else:
-                        first = np.flatnonzero(charges > 0)
-                        pairs = [
-                            (i, j)
-                            for i in first
-                            for j in (first if kind == "S2" else np.flatnonzero(charges < 0))
-                            if species[i] != species[j] and (kind == "S5" or i < j)
-                        ]
-                        if not pairs:
-                            continue
-                        i, j = pairs[int(rng.integers(len(pairs)))]
-                        species[i], species[j] = species[j], species[i]
-                    out.append((f"{r.id}:{kind}", r.id, kind, species, lattice.tolist(), pos.ravel().tolist()))
-            yield pd.DataFrame(out, columns=["sid", "parent", "kind", "species", "lattice", "positions"])
-
-    schema = "sid string, parent string, kind string, species array<string>, lattice array<double>, positions array<double>"
+                    got = _damaged(kind, np.random.default_rng(zlib.crc32(f"{r.id}|{kind}".encode())), *given, *shape)
+                    if got is not None:
+                        out.append((f"{r.id}:{kind}", r.id, kind, list(got[0]), *[x.ravel().tolist() for x in got[1:]]))
+            yield pd.DataFrame(out, columns=["sid", "parent", "kind", "species", "charges", "lattice", "positions"])
+
+    schema = "sid string, parent string, kind string, species array<string>, charges array<double>, lattice array<double>, positions array<double>"
     return structures.select("id", "species", "charges", "lattice", "positions").mapInPandas(run, schema)
 
 

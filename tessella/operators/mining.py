@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.quantiles import quantile_lists
+
 BATCH = 300
 #: Tail shares at which thresholds are taken.
 ALPHAS = (0.0, 0.005, 0.01, 0.015, 0.02, 0.03, 0.04, 0.05, 0.06, 0.08, 0.10)
@@ -67,7 +69,7 @@ def evaluate(df: DataFrame, expressions: list[Column]) -> list:
 
 
 def quantiles(df: DataFrame, features: list[str], qs: list[float]) -> dict[str, list | None]:
-    return dict(zip(features, evaluate(df, [F.percentile(f, list(qs)) for f in features])))
+    return quantile_lists(df, features, list(qs)) if features else {}
 
 
 def eligible_features(real: DataFrame, bad: DataFrame, features: list[str], least: float, exclude: set[str] = frozenset()) -> list[str]:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.numeric import clopper_pearson_upper, wilson
@@ -64,29 +67,77 @@ def clopper_pearson_threshold(df: DataFrame, score: str, good: str, most: float,
 
 
 def safe_threshold(df: DataFrame, score: str, bad: str, cells: list[str], precision: float) -> DataFrame:
-    """The cut that every cell passes, best by the worst cell's recall, precision bound and savings."""
-    grid = df.select(score).filter(F.col(score).isNotNull()).distinct()
-    per = cut_table(df, score, bad, cells)
-    names = df.select(*cells).distinct()
-    # A cell's counts at any cut are those of its own next value at or over it.
-    nxt = Window.partitionBy(*cells).orderBy(F.col("threshold").desc(), F.col("_own")).rowsBetween(Window.unboundedPreceding, 0)
-    asked = names.join(grid.select(F.col(score).alias("threshold"))).withColumn("_own", F.lit(1))
-    cols = ["rejected", "hits"]
-    both = per.select(*cells, "threshold", *cols).withColumn("_own", F.lit(0)).unionByName(asked, allowMissingColumns=True)
-    both = both.withColumns({c: F.last(c, ignorenulls=True).over(nxt) for c in cols}).filter("_own = 1")
-    totals = df.filter(F.col(score).isNotNull()).groupBy(*cells).agg(F.count("*").alias("total"), F.sum(F.col(bad).cast("long")).alias("total_bad"))
-    both = both.join(totals, cells).fillna(0, cols)
-    low = wilson("hits", "rejected")[0]
-    agg = both.groupBy("threshold").agg(
-        F.min(F.coalesce(low, F.lit(0.0))).alias("precision_lower"),
-        F.min(F.col("hits") / F.nullif(F.col("total_bad"), F.lit(0))).alias("recall"),
-        F.min(F.col("rejected") / F.col("total")).alias("savings"),
-        F.sum("hits").alias("hits"),
+    """The cut that every cell passes, best by the worst cell's recall, precision bound and savings.
+
+    The cells, which are few by their nature (at most 1000), are columns of one
+    table of running totals, so that no cut is paired with a cell.
+    """
+    t = cell_totals(df, score, {"hits": F.col(bad).cast("long")}, cells)
+    low = [F.coalesce(wilson(h, r)[0], F.lit(0.0)) for r, h, *_ in t.cells]
+    out = t.values.select(
+        F.col(score).alias("threshold"),
+        _least(low).alias("precision_lower"),
+        _least([h / F.nullif(th, F.lit(0)) for _, h, _, th in t.cells]).alias("recall"),
+        _least([r / n for r, _, n, _ in t.cells]).alias("savings"),
+        sum((h for _, h, *_ in t.cells), F.lit(0)).cast("long").alias("hits"),
     )
-    ok = agg.filter(F.col("precision_lower") >= precision)
+    ok = out.filter(F.col("precision_lower") >= precision)
     return ok.orderBy(F.round("recall", 9).desc(), F.round("precision_lower", 9).desc(), F.round("savings", 9).desc(), F.desc("hits"), F.desc("threshold")).limit(1)
 
 
+def broad_threshold(df: DataFrame, score: str, bad: str, cells: list[str], baseline: str, safe: float) -> DataFrame:
+    """The lowest-precision-risk wider cut: under ``safe`` and, in every cell, better than rejecting by ``baseline``.
+
+    Better: more hits, higher precision, more rows rejected, and at least as many good
+    rows rejected spared in share. Of those, most savings, then the higher cut; no row if there is none.
+    """
+    b = F.coalesce(F.col(baseline), F.lit(False))
+    t = cell_totals(df, score, {"hits": F.col(bad).cast("long")}, cells, {"b_n": b.cast("long"), "b_hits": (b & F.col(bad)).cast("long")})
+    better = F.lit(True)
+    for (r, h, *_), extra in zip(t.cells, t.extra):
+        bn, bh = extra["b_n"], extra["b_hits"]
+        better = better & (h > bh) & (r > bn) & (h / F.nullif(r, F.lit(0)) > F.coalesce(bh / F.nullif(bn, F.lit(0)), F.lit(-1.0)))
+    rejected = sum((r for r, *_ in t.cells), F.lit(0)).cast("long")
+    hits = sum((h for _, h, *_ in t.cells), F.lit(0)).cast("long")
+    out = t.values.filter(F.col(score) < safe).filter(better).select(F.col(score).alias("threshold"), rejected.alias("rejected"), hits.alias("hits"))
+    return out.orderBy(F.desc("rejected"), F.desc("threshold")).limit(1)
+
+
+def _least(columns: list) -> Column:
+    return F.least(*columns) if len(columns) > 1 else columns[0]
+
+
+class CellTotals(NamedTuple):
+    """``values``: a row per value; ``cells``: (rejected, hits, rows, all hits) of each cell as columns of it; ``extra``: whole sums."""
+
+    values: DataFrame
+    cells: list
+    extra: list
+
+
+def cell_totals(df: DataFrame, score: str, totals: dict[str, Column], cells: list[str], extra: dict[str, Column] = {}) -> CellTotals:  # noqa: B006
+    """Running totals from the highest score down, in every cell at every value of the table."""
+    df = df.filter(F.col(score).isNotNull())
+    names = df.select(*cells).distinct().orderBy(*cells).limit(1001).collect()
+    if len(names) > 1000:
+        raise ValueError("more than 1000 cells")
+    inside = [reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(r[c])) for c in cells]) for r in names]
+    (hits,) = totals.values()
+    sums = {}
+    for i, x in enumerate(inside):
+        sums |= {f"n{i}": x.cast("long"), f"h{i}": F.when(x, hits).otherwise(0)}
+    run = running_totals(df, score, sums, descending=True)
+    whole = [e for i, x in enumerate(inside) for e in (F.sum(x.cast("long")).alias(f"_n{i}"), F.sum(F.when(x, hits).otherwise(0)).alias(f"_h{i}"))]
+    whole += [F.sum(F.when(x, v).otherwise(0)).alias(f"_{k}{i}") for i, x in enumerate(inside) for k, v in extra.items()]
+    values = run.join(F.broadcast(df.agg(*whole))) if names else run
+    c = F.col
+    return CellTotals(
+        values,
+        [(c(f"cum_n{i}"), c(f"cum_h{i}"), c(f"_n{i}"), c(f"_h{i}")) for i in range(len(names))],
+        [{k: c(f"_{k}{i}") for k in extra} for i in range(len(names))],
+    )
+
+
 def leak_level_a(df: DataFrame, feature: str, label: str, chance: float = -6.0) -> DataFrame:
     """One row: share of rows at values with one label, the longest pure region at either end, its log10 chance.
 
@@ -153,7 +204,30 @@ def queue_sweep(df: DataFrame, score: str, good: str, cuts: list[float]) -> Data
 
 
 def top_fraction(df: DataFrame, score: str, identity: str, fraction: float) -> DataFrame:
-    """The ceil(f n) rows of the highest score, ties by identity."""
-    n = df.filter(F.col(score).isNotNull()).count()
+    """The ceil(f n) rows of the highest score, ties by identity; only the rows at the cut are ordered."""
+    some = df.filter(F.col(score).isNotNull())
+    n = some.count()
     k = -(-int(round(n * fraction * 1e9)) // 10**9)
-    return df.filter(F.col(score).isNotNull()).orderBy(F.desc(score), identity).limit(k)
+    run = running_totals(some, score, {}, descending=True)
+    # The value at which the k-th row lies, and how many rows are over it: one row.
+    cut = run.filter((F.col("cum_n") >= k) & (F.col("cum_n") - F.col("n") < k)).select(score, (F.col("cum_n") - F.col("n")).alias("over")).first()
+    if cut is None:
+        return some if k > 0 else some.limit(0)
+    ties = some.filter(F.col(score) == F.lit(cut[0])).orderBy(identity).limit(k - cut[1])
+    return some.filter(F.col(score) > F.lit(cut[0])).union(ties)
+
+
+def top_rows(df: DataFrame, order: list[tuple[str, bool]], n: int) -> DataFrame:
+    """The first n rows by (column, descending) in turn, nulls last: a report of bounded length."""
+    return df.orderBy(*[F.desc_nulls_last(c) if down else F.asc_nulls_last(c) for c, down in order]).limit(n)
+
+
+def seeded_sample(df: DataFrame, identity: str, n: int, seed: int) -> DataFrame:
+    """n rows by the order of md5(seed:identity): the same rows wherever they lie."""
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(identity).cast("string")).cast("binary"))
+    return df.orderBy(h, identity).limit(n)
+
+
+def first_qualifying(df: DataFrame, ok: Column, order: list[str], n: int) -> DataFrame:
+    """The first n rows that qualify, by an order that ends in a unique column."""
+    return df.filter(F.coalesce(ok, F.lit(False))).orderBy(*order).limit(n)

@@ -2,20 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators.running import running_totals
-
-
-def linear(c: str, q: float | list[float]) -> Column:
-    """Linear interpolation between order statistics."""
-    return F.percentile(c, q)
-
-
-def discrete(c: str, q: float) -> Column:
-    """The smallest value whose share of rows reaches q."""
-    return F.expr(f"percentile_disc({q!r}) WITHIN GROUP (ORDER BY `{c}`)")
+from tessella.sources.scratch import written
+
+
+def order_statistics(df: DataFrame, features: list[str], qs: list[float], how: str = "linear", by: list[str] = ()) -> DataFrame:
+    """(by, feature, q, value) for every feature and q, from running totals, so that no task holds a feature's values.
+
+    ``linear`` interpolates at q (n - 1); ``discrete`` is the smallest value whose
+    share of rows reaches q. A feature without values has none.
+    """
+    by = list(by)
+    stacked = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features]))
+    long = df.select(*by, stacked.alias("x")).select(*by, "x.feature", "x.v").filter("v is not null")
+    run = written(running_totals(long, "v", {}, [*by, "feature"]), "order-statistics")
+    total = run.groupBy(*by, "feature").agg(F.max("cum_n").alias("total"))
+    asked = total.select(*by, "feature", "total", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))
+    if how == "discrete":
+        at = F.greatest(F.ceil(F.col("q") * F.col("total") - 1e-9), F.lit(1)) - 1
+        asked = asked.withColumn("low", at.cast("long")).withColumn("high", F.col("low")).withColumn("part", F.lit(0.0))
+    else:
+        place = F.col("q") * (F.col("total") - 1)
+        asked = asked.withColumn("low", F.floor(place).cast("long")).withColumn("high", F.ceil(place).cast("long")).withColumn("part", place - F.floor(place))
+    # As many rows as groups times features times q: the values whose ranks hold the places.
+    met = run.join(asked, [*by, "feature"])
+    holds = lambda c: (F.col("cum_n") > F.col(c)) & (F.col("cum_n") - F.col("n") <= F.col(c))
+    met = met.filter(holds("low") | holds("high"))
+    ends = [F.max(F.when(holds(c), F.col("v"))).alias(n) for c, n in (("low", "a"), ("high", "b"))]
+    out = met.groupBy(*by, "feature", "q").agg(*ends, F.first("part").alias("part"))
+    return out.select(*by, "feature", "q", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("value"))
+
+
+def quantile_columns(df: DataFrame, c: str, named: dict[str, float], by: list[str], how: str = "linear") -> DataFrame:
+    """(by, a column per name): quantiles of one column within groups."""
+    qs = sorted(set(named.values()))
+    wide = order_statistics(df, [c], qs, how, by).groupBy(*by).pivot("q", qs).agg(F.first("value"))
+    at = {q: n for q, n in zip(qs, wide.columns[len(by) :])}
+    return wide.select(*by, *[F.col(f"`{at[q]}`").alias(n) for n, q in named.items()])
+
+
+def quantile_lists(df: DataFrame, features: list[str], qs: list[float], how: str = "linear") -> dict[str, list[float] | None]:
+    """Feature -> its quantiles in the order of ``qs``, None without values; only these numbers come to the driver."""
+    got = {(r["feature"], r["q"]): r["value"] for r in order_statistics(df, features, sorted(set(qs)), how).collect()}
+    return {f: [got[f, float(q)] for q in qs] if (f, float(qs[0])) in got else None for f in features}
 
 
 def higher(df: DataFrame, c: str, q: float) -> DataFrame:
@@ -40,36 +72,23 @@ def weighted(df: DataFrame, c: str, w: str, q: float) -> DataFrame:
 
 
 def threshold_grid(df: DataFrame, features: list[str], points: int = 60, digits: int = 6) -> DataFrame:
-    """(feature, threshold): distinct rounded quantiles of every feature, all in one aggregate."""
+    """(feature, threshold): distinct rounded quantiles of every feature."""
     qs = [(i + 0.5) / points for i in range(points)]
-    wide = df.agg(*[F.percentile(c, qs).alias(c) for c in features])
-    long = wide.select(
-        F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.array_distinct(F.transform(c, lambda x: F.round(x, digits))).alias("t")) for c in features])).alias("r")
-    )
-    return long.select("r.feature", F.explode("r.t").alias("threshold"))
+    return order_statistics(df, features, qs).select("feature", F.round("value", digits).alias("threshold")).distinct()
 
 
 def label_free_statistics(df: DataFrame, features: list[str]) -> DataFrame:
-    """(feature, n, least, q10, median, q90, most, distinct_values), discrete quantiles, one pass."""
-    aggs = []
-    for c in features:
-        aggs += [
-            F.struct(
-                F.lit(c).alias("feature"),
-                F.count(c).alias("n"),
-                F.min(c).alias("least"),
-                discrete(c, 0.1).alias("q10"),
-                discrete(c, 0.5).alias("median"),
-                discrete(c, 0.9).alias("q90"),
-                F.max(c).alias("most"),
-            ).alias(c)
-        ]
-    return df.agg(*aggs).select(F.explode(F.array(*features)).alias("r")).select("r.*")
+    """(feature, n, least, q10, median, q90, most), discrete quantiles."""
+    ends = df.agg(*[F.struct(F.lit(c).alias("feature"), F.count(c).alias("n"), F.min(c).alias("least"), F.max(c).alias("most")).alias(c) for c in features])
+    ends = ends.select(F.explode(F.array(*features)).alias("r")).select("r.*")
+    qs = order_statistics(df, features, [0.1, 0.5, 0.9], "discrete").groupBy("feature").pivot("q", [0.1, 0.5, 0.9]).agg(F.first("value"))
+    qs = qs.toDF("feature", "q10", "median", "q90")
+    return ends.join(F.broadcast(qs), "feature", "left").select("feature", "n", "least", "q10", "median", "q90", "most")
 
 
 def equal_count_bins(df: DataFrame, c: str, k: int, out: str = "bin") -> DataFrame:
     """``df`` with the number of the quantile bin (0..k-1), edges in the lower bin."""
-    edges = df.agg(F.percentile(c, [i / k for i in range(1, k)])).first()[0] or []
+    edges = quantile_lists(df, [c], [i / k for i in range(1, k)])[c] or []
     b = F.lit(0)
     for e in edges:
         b = b + (F.col(c) > e).cast("int")
@@ -78,9 +97,9 @@ def equal_count_bins(df: DataFrame, c: str, k: int, out: str = "bin") -> DataFra
 
 def robust_z(df: DataFrame, c: str, out: str) -> DataFrame:
     """(v - median) / IQR; NULL if the IQR is 0."""
-    s = df.agg(F.percentile(c, [0.25, 0.5, 0.75]).alias("_q"))
-    q = F.col("_q")
-    return df.join(F.broadcast(s)).withColumn(out, (F.col(c) - q[1]) / F.nullif(q[2] - q[0], F.lit(0.0))).drop("_q")
+    q = quantile_lists(df, [c], [0.25, 0.5, 0.75])[c]
+    spread = None if q is None or q[2] == q[0] else q[2] - q[0]
+    return df.withColumn(out, (F.col(c) - q[1]) / spread if spread else F.lit(None).cast("double"))
 
 
 def group_rank_percentile(df: DataFrame, group: str, c: str, out: str) -> DataFrame:

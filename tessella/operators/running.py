@@ -11,29 +11,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.sources.scratch import written
 
-def range_number(df: DataFrame, key: str) -> Column:
-    """The number of bounds at or under the value; NULL values are in range 0."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+def with_range(values: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """``values`` with ``_range``: how many bounds of its group are at or under the value.
+
+    Bounds are quantiles of each group's values, at most one a shuffle partition, so
+    that groups of different scales are dealt alike.
+    """
+    n = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if n < 2:
-        return F.lit(0)
-    marks = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 100 * n)).first()[0]
-    bounds = sorted(set(marks or []))
-    if not bounds:
-        return F.lit(0)
-    array = F.lit(bounds).cast(f"array<{df.schema[key].dataType.simpleString()}>")
+        return values.withColumn("_range", F.lit(0))
+    marks = F.array_sort(F.array_distinct(F.percentile_approx(key, [i / n for i in range(1, n)], 100 * n))).alias("_marks")
+    if by:
+        values = values.join(values.groupBy(*by).agg(marks), by)
+    else:
+        values = values.join(F.broadcast(values.agg(marks)))
+    size = F.size("_marks")
     mid = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
     at = F.aggregate(
-        F.sequence(F.lit(0), F.lit(len(bounds).bit_length())),
-        F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")),
+        F.sequence(F.lit(0), F.lit(n.bit_length())),
+        F.struct(F.lit(0).alias("lo"), size.alias("hi")),
         lambda s, _: F.when(s["lo"] >= s["hi"], s).otherwise(
-            F.when(F.get(array, mid(s)) <= F.col(key), F.struct((mid(s) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(
+            F.when(F.get("_marks", mid(s)) <= F.col(key), F.struct((mid(s) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(
                 F.struct(s["lo"].alias("lo"), mid(s).alias("hi"))
             )
         ),
         lambda s: s["lo"],
     )
-    return F.when(F.col(key).isNull(), 0).otherwise(at)
+    return values.withColumn("_range", at).drop("_marks")
 
 
 def running_totals(df: DataFrame, key: str, totals: dict[str, Column], by: list[str] = (), descending: bool = False) -> DataFrame:
@@ -44,8 +51,9 @@ def running_totals(df: DataFrame, key: str, totals: dict[str, Column], by: list[
     df = df.filter(F.col(key).isNotNull())
     by = list(by)
     sums = {"n": F.count("*"), **{k: F.sum(v) for k, v in totals.items()}}
-    values = df.groupBy(*by, key).agg(*[v.alias(k) for k, v in sums.items()])
-    values = values.withColumn("_range", range_number(df, key))
+    # Bounds, ranges and windows read the grouped values; they are computed once.
+    values = written(df.groupBy(*by, key).agg(*[v.alias(k) for k, v in sums.items()]), "values")
+    values = with_range(values, key, by)
     order = F.col(key).desc() if descending else F.col(key).asc()
     inside = Window.partitionBy(*by, "_range").orderBy(order)
     ranges = values.groupBy(*by, "_range").agg(*[F.sum(k).alias("_" + k) for k in sums])

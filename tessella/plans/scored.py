@@ -70,6 +70,9 @@ def event_verdicts(spark, sf):
     return verdicts.verdict_counts(table(spark, sf, "events"), [Rule("value_cap", "value", "le", 50.0)], "ts", "1 day", "1 hour")
 
 
-@register("keys_digest")
+@register(
+    "keys_digest",
+    "SELECT sha256(string_agg(o_orderkey::VARCHAR, chr(10) ORDER BY o_orderkey::VARCHAR)) AS digest, count(*) AS n FROM orders",
+)
 def keys_digest(spark, sf):
     return tables.keys_digest(table(spark, sf, "orders"), "o_orderkey")

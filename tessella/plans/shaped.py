@@ -12,13 +12,13 @@ from tessella.sources import tables
 
 @register("quantile_linear", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.1), 6) AS q10, round(quantile_cont(l_extendedprice, 0.5), 6) AS q50, round(quantile_cont(l_extendedprice, 0.9), 6) AS q90 FROM lineitem GROUP BY 1")
 def quantile_linear(spark, sf):
-    q = quantiles.linear("l_extendedprice", [0.1, 0.5, 0.9])
-    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(q.alias("q")).select("l_returnflag", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("q10", "q50", "q90"))])
+    got = quantiles.quantile_columns(table(spark, sf, "lineitem"), "l_extendedprice", {"q10": 0.1, "q50": 0.5, "q90": 0.9}, ["l_returnflag"])
+    return got.select("l_returnflag", *[F.round(q, 6).alias(q) for q in ("q10", "q50", "q90")])
 
 
 @register("quantile_disc", "SELECT l_returnflag, quantile_disc(l_extendedprice, 0.1) AS q10, quantile_disc(l_extendedprice, 0.5) AS q50 FROM lineitem GROUP BY 1")
 def quantile_disc(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(quantiles.discrete("l_extendedprice", 0.1).alias("q10"), quantiles.discrete("l_extendedprice", 0.5).alias("q50"))
+    return quantiles.quantile_columns(table(spark, sf, "lineitem"), "l_extendedprice", {"q10": 0.1, "q50": 0.5}, ["l_returnflag"], "discrete")
 
 
 @register("quantile_higher", "SELECT v AS value FROM (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice) AS r, count(*) OVER () AS n FROM orders) WHERE r = ceil(0.9 * (n - 1)) + 1")

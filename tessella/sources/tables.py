@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from functools import reduce
 
@@ -78,13 +79,16 @@ def canonical_json(columns: list[str]) -> Column:
 
 
 def keys_digest(df: DataFrame, key: str) -> DataFrame:
-    """One row: sha256 over the sorted sha256 of keys by blocks, so that no list of all keys is made.
+    """One row: sha256 of the sorted keys (as text, by code points) joined by newlines, and their number.
 
-    Keys are digested in 4096 blocks of their hash, each block's sorted list on its own.
+    A hash of one stream has no parallel form: sorting is Spark's, and the driver
+    takes the sorted keys partition by partition and holds none of them.
     """
-    h = F.sha2(F.col(key).cast("string"), 256)
-    by = df.select(h.alias("h")).groupBy(F.substring("h", 1, 3).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "\n"), 256).alias("d"), F.count("*").alias("n"))
-    return by.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), "\n"), 256).alias("digest"), F.sum("n").alias("n"))
+    state, n = hashlib.sha256(), 0
+    for r in df.select(F.col(key).cast("string").alias("k")).filter("k is not null").orderBy("k").toLocalIterator(prefetchPartitions=True):
+        state.update(("\n" if n else "").encode() + r[0].encode())
+        n += 1
+    return df.sparkSession.createDataFrame([(state.hexdigest(), n)], "digest string, n long")
 
 
 def yaml_rows(spark: SparkSession, text: str, columns: list[str]) -> DataFrame:

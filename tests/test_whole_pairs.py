@@ -49,18 +49,18 @@ def evaluated(pairs, tolerance):
 
 def test_pair_tables(spark, sf):
     pairs = by_nation(brute(sf[1]))
-    assert sorted(run(spark, sf, "pairs_unordered_whole")) == sorted((g, len(x), round(sum(abs(dt) for dt, _ in x), 2)) for g, x in pairs.items())
+    assert sorted(run(spark, sf, "pairs_unordered")) == sorted((g, len(x), round(sum(abs(dt) for dt, _ in x), 2)) for g, x in pairs.items())
     wide = by_nation(p for p in brute(sf[1]) if abs(p[1]) >= 5000)
-    assert sorted(run(spark, sf, "pairs_gap_whole")) == sorted((g, len(x), 1.0) for g, x in wide.items())
+    assert sorted(run(spark, sf, "pairs_gap")) == sorted((g, len(x), 1.0) for g, x in wide.items())
 
 
 def test_evaluations(spark, sf):
     pairs = brute(sf[1])
-    assert run(spark, sf, "rank_eval_continuous_whole") == evaluated(pairs, 0)
-    assert run(spark, sf, "coverage_accuracy_whole") == evaluated([p for p in pairs if abs(p[1]) >= 1000], 10)
+    assert run(spark, sf, "rank_eval_continuous") == evaluated(pairs, 0)
+    assert run(spark, sf, "coverage_accuracy") == evaluated([p for p in pairs if abs(p[1]) >= 1000], 10)
     win = mean(0.5 if ds == 0 else dt * ds > 0 for _, dt, ds in pairs)
-    assert run(spark, sf, "pooled_win_rate_whole") == [(len(pairs), pytest.approx(win, abs=1e-6))]
+    assert run(spark, sf, "pooled_win_rate") == [(len(pairs), pytest.approx(win, abs=1e-6))]
     strata = collections.defaultdict(list)
     for _, dt, ds in pairs:
         strata[sum(abs(dt) >= e for e in (0, 1000, 4000)) - 1].append(dt * ds > 0 or dt == ds == 0)
-    assert sorted(run(spark, sf, "gap_strata_whole")) == [(k, len(x), pytest.approx(mean(x), abs=1e-6)) for k, x in sorted(strata.items())]
+    assert sorted(run(spark, sf, "gap_strata")) == [(k, len(x), pytest.approx(mean(x), abs=1e-6)) for k, x in sorted(strata.items())]
