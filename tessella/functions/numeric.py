@@ -126,3 +126,13 @@ def mcnemar_exact(b: int, c: int) -> float:
     """One-sided exact p that b of b + c discordant rows favour the rule by chance."""
     n = b + c
     return 1.0 if n == 0 else 1.0 - binomial_cdf(b - 1, n, 0.5)
+
+
+def born_repulsion(contact, distance, power: int = 9) -> Column:
+    """(contact / distance)^power."""
+    return F.pow(_c(contact) / _c(distance), power)
+
+
+def short_range_repulsion(contact, distance, range_: float) -> Column:
+    """exp((contact - distance) / range)."""
+    return F.exp((_c(contact) - _c(distance)) / range_)

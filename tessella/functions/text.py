@@ -53,3 +53,37 @@ def key_values(comment: Column | str) -> Column:
     pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(keys, i + 2, F.greatest(F.size(keys), F.lit(1))), lambda k: k == p["k"]))
     return F.map_from_entries(last)
+
+
+def fractional_formula(formula: Column | str) -> Column:
+    """map of element to its amount, amounts with or without decimals (Ca0.5Sr0.5TiO3); equal elements are added."""
+    f = F.col(formula) if isinstance(formula, str) else formula
+    pattern = F.lit(r"([A-Z][a-z]?)([0-9]*\.?[0-9]*)")
+    els, ns = F.regexp_extract_all(f, pattern, F.lit(1)), F.regexp_extract_all(f, pattern, F.lit(2))
+    pairs = F.zip_with(els, ns, lambda e, n: F.struct(e.alias("el"), F.coalesce(F.nullif(n, F.lit("")).try_cast("double"), F.lit(1.0)).alias("n")))
+    add = lambda e: F.aggregate(F.filter(pairs, lambda p: p["el"] == e), F.lit(0.0), lambda a, p: a + p["n"])
+    keys = F.array_sort(F.array_distinct(els))
+    return F.map_from_arrays(keys, F.transform(keys, add))
+
+
+def rational_key(formula: Column | str, decimals: int = 6) -> Column:
+    """Reduced whole-number composition of a formula with decimal amounts, exact to ``decimals`` places: Ca0.5Ti0.5 -> Ca1|Ti1."""
+    m = fractional_formula(formula)
+    keys, whole = F.map_keys(m), F.transform(F.map_values(m), lambda v: F.rint(v * 10**decimals).cast("long"))
+    g = F.aggregate(whole, F.lit(0).cast("long"), lambda a, n: _gcd(n, a))
+    parts = F.zip_with(keys, whole, lambda e, n: F.concat(e, (n / F.nullif(g, F.lit(0))).cast("long").cast("string")))
+    return F.when(F.size(keys) > 0, F.array_join(parts, "|"))
+
+
+def leaky_names(names: list[str], blocked: list[str]) -> list[str]:
+    """The names that contain a blocked substring, whatever the case of letters."""
+    return [n for n in names if any(b.lower() in n.lower() for b in blocked)]
+
+
+def outside_vocabulary(names: list[str], vocabulary: set[str]) -> list[str]:
+    return sorted(set(names) - set(vocabulary))
+
+
+def is_digest(c: Column | str) -> Column:
+    """Whether the whole text is a lower-case sha256 in hex."""
+    return (F.col(c) if isinstance(c, str) else c).rlike(r"\A[0-9a-f]{64}\z")

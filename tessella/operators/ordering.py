@@ -73,34 +73,43 @@ def safe_threshold(df: DataFrame, score: str, bad: str, cells: list[str], precis
     table of running totals, so that no cut is paired with a cell.
     """
     t = cell_totals(df, score, {"hits": F.col(bad).cast("long")}, cells)
-    low = [F.coalesce(wilson(h, r)[0], F.lit(0.0)) for r, h, *_ in t.cells]
     out = t.values.select(
         F.col(score).alias("threshold"),
-        _least(low).alias("precision_lower"),
-        _least([h / F.nullif(th, F.lit(0)) for _, h, _, th in t.cells]).alias("recall"),
-        _least([r / n for r, _, n, _ in t.cells]).alias("savings"),
-        sum((h for _, h, *_ in t.cells), F.lit(0)).cast("long").alias("hits"),
+        _least([F.coalesce(wilson(c["hits"], c["n"])[0], F.lit(0.0)) for c in t.cells]).alias("precision_lower"),
+        _least([c["hits"] / F.nullif(c["all_hits"], F.lit(0)) for c in t.cells]).alias("recall"),
+        _least([c["n"] / c["all_n"] for c in t.cells]).alias("savings"),
+        sum((c["hits"] for c in t.cells), F.lit(0)).cast("long").alias("hits"),
     )
     ok = out.filter(F.col("precision_lower") >= precision)
     return ok.orderBy(F.round("recall", 9).desc(), F.round("precision_lower", 9).desc(), F.round("savings", 9).desc(), F.desc("hits"), F.desc("threshold")).limit(1)
 
 
-def broad_threshold(df: DataFrame, score: str, bad: str, cells: list[str], baseline: str, safe: float) -> DataFrame:
-    """The lowest-precision-risk wider cut: under ``safe`` and, in every cell, better than rejecting by ``baseline``.
+def broad_threshold(df: DataFrame, score: str, severe: str, protected: str, cells: list[str], baseline: str, safe: float) -> DataFrame:
+    """A cut under ``safe`` that in every cell dominates rejecting by ``baseline``; no row if there is none.
 
-    Better: more hits, higher precision, more rows rejected, and at least as many good
-    rows rejected spared in share. Of those, most savings, then the higher cut; no row if there is none.
+    In every cell: more severe rows rejected, a higher Wilson bound of their share
+    among rejected severe and protected rows, a higher bound of savings, and no fewer
+    protected rows kept. Of those cuts the best by the worst cell's severe recall and
+    precision bound, severe rows rejected, the worst cell's savings, and the lower cut.
     """
     b = F.coalesce(F.col(baseline), F.lit(False))
-    t = cell_totals(df, score, {"hits": F.col(bad).cast("long")}, cells, {"b_n": b.cast("long"), "b_hits": (b & F.col(bad)).cast("long")})
+    flags = {"severe": F.coalesce(F.col(severe), F.lit(False)), "protected": F.coalesce(F.col(protected), F.lit(False))}
+    base = {"b_n": b.cast("long"), **{f"b_{k}": (b & v).cast("long") for k, v in flags.items()}}
+    t = cell_totals(df, score, {k: v.cast("long") for k, v in flags.items()}, cells, base)
+    low = lambda k, n: F.coalesce(wilson(k, n)[0], F.lit(0.0))
     better = F.lit(True)
-    for (r, h, *_), extra in zip(t.cells, t.extra):
-        bn, bh = extra["b_n"], extra["b_hits"]
-        better = better & (h > bh) & (r > bn) & (h / F.nullif(r, F.lit(0)) > F.coalesce(bh / F.nullif(bn, F.lit(0)), F.lit(-1.0)))
-    rejected = sum((r for r, *_ in t.cells), F.lit(0)).cast("long")
-    hits = sum((h for _, h, *_ in t.cells), F.lit(0)).cast("long")
-    out = t.values.filter(F.col(score) < safe).filter(better).select(F.col(score).alias("threshold"), rejected.alias("rejected"), hits.alias("hits"))
-    return out.orderBy(F.desc("rejected"), F.desc("threshold")).limit(1)
+    for c in t.cells:
+        better = better & (c["severe"] > c["b_severe"]) & (c["protected"] <= c["b_protected"]) & (low(c["n"], c["all_n"]) > low(c["b_n"], c["all_n"]))
+        better = better & (low(c["severe"], c["severe"] + c["protected"]) > low(c["b_severe"], c["b_severe"] + c["b_protected"]))
+    out = t.values.filter(F.col(score) < safe).filter(better).select(
+        F.col(score).alias("threshold"),
+        _least([c["severe"] / F.nullif(c["all_severe"], F.lit(0)) for c in t.cells]).alias("recall"),
+        _least([low(c["severe"], c["severe"] + c["protected"]) for c in t.cells]).alias("precision_lower"),
+        _least([low(c["n"], c["all_n"]) for c in t.cells]).alias("savings_lower"),
+        sum((c["severe"] for c in t.cells), F.lit(0)).cast("long").alias("severe"),
+    )
+    order = [F.round("recall", 9).desc(), F.round("precision_lower", 9).desc(), F.desc("severe"), F.round("savings_lower", 9).desc(), F.asc("threshold")]
+    return out.orderBy(*order).limit(1)
 
 
 def _least(columns: list) -> Column:
@@ -108,34 +117,29 @@ def _least(columns: list) -> Column:
 
 
 class CellTotals(NamedTuple):
-    """``values``: a row per value; ``cells``: (rejected, hits, rows, all hits) of each cell as columns of it; ``extra``: whole sums."""
+    """``values``: a row per value; ``cells``: each cell's columns of it: n, the totals, ``all_`` of both, and the extra sums."""
 
     values: DataFrame
     cells: list
-    extra: list
 
 
-def cell_totals(df: DataFrame, score: str, totals: dict[str, Column], cells: list[str], extra: dict[str, Column] = {}) -> CellTotals:  # noqa: B006
-    """Running totals from the highest score down, in every cell at every value of the table."""
+def cell_totals(df: DataFrame, score: str, totals: dict[str, Column], cells: list[str], extra: dict[str, Column] | None = None) -> CellTotals:
+    """Running totals from the highest score down, in every cell at every value of the table; extra sums are whole."""
     df = df.filter(F.col(score).isNotNull())
     names = df.select(*cells).distinct().orderBy(*cells).limit(1001).collect()
     if len(names) > 1000:
         raise ValueError("more than 1000 cells")
     inside = [reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(r[c])) for c in cells]) for r in names]
-    (hits,) = totals.values()
-    sums = {}
+    sums, whole, out = {}, [], []
     for i, x in enumerate(inside):
-        sums |= {f"n{i}": x.cast("long"), f"h{i}": F.when(x, hits).otherwise(0)}
+        mine = {"n": x.cast("long"), **{k: F.when(x, v).otherwise(0) for k, v in totals.items()}}
+        sums |= {f"{k}_{i}": v for k, v in mine.items()}
+        whole += [F.sum(v).alias(f"_all_{k}_{i}") for k, v in mine.items()]
+        whole += [F.sum(F.when(x, v).otherwise(0)).alias(f"_{k}_{i}") for k, v in (extra or {}).items()]
+        own = {k: F.col(f"cum_{k}_{i}") for k in mine} | {f"all_{k}": F.col(f"_all_{k}_{i}") for k in mine}
+        out.append(own | {k: F.col(f"_{k}_{i}") for k in extra or {}})
     run = running_totals(df, score, sums, descending=True)
-    whole = [e for i, x in enumerate(inside) for e in (F.sum(x.cast("long")).alias(f"_n{i}"), F.sum(F.when(x, hits).otherwise(0)).alias(f"_h{i}"))]
-    whole += [F.sum(F.when(x, v).otherwise(0)).alias(f"_{k}{i}") for i, x in enumerate(inside) for k, v in extra.items()]
-    values = run.join(F.broadcast(df.agg(*whole))) if names else run
-    c = F.col
-    return CellTotals(
-        values,
-        [(c(f"cum_n{i}"), c(f"cum_h{i}"), c(f"_n{i}"), c(f"_h{i}")) for i in range(len(names))],
-        [{k: c(f"_{k}{i}") for k in extra} for i in range(len(names))],
-    )
+    return CellTotals(run.join(F.broadcast(df.agg(*whole))) if names else run.limit(0), out)
 
 
 def leak_level_a(df: DataFrame, feature: str, label: str, chance: float = -6.0) -> DataFrame:

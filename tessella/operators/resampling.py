@@ -44,6 +44,44 @@ def cluster_bootstrap(df: DataFrame, cluster: str, metrics: dict[str, tuple[Colu
     return whole.join(F.broadcast(ci)).select(F.explode(rows).alias("r")).select("r.*")
 
 
+def stratified_bootstrap(df: DataFrame, unit: str, stratum: str, value: Column, replicates: int = 250, seed: int = 7, level: float = 0.95) -> DataFrame:
+    """One row (estimate, lower, upper): a mean over strata of fixed shares, units resampled within each.
+
+    Units' sums are made once; a replicate weighs them by Poisson(1) and takes each
+    stratum's mean under its own weights, so that strata keep their shares in every draw.
+    """
+    by = df.groupBy(stratum, unit).agg(F.sum(value).alias("_s"), F.count(value).cast("double").alias("_n"))
+    strata = by.groupBy(stratum).agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n")).filter("_n > 0")
+    strata = strata.join(F.broadcast(strata.agg(F.sum("_n").alias("_all"))))
+    strata = strata.select(stratum, (F.col("_n") / F.col("_all")).alias("_share"), (F.col("_s") / F.col("_n")).alias("_mean"))
+    whole = strata.agg(F.sum(F.col("_share") * F.col("_mean")).alias("estimate"))
+    rounds = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_r")
+    drawn = by.select("*", rounds).withColumn("_w", poisson_weight(F.col(unit), F.col("_r"), seed)).filter("_w > 0")
+    mean = F.sum(F.col("_s") * F.col("_w")) / F.nullif(F.sum(F.col("_n") * F.col("_w")), F.lit(0.0))
+    per = drawn.groupBy("_r", stratum).agg(mean.alias("_x"))
+    # A stratum that a draw leaves empty keeps its own mean.
+    reps = strata.select("*", rounds).join(per, ["_r", stratum], "left").groupBy("_r").agg(F.sum(F.col("_share") * F.coalesce("_x", "_mean")).alias("_v"))
+    lo = (1 - level) / 2
+    ci = reps.agg(F.percentile("_v", [lo, 1 - lo]).alias("_q"))  # as many values as replicates
+    return whole.join(F.broadcast(ci)).select("estimate", F.col("_q")[0].alias("lower"), F.col("_q")[1].alias("upper"))
+
+
+def subsample_stability(df: DataFrame, unit: str, metrics: dict[str, tuple[Column, Column]], fractions: list[float], draws: int = 200, seed: int = 7) -> DataFrame:
+    """(metric, fraction, mean, deviation): ratios of sums over units drawn by hash without replacement.
+
+    Each unit's sums are made once; a unit belongs to a draw of a fraction if its hash
+    for that draw is under the fraction.
+    """
+    sums = [x for k, (a, b) in metrics.items() for x in (F.sum(a).alias(f"{k}__a"), F.sum(b).alias(f"{k}__b"))]
+    by = df.groupBy(unit).agg(*sums).withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    u = F.pmod(F.xxhash64(unit, "_r", F.lit(seed)), F.lit(1 << 40)).cast("double") / float(1 << 40)
+    by = by.withColumn("_u", u).withColumn("_f", F.explode(F.array(*[F.lit(float(f)) for f in fractions]))).filter("_u < _f")
+    reps = by.groupBy(F.col("_f").alias("fraction"), "_r").agg(*[(F.sum(f"{k}__a") / F.sum(f"{k}__b")).alias(k) for k in metrics])
+    rows = F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("v")) for k in metrics])
+    long = reps.select("fraction", F.explode(rows).alias("r"))
+    return long.groupBy(F.col("r.metric").alias("metric"), "fraction").agg(F.avg("r.v").alias("mean"), F.stddev_samp("r.v").alias("deviation"))
+
+
 def block_permutation(df: DataFrame, block: str, label: str, statistic: str) -> DataFrame:
     """One row: observed sum of statistic over label 1, mean and deviation when labels are permuted within blocks, z.
 
