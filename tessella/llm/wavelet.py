@@ -41,6 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.llm import bytesops as B
 from tessella.llm.shared import filesystem, fresh_path, materialize, write_once
 from tessella.llm.tokens import encoder, tokenizer_path
 
@@ -261,6 +262,7 @@ def write_shards(docs: DataFrame, out: str, path: str | None = None, shard_token
             write_once(name, dump(np.concatenate(held), names, lengths))
             row = pa.record_batch([[shard], [part], [name], [len(names)], [int(lengths.sum())]], ["shard", "part", "path", "n_docs", "n_tokens"])
             part, names, sizes, held, size = part + 1, [], [], [], 0
+            B.trim()
             return row
 
         for batch in batches:
@@ -294,6 +296,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 ids, lengths = shard.doc_ids, shard.lengths
                 raw = memoryview(shard.matrix.to_array().astype("<u4")).cast("B")
                 shard.close()
+                del shard
                 ends = np.cumsum(lengths)
                 starts = ends - lengths
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
@@ -301,6 +304,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     [pa.array(ids, pa.int64()), pa.array(base + starts), pa.array(lengths), pa.array(crc, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
+                del raw
+                B.trim()
 
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
