@@ -154,18 +154,16 @@ class WaveletMatrix:
         """All ids, by undoing the planes' partitions from the lowest."""
         kind = np.uint16 if len(self.zeros) <= 16 else np.uint32
         cur = np.zeros(self.n, kind)
-        count = np.arange(STEP, dtype=np.int32)
         for level in range(len(self.zeros) - 1, -1, -1):
             plane, low, high = self.planes[level][:], 0, self.zeros[level]
             cur[high:] |= kind(1 << (len(self.zeros) - 1 - level))
             out = np.empty(self.n, kind)
             for a in range(0, self.n, STEP):
-                bit = np.unpackbits(plane[a // 8 : (a + STEP) // 8], count=min(STEP, self.n - a), bitorder="little")
-                ones = np.cumsum(bit, dtype=np.int32)
-                n1 = int(ones[-1])
+                bit = np.unpackbits(plane[a // 8 : (a + STEP) // 8], count=min(STEP, self.n - a), bitorder="little").view(bool)
+                at = np.concatenate([np.flatnonzero(~bit), np.flatnonzero(bit)])
+                n1 = int(np.count_nonzero(bit))
                 n0 = len(bit) - n1
-                from_ = np.where(bit.view(bool), ones + np.int32(n0 - 1), count[: len(bit)] - ones)
-                out[a : a + STEP] = np.concatenate([cur[low : low + n0], cur[high : high + n1]])[from_]
+                out[a : a + STEP][at] = np.concatenate([cur[low : low + n0], cur[high : high + n1]])
                 low, high = low + n0, high + n1
             cur = out
         return cur
