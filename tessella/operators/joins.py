@@ -58,18 +58,31 @@ def lookup_with_default(df: DataFrame, table: DataFrame, on: list[str], value: s
 def nearest_key_lookup(df: DataFrame, table: DataFrame, exact: list[str], near: str, value: str) -> DataFrame:
     """The table's value at the nearest ``near`` within equal ``exact`` keys, ties to the smaller; with ``how`` and ``distance``.
 
-    The candidates of a key are gathered once from the table (not per row), so the
-    join carries one small sorted array a key.
+    The entries of a key are gathered and sorted once from the table, a parameter
+    table; a row finds its place in them by bisection and looks at the two beside it.
+    Of equal entries the smallest value counts.
     """
-    gathered = table.filter(F.col(near).isNotNull()).groupBy(*exact).agg(
-        F.array_sort(F.collect_set(F.struct(F.col(near).alias("k"), F.col(value).alias("v")))).alias("_all")
+    entries = table.filter(F.col(near).isNotNull()).groupBy(*exact, F.col(near).alias("_k")).agg(F.min(value).alias("_v"))
+    gathered = entries.groupBy(*exact).agg(F.array_sort(F.collect_list(F.struct(F.col("_k").alias("k"), F.col("_v").alias("v")))).alias("_all"))
+    size = F.coalesce(F.size("_all"), F.lit(0))
+    mid = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+    # The number of entries under the row's key; 31 halvings are enough for any array.
+    place = F.aggregate(
+        F.sequence(F.lit(1), F.lit(31)),
+        F.struct(F.lit(0).alias("lo"), F.greatest(size, F.lit(0)).alias("hi")),
+        lambda s, _: F.when(s["lo"] >= s["hi"], s).otherwise(
+            F.when(F.get("_all", mid(s))["k"] < F.col(near), F.struct((mid(s) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(
+                F.struct(s["lo"].alias("lo"), mid(s).alias("hi"))
+            )
+        ),
+        lambda s: s["lo"],
     )
-    best = F.array_min(
-        F.transform("_all", lambda s: F.struct(F.abs(s["k"] - F.col(near)).alias("distance"), s["k"].alias("k"), s["v"].alias("v")))
-    )
-    out = df.join(gathered, exact, "left").withColumn("_best", best)
+    out = df.join(gathered, exact, "left").withColumn("_place", F.when(F.col(near).isNotNull(), place))
+    beside = F.filter(F.array(F.get("_all", F.col("_place") - 1), F.get("_all", F.col("_place"))), lambda s: s.isNotNull())
+    best = F.array_min(F.transform(beside, lambda s: F.struct(F.abs(s["k"] - F.col(near)).alias("distance"), s["k"].alias("k"), s["v"].alias("v"))))
+    out = out.withColumn("_best", best)
     how = F.when(F.col("_best").isNull(), "none").when(F.col("_best.distance") == 0, "exact").otherwise("nearest")
-    return out.withColumns({"how": how, "distance": F.col("_best.distance"), value: F.col("_best.v")}).drop("_all", "_best")
+    return out.withColumns({"how": how, "distance": F.col("_best.distance"), value: F.col("_best.v")}).drop("_all", "_place", "_best")
 
 
 def representative(df: DataFrame, group: str, identity: str, salt: str) -> DataFrame:

@@ -68,6 +68,34 @@ def evaluate(df: DataFrame, expressions: list[Column]) -> list:
     return out
 
 
+def evaluate_by(df: DataFrame, by: str, expressions: list[Column]) -> dict:
+    """Group -> the values of aggregate expressions over its rows; one grouped aggregate a batch, whatever the number of groups."""
+    out: dict = {}
+    for i in range(0, len(expressions), BATCH):
+        some = expressions[i : i + BATCH]
+        for r in df.groupBy(F.col(by).alias("_by")).agg(*[e.alias(f"x{j}") for j, e in enumerate(some)]).collect():
+            out.setdefault(r["_by"], []).extend(r[f"x{j}"] for j in range(len(some)))
+    return out
+
+
+def distinct_by_effect(tables: list[DataFrame], candidates: list[Candidate], identity: str) -> list[Candidate]:
+    """The first of the candidates that pass the same rows of every table.
+
+    Masks are compared by the number of rows and two exclusive-or sums of 64-bit hashes
+    of the rows that pass, so that none is stored or moved.
+    """
+    keys: list[tuple] = [()] * len(candidates)
+    for df in tables:
+        h = [F.xxhash64(identity, F.lit(seed)) for seed in (1, 2)]
+        marks = [x for c in candidates for x in (F.count_if(c.passes()), *[F.bit_xor(F.when(c.passes(), y)) for y in h])]
+        got = evaluate(df, marks)
+        keys = [(*k, *got[3 * i : 3 * i + 3]) for i, k in enumerate(keys)]
+    first: dict = {}
+    for k, c in zip(keys, candidates):
+        first.setdefault(k, c)
+    return list(first.values())
+
+
 def quantiles(df: DataFrame, features: list[str], qs: list[float]) -> dict[str, list | None]:
     return quantile_lists(df, features, list(qs)) if features else {}
 
@@ -102,8 +130,17 @@ def bands(real: DataFrame, features: list[str], centres=CENTRES) -> list[Candida
     return distinct(out)
 
 
-def guarded(real: DataFrame, targets: list[Candidate], guards: list[str], qs=GUARD_QUANTILES, applicable=(0.1, 0.9)) -> list[Candidate]:
-    """Each target under each guard threshold and side that applies to a middle share of the reference."""
+def guarded(
+    real: DataFrame, targets: list[Candidate], guards: list[str], qs=GUARD_QUANTILES, applicable=(0.1, 0.9), bad: DataFrame | None = None, best: int | None = None, identity: str | None = None
+) -> list[Candidate]:
+    """Each target under each guard threshold and side that applies to a middle share of the reference.
+
+    With ``bad``, targets are taken by their rejection of its rows, most first (then
+    satisfaction and key), and of those only ``best`` if given; with ``identity``, of
+    candidates that pass the same rows of both tables only the first stays.
+    """
+    if bad is not None:
+        targets = judge(real, bad, targets)[:best]
     found = [
         (g, side, t)
         for g, v in quantiles(real, guards, list(qs)).items()
@@ -113,9 +150,8 @@ def guarded(real: DataFrame, targets: list[Candidate], guards: list[str], qs=GUA
     probe = [Candidate("", "hi", guard=g, guard_side=s, guard_threshold=t) for g, s, t in found]
     shares = evaluate(real, [F.avg(F.coalesce(p.applies(), F.lit(False)).cast("double")) for p in probe])
     use = [x for x, s in zip(found, shares) if s is not None and applicable[0] < s < applicable[1]]
-    return distinct(
-        [Candidate(c.feature, c.side, c.lower, c.upper, g, s, t) for c in targets for g, s, t in use if g != c.feature]
-    )
+    found = distinct([Candidate(c.feature, c.side, c.lower, c.upper, g, s, t) for c in targets for g, s, t in use if g != c.feature])
+    return distinct_by_effect([real] if bad is None else [real, bad], found, identity) if identity and found else found
 
 
 def distinct(candidates: list[Candidate]) -> list[Candidate]:
@@ -195,8 +231,7 @@ def pareto_beam(
     """Rule sets found by a beam: half the width by rejection + half the least rejection of a kind, the rest by
     rejection per lost satisfaction. A feature is used once, candidates are added in index order; floors hold
     overall and, if asked, in every stratum of the reference."""
-    kinds = sorted(r[0] for r in bad.select(kind).distinct().collect())
-    strata = sorted(r[0] for r in real.select(stratum).distinct().collect()) if stratum else []
+    kinds = sorted(r[0] for r in bad.select(kind).distinct().collect() if r[0] is not None)
     beam: list[dict] = [{"laws": (), "satisfaction": 1.0, "rejection": 0.0}]
     kept: list[dict] = []
     for _ in range(depth):
@@ -212,8 +247,10 @@ def pareto_beam(
         ok = [all_pass([candidates[i] for i in x]) for x in sets]
         sat = evaluate(real, [F.avg(o.cast("double")) for o in ok])
         rej = evaluate(bad, [F.avg((~o).cast("double")) for o in ok])
-        by = [evaluate(bad, [F.avg(F.when(F.col(kind) == k, (~o).cast("double"))) for o in ok]) for k in kinds]
-        floors = [evaluate(real, [F.avg(F.when(F.col(stratum) == k, o.cast("double"))) for o in ok]) for k in strata]
+        per_kind = evaluate_by(bad, kind, [F.avg((~o).cast("double")) for o in ok])
+        by = [per_kind[k] for k in kinds if k in per_kind]
+        per_stratum = evaluate_by(real, stratum, [F.avg(o.cast("double")) for o in ok]) if stratum else {}
+        floors = [v for k, v in per_stratum.items() if k is not None]
         new = []
         for n, ((s, _), x) in enumerate(zip(grown, sets)):
             if sat[n] < floor or any((f[n] if f[n] is not None else 1) < stratum_floor for f in floors) or rej[n] - s["rejection"] < least_gain:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import lawset, rules, text
-from tessella.operators import decision, ordering, quantiles, relational, resampling
+from tessella.operators import decision, joins, mining, ordering, quantiles, relational, resampling
 from tessella.operators.joins import ContractError
 
 LAWS = [rules.Rule("a", "x", "le", 1.5), rules.Rule("b", "y", "band", 0.0, 2.0, mechanism="m"), rules.Rule("c", "y", "ge", 0.1 + 0.2, guard_feature="x", guard_op="gt", guard_threshold=1.0)]
@@ -139,3 +139,32 @@ def test_table_issues_and_ledger(spark):
     assert got == {"key k repeats": 1, "v does not rise within g": 1}
     led = decision.prediction_ledger(spark, [("e", "p", 1, True), ("f", "q", None, None)]).orderBy("position").collect()
     assert [tuple(r)[1:] for r in led] == [("e", "p", 1.0, True), ("f", "q", None, None)]
+
+
+def test_nearest_key_by_bisection(spark):
+    rng = random.Random(8)
+    entries = [(rng.choice("ab"), float(rng.randint(0, 60)), float(i)) for i in range(90)] + [("a", None, 5.0)]
+    rows = [(i, rng.choice("abc"), rng.choice([None, rng.uniform(-10, 80), float(rng.randint(0, 60))])) for i in range(300)]
+    got = joins.nearest_key_lookup(spark.createDataFrame(rows, "i int, e string, k double"), spark.createDataFrame(entries, "e string, k double, v double"), ["e"], "k", "v")
+    for r in got.collect():
+        near = [(abs(k - r["k"]), k, v) for e, k, v in entries if e == r["e"] and k is not None and r["k"] is not None]
+        want = (min(near)[2], min(near)[0]) if near else (None, None)
+        assert (r["v"], r["distance"]) == want and r["how"] == ("none" if not near else "exact" if want[1] == 0 else "nearest")
+
+
+def test_guarded_candidates_by_rank_and_effect(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.random(), rng.random(), float(i % 2)) for i in range(400)]
+    d = spark.createDataFrame(rows, "i int, x double, y double, z double")
+    real, bad = d.filter("i % 2 = 0"), d.filter("i % 2 = 1")
+    targets = mining.one_sided(real, ["x"], alphas=(0.0, 0.1, 0.3))
+    ranked = mining.guarded(real, targets, ["y"], bad=bad, best=2)
+    best = mining.judge(real, bad, targets)[:2]
+    assert {(c.side, c.lower, c.upper) for c in ranked} == {(c.side, c.lower, c.upper) for c in best}
+    # a law that every row passes has the same effect under any guard
+    loose = [mining.Candidate("x", "hi", upper=9.0)]
+    assert len(mining.guarded(real, loose, ["y"])) > 1 and len(mining.guarded(real, loose, ["y"], identity="i")) == 1
+    masks = {tuple(sorted(r[0] for r in real.filter(c.passes()).select("i").collect())) for c in ranked}
+    assert len(mining.distinct_by_effect([real], ranked, "i")) == len(masks)
+    got = mining.evaluate_by(d, "z", [F.count("*"), F.avg("x")])
+    assert got[0.0][0] == 200 and got[1.0][1] == pytest.approx(np.mean([r[1] for r in rows if r[3] == 1.0]))
