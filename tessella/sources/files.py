@@ -8,51 +8,64 @@ import re
 import tarfile
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
-def _binary(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "content")
+def opened(uri: str):
+    """A seekable file on the file system that its URI names, wherever the task runs."""
+    from pyarrow import fs
+
+    if uri.startswith("file:") and not uri.startswith("file://"):
+        uri = uri.replace("file:", "file://", 1)
+    system, at = fs.FileSystem.from_uri("s3" + uri[3:] if uri[:6] in ("s3a://", "s3n://") else uri)
+    return system.open_input_file(at)
 
 
 def archive_members(spark: SparkSession, path: str, pattern: str = ".*", skip: int = 0, take: int | None = None) -> DataFrame:
     """(path, member, data) of tar, tar.gz and zip files; per archive, members matching the pattern after ``skip``, at most ``take``.
 
-    Archives are streamed member by member; what is taken is bounded by the arguments.
+    Spark lists the archives; a task opens its own and reads them member by member, so
+    that one member is held at a time and reading ends with the last one asked for.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         want = re.compile(pattern)
         for batch in batches:
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n = 0
-                for member, data in _members(raw, want):
-                    n += 1
-                    if n <= skip:
-                        continue
-                    if take is not None and n > skip + take:
-                        break
-                    yield pa.record_batch([pa.array([name]), pa.array([member]), pa.array([data], pa.binary())], ["path", "member", "data"])
-
-    return _binary(spark, path).mapInArrow(run, "path string, member string, data binary")
-
-
-def _members(raw: bytes, want: re.Pattern) -> Iterator[tuple[str, bytes]]:
-    if zipfile.is_zipfile(io.BytesIO(raw)):
-        with zipfile.ZipFile(io.BytesIO(raw)) as z:
+            for name in batch.column(0).to_pylist():
+                with opened(name) as f:
+                    for n, (member, data) in enumerate(_members(f, want)):
+                        if take is not None and n >= skip + take:
+                            break
+                        if n >= skip:
+                            yield pa.record_batch([pa.array([name]), pa.array([member]), pa.array([data()], pa.binary())], ["path", "member", "data"])
+
+    # Only names leave the listing: the content column is pruned.
+    listed = spark.read.format("binaryFile").load(path).select("path")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return listed.repartition(n).mapInArrow(run, "path string, member string, data binary")
+
+
+def _members(f, want: re.Pattern) -> Iterator[tuple[str, Callable[[], bytes]]]:
+    """(name, reader) of each member that matches; the reader must be used before the next."""
+    head = f.read(4)
+    f.seek(0)
+    if head[:2] == b"PK":
+        with zipfile.ZipFile(f) as z:
             for info in z.infolist():
                 if not info.is_dir() and want.fullmatch(info.filename):
-                    yield info.filename, z.read(info)
+                    yield info.filename, partial(z.read, info)
         return
-    with tarfile.open(fileobj=io.BytesIO(raw), mode="r|*") as t:
+    with tarfile.open(fileobj=f, mode="r|*") as t:
         for m in t:
             if m.isfile() and want.fullmatch(m.name):
-                yield m.name, t.extractfile(m).read()
+                yield m.name, t.extractfile(m).read
 
 
 def blob_slices(index: DataFrame, path: str, identity: str, offset: str, length: str) -> DataFrame:
@@ -63,10 +76,7 @@ def blob_slices(index: DataFrame, path: str, identity: str, offset: str, length:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        system, at = fs.FileSystem.from_uri(path)
-        with system.open_input_file(at) as f:
+        with opened(path) as f:
             for batch in batches:
                 out = []
                 for a, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
@@ -115,8 +125,8 @@ class _XyzReader(DataSourceReader):
     def read(self, part):
         allowed = {x for x in self.options.get("elements", "").split(",") if x}
         most = int(self.options.get("max_atoms", 1 << 30))
-        opener = gzip.open if part.path.endswith(".gz") else open
-        with opener(part.path, "rt") as f:
+        with opened(part.path) as raw:
+            f = io.TextIOWrapper(gzip.GzipFile(fileobj=raw) if part.path.endswith(".gz") else raw, encoding="utf-8")
             frame = 0
             while head := f.readline():
                 if not head.strip():
@@ -130,8 +140,44 @@ class _XyzReader(DataSourceReader):
                 frame += 1
 
 
+def sqlite_copy(uri: str):
+    """A connection to a database read whole from its URI, so that a task needs no file of its own machine."""
+    import sqlite3
+
+    with opened(uri) as f:
+        raw = f.read()
+    c = sqlite3.connect(":memory:")
+    c.deserialize(raw)
+    return c
+
+
+def sqlite_lookup(keys: DataFrame, key: str, path: str, table: str, columns: dict[str, str], batch: int = 500) -> DataFrame:
+    """(key, columns) of the rows of a SQLite table whose key is among those given, ``batch`` keys a statement.
+
+    ``columns`` names the other columns with their Spark types. Keys are looked up once
+    each; one without a row has none.
+    """
+    quoted = ", ".join(f'"{c}"' for c in [key, *columns])
+    kind = keys.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = None
+        for pdf in batches:
+            c = c or sqlite_copy(path)
+            for a in range(0, len(pdf), batch):
+                some = [x.item() if hasattr(x, "item") else x for x in pdf[key].iloc[a : a + batch]]
+                marks = ", ".join("?" * len(some))
+                yield pd.DataFrame(c.execute(f'SELECT {quoted} FROM "{table}" WHERE "{key}" IN ({marks})', some).fetchall(), columns=[key, *columns])
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in {key: kind, **columns}.items())
+    return keys.select(key).filter(F.col(key).isNotNull()).distinct().mapInPandas(run, schema)
+
+
 class SqliteTable(DataSource):
-    """A SQLite query in ranges of an integer key. Options: path, query, key, least, most, parts; the schema is given."""
+    """A SQLite query in ranges of an integer key. Options: path, query, key, least, most, parts; the schema is given.
+
+    The database is read from the file system of its path; it must fit a task's memory.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -159,12 +205,10 @@ class _SqliteReader(DataSourceReader):
         return [_Range(x, y) for x, y in zip(edges, edges[1:]) if x < y]
 
     def read(self, part):
-        import sqlite3
-
-        key = self.options["key"]
-        with sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True) as c:
-            names = ", ".join(f'"{n}"' for n in self.names)
-            yield from c.execute(f'SELECT {names} FROM ({self.options["query"]}) WHERE "{key}" >= ? AND "{key}" < ?', (part.a, part.b))
+        key, c = self.options["key"], sqlite_copy(self.options["path"])
+        names = ", ".join(f'"{n}"' for n in self.names)
+        yield from c.execute(f'SELECT {names} FROM ({self.options["query"]}) WHERE "{key}" >= ? AND "{key}" < ?', (part.a, part.b))
+        c.close()
 
 
 def poscar(df: DataFrame, text: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessella.functions import lawset, rules, text
 from tessella.operators import decision, joins, mining, ordering, quantiles, relational, resampling
 from tessella.operators.joins import ContractError
+from tessella.sources import files
 
 LAWS = [rules.Rule("a", "x", "le", 1.5), rules.Rule("b", "y", "band", 0.0, 2.0, mechanism="m"), rules.Rule("c", "y", "ge", 0.1 + 0.2, guard_feature="x", guard_op="gt", guard_threshold=1.0)]
 
@@ -168,3 +169,31 @@ def test_guarded_candidates_by_rank_and_effect(spark):
     assert len(mining.distinct_by_effect([real], ranked, "i")) == len(masks)
     got = mining.evaluate_by(d, "z", [F.count("*"), F.avg("x")])
     assert got[0.0][0] == 200 and got[1.0][1] == pytest.approx(np.mean([r[1] for r in rows if r[3] == 1.0]))
+
+
+def test_sqlite_lookup(spark, tmp_path):
+    import sqlite3
+
+    with sqlite3.connect(tmp_path / "d.sqlite") as c:
+        c.execute("create table t (id integer, v text, w real)")
+        c.executemany("insert into t values (?, ?, ?)", [(i, f"v{i}", None if i == 3 else i / 2) for i in range(1500)])
+    keys = spark.createDataFrame([(i,) for i in [*range(0, 3000, 3), 3, None]], "id long")
+    got = sorted(map(tuple, files.sqlite_lookup(keys, "id", f"file://{tmp_path}/d.sqlite", "t", {"v": "string", "w": "double"}).collect()))
+    assert got == [(i, f"v{i}", None if i == 3 else i / 2) for i in range(0, 1500, 3)]
+
+
+def test_archives_end_with_the_last_member_asked_for(spark, tmp_path):
+    import io
+    import tarfile
+    import zipfile
+
+    with tarfile.open(tmp_path / "a.tar.gz", "w:gz") as t:
+        for i in range(30):
+            m = tarfile.TarInfo(f"m{i}")
+            m.size = 5
+            t.addfile(m, io.BytesIO(b"%05d" % i))
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
+        for i in range(30):
+            z.writestr(f"m{i}", b"z%04d" % i)
+    got = sorted((r["path"].rpartition("/")[2], r["member"], bytes(r["data"])) for r in files.archive_members(spark, str(tmp_path), "m[0-9]+", skip=3, take=2).collect())
+    assert got == [("a.tar.gz", "m3", b"00003"), ("a.tar.gz", "m4", b"00004"), ("b.zip", "m3", b"z0003"), ("b.zip", "m4", b"z0004")]
