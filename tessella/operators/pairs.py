@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.running import running_totals
+
 
 def _side(df: DataFrame, group: str, cols: list[str], mark: str) -> DataFrame:
     return df.select(F.col(group).alias(group), *[F.col(c).alias(f"{c}_{mark}") for c in cols])
@@ -46,20 +48,24 @@ def bipartite(df: DataFrame, group: str, identity: str, positive: Column, extra:
     return _side(d.filter("_pos"), group, cols, "p").join(_side(d.filter(~F.col("_pos")), group, cols, "n"), group)
 
 
+def _sorted_counts(d: DataFrame, by: list[str]) -> DataFrame:
+    """Per group and score ``s``: rows ``vm``, label-1 rows ``vp``, and label-1 rows of lower scores ``below``."""
+    run = running_totals(d, "s", {"vp": F.col("y")}, by).withColumnRenamed("n", "vm")
+    return run.withColumn("below", F.col("cum_vp") - F.col("vp"))
+
+
 def rank_by_label(df: DataFrame, group: str, label: str, score: str, reference: str | None = None) -> DataFrame:
     """One row, each number the mean over groups with both labels: commit (share of pairs with two scores that
     differ), accuracy of those (label 1 should score lower), tie rate, top-1 (share of label 1 in the best score's
     ties) and its chance, lift.
 
-    Counts come from a window over the group's sorted scores; no pair is made.
+    Counts come from running totals over the group's sorted scores; no pair is made,
+    and a group of any size is dealt in ranges of its scores.
     """
     d = df.filter(F.col(label).isNotNull()).select(group, F.col(label).cast("long").alias("y"), F.col(score).alias("s"))
     t = d.groupBy(group).agg(F.sum("y").alias("p"), F.count("*").alias("m"), F.sum(F.when(F.col("s").isNotNull(), F.col("y"))).alias("ps"), F.count("s").alias("ms"))
     t = t.filter((F.col("p") > 0) & (F.col("p") < F.col("m")))
-    v = d.filter(F.col("s").isNotNull()).groupBy(group, "s").agg(F.sum("y").alias("vp"), F.count("*").alias("vm"))
-    w = Window.partitionBy(group).orderBy("s")
-    v = v.withColumn("below", F.coalesce(F.sum("vp").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    v = v.withColumn("_first", F.row_number().over(w) == 1)
+    v = _sorted_counts(d, [group]).withColumn("_first", F.col("cum_n") == F.col("vm"))
     c = v.groupBy(group).agg(
         F.sum(F.col("below") * (F.col("vm") - F.col("vp"))).alias("right"),
         F.sum(F.col("vp") * (F.col("vm") - F.col("vp"))).alias("tie"),
@@ -124,16 +130,13 @@ def feature_audit(df: DataFrame, group: str, label: str, features: list[str]) ->
     Features are stacked, so this is one job whatever their number.
     """
     long = df.select(group, label, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("s")) for f in features])).alias("x"))
-    long = long.select(F.struct(group, "x.feature").alias("g"), F.col(label).cast("long").alias("y"), F.col("x.s").alias("s")).filter("s is not null")
-    v = long.groupBy("g", "s").agg(F.sum("y").alias("vp"), F.count("*").alias("vm"))
-    w = Window.partitionBy("g").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    v = v.withColumn("below", F.coalesce(F.sum("vp").over(w), F.lit(0)))
-    c = v.groupBy("g").agg(
+    long = long.select(F.col(group).alias("g"), "x.feature", F.col(label).cast("long").alias("y"), "x.s").filter("s is not null")
+    c = _sorted_counts(long, ["feature", "g"]).groupBy("feature", "g").agg(
         F.sum(F.col("below") * (F.col("vm") - F.col("vp"))).alias("right"),
         F.sum(F.col("vp") * (F.col("vm") - F.col("vp"))).alias("tie"),
         (F.sum("vp") * (F.sum("vm") - F.sum("vp"))).alias("pairs"),
     )
     per = c.withColumn("a", F.col("right") / F.nullif(F.col("pairs") - F.col("tie"), F.lit(0)))
-    f = per.groupBy(F.col("g.feature").alias("feature")).agg(F.avg("a").alias("a"))
+    f = per.groupBy("feature").agg(F.avg("a").alias("a"))
     both = f.select("feature", F.explode(F.array(F.struct(F.lit("low").alias("orientation"), F.col("a").alias("accuracy")), F.struct(F.lit("high").alias("orientation"), (1 - F.col("a")).alias("accuracy")))).alias("r"))
     return both.select("feature", "r.orientation", "r.accuracy").orderBy(F.desc_nulls_last("accuracy"), "feature", "orientation")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.running import running_totals
@@ -103,8 +103,9 @@ def robust_z(df: DataFrame, c: str, out: str) -> DataFrame:
 
 
 def group_rank_percentile(df: DataFrame, group: str, c: str, out: str) -> DataFrame:
-    """(mean rank - 1) / (count - 1) within groups of more than one row."""
-    w = Window.partitionBy(group)
-    rank = F.rank().over(w.orderBy(c)) + (F.count("*").over(Window.partitionBy(group, c)) - 1) / 2
-    n = F.count(c).over(w)
-    return df.withColumn(out, F.when((n > 1) & F.col(c).isNotNull(), (rank - 1) / (n - 1)))
+    """(mean rank - 1) / (count - 1) within groups of more than one row, from running totals of the group's values."""
+    run = running_totals(df, c, {}, [group])
+    n = F.max("cum_n").alias("_n")
+    rank = F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2
+    ranks = run.join(run.groupBy(group).agg(n), group).filter("_n > 1").select(group, c, ((rank - 1) / (F.col("_n") - 1)).alias(out))
+    return df.join(ranks, [group, c], "left")
