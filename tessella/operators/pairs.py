@@ -1,16 +1,20 @@
 """Pairs within groups, and ranking scores judged on them.
 
 Pair tables are joins on the group; where only counts are asked for, they come from
-sums over sorted values instead, so that no pair is made.
+sums over sorted values or blocks of arrays instead, so that no pair is a row.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators.running import running_totals
 
+PART = 2048  # rows of a group on one side of a block
+
 
 def _side(df: DataFrame, group: str, cols: list[str], mark: str) -> DataFrame:
     return df.select(F.col(group).alias(group), *[F.col(c).alias(f"{c}_{mark}") for c in cols])
@@ -86,33 +90,76 @@ def rank_by_label(df: DataFrame, group: str, label: str, score: str, reference:
     return out.withColumn("lift", F.col("top1") / F.col("chance"))
 
 
+SUMS = ("n", "known", "ties", "committed", "right", "concordant")
+
+
+def pair_counts(df: DataFrame, group: str, identity: str, target: str, score: str, gap: float = 0.0, tolerance: float = 0.0, edges: list[float] = ()) -> DataFrame:
+    """(group, stratum, counts) over the pairs of one group with unlike identities whose targets differ by ``gap`` or more.
+
+    ``n`` pairs; ``known`` with both scores, of them ``ties`` and ``concordant`` (lower
+    target, lower score); ``committed`` whose scores differ by more than ``tolerance``,
+    of them ``right``. The stratum is the number of ``edges`` at or under the target gap.
+
+    A group is dealt by hash in parts of about ``PART`` rows and every two parts meet
+    once, so that a group of any size is many tasks of bounded size. Pairs are compared
+    as arrays; only counts leave a block.
+    """
+    d = df.filter(F.col(group).isNotNull() & F.col(target).isNotNull() & F.col(identity).isNotNull())
+    d = d.select(group, F.col(identity).alias("_id"), F.col(target).cast("double").alias("_t"), F.col(score).cast("double").alias("_s"))
+    parts = d.groupBy(group).agg(F.ceil(F.count("*") / PART).cast("int").alias("_parts"))
+    d = d.join(parts, group).withColumn("_p", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int"))
+    d = d.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    d = d.select(group, "_id", "_t", "_s", F.least("_p", "_o").alias("_i"), F.greatest("_p", "_o").alias("_j"), (F.col("_p") > F.col("_o")).alias("_right"))
+    cuts = np.sort(np.array(edges, float))
+
+    def run(table: pa.Table) -> pa.Table:
+        key = table.column("_id").combine_chunks().dictionary_encode()
+        key = (key.combine_chunks() if isinstance(key, pa.ChunkedArray) else key).indices.to_numpy()
+        t, s = (table.column(c).to_numpy() for c in ("_t", "_s"))
+        side = table.column("_right").to_numpy()
+        alone = table.column("_i")[0].as_py() == table.column("_j")[0].as_py()
+        left, right = np.flatnonzero(~side), np.flatnonzero(~side if alone else side)
+        out = np.zeros((len(cuts) + 1, len(SUMS)), np.int64)
+        for a in range(0, len(left), 256):
+            rows = left[a : a + 256]
+            dt, ds = t[rows][:, None] - t[right][None, :], s[rows][:, None] - s[right][None, :]
+            ok = (dt != 0) & (np.abs(dt) >= gap) & (key[rows][:, None] != key[right][None, :])
+            if alone:  # each pair once
+                ok &= rows[:, None] < right[None, :]
+            dt, ds = dt[ok], ds[ok]
+            stratum = np.searchsorted(cuts, np.abs(dt), "right")
+            agree, sure = np.sign(dt) == np.sign(ds), np.abs(ds) > tolerance  # a missing score compares as false
+            marks = (np.ones(len(dt), bool), ~np.isnan(ds), ds == 0, sure, sure & agree, agree)
+            for i, m in enumerate(marks):
+                out[:, i] += np.bincount(stratum[m], minlength=len(cuts) + 1)
+        some = np.flatnonzero(out[:, 0])
+        first = table.column(group).slice(0, 1).combine_chunks()
+        groups = (first.chunk(0) if isinstance(first, pa.ChunkedArray) else first).take(pa.array(np.zeros(len(some), np.int64)))
+        return pa.table([groups, pa.array(some, pa.int32()), *[pa.array(out[some, i]) for i in range(len(SUMS))]], [group, "stratum", *SUMS])
+
+    kind = df.schema[group].dataType.simpleString()
+    counted = d.groupBy(group, "_i", "_j").applyInArrow(run, f"`{group}` {kind}, stratum int, " + ", ".join(f"{c} long" for c in SUMS))
+    return counted.groupBy(group, "stratum").agg(*[F.sum(c).alias(c) for c in SUMS])
+
+
 def rank_by_target(df: DataFrame, group: str, identity: str, target: str, score: str, gap: float = 0.0, tolerance: float = 0.0) -> DataFrame:
     """One row over pairs of differing targets, each number group-equal: commit and accuracy (lower target, lower score)."""
-    p = unordered(df, group, identity, target, [score], gap)
-    ds, dt = F.col(f"{score}_i") - F.col(f"{score}_j"), F.col(f"{target}_i") - F.col(f"{target}_j")
-    commit = F.coalesce(F.abs(ds) > tolerance, F.lit(False))
-    per = p.groupBy(group).agg(
-        F.avg(commit.cast("double")).alias("commit"), F.avg(F.when(commit, (F.signum(ds) == F.signum(dt)).cast("double"))).alias("accuracy")
-    )
-    return per.agg(F.count("*").alias("groups"), F.avg("commit").alias("commit"), F.avg("accuracy").alias("accuracy"))
+    p = pair_counts(df, group, identity, target, score, gap, tolerance)
+    return p.agg(F.count("*").alias("groups"), F.avg(F.col("committed") / F.col("n")).alias("commit"), F.avg(F.col("right") / F.nullif("committed", F.lit(0))).alias("accuracy"))
 
 
 def pooled_win_rate(df: DataFrame, group: str, identity: str, target: str, score: str) -> DataFrame:
     """One row over all pairs alike: ties count one half."""
-    p = unordered(df, group, identity, target, [score])
-    ds, dt = F.col(f"{score}_i") - F.col(f"{score}_j"), F.col(f"{target}_i") - F.col(f"{target}_j")
-    win = F.when(ds == 0, 0.5).otherwise((F.signum(ds) == F.signum(dt)).cast("double"))
-    return p.agg(F.count("*").alias("pairs"), F.avg(win).alias("win_rate"))
+    p = pair_counts(df, group, identity, target, score).agg(*[F.sum(c).alias(c) for c in SUMS])
+    win = (F.col("concordant") + F.col("ties") / 2) / F.nullif("known", F.lit(0))
+    return p.select(F.coalesce("n", F.lit(0)).alias("pairs"), win.alias("win_rate"))
 
 
 def gap_strata(df: DataFrame, group: str, identity: str, target: str, score: str, edges: list[float]) -> DataFrame:
     """Accuracy and count of pairs by the size of their target gap, bins [edge, next)."""
-    p = unordered(df, group, identity, target, [score])
-    ds, dt = F.col(f"{score}_i") - F.col(f"{score}_j"), F.col(f"{target}_i") - F.col(f"{target}_j")
-    b = F.lit(-1)
-    for e in edges:
-        b = b + (F.col("target_gap") >= e).cast("int")
-    return p.groupBy(b.alias("stratum")).agg(F.count("*").alias("pairs"), F.avg((F.signum(ds) == F.signum(dt)).cast("double")).alias("accuracy"))
+    p = pair_counts(df, group, identity, target, score, edges=edges).groupBy((F.col("stratum") - 1).alias("stratum"))
+    p = p.agg(F.sum("n").alias("pairs"), F.sum("concordant").alias("_right"), F.sum("known").alias("_known"))
+    return p.select("stratum", "pairs", (F.col("_right") / F.nullif("_known", F.lit(0))).alias("accuracy"))
 
 
 def concentration(df: DataFrame, group: str) -> DataFrame:

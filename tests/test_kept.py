@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import lawset, rules, text
-from tessella.operators import decision, joins, mining, ordering, quantiles, relational, resampling
+from tessella.operators import decision, joins, mining, ordering, pairs, quantiles, relational, resampling
 from tessella.operators.joins import ContractError
 from tessella.sources import files
 
@@ -197,3 +197,26 @@ def test_archives_end_with_the_last_member_asked_for(spark, tmp_path):
             z.writestr(f"m{i}", b"z%04d" % i)
     got = sorted((r["path"].rpartition("/")[2], r["member"], bytes(r["data"])) for r in files.archive_members(spark, str(tmp_path), "m[0-9]+", skip=3, take=2).collect())
     assert got == [("a.tar.gz", "m3", b"00003"), ("a.tar.gz", "m4", b"00004"), ("b.zip", "m3", b"z0003"), ("b.zip", "m4", b"z0004")]
+
+
+@pytest.mark.parametrize("part", [2048, 7])
+def test_pair_counts_against_all_pairs(spark, monkeypatch, part):
+    monkeypatch.setattr(pairs, "PART", part)
+    rng = random.Random(10)
+    rows = [(rng.choice(["a", "b", None]), rng.randint(0, 40), rng.choice([None, rng.randint(0, 9) / 2]), rng.choice([None, float(rng.randint(0, 6))])) for _ in range(120)]
+    d = spark.createDataFrame(rows, "g string, i int, t double, s double").repartition(3)
+    for gap, tolerance, edges in ((0.0, 0.0, []), (1.0, 2.0, [0.0, 1.5, 3.0])):
+        want = {}
+        for x, y in itertools.combinations(rows, 2):
+            if x[0] is None or x[0] != y[0] or x[1] == y[1] or None in (x[2], y[2]) or x[2] == y[2] or abs(x[2] - y[2]) < gap:
+                continue
+            k = (x[0], sum(e <= abs(x[2] - y[2]) for e in edges))
+            c = want.setdefault(k, [0] * 6)
+            c[0] += 1
+            if None not in (x[3], y[3]):
+                ds, same = x[3] - y[3], (x[3] < y[3]) == (x[2] < y[2]) and x[3] != y[3]
+                for j, m in enumerate((True, ds == 0, abs(ds) > tolerance, abs(ds) > tolerance and same, same), 1):
+                    c[j] += m
+        got = pairs.pair_counts(d, "g", "i", "t", "s", gap, tolerance, edges).collect()
+        assert {(r["g"], r["stratum"]): [r[c] for c in pairs.SUMS] for r in got} == want
+    assert pairs.pair_counts(d.limit(0), "g", "i", "t", "s").count() == 0
