@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.operators.running import running_totals
+from tessella.operators.running import running_totals, with_range
 from tessella.sources.scratch import written
 
 
@@ -15,25 +15,35 @@ def order_statistics(df: DataFrame, features: list[str], qs: list[float], how: s
     ``linear`` interpolates at q (n - 1); ``discrete`` is the smallest value whose
     share of rows reaches q. A feature without values has none.
     """
-    by = list(by)
+    keys = [*by, "feature"]
     stacked = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features]))
     long = df.select(*by, stacked.alias("x")).select(*by, "x.feature", "x.v").filter("v is not null")
-    run = written(running_totals(long, "v", {}, [*by, "feature"]), "order-statistics")
-    total = run.groupBy(*by, "feature").agg(F.max("cum_n").alias("total"))
-    asked = total.select(*by, "feature", "total", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))
+    values = written(long.groupBy(*keys, "v").agg(F.count("*").alias("n")), "order-statistics")
+    ranged = with_range(values, "v", keys)
+    # A row per range: how many rows lie before it and in all.
+    up, all_ = Window.partitionBy(*keys).orderBy("_range"), Window.partitionBy(*keys)
+    ranges = ranged.groupBy(*keys, "_range").agg(F.sum("n").alias("_m"))
+    ranges = ranges.withColumns({"_upto": F.sum("_m").over(up), "total": F.sum("_m").over(all_)})
+    asked = ranges.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
     if how == "discrete":
         at = F.greatest(F.ceil(F.col("q") * F.col("total") - 1e-9), F.lit(1)) - 1
         asked = asked.withColumn("low", at.cast("long")).withColumn("high", F.col("low")).withColumn("part", F.lit(0.0))
     else:
         place = F.col("q") * (F.col("total") - 1)
         asked = asked.withColumn("low", F.floor(place).cast("long")).withColumn("high", F.ceil(place).cast("long")).withColumn("part", place - F.floor(place))
-    # As many rows as groups times features times q: the values whose ranks hold the places.
-    met = run.join(asked, [*by, "feature"])
-    holds = lambda c: (F.col("cum_n") > F.col(c)) & (F.col("cum_n") - F.col("n") <= F.col(c))
-    met = met.filter(holds("low") | holds("high"))
-    ends = [F.max(F.when(holds(c), F.col("v"))).alias(n) for c, n in (("low", "a"), ("high", "b"))]
-    out = met.groupBy(*by, "feature", "q").agg(*ends, F.first("part").alias("part"))
-    return out.select(*by, "feature", "q", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("value"))
+    before = F.col("_upto") - F.col("_m")
+    inside = lambda c: (F.col(c) >= before) & (F.col(c) < F.col("_upto"))
+    asked = asked.filter(inside("low") | inside("high"))
+    asked = asked.groupBy(*keys, "_range").agg(F.first(before).alias("_before"), F.collect_list(F.struct("q", "low", "high", "part")).alias("_asked"))
+    # Only ranges that hold a place asked for are sorted; a range's list has at most as many entries as q.
+    met = ranged.join(asked, [*keys, "_range"])
+    met = met.withColumn("_cum", F.col("_before") + F.sum("n").over(Window.partitionBy(*keys, "_range").orderBy("v")))
+    first = F.col("_cum") - F.col("n")
+    holds = lambda p: ((p >= first) & (p < F.col("_cum")))
+    met = met.withColumn("x", F.explode(F.filter("_asked", lambda x: holds(x["low"]) | holds(x["high"]))))
+    ends = [F.max(F.when(holds(F.col(f"x.{c}")), F.col("v"))).alias(n) for c, n in (("low", "a"), ("high", "b"))]
+    out = met.groupBy(*keys, F.col("x.q").alias("q")).agg(*ends, F.first("x.part").alias("part"))
+    return out.select(*keys, "q", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("value"))
 
 
 def quantile_columns(df: DataFrame, c: str, named: dict[str, float], by: list[str], how: str = "linear") -> DataFrame:
