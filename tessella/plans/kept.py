@@ -342,8 +342,8 @@ def _orders(spark, sf):
 
 @register(
     "decision_metrics",
-    f"""WITH {E_SQL}, t AS (SELECT g, count(*) AS "rows", count_if(ok) AS supported, count_if(r) AS rejected, count_if(x <= 1) AS protected, count_if(x <= 1 AND NOT r) AS protected_kept, count_if((x <= 1 OR x >= 2) AND r) AS rejected_extremes,
-      count_if(x >= 2) AS severe, count_if(x >= 2 AND r) AS severe_rejected FROM e GROUP BY 1)
+    f"""WITH {E_SQL}, t AS (SELECT g, count(*) AS "rows", count_if(ok)::BIGINT AS supported, count_if(r)::BIGINT AS rejected, count_if(x <= 1)::BIGINT AS protected, count_if(x <= 1 AND NOT r)::BIGINT AS protected_kept, count_if((x <= 1 OR x >= 2) AND r)::BIGINT AS rejected_extremes,
+      count_if(x >= 2)::BIGINT AS severe, count_if(x >= 2 AND r)::BIGINT AS severe_rejected FROM e GROUP BY 1)
     SELECT g, "rows", supported, rejected, protected, protected_kept, rejected_extremes, severe, severe_rejected, round(severe_rejected / rejected_extremes::DOUBLE, 6) AS precision, round({wilson_sql("severe_rejected", "rejected_extremes")}, 6) AS precision_lower,
       round({wilson_sql("protected_kept", "protected")}, 6) AS protected_recall_lower, round({wilson_sql("rejected", '"rows"')}, 6) AS savings_lower, round(severe_rejected / severe::DOUBLE, 6) AS severe_recall FROM t""",
 )
@@ -394,7 +394,7 @@ CONJ = [(("l_quantity", 30.0),), (("l_quantity", 45.0),), (("l_tax", 0.03),), ((
     "conjunctive_rules",
     "WITH r AS ("
     + " UNION ALL ".join(
-        f"SELECT '{' & '.join(f'{n} >= {c:g}' for n, c in terms)}' AS rule, count_if(l_returnflag = 'R' AND {' AND '.join(f'{n} >= {c}' for n, c in terms)}) AS rejected_bad, count_if(l_returnflag = 'N' AND {' AND '.join(f'{n} >= {c}' for n, c in terms)}) AS rejected_good, count_if(l_returnflag = 'R') AS b FROM lineitem"
+        f"SELECT '{' & '.join(f'{n} >= {c:g}' for n, c in terms)}' AS rule, count_if(l_returnflag = 'R' AND {' AND '.join(f'{n} >= {c}' for n, c in terms)})::BIGINT AS rejected_bad, count_if(l_returnflag = 'N' AND {' AND '.join(f'{n} >= {c}' for n, c in terms)})::BIGINT AS rejected_good, count_if(l_returnflag = 'R')::BIGINT AS b FROM lineitem"
         for terms in CONJ
     )
     + f") SELECT rule, rejected_bad, rejected_good, round({wilson_sql('rejected_bad', '(rejected_bad + rejected_good)')}, 6) AS precision_lower, round(rejected_bad / b::DOUBLE, 6) AS recall FROM r WHERE {wilson_sql('rejected_bad', '(rejected_bad + rejected_good)')} >= 0.2",
@@ -411,7 +411,7 @@ def conjunctive_rules(spark, sf):
     """WITH t AS (SELECT l_shipmode_, y1, y2, mode_ FROM (SELECT l_suppkey % 6 AS l_shipmode_, CAST(l_quantity > 25 AS INT) AS y1, CAST(l_quantity > 30 AS INT) AS y2, CAST(l_tax > 0.04 AS INT) AS mode_, l_discount FROM lineitem) WHERE l_discount > 0.05),
     p AS (SELECT l_shipmode_ AS f, count(*) AS n, sum(y1)::BIGINT AS k FROM t GROUP BY 1), w AS (SELECT sum(n) AS n, sum(k) AS k FROM p)
     SELECT count(*) AS triggered, round(avg(y1), 6) AS accuracy_y1, round(avg(y2), 6) AS accuracy_y2, round(avg(CAST(mode_ = y1 AS INT)), 6) AS mode_accuracy, sum(CAST(y1 = 1 AND mode_ <> y1 AS INT))::BIGINT AS rule_only, sum(CAST(y1 <> 1 AND mode_ = y1 AS INT))::BIGINT AS mode_only,
-      round(abs(avg(y1) - avg(y2)), 6) AS spread, round(avg(y1) - avg(CAST(mode_ = y1 AS INT)), 6) AS gain, (SELECT count_if(n >= 20) FROM p) AS families,
+      round(abs(avg(y1) - avg(y2)), 6) AS spread, round(avg(y1) - avg(CAST(mode_ = y1 AS INT)), 6) AS gain, (SELECT count_if(n >= 20)::BIGINT FROM p) AS families,
       (SELECT round(min((p.k / p.n) / ((w.k - p.k) / (w.n - p.n)::DOUBLE)), 6) FROM p, w WHERE p.n >= 50 AND w.n - p.n >= 200) AS worst_transfer FROM t""",
 )
 def rule_scorecard(spark, sf):
@@ -429,7 +429,7 @@ def rule_scorecard(spark, sf):
 @register(
     "fixed_commitment",
     """WITH m AS (SELECT l_linenumber AS f, l_returnflag AS t, l_linestatus AS v, avg(l_discount) AS a FROM lineitem GROUP BY ALL)
-    SELECT x.v AS variant, x.t AS target, count(*) AS folds, round(avg(x.a - b.a), 9) AS a_gain, count_if(x.a >= b.a) AS a_not_worse FROM m x JOIN m b ON x.f = b.f AND x.t = b.t AND b.v = 'F' WHERE x.v <> 'F' GROUP BY 1, 2""",
+    SELECT x.v AS variant, x.t AS target, count(*) AS folds, round(avg(x.a - b.a), 9) AS a_gain, count_if(x.a >= b.a)::BIGINT AS a_not_worse FROM m x JOIN m b ON x.f = b.f AND x.t = b.t AND b.v = 'F' WHERE x.v <> 'F' GROUP BY 1, 2""",
 )
 def fixed_commitment(spark, sf):
     d = table(spark, sf, "lineitem")
@@ -439,8 +439,8 @@ def fixed_commitment(spark, sf):
 
 @register(
     "table_issues",
-    """SELECT 'column l_quantity has nulls' AS issue, 'error' AS level, count_if(l_quantity = 1) AS n FROM lineitem UNION ALL SELECT 'column no_such is missing', 'error', 1
-    UNION ALL SELECT 'key l_orderkey repeats', 'error', count(*) FROM (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'l_tax and l_discount differ', 'warning', count_if(l_tax <> l_discount) FROM lineitem""",
+    """SELECT 'column l_quantity has nulls' AS issue, 'error' AS level, count_if(l_quantity = 1)::BIGINT AS n FROM lineitem UNION ALL SELECT 'column no_such is missing', 'error', 1
+    UNION ALL SELECT 'key l_orderkey repeats', 'error', count(*) FROM (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'l_tax and l_discount differ', 'warning', count_if(l_tax <> l_discount)::BIGINT FROM lineitem""",
 )
 def table_issues(spark, sf):
     d = table(spark, sf, "lineitem").withColumn("l_quantity", F.nullif("l_quantity", F.lit(1.0)))

@@ -220,3 +220,76 @@ def test_pair_counts_against_all_pairs(spark, monkeypatch, part):
         got = pairs.pair_counts(d, "g", "i", "t", "s", gap, tolerance, edges).collect()
         assert {(r["g"], r["stratum"]): [r[c] for c in pairs.SUMS] for r in got} == want
     assert pairs.pair_counts(d.limit(0), "g", "i", "t", "s").count() == 0
+
+
+def binomial_upper(k, n, confidence):
+    """The share at which k or fewer hits of n are as unlikely as 1 - confidence, by bisection on the sum."""
+    if k >= n:
+        return 1.0
+    lo, hi = 0.0, 1.0
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        tail = sum(math.comb(n, i) * mid**i * (1 - mid) ** (n - i) for i in range(k + 1))
+        lo, hi = (mid, hi) if tail > 1 - confidence else (lo, mid)
+    return lo
+
+
+@pytest.mark.parametrize("most", [0.02, 0.1, 0.3, 0.9])
+def test_risk_controlled_threshold_against_loops(spark, most):
+    rng = random.Random(11)
+    rows = [(float(rng.randint(0, 30)), int(rng.random() < 0.5)) for _ in range(120)]
+    got = ordering.clopper_pearson_threshold(spark.createDataFrame(rows, "s double, good int"), "s", "good", most).first()
+    total = sum(g for _, g in rows)
+    fine = []
+    for t in {s for s, _ in rows}:
+        lost = sum(g for s, g in rows if s >= t)
+        if binomial_upper(lost, total, 0.95) <= most:
+            fine.append((t, sum(s >= t for s, _ in rows), lost))
+    best = min(fine) if fine else (None, None, None)
+    assert tuple(got) == best
+
+
+def test_beam_reports_true_rates_and_no_dominated_set(spark):
+    rng = random.Random(12)
+    real = [(rng.random(), rng.random(), rng.choice([None, rng.random()]), "abc"[i % 3]) for i in range(300)]
+    bad = [(rng.random() + 0.4, rng.random() * 1.3, rng.random() + 0.2, "k1" if i % 2 else "k2") for i in range(200)]
+    schema = "x double, y double, z double, c string"
+    r, b = spark.createDataFrame(real, schema), spark.createDataFrame(bad, schema)
+    laws = mining.one_sided(r, ["x", "y", "z"], alphas=(0.0, 0.02, 0.05))
+    found = mining.pareto_beam(r, b, laws, "c", width=6, depth=3, floor=0.85, stratum="c", stratum_floor=0.8)
+    at = {"x": 0, "y": 1, "z": 2}
+
+    def passes(row, law):
+        v = row[at[law.feature]]
+        return v is None or ((law.lower is None or v >= law.lower) and (law.upper is None or v <= law.upper))
+
+    rate = lambda rows, some: sum(all(passes(row, laws[i]) for i in some) for row in rows) / len(rows)
+    assert found
+    for d in found:
+        assert d["satisfaction"] == pytest.approx(rate(real, d["laws"])) and d["satisfaction"] >= 0.85
+        assert d["rejection"] == pytest.approx(1 - rate(bad, d["laws"]))
+        assert d["worst_kind"] == pytest.approx(min(1 - rate([x for x in bad if x[3] == k], d["laws"]) for k in ("k1", "k2")))
+        assert all(rate([x for x in real if x[3] == c], d["laws"]) >= 0.8 for c in "abc")
+        assert len({laws[i].feature for i in d["laws"]}) == len(d["laws"])
+    for d, e in itertools.permutations(found, 2):
+        assert not (e["satisfaction"] >= d["satisfaction"] and e["rejection"] > d["rejection"])
+
+
+def test_cluster_bootstrap_interval(spark):
+    rng = random.Random(13)
+    rows = []
+    for c in range(200):
+        p = rng.random()
+        rows += [(c, float(rng.random() < p)) for _ in range(rng.randint(1, 12))]
+    d = spark.createDataFrame(rows, "c int, v double")
+    got = resampling.cluster_bootstrap(d, "c", {"m": (F.col("v"), F.lit(1.0))}, replicates=400).first()
+    mean = sum(v for _, v in rows) / len(rows)
+    assert got["estimate"] == pytest.approx(mean) and got["lower"] < mean < got["upper"]
+    # the linearised standard error of a ratio of cluster sums
+    sums = {}
+    for c, v in rows:
+        s = sums.setdefault(c, [0.0, 0])
+        s[0] += v
+        s[1] += 1
+    se = math.sqrt(sum((s - mean * n) ** 2 for s, n in sums.values())) / len(rows)
+    assert (got["upper"] - got["lower"]) / (2 * 1.96 * se) == pytest.approx(1, abs=0.2)
