@@ -12,7 +12,6 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 from test_llm_operators import DOCS, fresh_library, library_ids
 
 import corpus_pipeline
