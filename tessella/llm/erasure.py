@@ -48,11 +48,14 @@ class Folder:
     part: str
     rows_a_file: int
     n_rows: int
+    listed: DataFrame | None = None
 
     def read(self) -> DataFrame:
-        """All columns, the file number, and with ``_metadata`` what Spark says of the files."""
-        schema = StructType([*self.schema.fields, StructField(self.part, LongType())])
-        return self.spark.read.schema(schema).parquet(self.path) if self.n_rows else self.spark.createDataFrame([], schema)
+        """All columns, the file number, and with ``_metadata`` what Spark says of the files, which are listed once a version."""
+        if self.listed is None:
+            schema = StructType([*self.schema.fields, StructField(self.part, LongType())])
+            self.listed = self.spark.read.schema(schema).parquet(self.path) if self.n_rows else self.spark.createDataFrame([], schema)
+        return self.listed
 
     def rows_of(self, number: int) -> int:
         return min(self.rows_a_file, self.n_rows - number * self.rows_a_file)
@@ -145,6 +148,7 @@ def erase(folder: Folder, key: str, held: DataFrame) -> dict[int, int]:
     for f in sorted(set(gone) - set(rewritten)):
         fs, at = _fs(spark, f"{folder.path}/{part}={f}")
         fs.delete(at, True)
+    folder.listed = None
     return gone
 
 
