@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import erasure, fingerprint, infill, jaccard_join, line_dedup, mixing, packing, quality, search, toxicity, warc, wavelet
+from tessella.llm import erasure, fingerprint, infill, jaccard_join, lattice, line_dedup, mixing, packing, quality, search, toxicity, warc, wavelet
 from tessella.llm.shared import ship
 
 
@@ -32,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_bm25_top_k": _shipped(search.op10_bm25_top_k),
         "op11_erasure": _shipped(erasure.op11_erasure),
         "op12_infill": _shipped(infill.op12_infill),
+        "op13_lattice_score": _shipped(lattice.op13_lattice_score),
     }
 
 
