@@ -3,8 +3,8 @@
 Model. The pieces of an existing subword vocabulary span a lattice over a word:
 every way to cut the word (with the mark of a word's start before it) into pieces is
 a path, a character outside the vocabulary being its byte pieces. A piece's score is
-the logarithm of its smoothed share of the pieces of all training words as the
-vocabulary's own tokenizer cuts them. The forward recursion in log space sums the
+the logarithm of its smoothed share of the pieces of the distinct training words, as
+the vocabulary's own tokenizer cuts them. The forward recursion in log space sums the
 paths' probabilities, so S(word) is the marginal over all segmentations. Pieces never
 cross a word's start, so a document's marginal is the product over its words and one
 end, and each distinct word is recursed over once, whatever its frequency. The words
@@ -12,19 +12,23 @@ of the training documents are pieces of the lattice too, each one edge over the
 whole word, with the weight that its count has beside V pseudo-counts for spelling:
 P(word) = (c + V S(word)) / (N + V). A word never seen is spelled, a frequent one is
 nearly its share; probabilities of all words and the end add up to at most 1.
+Where documents have a class (a language), counts and piece scores are each class's
+own, and the document's probability is the sum over classes of the class's share of
+documents times the product; the class of the document scored is not looked at.
 
 Plan. Texts are read once: a chunk (about CHUNK bytes of whole texts) becomes a row
 with its distinct words and, for each document, word numbers and counts. From then on
 only chunks' distinct words are shuffled: summed to the counts of all words, with
 which the recursion runs over the table of distinct words, and sent back to their
 chunks. Counts grow with the corpus and are nowhere gathered; only the pieces' counts
-(one a piece of the vocabulary) and three totals reach the driver.
+(one a piece of the vocabulary and class) and a few totals reach the driver.
 
 Defined cases: a null or empty text is its end alone; a null id counts as the empty
 string; a text of one very long word is spelled like any other; rows that repeat are
-counted and scored each; equal texts score alike to the last bit, as sums are rounded
-once; without training documents the spelling alone scores; an empty table gives an
-empty table; other columns are not read.
+counted and scored each; equal texts score alike to the last bit, as sums are taken in
+units of 2^-32; classes beyond the most frequent ones, and a null class, are one
+class of their own; without training documents the spelling alone scores; an empty
+table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ from __future__ import annotations
 import functools
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +49,7 @@ from tessella.llm.shared import materialize
 CHUNK = 8 << 20  # bytes of text whose words are told apart together
 SPELL = 1 << 18  # bytes of words recursed over together
 WIDE = 256  # places of a word up to which all words are stepped together
+UNIT = 1 << 32  # sums of log10 are taken in this many parts of 1
 START = "▁".encode()  # how the vocabulary marks a word's start
 
 
@@ -127,17 +133,17 @@ class Lattice:
         return src, to, np.concatenate([piece, self.size + bare])
 
     def marginals(self, data: np.ndarray, offsets: np.ndarray, score: np.ndarray) -> np.ndarray:
-        """Natural logarithm of the summed probability of all segmentations of each word."""
-        n, words = len(data), len(offsets) - 1
+        """Natural logarithm of the summed probability of all segmentations of each word; ``score`` (piece, class)."""
+        n, words, kinds = len(data), len(offsets) - 1, score.shape[1]
         src, to, piece = self.edges(data, offsets)
-        spelled = np.append(0, np.cumsum(score[self.bytes[data]]))
+        spelled = np.concatenate([np.zeros((1, kinds)), np.cumsum(score[self.bytes[data]], 0)])
         inside = piece < self.size
-        weight = np.where(inside, score[np.minimum(piece, self.size - 1)], 0)
+        weight = score[np.minimum(piece, self.size - 1)]
         weight[~inside] = spelled[to[~inside]] - spelled[src[~inside]]
         word = np.searchsorted(offsets, to - 1, "right") - 1
         # Places: a word of m bytes has m + 1; the last place of all stands before every word's start.
         first = offsets[:-1] + np.arange(words)
-        alpha = np.full(n + words + 1, -np.inf)
+        alpha = np.full((n + words + 1, kinds), -np.inf)
         alpha[-1] = 0
         alpha[first] = score[self.start_piece]
         level = to - offsets[word]
@@ -155,14 +161,16 @@ class Lattice:
                 heads = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
                 top = np.maximum.reduceat(v, heads)
                 size = np.diff(np.append(heads, b - a))
-                total = np.add.reduceat(np.exp(v - np.repeat(top, size)), heads)
+                total = np.add.reduceat(np.exp(v - np.repeat(top, size, 0)), heads)
                 alpha[t[heads]] = top + np.log(total)
         if most > WIDE:  # few words are that long: place by place
-            far, one = alpha.tolist(), int(cut[-1])
-            for t, s, w in zip(target[one:].tolist(), source[one:].tolist(), weight[one:].tolist()):
-                x, y = far[t], far[s] + w
-                far[t] = y if x == -math.inf else max(x, y) + math.log1p(math.exp(-abs(x - y)))
-            alpha = np.array(far)
+            one = int(cut[-1])
+            for k in range(kinds):
+                far = alpha[:, k].tolist()
+                for t, s, w in zip(target[one:].tolist(), source[one:].tolist(), weight[one:, k].tolist()):
+                    x, y = far[t], far[s] + w
+                    far[t] = y if x == -math.inf else max(x, y) + math.log1p(math.exp(-abs(x - y)))
+                alpha[:, k] = far
         return alpha[first + np.diff(offsets)]
 
 
@@ -171,13 +179,14 @@ def lattice(path: str) -> Lattice:
     return Lattice(path)
 
 
-def _chunk_rows(kind: str):
-    """Chunks of whole texts: distinct words with their counts in training documents, and each document as word numbers."""
-    names = ["chunk", "words", "trained", "ids", "held", "sizes", "lengths", "slots", "counts"]
+def _chunk_rows(kind: str, kinds: int):
+    """Chunks of whole texts: distinct words with their counts in each class's training documents, and each document as word numbers."""
+    trained = [f"t{k}" for k in range(kinds)]
+    names = ["chunk", "words", *trained, "ids", "held", "sizes", "lengths", "slots", "counts"]
 
-    def pack(number: int, held: list[tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        ids, out = pa.concat_arrays([x[0] for x in held]), np.concatenate([x[1].to_numpy(zero_copy_only=False) for x in held])
-        length, raw = np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])
+    def pack(number: int, parts: list[tuple]) -> pa.RecordBatch:
+        ids, out, of = pa.concat_arrays([x[0] for x in parts]), *(np.concatenate([x[i].to_numpy(zero_copy_only=False) for x in parts]) for i in (1, 2))
+        length, raw = np.concatenate([x[3] for x in parts]), np.concatenate([x[4] for x in parts])
         o = np.append(0, np.cumsum(length))
         raw = B.LOWER[raw]
         start, size = B.words(raw, o, B.SPACE)
@@ -189,128 +198,179 @@ def _chunk_rows(kind: str):
         many = max(len(words), 1)
         pair, count = np.unique(doc * many + slot, return_counts=True)
         pair_doc, pair_slot = pair // many, pair % many
-        trained = np.bincount(pair_slot, count * ~out[pair_doc], minlength=len(words)).astype(np.int64)
+        each = [np.bincount(pair_slot, count * (~out & (of == k))[pair_doc], minlength=len(words)).astype(np.int64) for k in range(kinds)]
         one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-        flat = [words.cast(pa.string()), pa.array(trained), ids, pa.array(out), pa.array(np.bincount(doc, minlength=len(o) - 1).astype(np.int64))]
-        flat += [pa.array(np.bincount(pair_doc, minlength=len(o) - 1).astype(np.int32)), pa.array(pair_slot.astype(np.int32)), pa.array(count.astype(np.int32))]
+        sums = lambda x: np.bincount(x, minlength=len(o) - 1)
+        flat = [words.cast(pa.string()), *map(pa.array, each), ids, pa.array(out), pa.array(sums(doc).astype(np.int64))]
+        flat += [pa.array(sums(pair_doc).astype(np.int32)), pa.array(pair_slot.astype(np.int32)), pa.array(count.astype(np.int32))]
         return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *map(one, flat)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+        number, parts, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
             for a, b, data, o in B.chunks(batch.column(1), CHUNK):
-                if held and size + len(data) > CHUNK:
-                    yield pack(number, held)
-                    number, held, size = number + 1, [], 0
-                held.append((batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), np.diff(o), data.copy()))
+                if parts and size + len(data) > CHUNK:
+                    yield pack(number, parts)
+                    number, parts, size = number + 1, [], 0
+                parts.append((*[batch.column(i).slice(a, b - a) for i in (0, 2, 3)], np.diff(o), data.copy()))
                 size += len(data)
-        if held:
-            yield pack(number, held)
+        if parts:
+            yield pack(number, parts)
         B.trim()
 
-    return run, f"chunk long, words array<string>, trained array<long>, ids array<{kind}>, held array<boolean>, sizes array<long>, lengths array<int>, slots array<int>, counts array<int>"
+    counts = "".join(f"{t} array<long>, " for t in trained)
+    return run, f"chunk long, words array<string>, {counts}ids array<{kind}>, held array<boolean>, sizes array<long>, lengths array<int>, slots array<int>, counts array<int>"
 
 
-def _piece_counts(path: str):
-    """Pieces of a batch's words as the vocabulary's tokenizer cuts them, times the words' counts."""
+def _piece_counts(path: str, kinds: int):
+    """(class, piece, n): how often a piece is in the class's distinct words, as the vocabulary's tokenizer cuts them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _library(path)
-        total = np.zeros(model.get_piece_size(), np.int64)
+        total = np.zeros((kinds, model.get_piece_size()), np.int64)
         for batch in batches:
-            times = batch.column(1).to_numpy()
+            has = [batch.column(1 + k).to_numpy() > 0 for k in range(kinds)]
             for a, b, _, _ in B.chunks(batch.column(0), SPELL):
                 ids = model.encode(batch.column(0).slice(a, b - a).to_pylist(), num_threads=1)
                 size = np.fromiter(map(len, ids), np.int64, b - a)
                 flat = np.fromiter((x for i in ids for x in i), np.int64, int(size.sum()))
-                np.add.at(total, flat, np.repeat(times[a:b], size))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["piece", "n"])
+                for k in range(kinds):
+                    total[k] += np.bincount(flat[np.repeat(has[k][a:b], size)], minlength=total.shape[1])
+        k, piece = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(total[k, piece])], ["k", "piece", "n"])
 
     return run
 
 
-def _spell(path: str, score: np.ndarray):
+@dataclass(frozen=True)
+class Totals:
+    """Of all training documents and of each class."""
+
+    n: int  # tokens, ends too
+    v: int  # distinct tokens
+    ends: np.ndarray  # documents of each class
+    tokens: np.ndarray
+    types: np.ndarray
+
+    def log10(self, c: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+        """log10 P(word) by class, from counts and the marginals' natural logarithms, both (word, class), in parts of 1 / UNIT."""
+        prior = np.maximum(self.types, 1)
+        with np.errstate(divide="ignore"):
+            p = np.logaddexp(np.log(c), np.log(prior) + spelled) - np.log(self.tokens + prior)
+        return np.rint(p / math.log(10) * UNIT).astype(np.int64)
+
+    def base(self, c: np.ndarray) -> np.ndarray:
+        return np.rint(np.log10((c + 1) / (self.n + self.v + 1)) * UNIT).astype(np.int64)
+
+
+def _spell(path: str, score: np.ndarray, totals: Totals):
+    """Each word's count in all classes and its log10 probability in each."""
+    kinds = score.shape[1]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattice(path)
         for batch in batches:
+            c = np.stack([batch.column(1 + k).to_numpy() for k in range(kinds)], 1)
             parts = [own.marginals(data, o, score) for _, _, data, o in B.chunks(batch.column(0), SPELL)]
-            spelled = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spelled)], ["word", "c", "spelled"])
+            logs = totals.log10(c.astype(float), np.concatenate(parts)) if parts else np.zeros((0, kinds), np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1, dtype=np.int32) * kinds), pa.array(logs.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c.sum(1)), lists], ["word", "c", "p"])
 
     return run
 
 
-def _document_scores(n: int, v: int, end: int, end_spelled: float):
-    """Scores of a chunk's documents from its words' counts and marginals."""
-    prior = max(v, 1)
-    ten = math.log(10)
-
-    def model(c: np.ndarray, spelled: np.ndarray) -> np.ndarray:
-        with np.errstate(divide="ignore"):
-            return (np.logaddexp(np.log(c), math.log(prior) + spelled) - math.log(n + prior)) / ten
+def _document_scores(totals: Totals, end: np.ndarray):
+    """Scores of a chunk's documents from its words' counts and probabilities; ``end`` is that of a document's end by class."""
+    kinds, known_end = len(end), int(totals.ends.sum())
+    share = np.log10((totals.ends + 1) / (known_end + kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = float(model(np.array([end], float), np.array([end_spelled]))[0]), math.log10((end + 1) / (n + v + 1))
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, held, sizes, lengths, slots, counts, c, spelled = (batch.column(j).slice(i, 1).flatten() for j in range(8))
-                slots, counts, c, spelled, sizes, lengths = (x.to_numpy() for x in (slots, counts, c, spelled, sizes, lengths))
-                own, plain = model(c.astype(float), spelled)[slots] * counts, np.log10((c + 1) / (n + v + 1))[slots] * counts
-                at = np.append(0, np.cumsum(lengths)).tolist()
-                known = np.append(0, np.cumsum(counts * (c[slots] > 0)))
-                own, plain = own.tolist(), plain.tolist()
-                score = [math.fsum([*own[a:b], last[0]]) for a, b in zip(at, at[1:])]
-                floor = [math.fsum([*plain[a:b], last[1]]) for a, b in zip(at, at[1:])]
-                n_known = np.diff(known[at]) + (end > 0)
-                found = [ids, held, pa.array(sizes + 1), pa.array(n_known.astype(np.int64)), pa.array(np.full(len(sizes), n, np.int64)), pa.array(floor, pa.float64()), pa.array(score, pa.float64())]
+                ids, held, sizes, lengths, slots, counts, c, p = (batch.column(j).slice(i, 1).flatten() for j in range(8))
+                slots, counts, c, sizes, lengths = (x.to_numpy() for x in (slots, counts, c, sizes, lengths))
+                p = p.flatten().to_numpy().reshape(-1, kinds)
+                at = np.append(0, np.cumsum(lengths))
+                sums = lambda x: np.diff(np.append(0, np.cumsum(x))[at])  # noqa: B023, E731
+                base = (sums(totals.base(c)[slots] * counts) + totals.base(np.array(known_end))) / UNIT
+                each = np.stack([(sums(p[slots, k] * counts) + end[k]) / UNIT + share[k] for k in range(kinds)], 1)
+                top = each.max(1, keepdims=True)
+                score = top[:, 0] + np.log10(np.power(10, each - top).sum(1))
+                n_known = sums(counts * (c[slots] > 0)) + (known_end > 0)
+                found = [ids, held, pa.array(sizes + 1), pa.array(n_known.astype(np.int64)), pa.array(np.full(len(sizes), totals.n, np.int64)), pa.array(base), pa.array(score)]
                 yield pa.RecordBatch.from_arrays(found, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        B.trim()
 
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: str = "crc32({id}) % 7 = 2", path: str | None = None) -> DataFrame:
+def score(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    class_col: str | None = None,
+    held_out: str = "crc32({id}) % 7 = 2",
+    path: str | None = None,
+    classes: int = 8,
+) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row per input row.
 
     ``held_out`` is an SQL condition on ``{id}``, the id as text (a null is empty);
-    only the other documents are learned from. ``path`` is a sentencepiece model with
-    byte pieces.
+    only the other documents are learned from. The ``classes`` most frequent values of
+    ``class_col`` in those have counts of their own, all others together. ``path`` is a
+    sentencepiece model with byte pieces.
     """
     path = path or vocabulary_path()
     kind = docs.schema[id_col].dataType.simpleString()
-    as_text = f"coalesce(cast(`{id_col}` as string), '')"
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.expr(held_out.format(id=as_text)).alias("held"))
-    run, schema = _chunk_rows(kind)
+    held = F.expr(held_out.format(id=f"coalesce(cast(`{id_col}` as string), '')"))
+    names, of = [], F.lit(0)
+    if class_col is not None:
+        column = F.col(f"`{class_col}`")
+        counts = docs.filter(~held & column.isNotNull()).groupBy(column.alias("k")).count().orderBy(F.desc("count"), "k").limit(classes)
+        names = [r["k"] for r in counts.collect()]
+        of = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in names]), column).cast("int"), F.lit(0)) if names else F.lit(0)
+    kinds = len(names) + 1  # 0 is what is in none of the named ones
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), held.alias("held"), of.alias("k"))
+    run, schema = _chunk_rows(kind, kinds)
     chunks = materialize(rows.mapInArrow(run, schema), "lm-chunks")
-    # Counts of all words; words of held-out documents alone have the count 0.
-    flat = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "trained")).alias("slot", "w"))
-    flat = flat.select("chunk", "slot", F.col("w.words").alias("word"), F.col("w.trained").alias("trained"))
-    words = materialize(flat.groupBy("word").agg(F.sum("trained").alias("c")), "lm-words")
-    end = chunks.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0))).first()[0]
-    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    n, v = n + end, v + (end > 0)
-    # Piece scores, one a piece of the vocabulary, and the marginals of all words.
+    ends = {r["k"]: r["n"] for r in rows.filter(~F.col("held")).groupBy("k").agg(F.count("*").alias("n")).collect()}
+    ends = np.array([ends.get(k, 0) for k in range(kinds)])
+    # Counts of all words by class; words of held-out documents alone have none.
+    trained = [f"t{k}" for k in range(kinds)]
+    flat = chunks.select("chunk", F.posexplode(F.arrays_zip("words", *trained)).alias("slot", "w"))
+    words = flat.groupBy(F.col("w.words").alias("word")).agg(*[F.sum(f"w.{t}").alias(t) for t in trained])
+    words = materialize(words, "lm-words")
+    seen = sum((F.col(t) for t in trained), F.lit(0)) > 0
+    sums = [x for t in trained for x in (F.coalesce(F.sum(t), F.lit(0)), F.count_if(F.col(t) > 0))]
+    got = list(words.agg(F.count_if(seen), *sums).first())
+    tokens, types = np.array(got[1::2]) + ends, np.array(got[2::2]) + (ends > 0)
+    totals = Totals(int(tokens.sum()), got[0] + int(ends.sum() > 0), ends, tokens, types)
+    # Piece scores: one number a piece of the vocabulary and class.
     size = _library(path).get_piece_size()
-    found = words.filter("c > 0").mapInArrow(_piece_counts(path), "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-    times = np.ones(size + 1)
-    for r in found:
-        times[r["piece"]] += r["n"]
-    times[size] += end
-    scores = np.log(times / times.sum())
-    end_spelled = math.log(times[size] / (times[lattice(path).starts].sum() + times[size]))  # the share of ends where a word may start
-    spelled = materialize(words.mapInArrow(_spell(path, scores[:size]), "word string, c long, spelled double"), "lm-marginals")
+    found = words.filter(seen).mapInArrow(_piece_counts(path, kinds), "k int, piece int, n long").groupBy("k", "piece").agg(F.sum("n").alias("n"))
+    times = np.ones((size + 1, kinds))
+    for r in found.collect():
+        times[r["piece"], r["k"]] += r["n"]
+    times[size] += ends
+    scores = np.log(times / times.sum(0))
+    end_spelled = np.log(times[size] / (times[lattice(path).starts].sum(0) + times[size]))  # the share of ends where a word may start
+    spelled = words.mapInArrow(_spell(path, scores[:size], totals), "word string, c long, p array<long>")
+    spelled = materialize(spelled, "lm-marginals")
     # Back to the chunks.
-    back = flat.select("chunk", "slot", "word").join(spelled, "word")
-    back = back.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("slot", "c", "spelled"))).alias("s"))
-    documents = chunks.select("chunk", "ids", "held", "sizes", "lengths", "slots", "counts")
+    back = flat.select("chunk", "slot", F.col("w.words").alias("word")).join(spelled, "word")
+    back = back.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("slot", "c", "p"))).alias("s"))
+    documents = ["ids", "held", "sizes", "lengths", "slots", "counts"]
     none = lambda t: F.array().cast(f"array<{t}>")
-    met = documents.join(back, "chunk", "left").select("ids", "held", "sizes", "lengths", "slots", "counts", F.coalesce("s.c", none("long")).alias("c"), F.coalesce("s.spelled", none("double")).alias("spelled"))
+    met = chunks.select("chunk", *documents).join(back, "chunk", "left")
+    met = met.select(*documents, F.coalesce("s.c", none("long")).alias("c"), F.coalesce("s.p", none("array<long>")).alias("p"))
+    end = totals.log10(ends.astype(float)[None, :], end_spelled[None, :])[0]
     return met.mapInArrow(
-        _document_scores(n, v, end, end_spelled), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        _document_scores(totals, end), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
 
 
 def op13_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    return score(docs, class_col="lang")

@@ -71,22 +71,22 @@ def test_marginal_is_the_sum_over_all_segmentations(library, pieces):
     words = ["a", "the", "international", "ofthoulyha.", "naïve", "日本語", "x▁y", "𝄞𝄞", "▁", "ñasjaque!!", "\x00\x01", "é"]
     raw = [w.encode() for w in words]
     o = np.append(0, np.cumsum([len(x) for x in raw]))
-    got = lattice.lattice(lattice.vocabulary_path()).marginals(np.frombuffer(b"".join(raw), np.uint8), o, np.log(share))
+    got = lattice.lattice(lattice.vocabulary_path()).marginals(np.frombuffer(b"".join(raw), np.uint8), o, np.log(share)[:, None])[:, 0]
     for w, g in zip(words, got.tolist()):
         assert g == pytest.approx(math.log(sum(all_cuts(w, share, pieces))), rel=1e-9) and g == pytest.approx(math.log(summed(w, share, pieces)), rel=1e-9)
 
 
 def test_long_words_and_no_words(library):
-    score = np.full(library.get_piece_size(), -9.0)
+    score = np.full((library.get_piece_size(), 2), -9.0)
     own = lattice.lattice(lattice.vocabulary_path())
-    assert own.marginals(np.zeros(0, np.uint8), np.zeros(1, np.int64), score).tolist() == []
+    assert own.marginals(np.zeros(0, np.uint8), np.zeros(1, np.int64), score).shape == (0, 2)
     rng = random.Random(5)
     short = "".join(rng.choice("aebqé日") for _ in range(lattice.WIDE // 3))
     one = own.marginals(np.frombuffer(short.encode(), np.uint8), np.array([0, len(short.encode())]), score)
     joined = (short + "\x01" * 200 + short).encode()  # bytes cut the word in two
     two = own.marginals(np.frombuffer(joined, np.uint8), np.array([0, len(joined)]), score)
     tail = own.marginals(np.frombuffer(short.encode() * 1, np.uint8), np.array([0, len(short.encode())]), score)
-    assert len(joined) > lattice.WIDE and two[0] < one[0] + tail[0] and np.isfinite(two[0])
+    assert len(joined) > lattice.WIDE and two[0, 0] < one[0, 0] + tail[0, 1] and np.isfinite(two).all()
     text = ("ab" * 600).encode()
     known, wide = lattice.WIDE, own.marginals(np.frombuffer(text, np.uint8), np.array([0, len(text)]), score)
     lattice.WIDE = 1 << 20
@@ -96,30 +96,43 @@ def test_long_words_and_no_words(library):
         lattice.WIDE = known
 
 
-def plain(rows, library, pieces):
-    held = [zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2 for i, _ in rows]
-    texts = [WORD.findall((t or "").translate(LOW)) for _, t in rows]
+def plain(rows, library, pieces, classes=8):
+    rows = [(*r, None)[:3] for r in rows]
+    held = [zlib.crc32(b"" if r[0] is None else str(r[0]).encode()) % 7 == 2 for r in rows]
+    texts = [WORD.findall((r[1] or "").translate(LOW)) for r in rows]
+    langs = collections.Counter(r[2] for h, r in zip(held, rows) if not h and r[2] is not None)
+    names = sorted(langs, key=lambda k: (-langs[k], k))[:classes]
+    of = [1 + names.index(r[2]) if r[2] in names else 0 for r in rows]
     count = collections.Counter(w for h, t in zip(held, texts) if not h for w in t)
     end = held.count(False)
     n, v = sum(count.values()) + end, len(count) + (end > 0)
     size = library.get_piece_size()
-    times = np.ones(size + 1)
-    for w, c in count.items():
-        for i in library.encode(w):
-            times[i] += c
-    times[size] += end
-    share = (times / times.sum()).tolist()
-    starts = sum(times[i] for p, i in pieces[0].items() if p[0] == "▁")
-    prior, memo = max(v, 1), {}
+    models = []
+    for k in range(len(names) + 1):
+        own = collections.Counter(w for h, t, x in zip(held, texts, of) if not h and x == k for w in t)
+        docs = sum(not h and x == k for h, x in zip(held, of))
+        times = np.ones(size + 1)
+        for w in own:
+            for i in library.encode(w):
+                times[i] += 1
+        times[size] += docs
+        share = (times / times.sum()).tolist()
+        starts = sum(times[i] for p, i in pieces[0].items() if p[0] == "▁")
+        tokens, types = sum(own.values()) + docs, len(own) + (docs > 0)
+        models.append((own, docs, share, times[size] / (starts + times[size]), tokens, max(types, 1), {}))
     out = []
-    for (i, _), h, t in zip(rows, held, texts):
-        base, own = math.log10((end + 1) / (n + v + 1)), math.log10((end + prior * times[size] / (starts + times[size])) / (n + prior))
-        for w in t:
-            if w not in memo:
-                memo[w] = summed(w, share, pieces)
-            base += math.log10((count[w] + 1) / (n + v + 1))
-            own += math.log10((count[w] + prior * memo[w]) / (n + prior))
-        out.append((i, h, len(t) + 1, sum(count[w] > 0 for w in t) + (end > 0), n, pytest.approx(base, rel=1e-9), pytest.approx(own, rel=1e-9)))
+    for (i, *_), h, t in zip(rows, held, texts):
+        base = math.log10((end + 1) / (n + v + 1)) + sum(math.log10((count[w] + 1) / (n + v + 1)) for w in t)
+        each = []
+        for own, docs, share, stop, tokens, prior, memo in models:
+            p = math.log10((docs + 1) / (end + len(models))) + math.log10((docs + prior * stop) / (tokens + prior))
+            for w in t:
+                if w not in memo:
+                    memo[w] = summed(w, share, pieces)
+                p += math.log10((own[w] + prior * memo[w]) / (tokens + prior))
+            each.append(p)
+        p = max(each) + math.log10(sum(10 ** (x - max(each)) for x in each))
+        out.append((i, h, len(t) + 1, sum(count[w] > 0 for w in t) + (end > 0), n, pytest.approx(base, rel=1e-8), pytest.approx(p, rel=1e-8)))
     return out
 
 
@@ -129,7 +142,7 @@ def in_order(rows):
 
 def test_whole_query_equals_plain_dictionaries(spark, library, pieces):
     ship(spark)
-    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = [tuple(r) for r in lattice.op13_lattice_score(spark, SF).collect()]
     assert in_order(got) == in_order(plain(docs, library, pieces))
 
@@ -142,6 +155,9 @@ def test_edge_cases(spark, library, pieces, monkeypatch):
     got = [tuple(r) for r in lattice.score(df.repartition(3)).collect()]
     assert in_order(got) == in_order(plain(rows, library, pieces))
     assert len({r[-1] for r in got if r[0] == 3}) == 1
+    langs = [(i, t, ["a", None, "b", "c", "b"][j % 5]) for j, (i, t) in enumerate(rows)]
+    got = lattice.score(spark.createDataFrame(langs, "doc_id long, text string, lang string").repartition(2), class_col="lang", classes=2).collect()
+    assert in_order([tuple(r) for r in got]) == in_order(plain(langs, library, pieces, classes=2))
     assert lattice.score(df.limit(0)).count() == 0
     none = lattice.score(spark.createDataFrame([(5, "only held out")], "doc_id long, text string"), held_out="{id} = '5'").first()
     assert (none.held_out, none.n_tokens, none.n_known, none.train_tokens, none.base_score) == (True, 4, 0, 0, 0.0) and none.score < -1
