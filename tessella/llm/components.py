@@ -31,29 +31,46 @@ def attach(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, comp) of every node of a link; comp is the component's smallest node.
 
-    Each round a node takes the smallest among its own label, its neighbours' and
-    its label's label, so that the rounds grow with the logarithm of a component's
-    width. Only one count a round comes to the driver. Neither a node of many links
+    Contraction in rounds: a node points to the neighbour first in this round's order
+    (a hash of the node and the round) if that comes before itself, takes the label
+    that its pointer points to, and links go on between labels, each once. A node that
+    points nowhere comes before all its neighbours, which in an order by chance is one
+    node in two at most, so the expected rounds are the logarithm of the nodes, whatever
+    form a component has and however its nodes are numbered, and the links that are
+    left shrink with them. The rounds' labels are joined from the last to the first.
+    Only whether links are left comes to the driver; neither a node of many links
     nor a component of many nodes is one task's work.
     """
     edges = links.select(F.col(a).alias("u"), F.col(b).alias("v"))
     edges = materialize(edges.union(edges.select("v", "u")).filter("u <> v").distinct(), "links")
-    hubs = materialize(frequent(edges, ["v"]), "link-hubs")
-    labels = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("comp"))
-    labels = materialize(labels, "labels")
-    while True:
-        near = attach(edges, labels.select(F.col("node").alias("v"), "comp"), ["v"], hot=hubs)
-        near = near.groupBy(F.col("u").alias("node")).agg(F.min("comp").alias("m"))
-        up = attach(labels, labels.select(F.col("node").alias("comp"), F.col("comp").alias("up")), ["comp"])
-        step = up.join(near, "node").select("node", F.least("comp", "up", "m").alias("comp"), F.col("comp").alias("was"))
-        step, spent = materialize(step, "labels"), labels
-        labels = step.select("node", "comp")
-        labels.written_at = step.written_at
-        discard(spent)
-        if step.filter("comp <> was").isEmpty():
-            for table in (edges, hubs):
-                discard(table)
-            return labels
+    rounds: list[DataFrame] = []
+    while not rounds or not edges.isEmpty():
+        hubs = materialize(frequent(edges, ["u"]), "link-hubs")
+        place = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(rounds))).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
+        first = edges.groupBy("u").agg(F.min(place("v")).alias("m"))
+        points = materialize(first.select("u", F.when(F.col("m") < place("u"), F.col("m.v")).otherwise(F.col("u")).alias("p")), "link-points")
+        label = attach(points, points.select(F.col("u").alias("p"), F.col("p").alias("f")), ["p"]).select("u", "f")
+        label = materialize(label, "link-labels")
+        near = attach(edges, label, ["u"], hot=hubs).select("v", F.col("f").alias("a"))
+        near = attach(near, label.select(F.col("u").alias("v"), "f"), ["v"], hot=hubs.select(F.col("u").alias("v")))
+        left = materialize(near.filter("a <> f").select(F.col("a").alias("u"), F.col("f").alias("v")).distinct(), "links")
+        for spent in (edges, hubs, points):
+            discard(spent)
+        edges = left
+        rounds.append(label)
+    discard(edges)
+    label = rounds[-1]
+    for earlier in reversed(rounds[:-1]):  # a label without links in the next round stays
+        later = label.select(F.col("u").alias("f"), F.col("f").alias("g"))
+        met = attach(earlier, later, ["f"], "left").select("u", F.coalesce("g", "f").alias("f"))
+        met = materialize(met, "link-labels")
+        for spent in (earlier, label):
+            discard(spent)
+        label = met
+    least = label.groupBy("f").agg(F.min("u").alias("comp"))
+    out = materialize(attach(label, least, ["f"]).select(F.col("u").alias("node"), "comp"), "labels")
+    discard(label)
+    return out
 
 
 def mark_repeats(rows: DataFrame, keys: list[str], counts: DataFrame | None = None) -> DataFrame:

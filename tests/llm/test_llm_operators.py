@@ -605,3 +605,38 @@ def test_search_skips_blocks(monkeypatch):
 def test_search_empty(docs, empty):
     assert search.top_k(empty, docs.filter("doc_id = 0")).count() == 0
     assert search.top_k(docs, empty).count() == 0
+
+
+def plain_components(links):
+    comp = {}
+    for a, b in links:
+        comp.setdefault(a, a), comp.setdefault(b, b)
+    for a, b in links:
+        x, y = comp[a], comp[b]
+        if x != y:
+            comp = {k: min(x, y) if v in (x, y) else v for k, v in comp.items()}
+    return comp
+
+
+def test_components_of_a_peaked_path_take_few_rounds(spark, monkeypatch):
+    from tessella.llm import components as module
+
+    rounds = []
+    kept = module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df, label: (rounds.append(label), kept(df, label))[1])
+    n = 1600  # numbers rise to a peak and fall again
+    order = list(range(0, n, 2)) + list(range(n - 1, 0, -2))
+    links = list(zip(order, order[1:]))
+    got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(n), 0)
+    assert rounds.count("link-points") <= 25
+
+
+def test_components_of_any_form(spark):
+    rng = random.Random(12)
+    links = [(0, i) for i in range(1, 200)] + [(500 + i, 900) for i in range(100)] + [(i, i) for i in range(2000, 2005)]
+    links += [(a, a + rng.randint(1, 9)) for a in rng.sample(range(3000, 4000), 260)] + [(7, 8), (8, 7), (7, 8)]
+    rng.shuffle(links)
+    got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {k: v for k, v in plain_components([x for x in links if x[0] != x[1]]).items()}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
