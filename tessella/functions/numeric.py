@@ -98,6 +98,26 @@ def fixed_bins(c, edges: list[float]) -> Column:
 # Binomial tails on the driver (no scientific library is assumed).
 
 
+def incomplete_beta(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction (modified Lentz); work grows as the root of a and b."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - incomplete_beta(b, a, 1 - x)
+    tiny = 1e-300
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    safe = lambda v: v if abs(v) > tiny else tiny
+    c, d = 1.0, 1 / safe(1 - (a + b) * x / (a + 1))
+    out, m = d, 0
+    while True:
+        m += 1
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / safe(1 + term * d), safe(1 + term / c)
+            out *= c * d
+        if abs(c * d - 1) < 1e-15 or m > 100_000:
+            return min(1.0, front * out)
+
+
 def binomial_cdf(k: int, n: int, p: float) -> float:
     """P(X <= k)."""
     if k < 0:
@@ -106,9 +126,7 @@ def binomial_cdf(k: int, n: int, p: float) -> float:
         return 1.0
     if p >= 1:
         return 0.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
+    return incomplete_beta(n - k, k + 1, 1 - p)
 
 
 def clopper_pearson_upper(k: int, n: int, confidence: float = 0.95) -> float:
@@ -128,6 +146,25 @@ def mcnemar_exact(b: int, c: int) -> float:
     return 1.0 if n == 0 else 1.0 - binomial_cdf(b - 1, n, 0.5)
 
 
+def mcnemar_two_sided(b: int, c: int) -> float:
+    """Two-sided exact p of b and c discordant rows."""
+    return 1.0 if b + c == 0 or b == c else min(1.0, 2 * binomial_cdf(min(b, c), b + c, 0.5))
+
+
+def mcnemar_clustered(b: int, c: int, design_effect: float) -> tuple[float, int, int]:
+    """(p, smaller side, rows) with the discordant rows shrunk by a design effect first, which is conservative."""
+    n = round((b + c) / design_effect)
+    if n < 1:
+        return 1.0, 0, 0
+    k = min(round(min(b, c) / design_effect), n // 2)
+    return mcnemar_two_sided(k, n - k), k, n
+
+
+def bonferroni(p: float, declared: int) -> float:
+    """p times the declared size of the family, at most 1."""
+    return min(1.0, p * declared)
+
+
 def born_repulsion(contact, distance, power: int = 9) -> Column:
     """(contact / distance)^power."""
     return F.pow(_c(contact) / _c(distance), power)

@@ -66,13 +66,45 @@ def fractional_formula(formula: Column | str) -> Column:
     return F.map_from_arrays(keys, F.transform(keys, add))
 
 
-def rational_key(formula: Column | str, decimals: int = 6) -> Column:
-    """Reduced whole-number composition of a formula with decimal amounts, exact to ``decimals`` places: Ca0.5Ti0.5 -> Ca1|Ti1."""
+def nearest_fraction(value: Column, most: int = 10_000) -> Column:
+    """struct<num, den>: the fraction with a denominator of at most ``most`` that lies nearest to a number of at most 12 decimals.
+
+    The continued fraction's convergents up to the bound, then the better of the last
+    one and the last semiconvergent (the convergent, if both are as near).
+    """
+    unit = 10**12
+    whole = (value.cast("decimal(30,12)") * unit).cast("decimal(38,0)").cast("long")
+    long = lambda n: F.lit(n).cast("long")
+    state = lambda p0, q0, p1, q1, n, d: F.struct(p0.alias("p0"), q0.alias("q0"), p1.alias("p1"), q1.alias("q1"), n.alias("n"), d.alias("d"))
+
+    def step(s: Column, _: Column) -> Column:
+        a = F.round((s["n"] - s["n"] % F.nullif(s["d"], F.lit(0))) / s["d"]).cast("long")
+        nxt = state(s["p1"], s["q1"], s["p0"] + a * s["p1"], s["q0"] + a * s["q1"], s["d"], s["n"] - a * s["d"])
+        return F.when((s["d"] == 0) | (s["q0"] + a * s["q1"] > most), s).otherwise(nxt)
+
+    def chosen(s: Column) -> Column:
+        k = F.floor((most - s["q0"]) / s["q1"])
+        num, den = s["p0"] + k * s["p1"], s["q0"] + k * s["q1"]
+        last = (s["d"] == 0) | (2 * s["d"] * den <= unit)
+        return F.struct(F.when(last, s["p1"]).otherwise(num).alias("num"), F.when(last, s["q1"]).otherwise(den).alias("den"))
+
+    # Denominators grow at least like Fibonacci's numbers.
+    steps = 3 + int(2.1 * most.bit_length())
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), state(long(0), long(1), long(1), long(0), whole, long(unit)), step, chosen)
+
+
+def rational_key(formula: Column | str, most: int = 10_000) -> Column:
+    """Reduced whole-number composition of a formula with decimal amounts, each taken as its nearest fraction: Ca0.333333Ti0.666667 -> Ca1|Ti2.
+
+    NULL without an element, or where the whole numbers don't fit 64 bits.
+    """
     m = fractional_formula(formula)
-    keys, whole = F.map_keys(m), F.transform(F.map_values(m), lambda v: F.rint(v * 10**decimals).cast("long"))
+    keys, parts = F.map_keys(m), F.transform(F.map_values(m), lambda v: nearest_fraction(v, most))
+    common = F.aggregate(parts, F.lit(1).cast("long"), lambda a, x: F.try_multiply(a, (x["den"] / _gcd(a, x["den"])).cast("long")))
+    whole = F.transform(parts, lambda x: F.try_multiply(x["num"], (common / x["den"]).cast("long")))
     g = F.aggregate(whole, F.lit(0).cast("long"), lambda a, n: _gcd(n, a))
-    parts = F.zip_with(keys, whole, lambda e, n: F.concat(e, (n / F.nullif(g, F.lit(0))).cast("long").cast("string")))
-    return F.when(F.size(keys) > 0, F.array_join(parts, "|"))
+    out = F.zip_with(keys, whole, lambda e, n: F.concat(e, (n / F.nullif(g, F.lit(0))).cast("long").cast("string")))
+    return F.when((F.size(keys) > 0) & ~F.exists(whole, lambda n: n.isNull()), F.array_join(out, "|"))
 
 
 def leaky_names(names: list[str], blocked: list[str]) -> list[str]:

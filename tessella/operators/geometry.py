@@ -188,17 +188,56 @@ def network_strengths(edges: DataFrame, structure: str) -> DataFrame:
 
 
 def charge_balance(compositions: DataFrame, identity: str, elements: str, counts: str, valences: dict[str, list[int]]) -> DataFrame:
-    """(identity, balanced, assignment): the first choice of one valence an element that adds up to zero, in listed order."""
+    """(identity, balanced, assignment): the first choice of one valence an element that adds up to zero, in listed order.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for i, els, ns in zip(pdf[identity], pdf[elements], pdf[counts]):
-                choice = next(
-                    (v for v in itertools.product(*[valences.get(e, []) for e in els]) if sum(a * n for a, n in zip(v, ns)) == 0), None
-                ) if els is not None and len(els) else None
-                out.append((i, choice is not None, ",".join(f"{e}{v:+d}" for e, v in zip(els, choice)) if choice else None))
-            yield pd.DataFrame(out, columns=[identity, "balanced", "assignment"])
-
-    kind = compositions.schema[identity].dataType.simpleString()
-    return compositions.select(identity, elements, counts).mapInPandas(run, f"{identity} {kind}, balanced boolean, assignment string")
+    Element by element the charge totals that can be reached are kept, each with the
+    first choice that reaches it, so that work grows with the totals and not with the
+    number of choices. An element without valences is never balanced.
+    """
+    table = F.create_map(*[F.lit(x) for k, v in valences.items() for x in (k, F.array(*[F.lit(int(z)) for z in v]))]) if valences else None
+    known = lambda e: F.coalesce(F.try_element_at(table, e), F.array().cast("array<int>")) if valences else F.array().cast("array<int>")
+    kind = "array<struct<total:bigint,chosen:array<string>>>"
+    named = lambda e, z: F.concat(e, F.when(z >= 0, F.lit("+")).otherwise(F.lit("")), z.cast("string"))
+
+    def step(reached: Column, x: Column) -> Column:
+        grown = F.flatten(
+            F.transform(
+                reached,
+                lambda r: F.transform(
+                    known(x["e"]),
+                    lambda z: F.struct((r["total"] + z * x["n"]).alias("total"), F.concat(r["chosen"], F.array(named(x["e"], z))).alias("chosen")),
+                ),
+            )
+        )
+        totals = F.transform(grown, lambda g: g["total"])
+        # In listed order, so the first of a total is its first choice.
+        return F.filter(grown, lambda g, i: F.array_position(totals, g["total"]) == i + 1)
+
+    pairs = F.zip_with(elements, counts, lambda e, n: F.struct(e.alias("e"), n.cast("long").alias("n")))
+    start = F.array(F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<string>").alias("chosen"))).cast(kind)
+    reached = F.aggregate(pairs, start, lambda r, x: step(r, x).cast(kind))
+    hit = F.get(F.filter(reached, lambda r: r["total"] == 0), F.lit(0))["chosen"]
+    hit = F.when(F.size(F.col(elements)) > 0, hit)
+    return compositions.select(identity, F.coalesce(hit.isNotNull(), F.lit(False)).alias("balanced"), F.array_join(hit, ",").alias("assignment"))
+
+
+def mean_valences(elements: Column, counts: Column, anions: dict[str, int], fixed: dict[str, int], most: float = 8.0) -> Column:
+    """map of element to its mean valence where no whole-number choice is asked for, NULL where it isn't determined.
+
+    Elements of ``anions`` and ``fixed`` take those charges; a lone kind of cation, or
+    the one kind that is in neither, takes what is left by its count. With several such
+    kinds, or a charge outside (0, most] for one beside fixed cations, there is none.
+    """
+    table = lambda d: F.create_map(*[F.lit(x) for k, v in d.items() for x in (k, float(v))])
+    pairs = F.zip_with(elements, counts, lambda e, n: F.struct(e.alias("e"), n.cast("double").alias("n")))
+    negative, common = (lambda e: F.try_element_at(table(anions), e)), (lambda e: F.try_element_at(table(fixed), e))
+    cations = F.filter(pairs, lambda x: negative(x["e"]).isNull())
+    variable = F.filter(cations, lambda x: common(x["e"]).isNull())
+    total = lambda xs, charge: F.aggregate(xs, F.lit(0.0), lambda a, x: a + F.coalesce(charge(x["e"]), F.lit(0.0)) * x["n"])
+    left = -total(pairs, negative)
+    alone = left / F.get(cations, F.lit(0))["n"]
+    share = (left - total(cations, common)) / F.get(variable, F.lit(0))["n"]
+    one = F.size(cations) == 1
+    ok = (F.size(cations) > 0) & (F.size(pairs) > F.size(cations)) & (one | ((F.size(variable) == 1) & (share > 0) & (share <= most)))
+    value = lambda x: F.coalesce(negative(x["e"]), F.when(one, alone), common(x["e"]), share)
+    return F.when(ok, F.map_from_entries(F.transform(pairs, lambda x: F.struct(x["e"], value(x)))))

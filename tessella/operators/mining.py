@@ -1,9 +1,8 @@
 """Candidate rules from quantiles of a reference population, and searches over them.
 
-Candidates are data (``Candidate``). Judging any number of them is one wide
-aggregate a batch of ``BATCH`` expressions (a limit of code generation, not of the
-candidates); searches loop on the driver, one aggregate a step, and hold only
-candidates and rates there.
+Candidates are data (``Candidate``). Any number of them is judged from one histogram
+of cells a table (``cells.rule_rates``); searches loop on the driver over outcomes
+packed into bits (``masks``), one scan a step, and hold only candidates and rates there.
 """
 
 from __future__ import annotations
@@ -14,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.cells import rule_rates
+from tessella.operators.masks import Bits, joint_counts, pack
 from tessella.operators.quantiles import quantile_lists
 
 BATCH = 300
@@ -159,12 +160,15 @@ def distinct(candidates: list[Candidate]) -> list[Candidate]:
 
 
 def judge(real: DataFrame, bad: DataFrame, candidates: list[Candidate], satisfaction: float = 0.0, rejection: float = 0.0) -> list[Candidate]:
-    """The candidates that pass both gates, with their rates, best rejection first."""
-    s = evaluate(real, [F.avg(c.passes().cast("double")) for c in candidates])
-    r = evaluate(bad, [F.avg((~c.passes()).cast("double")) for c in candidates])
+    """The candidates that pass both gates, with their rates, best rejection first; one scan a table, however many they are."""
+    if not candidates:
+        return []
+    rules = catalogue(real.sparkSession, candidates).drop("satisfaction", "rejection")
+    rates = {tuple(r)[:7]: (r["satisfaction"] or 0.0, r["rejection"] or 0.0) for r in rule_rates(real, bad, rules.distinct()).collect()}
     out = []
-    for c, a, b in zip(candidates, s, r):
-        if (a or 0) >= satisfaction and (b or 0) >= rejection:
+    for c in candidates:
+        a, b = rates[c.key]
+        if a >= satisfaction and b >= rejection:
             out.append(Candidate(*c.key, rates={"satisfaction": a, "rejection": b}))
     return sorted(out, key=lambda c: (-c.rates["rejection"], -c.rates["satisfaction"], str(c.key)))
 
@@ -192,30 +196,34 @@ def greedy(
 
     Each step takes the law with the largest gain that keeps the joint satisfaction
     at the floor. With ``killed`` (good rows that must not be lost) the gain is
-    exclusion of bad rows minus that of those. A step is one aggregate a table and
-    batch; the state is a predicate, not a stored mask.
+    exclusion of bad rows minus that of those. Outcomes are packed into bits once a
+    table; a step is one scan of those.
     """
-    laws: list[Candidate] = []
-    path, joint, lost = [], 0.0, 0.0
-    for _ in range(steps):
-        state = all_pass(laws)
-        rate = lambda c: F.avg((state & c.passes()).cast("double"))  # noqa: B023, E731
-        s = evaluate(real, [rate(c) for c in candidates])
-        e = [1 - (x if x is not None else 1) for x in evaluate(bad, [rate(c) for c in candidates])]
-        k = [1 - (x if x is not None else 1) for x in evaluate(killed, [rate(c) for c in candidates])] if killed is not None else [0.0] * len(e)
+    passes = [c.passes() for c in candidates]
+    good, wrong, lost_of = pack(real, passes), pack(bad, passes), pack(killed, passes) if killed is not None else None
+    path, laws, joint, lost = [], (), 0.0, 0.0
+    for _ in range(steps if candidates else 0):
+        s, e = _shares(good, laws), [1 - x for x in _shares(wrong, laws)]
+        k = [1 - x for x in _shares(lost_of, laws)] if lost_of else [0.0] * len(e)
         best = None
-        for c, a, b, d in zip(candidates, s, e, k):
+        for i, (c, a, b, d) in enumerate(zip(candidates, s, e, k)):
             gain = (b - joint) - (d - lost)
-            if (a or 0) >= floor and c not in laws and (best is None or (round(gain, 12), round(a, 12)) > (round(best[0], 12), round(best[2], 12))):
-                best = (gain, c, a, b, d)
+            if good.totals and a >= floor and c not in [candidates[j] for j in laws] and (best is None or (round(gain, 12), round(a, 12)) > (round(best[0], 12), round(best[2], 12))):
+                best = (gain, i, a, b, d)
         if best is None or best[0] < least_gain:
             break
-        _, law, a, joint, lost = best
-        laws.append(law)
-        path.append((law, a, joint))
+        _, i, a, joint, lost = best
+        laws = (*laws, i)
+        path.append((candidates[i], a, joint))
     return path
 
 
+def _shares(bits: Bits, laws: tuple[int, ...]) -> list[float]:
+    """Of each rule the share of rows that pass it and all of ``laws``; 1 for an empty table."""
+    n = sum(bits.totals.values())
+    return [x / n for x in sum(joint_counts(bits, [laws]).values())[0].tolist()] if n else [1.0] * bits.rules
+
+
 def pareto_beam(
     real: DataFrame,
     bad: DataFrame,
@@ -231,36 +239,33 @@ def pareto_beam(
     """Rule sets found by a beam: half the width by rejection + half the least rejection of a kind, the rest by
     rejection per lost satisfaction. A feature is used once, candidates are added in index order; floors hold
     overall and, if asked, in every stratum of the reference."""
-    kinds = sorted(r[0] for r in bad.select(kind).distinct().collect() if r[0] is not None)
+    passes = [c.passes() for c in candidates]
+    good, wrong = pack(real, passes, F.col(stratum) if stratum else None), pack(bad, passes, F.col(kind))
+    n_good, n_wrong = sum(good.totals.values()), sum(wrong.totals.values())
+    floors = [k for k in good.totals if stratum and k is not None]
     beam: list[dict] = [{"laws": (), "satisfaction": 1.0, "rejection": 0.0}]
     kept: list[dict] = []
-    for _ in range(depth):
-        grown = [
-            (s, i)
-            for s in beam
-            for i in range((s["laws"][-1] + 1) if s["laws"] else 0, len(candidates))
-            if candidates[i].feature not in {candidates[j].feature for j in s["laws"]}
-        ]
-        if not grown:
-            break
-        sets = [(*s["laws"], i) for s, i in grown]
-        ok = [all_pass([candidates[i] for i in x]) for x in sets]
-        sat = evaluate(real, [F.avg(o.cast("double")) for o in ok])
-        rej = evaluate(bad, [F.avg((~o).cast("double")) for o in ok])
-        per_kind = evaluate_by(bad, kind, [F.avg((~o).cast("double")) for o in ok])
-        by = [per_kind[k] for k in kinds if k in per_kind]
-        per_stratum = evaluate_by(real, stratum, [F.avg(o.cast("double")) for o in ok]) if stratum else {}
-        floors = [v for k, v in per_stratum.items() if k is not None]
+    for _ in range(depth if n_good and n_wrong else 0):
+        sets = [d["laws"] for d in beam]
+        g, w = joint_counts(good, sets), joint_counts(wrong, sets)
+        all_good, all_wrong = sum(g.values()), sum(w.values())
         new = []
-        for n, ((s, _), x) in enumerate(zip(grown, sets)):
-            if sat[n] < floor or any((f[n] if f[n] is not None else 1) < stratum_floor for f in floors) or rej[n] - s["rejection"] < least_gain:
-                continue
-            worst = min((b[n] for b in by if b[n] is not None), default=0.0)
-            new.append({"laws": x, "satisfaction": sat[n], "rejection": rej[n], "worst_kind": worst})
+        for n, d in enumerate(beam):
+            used = {candidates[j].feature for j in d["laws"]}
+            for i in range((d["laws"][-1] + 1) if d["laws"] else 0, len(candidates)):
+                if candidates[i].feature in used:
+                    continue
+                satisfaction, rejection = all_good[n, i] / n_good, (n_wrong - all_wrong[n, i]) / n_wrong
+                if satisfaction < floor or any(g[k][n, i] / good.totals[k] < stratum_floor for k in floors) or rejection - d["rejection"] < least_gain:
+                    continue
+                worst = min(((m - w[k][n, i]) / m for k, m in wrong.totals.items() if k is not None), default=0.0)
+                new.append({"laws": (*d["laws"], i), "satisfaction": satisfaction, "rejection": rejection, "worst_kind": worst})
         a = sorted(new, key=lambda d: (-round(d["rejection"] + 0.5 * d["worst_kind"], 12), d["laws"]))
         b = sorted(new, key=lambda d: (-round(d["rejection"] / max(1e-9, 1 - d["satisfaction"] + 1e-6), 9), d["laws"]))
         beam = list({d["laws"]: d for d in [*a[: width // 2], *b]}.values())[:width]
         kept += beam
+        if not beam:
+            break
     # the non-dominated sets
     return [
         d

@@ -1,20 +1,19 @@
 """Pairs within groups, and ranking scores judged on them.
 
 Pair tables are joins on the group; where only counts are asked for, they come from
-sums over sorted values or blocks of arrays instead, so that no pair is a row.
+sums over sorted values or ranges instead, so that no pair is a row.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.dominance import dominated
 from tessella.operators.running import running_totals
 
-PART = 2048  # rows of a group on one side of a block
-
 
 def _side(df: DataFrame, group: str, cols: list[str], mark: str) -> DataFrame:
     return df.select(F.col(group).alias(group), *[F.col(c).alias(f"{c}_{mark}") for c in cols])
@@ -26,7 +25,9 @@ def unordered(df: DataFrame, group: str, identity: str, target: str, extra: list
     p = _side(df, group, cols, "i").join(_side(df, group, cols, "j"), group)
     d = F.abs(F.col(f"{target}_i") - F.col(f"{target}_j"))
     p = p.filter((F.col(f"{identity}_i") < F.col(f"{identity}_j")) & (F.col(f"{target}_i") != F.col(f"{target}_j")) & (d >= gap))
-    return p.withColumn("target_gap", d).withColumn("weight", 1 / F.count("*").over(Window.partitionBy(group)))
+    # The number of a group's pairs is counted without making them.
+    counts = pair_counts(df, group, identity, target, target, gap).groupBy(group).agg(F.sum("n").alias("_pairs"))
+    return p.withColumn("target_gap", d).join(counts, group).withColumn("weight", 1 / F.col("_pairs")).drop("_pairs")
 
 
 def mirrored(pairs: DataFrame, identity: str, features: list[str], target: str, group: str) -> DataFrame:
@@ -93,6 +94,58 @@ def rank_by_label(df: DataFrame, group: str, label: str, score: str, reference:
 SUMS = ("n", "known", "ties", "committed", "right", "concordant")
 
 
+MOST = 1.7976931348623157e308
+
+
+def _limits(levels: list[float], tolerance: float):
+    """Per row, level and kind of question, the numbers that a point must lie under, exact for differences as doubles give them.
+
+    Kinds: 0 any row, 1 a row with a score, 2 a lower score, 3 a lower or equal one,
+    4 one lower by more than the tolerance, 5 one not higher by more than it.
+    """
+
+    def largest(v: np.ndarray, start: np.ndarray, fits) -> np.ndarray:
+        """The smallest number over the largest w that fits; what fits is all up to some number near ``start``."""
+        w = start
+        for _ in range(8):
+            w = np.where(fits(v, w), w, np.nextafter(w, -np.inf))
+        for _ in range(8):
+            up = np.nextafter(w, np.inf)
+            w = np.where(fits(v, up), up, w)
+        return np.nextafter(w, np.inf)
+
+    def run(batches):
+        for batch in batches:
+            t, s = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_t", "_s"))
+            known = ~np.isnan(s)
+            ys = [np.full(len(s), np.inf), np.full(len(s), MOST), s, np.nextafter(s, np.inf)]
+            if tolerance > 0:
+                ys.append(largest(s, s - tolerance, lambda v, w: v - w > tolerance))
+                ys.append(largest(s, s + tolerance, lambda v, w: w - v <= tolerance))
+            for i, c in enumerate(levels):
+                x = t if c <= 0 else largest(t, t - c, lambda v, w: v - w >= c)  # noqa: B023
+                for kind, y in enumerate(ys):
+                    some = pa.array(known if kind else np.ones(len(s), bool))
+                    rows = batch.filter(some)
+                    tag = pa.array(np.full(rows.num_rows, 6 * i + kind), pa.int32())
+                    keys = [rows.column(j) for j in range(batch.num_columns - 2)]
+                    yield pa.RecordBatch.from_arrays([*keys, tag, pa.array(x).filter(some), pa.array(y).filter(some)], [*batch.schema.names[:-2], "tag", "x", "y"])
+
+    return run
+
+
+def _counts_by_level(d: DataFrame, by: list[str], levels: list[float], tolerance: float) -> DataFrame:
+    """(by, level, counts) of the pairs whose targets differ by the level or more."""
+    kinds = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in by)
+    points = d.groupBy(*by, F.col("_t").alias("x"), F.coalesce("_s", F.lit(MOST)).alias("y")).agg(F.count("*").alias("n"))
+    asked = d.select(*by, "_t", "_s").mapInArrow(_limits(levels, tolerance), f"{kinds}, tag int, x double, y double")
+    found = dominated(points, asked, by).withColumns({"level": F.floor(F.col("tag") / 6).cast("int"), "kind": F.col("tag") % 6})
+    wide = found.groupBy(*by, "level").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("m"))), F.lit(0)).alias(f"k{k}") for k in range(6)])
+    right, near = (F.col("k4"), F.col("k5")) if tolerance > 0 else (F.col("k2"), F.col("k3"))
+    counts = {"n": F.col("k0"), "known": F.col("k1"), "ties": F.col("k3") - F.col("k2"), "committed": right + F.col("k1") - near, "right": right, "concordant": F.col("k2")}
+    return wide.select(*by, "level", *[v.alias(k) for k, v in counts.items()])
+
+
 def pair_counts(df: DataFrame, group: str, identity: str, target: str, score: str, gap: float = 0.0, tolerance: float = 0.0, edges: list[float] = ()) -> DataFrame:
     """(group, stratum, counts) over the pairs of one group with unlike identities whose targets differ by ``gap`` or more.
 
@@ -100,46 +153,23 @@ def pair_counts(df: DataFrame, group: str, identity: str, target: str, score: st
     target, lower score); ``committed`` whose scores differ by more than ``tolerance``,
     of them ``right``. The stratum is the number of ``edges`` at or under the target gap.
 
-    A group is dealt by hash in parts of about ``PART`` rows and every two parts meet
-    once, so that a group of any size is many tasks of bounded size. Pairs are compared
-    as arrays; only counts leave a block.
+    Of each row it is counted how many lie under it in target and score (``dominated``),
+    which costs n log n in a group of n rows and makes no pair. Rows that share an
+    identity are counted as a group of their own and taken off.
     """
     d = df.filter(F.col(group).isNotNull() & F.col(target).isNotNull() & F.col(identity).isNotNull())
-    d = d.select(group, F.col(identity).alias("_id"), F.col(target).cast("double").alias("_t"), F.col(score).cast("double").alias("_s"))
-    parts = d.groupBy(group).agg(F.ceil(F.count("*") / PART).cast("int").alias("_parts"))
-    d = d.join(parts, group).withColumn("_p", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int"))
-    d = d.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    d = d.select(group, "_id", "_t", "_s", F.least("_p", "_o").alias("_i"), F.greatest("_p", "_o").alias("_j"), (F.col("_p") > F.col("_o")).alias("_right"))
-    cuts = np.sort(np.array(edges, float))
-
-    def run(table: pa.Table) -> pa.Table:
-        key = table.column("_id").combine_chunks().dictionary_encode()
-        key = (key.combine_chunks() if isinstance(key, pa.ChunkedArray) else key).indices.to_numpy()
-        t, s = (table.column(c).to_numpy() for c in ("_t", "_s"))
-        side = table.column("_right").to_numpy()
-        alone = table.column("_i")[0].as_py() == table.column("_j")[0].as_py()
-        left, right = np.flatnonzero(~side), np.flatnonzero(~side if alone else side)
-        out = np.zeros((len(cuts) + 1, len(SUMS)), np.int64)
-        for a in range(0, len(left), 256):
-            rows = left[a : a + 256]
-            dt, ds = t[rows][:, None] - t[right][None, :], s[rows][:, None] - s[right][None, :]
-            ok = (dt != 0) & (np.abs(dt) >= gap) & (key[rows][:, None] != key[right][None, :])
-            if alone:  # each pair once
-                ok &= rows[:, None] < right[None, :]
-            dt, ds = dt[ok], ds[ok]
-            stratum = np.searchsorted(cuts, np.abs(dt), "right")
-            agree, sure = np.sign(dt) == np.sign(ds), np.abs(ds) > tolerance  # a missing score compares as false
-            marks = (np.ones(len(dt), bool), ~np.isnan(ds), ds == 0, sure, sure & agree, agree)
-            for i, m in enumerate(marks):
-                out[:, i] += np.bincount(stratum[m], minlength=len(cuts) + 1)
-        some = np.flatnonzero(out[:, 0])
-        first = table.column(group).slice(0, 1).combine_chunks()
-        groups = (first.chunk(0) if isinstance(first, pa.ChunkedArray) else first).take(pa.array(np.zeros(len(some), np.int64)))
-        return pa.table([groups, pa.array(some, pa.int32()), *[pa.array(out[some, i]) for i in range(len(SUMS))]], [group, "stratum", *SUMS])
-
-    kind = df.schema[group].dataType.simpleString()
-    counted = d.groupBy(group, "_i", "_j").applyInArrow(run, f"`{group}` {kind}, stratum int, " + ", ".join(f"{c} long" for c in SUMS))
-    return counted.groupBy(group, "stratum").agg(*[F.sum(c).alias(c) for c in SUMS])
+    s = F.col(score).cast("double")
+    d = d.select(group, F.col(identity).alias("_id"), F.col(target).cast("double").alias("_t"), F.when(~F.isnan(s), s).alias("_s"))
+    cuts = sorted(edges)
+    # Pairs of a stratum are those of its lower edge without those of the next.
+    levels = [max(float(gap), float(e)) for e in [gap, *cuts]]
+    all_ = _counts_by_level(d, [group], levels, tolerance)
+    again = d.groupBy(group, "_id").agg(F.count("*").alias("_times")).filter("_times > 1").drop("_times")
+    own = _counts_by_level(d.join(again, [group, "_id"], "left_semi"), [group, "_id"], levels, tolerance).drop("_id")
+    signed = all_.unionByName(own.withColumns({c: -F.col(c) for c in SUMS}))
+    steps = signed.withColumn("stratum", F.explode(F.array(F.struct("level", F.lit(1).alias("sign")), F.struct((F.col("level") - 1).alias("level"), F.lit(-1).alias("sign")))))
+    steps = steps.filter("stratum.level >= 0").groupBy(group, F.col("stratum.level").alias("stratum")).agg(*[F.sum(F.col("stratum.sign") * F.col(c)).alias(c) for c in SUMS])
+    return steps.filter("n > 0")
 
 
 def rank_by_target(df: DataFrame, group: str, identity: str, target: str, score: str, gap: float = 0.0, tolerance: float = 0.0) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tessella.plans import kept, mined, ranked, rated, scored, shaped
+from tessella.plans import kept, mined, modelled, ranked, rated, scored, shaped
 from tessella.plans.registry import QUERIES, SQL
 
-MODULES = (rated, shaped, ranked, scored, mined, kept)
+MODULES = (rated, shaped, ranked, scored, mined, kept, modelled)
 
 
 def queries() -> dict:

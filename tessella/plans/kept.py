@@ -486,23 +486,34 @@ def abstaining(spark, sf):
 
 
 LEVEL_B = " UNION ALL ".join(
-    f"""SELECT '{f}' AS feature, {k} AS fold, v, sum(n) - sum(h) AS n, sum(p) - sum(q) AS p, sum(h) AS tn, sum(q) AS tp FROM (SELECT {f} AS v, 1 AS n, y AS p, CAST(g = {k} AS INT) AS h, CASE WHEN g = {k} THEN y ELSE 0 END AS q FROM d) GROUP BY v"""
-    for f in ("o_totalprice", "o_custkey")
-    for k in range(3)
+    f"""SELECT '{f}' AS feature, k AS fold, coalesce({f}, -1e18)::DOUBLE AS v, count(*) FILTER (WHERE g <> k) AS n, coalesce(sum(y) FILTER (WHERE g <> k), 0) AS p, count(*) FILTER (WHERE g = k) AS tn, coalesce(sum(y) FILTER (WHERE g = k), 0) AS tp
+    FROM d, (SELECT unnest([0, 1, 2]) AS k) GROUP BY 1, 2, 3"""
+    for f in ("l_quantity", "l_discount")
 )
 
 
+# The tree, node by node: each step cuts the nodes of the step before where Gini impurity falls most.
 @register(
     "leak_level_b",
-    f"""WITH d AS (SELECT o_totalprice, o_custkey::DOUBLE AS o_custkey, CAST(o_orderstatus = 'F' AS INT) AS y, o_custkey % 3 AS g FROM orders), v AS ({LEVEL_B}),
-    l AS (SELECT *, floor((sum(n) OVER (PARTITION BY feature, fold ORDER BY v) - n) / 5) AS leaf FROM v),
-    a AS (SELECT feature, fold, leaf, sum(n) AS n, sum(p) AS p, sum(tn) AS tn, sum(tp) AS tp FROM l GROUP BY ALL),
-    b AS (SELECT feature, fold, sum(CASE WHEN n = 0 THEN 0 WHEN p * 2 >= n THEN tp ELSE tn - tp END) / sum(tn)::DOUBLE AS acc, (CASE WHEN sum(p) * 2 >= sum(n) THEN sum(tp) ELSE sum(tn) - sum(tp) END) / sum(tn)::DOUBLE AS maj FROM a GROUP BY 1, 2)
+    f"""WITH RECURSIVE d AS (SELECT l_quantity, l_discount, CAST(l_extendedprice > 50000 AS INT) AS y, l_orderkey % 3 AS g FROM lineitem), v AS ({LEVEL_B}),
+    w AS (SELECT *, lead(v) OVER (PARTITION BY feature, fold ORDER BY v) AS next FROM v WHERE n > 0),
+    node(feature, fold, lo, hi) AS (
+      SELECT DISTINCT feature, fold, '-inf'::DOUBLE, 'inf'::DOUBLE FROM v
+      UNION ALL
+      SELECT feature, fold, unnest([lo, cut]), unnest([cut, hi]) FROM (
+        SELECT feature, fold, lo, hi, (v + next) / 2 AS cut, row_number() OVER (PARTITION BY feature, fold, lo, hi ORDER BY round((x * x + (ln - x) * (ln - x)) / ln + ((o - x) * (o - x) + (m - ln - o + x) * (m - ln - o + x)) / (m - ln), 9) DESC, v) AS k
+        FROM (SELECT node.*, w.v, w.next, sum(n) OVER up::DOUBLE AS ln, sum(p) OVER up::DOUBLE AS x, sum(n) OVER whole::DOUBLE AS m, sum(p) OVER whole::DOUBLE AS o
+          FROM node JOIN w ON w.feature = node.feature AND w.fold = node.fold AND w.v > node.lo AND w.v <= node.hi
+          WINDOW up AS (PARTITION BY node.feature, node.fold, node.lo ORDER BY w.v), whole AS (PARTITION BY node.feature, node.fold, node.lo))
+        WHERE ln >= 5 AND m - ln >= 5 AND o > 0 AND o < m) WHERE k = 1),
+    leaf AS (SELECT v.feature, v.fold, max(lo) AS lo, any_value(n) AS n, any_value(p) AS p, any_value(tn) AS tn, any_value(tp) AS tp FROM v JOIN node ON v.feature = node.feature AND v.fold = node.fold AND v > lo AND v <= hi GROUP BY v.feature, v.fold, v.v),
+    l AS (SELECT feature, fold, lo, CASE WHEN sum(p) * 2 > sum(n) THEN sum(tp) ELSE sum(tn) - sum(tp) END AS r, sum(n) AS n, sum(p) AS p, sum(tn) AS tn, sum(tp) AS tp FROM leaf GROUP BY 1, 2, 3),
+    b AS (SELECT feature, fold, sum(r) / sum(tn)::DOUBLE AS acc, (CASE WHEN sum(p) * 2 >= sum(n) THEN sum(tp) ELSE sum(tn) - sum(tp) END) / sum(tn)::DOUBLE AS maj FROM l GROUP BY 1, 2)
     SELECT feature, round(avg(acc), 6) AS accuracy, round(avg(maj), 6) AS majority FROM b GROUP BY 1""",
 )
 def leak_level_b(spark, sf):
-    d = table(spark, sf, "orders").withColumn("y", (F.col("o_orderstatus") == "F").cast("int"))
-    return _r(audit.single_feature_ceiling(d, ["o_totalprice", "o_custkey"], "y", F.col("o_custkey") % 3, 3), "accuracy", "majority")
+    d = table(spark, sf, "lineitem").withColumn("y", (F.col("l_extendedprice") > 50000).cast("int"))
+    return _r(audit.single_feature_ceiling(d, ["l_quantity", "l_discount"], "y", F.col("l_orderkey") % 3, 3), "accuracy", "majority")
 
 
 @register(
