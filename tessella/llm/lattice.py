@@ -16,12 +16,14 @@ Where documents have a class (a language), counts and piece scores are each clas
 own, and the document's probability is the sum over classes of the class's share of
 documents times the product; the class of the document scored is not looked at.
 
-Plan. Texts are read once: a chunk (about CHUNK bytes of whole texts) becomes a row
-with its distinct words and, for each document, word numbers and counts. From then on
-only chunks' distinct words are shuffled: summed to the counts of all words, with
-which the recursion runs over the table of distinct words, and sent back to their
-chunks. Counts grow with the corpus and are nowhere gathered; only the pieces' counts
-(one a piece of the vocabulary and class) and a few totals reach the driver.
+Plan. Texts are read once, in chunks of about CHUNK bytes of whole texts. A task
+numbers the words it meets in a book (a new one from BOOK words on); a chunk becomes
+a row with each document as word numbers and counts, a book a row with its words and
+their counts. From then on only books' words are shuffled: summed to the counts of
+all words, with which the recursion runs over the table of distinct words, and sent
+back to their books. Counts grow with the corpus and are nowhere gathered; only the
+pieces' counts (one a piece of the vocabulary and class) and a few totals reach the
+driver.
 
 Defined cases: a null or empty text is its end alone; a null id counts as the empty
 string; a text of one very long word is spelled like any other; rows that repeat are
@@ -44,12 +46,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import bytesops as B
-from tessella.llm.shared import materialize
+from tessella.llm.shared import discard, materialize
 
 CHUNK = 8 << 20  # bytes of text whose words are told apart together
-SPELL = 1 << 18  # bytes of words recursed over together
+BOOK = 400_000  # words of a task from which it begins a new book
+SPELL = 1 << 17  # bytes of words recursed over together
 WIDE = 256  # places of a word up to which all words are stepped together
-UNIT = 1 << 32  # sums of log10 are taken in this many parts of 1
+UNIT = 1 << 32  # sums of log10 are taken in this many parts of 1 (each word's to 24 bits in the model)
 START = "▁".encode()  # how the vocabulary marks a word's start
 
 
@@ -179,49 +182,69 @@ def lattice(path: str) -> Lattice:
     return Lattice(path)
 
 
-def _chunk_rows(kind: str, kinds: int):
-    """Chunks of whole texts: distinct words with their counts in each class's training documents, and each document as word numbers."""
+def _book_rows(kind: str, kinds: int):
+    """Rows of chunks (documents as word numbers of their book) and of books (words with their counts in each class's training documents)."""
     trained = [f"t{k}" for k in range(kinds)]
-    names = ["chunk", "words", *trained, "ids", "held", "sizes", "lengths", "slots", "counts"]
-
-    def pack(number: int, parts: list[tuple]) -> pa.RecordBatch:
-        ids, out, of = pa.concat_arrays([x[0] for x in parts]), *(np.concatenate([x[i].to_numpy(zero_copy_only=False) for x in parts]) for i in (1, 2))
-        length, raw = np.concatenate([x[3] for x in parts]), np.concatenate([x[4] for x in parts])
-        o = np.append(0, np.cumsum(length))
-        raw = B.LOWER[raw]
-        start, size = B.words(raw, o, B.SPACE)
-        doc = np.searchsorted(o, start, "right") - 1
-        body = raw[~B.SPACE[raw]]
-        column = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int32)), pa.py_buffer(body)])
-        coded = column.dictionary_encode()
-        words, slot = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-        many = max(len(words), 1)
-        pair, count = np.unique(doc * many + slot, return_counts=True)
-        pair_doc, pair_slot = pair // many, pair % many
-        each = [np.bincount(pair_slot, count * (~out & (of == k))[pair_doc], minlength=len(words)).astype(np.int64) for k in range(kinds)]
-        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-        sums = lambda x: np.bincount(x, minlength=len(o) - 1)
-        flat = [words.cast(pa.string()), *map(pa.array, each), ids, pa.array(out), pa.array(sums(doc).astype(np.int64))]
-        flat += [pa.array(sums(pair_doc).astype(np.int32)), pa.array(pair_slot.astype(np.int32)), pa.array(count.astype(np.int32))]
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *map(one, flat)], names)
+    made = "".join(f", {t} array<long>" for t in trained)
+    schema = f"book long, words array<string>{made}, ids array<{kind}>, held array<boolean>, sizes array<long>, lengths array<int>, slots array<int>, counts array<int>"
+    names = ["book", "words", *trained, "ids", "held", "sizes", "lengths", "slots", "counts"]
+    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+
+    def row(book: int, given: dict[str, pa.Array], types: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([book], pa.int64()), *[one(given[n]) if n in given else pa.nulls(1, pa.list_(types[n])) for n in names[1:]]], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        types = {"words": pa.string(), **dict.fromkeys(trained, pa.int64()), "held": pa.bool_(), "sizes": pa.int64(), **dict.fromkeys(("lengths", "slots", "counts"), pa.int32())}
         number, parts, size = TaskContext.get().partitionId() << 32, [], 0
+        book: dict[bytes, int] = {}
+        sums = np.zeros((kinds, 1 << 16), np.int64)
+
+        def chunk() -> pa.RecordBatch:
+            nonlocal sums
+            ids, out, of = pa.concat_arrays([x[0] for x in parts]), *(np.concatenate([x[i].to_numpy(zero_copy_only=False) for x in parts]) for i in (1, 2))
+            length, raw = np.concatenate([x[3] for x in parts]), np.concatenate([x[4] for x in parts])
+            o = np.append(0, np.cumsum(length))
+            raw = B.LOWER[raw]
+            start, size = B.words(raw, o, B.SPACE)
+            doc = np.searchsorted(o, start, "right") - 1
+            body = raw[~B.SPACE[raw]]
+            column = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int32)), pa.py_buffer(body)])
+            coded = column.dictionary_encode()
+            at = np.fromiter((book.setdefault(w, len(book)) for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+            many = max(len(at), 1)
+            pair, count = np.unique(doc * many + coded.indices.to_numpy().astype(np.int64), return_counts=True)
+            pair_doc, pair_slot = pair // many, pair % many
+            if len(book) > sums.shape[1]:
+                sums = np.concatenate([sums, np.zeros((kinds, max(sums.shape[1], len(book) - sums.shape[1])), np.int64)], 1)
+            for k in range(kinds):
+                sums[k, at] += np.bincount(pair_slot, count * (~out & (of == k))[pair_doc], minlength=len(at)).astype(np.int64)
+            per = lambda x: np.bincount(x, minlength=len(o) - 1)
+            types["ids"] = ids.type
+            given = {"ids": ids, "held": pa.array(out), "sizes": pa.array(per(doc).astype(np.int64)), "lengths": pa.array(per(pair_doc).astype(np.int32))}
+            return row(number, given | {"slots": pa.array(at[pair_slot].astype(np.int32)), "counts": pa.array(count.astype(np.int32))}, types)
+
+        def words() -> pa.RecordBatch:
+            return row(number, {"words": pa.array(list(book), pa.binary()).cast(pa.string()), **{t: pa.array(sums[k, : len(book)]) for k, t in enumerate(trained)}}, types)
+
         for batch in batches:
             for a, b, data, o in B.chunks(batch.column(1), CHUNK):
                 if parts and size + len(data) > CHUNK:
-                    yield pack(number, parts)
-                    number, parts, size = number + 1, [], 0
+                    yield chunk()
+                    parts, size = [], 0
+                    if len(book) >= BOOK:
+                        yield words()
+                        number, sums = number + 1, np.zeros((kinds, 1 << 16), np.int64)
+                        book.clear()
                 parts.append((*[batch.column(i).slice(a, b - a) for i in (0, 2, 3)], np.diff(o), data.copy()))
                 size += len(data)
         if parts:
-            yield pack(number, parts)
+            yield chunk()
+            yield words()
         B.trim()
 
-    counts = "".join(f"{t} array<long>, " for t in trained)
-    return run, f"chunk long, words array<string>, {counts}ids array<{kind}>, held array<boolean>, sizes array<long>, lengths array<int>, slots array<int>, counts array<int>"
+    return run, schema
 
 
 def _piece_counts(path: str, kinds: int):
@@ -255,18 +278,22 @@ class Totals:
     types: np.ndarray
 
     def log10(self, c: np.ndarray, spelled: np.ndarray) -> np.ndarray:
-        """log10 P(word) by class, from counts and the marginals' natural logarithms, both (word, class), in parts of 1 / UNIT."""
+        """log10 P(word) by class, from counts and the marginals' natural logarithms, both (word, class)."""
         prior = np.maximum(self.types, 1)
         with np.errstate(divide="ignore"):
             p = np.logaddexp(np.log(c), np.log(prior) + spelled) - np.log(self.tokens + prior)
-        return np.rint(p / math.log(10) * UNIT).astype(np.int64)
+        return (p / math.log(10)).astype("<f4")
 
     def base(self, c: np.ndarray) -> np.ndarray:
-        return np.rint(np.log10((c + 1) / (self.n + self.v + 1)) * UNIT).astype(np.int64)
+        return _units(np.log10((c + 1) / (self.n + self.v + 1)))
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    return np.rint(x.astype(float) * UNIT).astype(np.int64)
 
 
 def _spell(path: str, score: np.ndarray, totals: Totals):
-    """Each word's count in all classes and its log10 probability in each."""
+    """Each word's count in all classes and its log10 probability in each, as bytes: a 64-bit and 32-bit numbers."""
     kinds = score.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,28 +301,34 @@ def _spell(path: str, score: np.ndarray, totals: Totals):
         for batch in batches:
             c = np.stack([batch.column(1 + k).to_numpy() for k in range(kinds)], 1)
             parts = [own.marginals(data, o, score) for _, _, data, o in B.chunks(batch.column(0), SPELL)]
-            logs = totals.log10(c.astype(float), np.concatenate(parts)) if parts else np.zeros((0, kinds), np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1, dtype=np.int32) * kinds), pa.array(logs.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c.sum(1)), lists], ["word", "c", "p"])
+            logs = totals.log10(c.astype(float), np.concatenate(parts)) if parts else np.zeros((0, kinds), "<f4")
+            flat = np.concatenate([c.sum(1).astype("<i8")[:, None].view(np.uint8), logs.view(np.uint8).reshape(len(c), -1)], 1)
+            ends = np.arange(len(c) + 1, dtype=np.int32) * (8 + 4 * kinds)
+            packed = pa.Array.from_buffers(pa.binary(), len(c), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(flat))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed], ["word", "v"])
+        B.trim()
 
     return run
 
 
 def _document_scores(totals: Totals, end: np.ndarray):
-    """Scores of a chunk's documents from its words' counts and probabilities; ``end`` is that of a document's end by class."""
+    """Scores of a chunk's documents from its book's words; ``end`` is the log10 probability of a document's end by class."""
     kinds, known_end = len(end), int(totals.ends.sum())
     share = np.log10((totals.ends + 1) / (known_end + kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, held, sizes, lengths, slots, counts, c, p = (batch.column(j).slice(i, 1).flatten() for j in range(8))
-                slots, counts, c, sizes, lengths = (x.to_numpy() for x in (slots, counts, c, sizes, lengths))
-                p = p.flatten().to_numpy().reshape(-1, kinds)
+                ids, held, sizes, lengths, slots, counts, v = (batch.column(j).slice(i, 1).flatten() for j in range(7))
+                slots, counts, sizes, lengths = (x.to_numpy() for x in (slots, counts, sizes, lengths))
+                data, o = B.buffers(v)
+                flat = data[o[0] : o[-1]].reshape(len(v), 8 + 4 * kinds)
+                c = np.ascontiguousarray(flat[:, :8]).view("<i8")[:, 0]
+                p = _units(np.ascontiguousarray(flat[:, 8:]).view("<f4"))
                 at = np.append(0, np.cumsum(lengths))
                 sums = lambda x: np.diff(np.append(0, np.cumsum(x))[at])  # noqa: B023, E731
                 base = (sums(totals.base(c)[slots] * counts) + totals.base(np.array(known_end))) / UNIT
-                each = np.stack([(sums(p[slots, k] * counts) + end[k]) / UNIT + share[k] for k in range(kinds)], 1)
+                each = np.stack([(sums(p[slots, k] * counts) + _units(end[k])) / UNIT + share[k] for k in range(kinds)], 1)
                 top = each.max(1, keepdims=True)
                 score = top[:, 0] + np.log10(np.power(10, each - top).sum(1))
                 n_known = sums(counts * (c[slots] > 0)) + (known_end > 0)
@@ -333,13 +366,14 @@ def score(
         of = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in names]), column).cast("int"), F.lit(0)) if names else F.lit(0)
     kinds = len(names) + 1  # 0 is what is in none of the named ones
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), held.alias("held"), of.alias("k"))
-    run, schema = _chunk_rows(kind, kinds)
-    chunks = materialize(rows.mapInArrow(run, schema), "lm-chunks")
+    run, schema = _book_rows(kind, kinds)
+    books = materialize(rows.mapInArrow(run, schema), "lm-books")
     ends = {r["k"]: r["n"] for r in rows.filter(~F.col("held")).groupBy("k").agg(F.count("*").alias("n")).collect()}
     ends = np.array([ends.get(k, 0) for k in range(kinds)])
     # Counts of all words by class; words of held-out documents alone have none.
     trained = [f"t{k}" for k in range(kinds)]
-    flat = chunks.select("chunk", F.posexplode(F.arrays_zip("words", *trained)).alias("slot", "w"))
+    listed = books.filter("words is not null")
+    flat = listed.select(F.explode(F.arrays_zip("words", *trained)).alias("w"))
     words = flat.groupBy(F.col("w.words").alias("word")).agg(*[F.sum(f"w.{t}").alias(t) for t in trained])
     words = materialize(words, "lm-words")
     seen = sum((F.col(t) for t in trained), F.lit(0)) > 0
@@ -356,15 +390,14 @@ def score(
     times[size] += ends
     scores = np.log(times / times.sum(0))
     end_spelled = np.log(times[size] / (times[lattice(path).starts].sum(0) + times[size]))  # the share of ends where a word may start
-    spelled = words.mapInArrow(_spell(path, scores[:size], totals), "word string, c long, p array<long>")
-    spelled = materialize(spelled, "lm-marginals")
-    # Back to the chunks.
-    back = flat.select("chunk", "slot", F.col("w.words").alias("word")).join(spelled, "word")
-    back = back.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("slot", "c", "p"))).alias("s"))
+    spelled = materialize(words.mapInArrow(_spell(path, scores[:size], totals), "word string, v binary"), "lm-marginals")
+    discard(words)
+    # Back to the books.
+    back = listed.select("book", F.posexplode("words").alias("slot", "word")).join(spelled, "word")
+    back = back.groupBy("book").agg(F.sort_array(F.collect_list(F.struct("slot", "v"))).alias("s"))
     documents = ["ids", "held", "sizes", "lengths", "slots", "counts"]
-    none = lambda t: F.array().cast(f"array<{t}>")
-    met = chunks.select("chunk", *documents).join(back, "chunk", "left")
-    met = met.select(*documents, F.coalesce("s.c", none("long")).alias("c"), F.coalesce("s.p", none("array<long>")).alias("p"))
+    met = books.filter("ids is not null").select("book", *documents).join(back, "book", "left")
+    met = met.select(*documents, F.coalesce("s.v", F.array().cast("array<binary>")).alias("v"))
     end = totals.log10(ends.astype(float)[None, :], end_spelled[None, :])[0]
     return met.mapInArrow(
         _document_scores(totals, end), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

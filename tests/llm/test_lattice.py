@@ -132,7 +132,7 @@ def plain(rows, library, pieces, classes=8):
                 p += math.log10((own[w] + prior * memo[w]) / (tokens + prior))
             each.append(p)
         p = max(each) + math.log10(sum(10 ** (x - max(each)) for x in each))
-        out.append((i, h, len(t) + 1, sum(count[w] > 0 for w in t) + (end > 0), n, pytest.approx(base, rel=1e-8), pytest.approx(p, rel=1e-8)))
+        out.append((i, h, len(t) + 1, sum(count[w] > 0 for w in t) + (end > 0), n, pytest.approx(base, rel=1e-8), pytest.approx(p, rel=3e-7)))
     return out
 
 
@@ -155,6 +155,8 @@ def test_edge_cases(spark, library, pieces, monkeypatch):
     got = [tuple(r) for r in lattice.score(df.repartition(3)).collect()]
     assert in_order(got) == in_order(plain(rows, library, pieces))
     assert len({r[-1] for r in got if r[0] == 3}) == 1
+    monkeypatch.setattr(lattice, "CHUNK", 60)
+    monkeypatch.setattr(lattice, "BOOK", 9)  # local workers read the constants from this process's functions
     langs = [(i, t, ["a", None, "b", "c", "b"][j % 5]) for j, (i, t) in enumerate(rows)]
     got = lattice.score(spark.createDataFrame(langs, "doc_id long, text string, lang string").repartition(2), class_col="lang", classes=2).collect()
     assert in_order([tuple(r) for r in got]) == in_order(plain(langs, library, pieces, classes=2))
