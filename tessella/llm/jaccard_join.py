@@ -30,7 +30,8 @@ Steps
 
 No link is missed and no list, candidate or partner is capped. Sets are compared
 by 48-bit token hashes (sizes by 64-bit ones). Where a token, a document, a class
-or a component may hold a large share of the rows, it is joined by ``attach``.
+or a component may hold a large share of the rows, it is joined by ``attach``, which
+broadcasts keys and numbers but no sets.
 
 Defined cases: a null text is empty; a text without words has no shingle and links
 with nothing, itself its component; fewer words than k are one shingle; rows that
@@ -307,11 +308,15 @@ def _prefixes(out: str, percent: int):
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold; ``a`` may be of many pairs."""
+    """The pairs (a, b) whose sets reach the threshold; ``a`` may be of many pairs.
+
+    Sets meet pairs in shuffles, never by broadcast: a set is as long as its text. The
+    pairs of a frequent ``a`` are two numbers each, which adaptive execution splits.
+    """
     left = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
-    met = attach(pairs, left, ["a"]).join(right, "b")
+    met = pairs.join(left, "a").join(right, "b")
     return met.filter(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
