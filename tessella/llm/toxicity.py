@@ -8,17 +8,17 @@ label above a bound. The output is the expected severity, the sum over k of
 P(grade >= k).
 
 The labels only tell toxic from not. Grades among the toxic training rows are
-made from the evidence: rows with no more evidence than the toxic rows' median
-are grade 1, the others grade 2.
+made from the evidence a word, which does not grow with a text's length: rows with
+no more of it than the toxic rows' median are grade 1, the others grade 2.
 
 Training: numpy on the driver over a bounded, documented sample: of the labelled
-rows the ``max_train`` with the smallest xxhash64(doc_id, seed). Scoring: each
-whole text, in one map over the input, with no shuffle.
+rows the ``max_train`` with the smallest xxhash64(doc_id, seed), of an id with several
+texts the smallest. Scoring: each whole text, in one map over the input, with no shuffle.
 
 Defined cases: a null or empty text has no features and severity from the
 thresholds alone; rows that repeat get equal scores; without labelled rows of
 both kinds every document gets severity 0; a null id keeps its row; other
-columns of the input are not read; an empty table gives an empty table.
+columns of the input are returned unread; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -133,8 +133,9 @@ def _bags(vocab: Vocabulary):
                         pa.array(label[a:b], pa.int32()),
                         pa.array([f[i:j].astype(np.int32).tobytes() for i, j in zip(cut, cut[1:])], pa.binary()),
                         pa.array([c[i:j].astype(np.int32).tobytes() for i, j in zip(cut, cut[1:])], pa.binary()),
+                        batch.column(2).slice(a, b - a),
                     ],
-                    ["label", "feats", "counts"],
+                    ["label", "feats", "counts", "words"],
                 )
 
     return run
@@ -146,7 +147,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_train: int
     pick = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
     pick = pick.dropDuplicates().orderBy(order, "doc_id", "label").limit(max_train)
     # The broadcast side has at most max_train rows of two numbers.
-    return docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").select("text", "label")
+    met = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id")
+    return met.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("text", "label")
 
 
 class OrdinalModel:
@@ -163,10 +165,10 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(z[:, None] - self.thresholds[None, :], -40, 40)))
 
 
-def grades(y: np.ndarray, hits: np.ndarray) -> np.ndarray:
-    """0 for label 0; 1 or 2 for label 1, by the evidence against the toxic rows' median."""
-    middle = np.median(hits[y == 1]) if (y == 1).any() else 0
-    return np.where(y == 1, 1 + (hits > middle), 0)
+def grades(y: np.ndarray, evidence: np.ndarray) -> np.ndarray:
+    """0 for label 0; 1 or 2 for label 1, by the evidence a word against the toxic rows' median."""
+    middle = np.median(evidence[y == 1]) if (y == 1).any() else 0
+    return np.where(y == 1, 1 + (evidence > middle), 0)
 
 
 def fit(rows: list, vocab: Vocabulary, l2: float = 1e-5, steps: int = 600, rate: float = 0.02) -> OrdinalModel:
@@ -177,7 +179,8 @@ def fit(rows: list, vocab: Vocabulary, l2: float = 1e-5, steps: int = 600, rate:
     f = [np.frombuffer(r["feats"], np.int32) for r in rows]
     raw = np.concatenate([np.frombuffer(r["counts"], np.int32) for r in rows])
     r, w, c = np.repeat(np.arange(len(y)), [len(x) for x in f]), np.concatenate(f), np.log1p(raw)
-    g = grades(y, np.bincount(r, raw, minlength=len(y)))
+    words = np.array([max(x["words"], 1) if "words" in x else 1 for x in rows])
+    g = grades(y, np.bincount(r, raw, minlength=len(y)) / words)
     n, top = len(vocab.grams), int(g.max())
     at_least = (g[:, None] >= np.arange(1, top + 1)[None, :]).astype(float)
     p = np.concatenate([np.zeros(n), [1.0], np.zeros(top - 1)])  # weights, theta_1, log gaps
@@ -204,7 +207,9 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Ord
     odds = F.log((F.col("tox") + 0.5) / (pos + 1.0)) - F.log((F.col("df") - F.col("tox") + 0.5) / (n - pos + 1.0))
     evidence = counts.filter((F.col("tox") >= least) & (odds > EVIDENCE_LOG_ODDS)).orderBy(F.desc("tox"), "gram").limit(MAX_VOCABULARY)
     vocab = Vocabulary(np.array([x["gram"] for x in evidence.select("gram").collect()], np.int64).view(np.uint64))
-    return fit(sample.mapInArrow(_bags(vocab), "label int, feats binary, counts binary").collect(), vocab)  # at most max_train rows
+    words = F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")).alias("words")
+    bags = sample.select("text", "label", words).mapInArrow(_bags(vocab), "label int, feats binary, counts binary, words int")
+    return fit(bags.collect(), vocab)  # at most max_train rows
 
 
 def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:

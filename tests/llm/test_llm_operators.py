@@ -640,3 +640,21 @@ def test_components_of_any_form(spark):
     got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {k: v for k, v in plain_components([x for x in links if x[0] != x[1]]).items()}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_severity_grades_do_not_grow_with_length(spark):
+    rng = random.Random(2)
+    clean = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(400):
+        toxic = i % 4 == 0
+        words = [rng.choice(clean) for _ in range(20 if i % 8 else 400)]
+        bad = ["vilest", "loathsome", "wretched"]
+        n = 0 if not toxic else (10 if i % 8 else 12)  # short texts are densely bad, long ones thinly
+        rows.append((i, " ".join(words + [rng.choice(bad) for _ in range(n)]), int(toxic)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    assert all(got[i].tox_flag == bool(t) for i, _, t in rows)
+    more = docs.unionByName(docs.withColumn("text", F.concat(F.lit("zz "), "text")))
+    assert toxicity.training_rows(more, labels, "toxic", 50).count() == 50  # one text an id
