@@ -53,6 +53,7 @@ BOOK = 400_000  # words of a task from which it begins a new book
 SPELL = 1 << 17  # bytes of words recursed over together
 WIDE = 256  # places of a word up to which all words are stepped together
 UNIT = 1 << 32  # sums of log10 are taken in this many parts of 1 (each word's to 24 bits in the model)
+DOCUMENT = ("ids", "held", "sizes", "lengths", "slots", "counts")
 START = "▁".encode()  # how the vocabulary marks a word's start
 
 
@@ -312,28 +313,47 @@ def _spell(path: str, score: np.ndarray, totals: Totals):
 
 
 def _document_scores(totals: Totals, end: np.ndarray):
-    """Scores of a chunk's documents from its book's words; ``end`` is the log10 probability of a document's end by class."""
+    """Scores of documents; rows come by book, its words in the order of their numbers and then its chunks of documents.
+
+    ``end`` is the log10 probability of a document's end by class.
+    """
     kinds, known_end = len(end), int(totals.ends.sum())
     share = np.log10((totals.ends + 1) / (known_end + kinds))
+    last, last_base = _units(end), totals.base(np.array(known_end))
+
+    def chunk(d: pa.StructArray, c: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
+        ids, held, sizes, lengths, slots, counts = (d.field(n).flatten() for n in DOCUMENT)
+        slots, counts, sizes, lengths = (x.to_numpy() for x in (slots, counts, sizes, lengths))
+        at = np.append(0, np.cumsum(lengths))
+        sums = lambda x: np.diff(np.append(0, np.cumsum(x))[at])
+        base = (sums(totals.base(c)[slots] * counts) + last_base) / UNIT
+        each = np.stack([(sums(p[slots, k] * counts) + last[k]) / UNIT + share[k] for k in range(kinds)], 1)
+        top = each.max(1, keepdims=True)
+        score = top[:, 0] + np.log10(np.power(10, each - top).sum(1))
+        n_known = sums(counts * (c[slots] > 0)) + (known_end > 0)
+        found = [ids, held, pa.array(sizes + 1), pa.array(n_known.astype(np.int64)), pa.array(np.full(len(sizes), totals.n, np.int64)), pa.array(base), pa.array(score)]
+        return pa.RecordBatch.from_arrays(found, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book, packed, ready = None, [], None
         for batch in batches:
-            for i in range(batch.num_rows):
-                ids, held, sizes, lengths, slots, counts, v = (batch.column(j).slice(i, 1).flatten() for j in range(7))
-                slots, counts, sizes, lengths = (x.to_numpy() for x in (slots, counts, sizes, lengths))
-                data, o = B.buffers(v)
-                flat = data[o[0] : o[-1]].reshape(len(v), 8 + 4 * kinds)
-                c = np.ascontiguousarray(flat[:, :8]).view("<i8")[:, 0]
-                p = _units(np.ascontiguousarray(flat[:, 8:]).view("<f4"))
-                at = np.append(0, np.cumsum(lengths))
-                sums = lambda x: np.diff(np.append(0, np.cumsum(x))[at])  # noqa: B023, E731
-                base = (sums(totals.base(c)[slots] * counts) + totals.base(np.array(known_end))) / UNIT
-                each = np.stack([(sums(p[slots, k] * counts) + _units(end[k])) / UNIT + share[k] for k in range(kinds)], 1)
-                top = each.max(1, keepdims=True)
-                score = top[:, 0] + np.log10(np.power(10, each - top).sum(1))
-                n_known = sums(counts * (c[slots] > 0)) + (known_end > 0)
-                found = [ids, held, pa.array(sizes + 1), pa.array(n_known.astype(np.int64)), pa.array(np.full(len(sizes), totals.n, np.int64)), pa.array(base), pa.array(score)]
-                yield pa.RecordBatch.from_arrays(found, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            books, documents = batch.column(0).to_numpy(), batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+            cut = [0, *(np.flatnonzero(books[1:] != books[:-1]) + 1).tolist(), len(books)]
+            for a, b in zip(cut, cut[1:]):
+                if a == b:
+                    continue
+                if books[a] != book:
+                    book, packed, ready = books[a], [], None
+                m = b - int(documents[a:b].sum())
+                if m > a:
+                    data, o = B.buffers(batch.column(2).slice(a, m - a))
+                    packed.append(data[o[0] : o[-1]].copy())
+                for r in range(m, b):
+                    if ready is None:
+                        flat = (np.concatenate(packed) if packed else np.zeros(0, np.uint8)).reshape(-1, 8 + 4 * kinds)
+                        packed = []
+                        ready = np.ascontiguousarray(flat[:, :8]).view("<i8")[:, 0], _units(np.ascontiguousarray(flat[:, 8:]).view("<f4"))
+                    yield chunk(batch.column(3).slice(r, 1), *ready)
         B.trim()
 
     return run
@@ -392,12 +412,11 @@ def score(
     end_spelled = np.log(times[size] / (times[lattice(path).starts].sum(0) + times[size]))  # the share of ends where a word may start
     spelled = materialize(words.mapInArrow(_spell(path, scores[:size], totals), "word string, v binary"), "lm-marginals")
     discard(words)
-    # Back to the books.
-    back = listed.select("book", F.posexplode("words").alias("slot", "word")).join(spelled, "word")
-    back = back.groupBy("book").agg(F.sort_array(F.collect_list(F.struct("slot", "v"))).alias("s"))
-    documents = ["ids", "held", "sizes", "lengths", "slots", "counts"]
-    met = books.filter("ids is not null").select("book", *documents).join(back, "book", "left")
-    met = met.select(*documents, F.coalesce("s.v", F.array().cast("array<binary>")).alias("v"))
+    # Back to the books: a book's words and its chunks of documents in one partition, in order.
+    back = listed.select("book", F.posexplode("words").alias("slot", "word")).join(spelled, "word").select("book", "slot", "v")
+    documents = books.filter("ids is not null").select("book", F.lit((1 << 31) - 1).alias("slot"), F.lit(None).cast("binary").alias("v"), F.struct(*DOCUMENT).alias("d"))
+    met = back.withColumn("d", F.lit(None).cast(documents.schema["d"].dataType)).unionByName(documents)
+    met = met.repartition("book").sortWithinPartitions("book", "slot")
     end = totals.log10(ends.astype(float)[None, :], end_spelled[None, :])[0]
     return met.mapInArrow(
         _document_scores(totals, end), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
