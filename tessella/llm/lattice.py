@@ -53,6 +53,7 @@ BOOK = 400_000  # words of a task from which it begins a new book
 SPELL = 1 << 17  # bytes of words recursed over together
 WIDE = 256  # places of a word up to which all words are stepped together
 UNIT = 1 << 32  # sums of log10 are taken in this many parts of 1 (each word's to 24 bits in the model)
+LAST = (1 << 31) - 1  # the number of no word: a row of documents
 DOCUMENT = ("ids", "held", "sizes", "lengths", "slots", "counts")
 START = "▁".encode()  # how the vocabulary marks a word's start
 
@@ -183,21 +184,28 @@ def lattice(path: str) -> Lattice:
     return Lattice(path)
 
 
-def _book_rows(kind: str, kinds: int):
-    """Rows of chunks (documents as word numbers of their book) and of books (words with their counts in each class's training documents)."""
+def _packed(batch: pa.RecordBatch) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def _book_rows(kinds: int):
+    """Rows of chunks (documents as word numbers of their book, packed) and of books (words with their counts in each class's training documents)."""
     trained = [f"t{k}" for k in range(kinds)]
-    made = "".join(f", {t} array<long>" for t in trained)
-    schema = f"book long, words array<string>{made}, ids array<{kind}>, held array<boolean>, sizes array<long>, lengths array<int>, slots array<int>, counts array<int>"
-    names = ["book", "words", *trained, "ids", "held", "sizes", "lengths", "slots", "counts"]
+    schema = "book long, words array<string>, " + "".join(f"{t} array<long>, " for t in trained) + "documents binary"
+    names = ["book", "words", *trained, "documents"]
+    types = [pa.string(), *[pa.int64()] * kinds]
     one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
 
-    def row(book: int, given: dict[str, pa.Array], types: dict) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([book], pa.int64()), *[one(given[n]) if n in given else pa.nulls(1, pa.list_(types[n])) for n in names[1:]]], names)
+    def row(book: int, words: list[pa.Array] | None = None, documents: bytes | None = None) -> pa.RecordBatch:
+        lists = [one(x) for x in words] if words else [pa.nulls(1, pa.list_(t)) for t in types]
+        return pa.RecordBatch.from_arrays([pa.array([book], pa.int64()), *lists, pa.array([documents], pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        types = {"words": pa.string(), **dict.fromkeys(trained, pa.int64()), "held": pa.bool_(), "sizes": pa.int64(), **dict.fromkeys(("lengths", "slots", "counts"), pa.int32())}
         number, parts, size = TaskContext.get().partitionId() << 32, [], 0
         book: dict[bytes, int] = {}
         sums = np.zeros((kinds, 1 << 16), np.int64)
@@ -222,12 +230,11 @@ def _book_rows(kind: str, kinds: int):
             for k in range(kinds):
                 sums[k, at] += np.bincount(pair_slot, count * (~out & (of == k))[pair_doc], minlength=len(at)).astype(np.int64)
             per = lambda x: np.bincount(x, minlength=len(o) - 1)
-            types["ids"] = ids.type
-            given = {"ids": ids, "held": pa.array(out), "sizes": pa.array(per(doc).astype(np.int64)), "lengths": pa.array(per(pair_doc).astype(np.int32))}
-            return row(number, given | {"slots": pa.array(at[pair_slot].astype(np.int32)), "counts": pa.array(count.astype(np.int32))}, types)
+            flat = [ids, pa.array(out), pa.array(per(doc).astype(np.int64)), pa.array(per(pair_doc).astype(np.int32)), pa.array(at[pair_slot].astype(np.int32)), pa.array(count.astype(np.int32))]
+            return row(number, documents=_packed(pa.RecordBatch.from_arrays(list(map(one, flat)), list(DOCUMENT))))
 
         def words() -> pa.RecordBatch:
-            return row(number, {"words": pa.array(list(book), pa.binary()).cast(pa.string()), **{t: pa.array(sums[k, : len(book)]) for k, t in enumerate(trained)}}, types)
+            return row(number, [pa.array(list(book), pa.binary()).cast(pa.string()), *[pa.array(sums[k, : len(book)]) for k in range(kinds)]])
 
         for batch in batches:
             for a, b, data, o in B.chunks(batch.column(1), CHUNK):
@@ -321,8 +328,8 @@ def _document_scores(totals: Totals, end: np.ndarray):
     share = np.log10((totals.ends + 1) / (known_end + kinds))
     last, last_base = _units(end), totals.base(np.array(known_end))
 
-    def chunk(d: pa.StructArray, c: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
-        ids, held, sizes, lengths, slots, counts = (d.field(n).flatten() for n in DOCUMENT)
+    def chunk(documents: bytes, c: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
+        ids, held, sizes, lengths, slots, counts = (x.flatten() for x in pa.ipc.open_stream(documents).read_next_batch().columns)
         slots, counts, sizes, lengths = (x.to_numpy() for x in (slots, counts, sizes, lengths))
         at = np.append(0, np.cumsum(lengths))
         sums = lambda x: np.diff(np.append(0, np.cumsum(x))[at])
@@ -337,7 +344,7 @@ def _document_scores(totals: Totals, end: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book, packed, ready = None, [], None
         for batch in batches:
-            books, documents = batch.column(0).to_numpy(), batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+            books, documents = batch.column(0).to_numpy(), batch.column(1).to_numpy() == LAST
             cut = [0, *(np.flatnonzero(books[1:] != books[:-1]) + 1).tolist(), len(books)]
             for a, b in zip(cut, cut[1:]):
                 if a == b:
@@ -353,7 +360,7 @@ def _document_scores(totals: Totals, end: np.ndarray):
                         flat = (np.concatenate(packed) if packed else np.zeros(0, np.uint8)).reshape(-1, 8 + 4 * kinds)
                         packed = []
                         ready = np.ascontiguousarray(flat[:, :8]).view("<i8")[:, 0], _units(np.ascontiguousarray(flat[:, 8:]).view("<f4"))
-                    yield chunk(batch.column(3).slice(r, 1), *ready)
+                    yield chunk(batch.column(2)[r].as_py(), *ready)
         B.trim()
 
     return run
@@ -386,7 +393,7 @@ def score(
         of = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in names]), column).cast("int"), F.lit(0)) if names else F.lit(0)
     kinds = len(names) + 1  # 0 is what is in none of the named ones
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), held.alias("held"), of.alias("k"))
-    run, schema = _book_rows(kind, kinds)
+    run, schema = _book_rows(kinds)
     books = materialize(rows.mapInArrow(run, schema), "lm-books")
     ends = {r["k"]: r["n"] for r in rows.filter(~F.col("held")).groupBy("k").agg(F.count("*").alias("n")).collect()}
     ends = np.array([ends.get(k, 0) for k in range(kinds)])
@@ -414,8 +421,8 @@ def score(
     discard(words)
     # Back to the books: a book's words and its chunks of documents in one partition, in order.
     back = listed.select("book", F.posexplode("words").alias("slot", "word")).join(spelled, "word").select("book", "slot", "v")
-    documents = books.filter("ids is not null").select("book", F.lit((1 << 31) - 1).alias("slot"), F.lit(None).cast("binary").alias("v"), F.struct(*DOCUMENT).alias("d"))
-    met = back.withColumn("d", F.lit(None).cast(documents.schema["d"].dataType)).unionByName(documents)
+    documents = books.filter("documents is not null").select("book", F.lit(LAST).alias("slot"), F.col("documents").alias("v"))
+    met = back.unionByName(documents)
     met = met.repartition("book").sortWithinPartitions("book", "slot")
     end = totals.log10(ends.astype(float)[None, :], end_spelled[None, :])[0]
     return met.mapInArrow(
