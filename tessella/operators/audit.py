@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import ordering
 from tessella.operators.running import running_totals
-from tessella.sources.scratch import written
+from tessella.sources.scratch import ship, written
 
 
 def cohort_cube(df: DataFrame, cohorts: dict[str, Column], sets: dict[str, Column], group: str) -> DataFrame:
@@ -83,6 +83,7 @@ def single_feature_ceiling(df: DataFrame, features: list[str], label: str, fold:
     table (finer structure of single values is ``leak_level_a``'s matter, which is exact).
     Values are counted once with a column a fold; accuracies are means over folds.
     """
+    ship(df.sparkSession)
     low = F.lit(-1e18)
     stacked = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.coalesce(F.col(f).cast("double"), low).alias("v")) for f in features]))
     long = df.select(F.col(label).cast("long").alias("y"), fold.cast("int").alias("fold"), stacked.alias("x")).select("y", "fold", "x.feature", "x.v")

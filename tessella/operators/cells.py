@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.sources.scratch import written
+from tessella.sources.scratch import ship, written
 
 
 def cell(value: Column, thresholds: list[float]) -> Column:
@@ -84,12 +84,12 @@ def rule_rates(real: DataFrame, bad: DataFrame, rules: DataFrame) -> DataFrame:
     is NULL. Each table is scanned once, however many the rules; a rule's failing rows
     are at most six entries of the table of sums, found by a join.
     """
-    targets, guards, pairs = _thresholds(rules)
-    names = rules.columns
+    spark, names = real.sparkSession, rules.columns
+    ship(spark)
+    own = written(rules.withColumn("_id", F.monotonically_increasing_id()), "rules")
+    targets, guards, pairs = _thresholds(own)
     if not pairs:
         return rules.select("*", F.lit(None).cast("double").alias("satisfaction"), F.lit(None).cast("double").alias("rejection"))
-    spark = real.sparkSession
-    own = written(rules.withColumn("_id", F.monotonically_increasing_id()), "rules")
     places = spark.createDataFrame([(n, t, i) for n, ts in targets.items() for i, t in enumerate(ts)], "_f string, _t double, _i int")
     on = spark.createDataFrame([(n, t, i) for n, ts in guards.items() for i, t in enumerate(ts)], "_f string, _t double, _on int")
     ends = spark.createDataFrame([(k, g, f, 0 if g is None else 2 * len(guards[g]), 2 * len(targets[f])) for k, (g, f) in enumerate(pairs)], "_k int, _g string, _f string, _last_a int, _last_b int")

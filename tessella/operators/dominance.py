@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.sources.scratch import written
+from tessella.sources.scratch import ship, written
 
 SPAN = 65_536  # points of a group in a range, about
 
@@ -92,6 +92,7 @@ def dominated(points: DataFrame, asked: DataFrame, by: list[str]) -> DataFrame:
 
     Groups without a question have no row; keys in ``by`` are not null.
     """
+    ship(points.sparkSession)
     kinds = ", ".join(f"`{c}` {points.schema[c].dataType.simpleString()}" for c in by)
     most = max(2, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     marks = lambda c: F.percentile_approx(c, [i / most for i in range(1, most)], 100 * most)

@@ -9,9 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators import manyfits
 from tessella.operators.quantiles import quantile_lists
-
-from tessella.operators.pairs import mirrored, unordered
 from tessella.operators.splits import crc_fold
 
 
@@ -63,13 +62,10 @@ def newton_logistic(df: DataFrame, features: list[str], label: str, weight: str,
 
 
 def fit_pair_score(df: DataFrame, group: str, identity: str, target: str, features: list[str], l2: float = 1e-6) -> tuple[Scaler, np.ndarray]:
+    """Scaler and coefficients of a pairwise logistic score; pairs are made in blocks, step by step, and kept nowhere."""
     scaler = fit_scaler(df, features)
-    z = scaler.apply(df)
-    train = mirrored(unordered(z, group, identity, target, features), identity, features, target, group).cache()
-    try:
-        return scaler, newton_logistic(train, features, "y", "weight", l2)
-    finally:
-        train.unpersist()
+    blocks = manyfits.pair_blocks(scaler.apply(df), group, identity, target, features)
+    return scaler, manyfits.fit(blocks, np.array([l2]), steps=25, tolerance=1e-9)[0]
 
 
 def score(scaler: Scaler, features: list[str], beta) -> Column:
@@ -82,25 +78,4 @@ def forward_selection(
 ) -> list[tuple[str, float]]:
     """(feature, cross-validated group-equal accuracy) in the order taken; groups stay whole in a fold."""
     z = fit_scaler(df, features).apply(df)
-    pairs = mirrored(unordered(z, group, identity, target, features), identity, features, target, group)
-    pairs = pairs.withColumn("_fold", crc_fold(group, folds)).cache()
-    chosen: list[tuple[str, float]] = []
-    try:
-        while len(chosen) < most:
-            best = None
-            for f in [x for x in features if x not in {c for c, _ in chosen}]:
-                cols, parts = [c for c, _ in chosen] + [f], []
-                for k in range(folds):
-                    beta = newton_logistic(pairs.filter(F.col("_fold") != k), cols, "y", "weight", steps=8)
-                    s = reduce(lambda a, b: a + b, [F.col(c) * float(b) for c, b in zip(cols, beta)])
-                    ok = F.when(s == 0, 0.5).otherwise(((s > 0) == (F.col("y") == 1)).cast("double"))
-                    parts.append(pairs.filter(F.col("_fold") == k).groupBy(group).agg(F.avg(ok).alias("a")))
-                acc = reduce(lambda a, b: a.unionByName(b), parts).agg(F.avg("a")).first()[0]
-                if acc is not None and (best is None or acc > best[1]):
-                    best = (f, acc)
-            if best is None or (chosen and best[1] - chosen[-1][1] < least_gain):
-                break
-            chosen.append(best)
-        return chosen
-    finally:
-        pairs.unpersist()
+    return manyfits.forward(z, group, identity, target, features, crc_fold(group, folds), folds, most, least_gain)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.sources.scratch import written
+from tessella.sources.scratch import ship, written
 
 WORD = 64
 
@@ -48,6 +48,7 @@ def pack(df: DataFrame, rules: list[Column], by: Column | None = None) -> Bits:
 
 def joint_counts(bits: Bits, sets: list[tuple[int, ...]]) -> dict:
     """Group -> counts[set, rule]: rows that pass all rules of the set and the rule."""
+    ship(bits.table.sparkSession)
     words, rules = -(-bits.rules // WORD), bits.rules
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

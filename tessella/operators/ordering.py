@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.numeric import clopper_pearson_upper, wilson
-from tessella.operators.running import running_totals
+from tessella.operators.running import running_totals, with_range
+from tessella.sources.scratch import written
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -173,12 +174,21 @@ def leak_level_a(df: DataFrame, feature: str, label: str, chance: float = -6.0)
 
 
 def benjamini_hochberg(df: DataFrame, p: str, identity: str) -> DataFrame:
-    """``df`` with ``q_value``; meant for a table of tests, which is small."""
-    up = Window.orderBy(F.col(p), F.col(identity))
-    n = F.count(p).over(Window.partitionBy())
-    raw = df.filter(F.col(p).isNotNull()).withColumn("_r", F.row_number().over(up)).withColumn("_raw", F.col(p) * n / F.col("_r"))
-    down = Window.orderBy(F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return raw.withColumn("q_value", F.least(F.min("_raw").over(down), F.lit(1.0))).drop("_r", "_raw")
+    """``df``'s rows that have a p-value, with ``q_value``: the least of p n / rank over it and all larger p-values, at most 1.
+
+    Ranks come from running totals (tests of one p-value share the last rank of them)
+    and the least of what follows from ranges, so a table of any number of tests is
+    many tasks. ``identity`` is not needed to break ties.
+    """
+    run = running_totals(df, p, {}).select(F.col(p).alias("_p"), "cum_n")
+    total = run.agg(F.max("cum_n").alias("_n"))
+    raw = run.join(F.broadcast(total)).select("_p", (F.col("_p") * F.col("_n") / F.col("cum_n")).alias("_raw"))
+    ranged = with_range(written(raw, "q-values"), "_p", [])
+    later = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    after = ranged.groupBy("_range").agg(F.min("_raw").alias("_least")).select("_range", F.min("_least").over(later).alias("_after"))
+    inside = F.min("_raw").over(Window.partitionBy("_range").orderBy(F.desc("_p")))
+    q = ranged.withColumn("_q", inside).join(F.broadcast(after), "_range").select("_p", F.least("_q", "_after", F.lit(1.0)).alias("q_value"))
+    return df.join(q, F.col(p) == F.col("_p")).drop("_p")
 
 
 def frontier(df: DataFrame, score: str, good: str, targets: list[float]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators.dominance import dominated
 from tessella.operators.running import running_totals
+from tessella.sources.scratch import ship
 
 
 def _side(df: DataFrame, group: str, cols: list[str], mark: str) -> DataFrame:
@@ -138,6 +139,7 @@ def _counts_by_level(d: DataFrame, by: list[str], levels: list[float], tolerance
     """(by, level, counts) of the pairs whose targets differ by the level or more."""
     kinds = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in by)
     points = d.groupBy(*by, F.col("_t").alias("x"), F.coalesce("_s", F.lit(MOST)).alias("y")).agg(F.count("*").alias("n"))
+    ship(d.sparkSession)
     asked = d.select(*by, "_t", "_s").mapInArrow(_limits(levels, tolerance), f"{kinds}, tag int, x double, y double")
     found = dominated(points, asked, by).withColumns({"level": F.floor(F.col("tag") / 6).cast("int"), "kind": F.col("tag") % 6})
     wide = found.groupBy(*by, "level").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("m"))), F.lit(0)).alias(f"k{k}") for k in range(6)])

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessella.functions import text
-from tessella.operators import audit, boosting, cells, geometry, masks, mining, quantiles
+from tessella.operators import additive, audit, boosting, cells, fanout, geometry, manyfits, masks, mining, periodic, quantiles
 from tessella.plans.mined import FEATURES, _sides
 from tessella.plans.registry import register, table
+from tessella.sources import shards
+from tessella.sources.scratch import scratch_dir
 
 SINGLE_WEIGHTS = [0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 4.0]
 PAIR_WEIGHTS = [0.1, 0.25, 0.5, 1.0, 2.0]
@@ -147,3 +152,120 @@ def mean_valences(spark, sf):
     )
     v = geometry.mean_valences(F.col("e"), F.col("n"), {"O": -2}, {"Na": 1})
     return d.select("p_partkey", F.round(F.try_element_at(v, F.lit("Fe")), 6).alias("iron"))
+
+
+def _parsed(record: dict) -> list[dict]:
+    x = json.loads(record["props"])
+    return [{"tags": len(x.get("tags") or []), "items": len(x.get("items") or [])}]
+
+
+@register("parsed_clicks")
+def parsed_clicks(spark, sf):
+    """Every click's properties parsed, with what became of those that can't be."""
+    clicks = table(spark, sf, "clicks").select("click_id", "props")
+    rows, failures = fanout.fan_out(clicks, "click_id", _parsed, "tags int, items int", seconds=10.0)
+    none = F.lit(None).cast("int")
+    return rows.select("click_id", F.lit("ok").alias("outcome"), "tags", "items").union(failures.select("click_id", "error", none, none))
+
+
+@register("sharded_sales")
+def sharded_sales(spark, sf):
+    """Sales written in shards, taken up again (nothing is left to do), merged and read back."""
+    path = f"{scratch_dir(spark)}/tessella/sharded-sales-{uuid.uuid4().hex}"
+    sales = table(spark, sf, "sales").select("sale_id", "client_id", "total")
+    shards.write_missing(sales, "sale_id", 16, f"{path}/shards")
+    if shards.write_missing(sales, "sale_id", 16, f"{path}/shards"):
+        raise RuntimeError("finished shards were repeated")
+    merged = shards.merge(spark, f"{path}/shards", f"{path}/merged", 16)
+    return merged.groupBy(F.pmod(F.xxhash64("sale_id"), F.lit(16)).cast("int").alias("shard")).agg(F.count("*").alias("n"), F.round(F.sum("total"), 2).alias("total"))
+
+
+@register("nested_selection")
+def nested_selection(spark, sf):
+    """Sparse pairwise scores of suppliers' balances by nested folds of nations."""
+    s, features = _supplier_features(spark, sf)
+    nation = F.col("s_nationkey")
+    got = manyfits.nested_selection(s, "s_nationkey", "s_suppkey", "s_acctbal", features, nation % 2, 2, F.floor(nation / 2) % 2, 2, [0.1, 1.0], [1, 2])
+    rows = [(c.fold, c.c, c.terms, round(c.mean, 6), round(c.accuracy, 6), ",".join(sorted(c.coefficients))) for c in got]
+    return spark.createDataFrame(rows, "fold int, c double, terms int, inner_accuracy double, accuracy double, chosen string")
+
+
+@register("refit_stability")
+def refit_stability(spark, sf):
+    s, features = _supplier_features(spark, sf)
+    got = manyfits.refits(s, "s_nationkey", "s_suppkey", "s_acctbal", features, [0.5, 0.8], 5, 5, l2=0.01)
+    rows = [(r["kind"], r["fraction"], r["draw"], round(r["cosine"], 6), round(r["accuracy"], 6)) for r in got]
+    return spark.createDataFrame(rows, "kind string, fraction double, draw int, cosine double, accuracy double")
+
+
+def _supplier_features(spark, sf):
+    s = table(spark, sf, "supplier")
+    noise = F.pmod(F.xxhash64("s_suppkey"), F.lit(1000)) / 1000.0
+    s = s.select("s_nationkey", "s_suppkey", "s_acctbal", noise.alias("noise"), (F.col("s_suppkey") % 7 / 7.0).alias("key"), (F.col("s_acctbal") / 10000 + noise).alias("told"))
+    return s, ["noise", "key", "told"]
+
+
+@register("additive_scores")
+def additive_scores(spark, sf):
+    """Sparse sums of an order line's ratios that single out returned lines from accepted ones, with their best cuts."""
+    d = table(spark, sf, "lineitem")
+    terms = [
+        additive.Term("discount", "price", F.col("l_discount") * 10),
+        additive.Term("tax", "price", F.col("l_tax") * 10),
+        additive.Term("quantity", "size", F.col("l_quantity") / 50),
+        additive.Term("number", "place", F.col("l_linenumber") / 7),
+    ]
+    found = additive.search(d, terms, F.col("l_returnflag") == "R", F.col("l_returnflag") == "A", 0.3, 0.2, (0.5, 1.0), pairs=3, triples=3)
+    rows = [("+".join(f.terms), f.key, f.auc and round(f.auc, 6), f.threshold and round(f.threshold, 6), f.rejected, f.severe) for f in found]
+    return spark.createDataFrame(rows, "terms string, formula string, auc double, threshold double, rejected long, severe long")
+
+
+def _crystals(spark, sf):
+    """A crystal a supplier: rock salt in its skew primitive cell or caesium chloride, of an edge that follows from the balance."""
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), (4 + F.abs("s_acctbal") / 10000).alias("a"))
+    rock = F.col("id") % 2 == 0
+    corner = lambda i, j: F.when(rock, F.lit(0.0 if i == j else 0.5)).otherwise(F.lit(1.0 if i == j else 0.0)) * F.col("a")
+    structures = s.select("id", "a", rock.alias("rock"), F.array(*[F.array(*[corner(i, j) for j in range(3)]) for i in range(3)]).alias("lattice"))
+    site = lambda n, x, q, e: F.struct(F.lit(n).alias("site"), F.lit(x).alias("x"), F.lit(x).alias("y"), F.lit(x).alias("z"), F.lit(q).alias("charge"), F.lit(e).alias("species"))
+    return structures, s.select("id", F.explode(F.array(site(0, 0.0, 1.0, "M"), site(1, 0.5, -1.0, "X"))).alias("r")).select("id", "r.*")
+
+
+@register(
+    "periodic_pairs",
+    """WITH s AS (SELECT s_suppkey AS id, 4 + abs(s_acctbal) / 10000 AS a FROM supplier), f AS (SELECT unnest([0, 1]) AS site, unnest([0.0, 0.5])::DOUBLE AS p), t AS (SELECT unnest(range(-4, 5)) AS n),
+    d AS (SELECT id, a, i.site AS i, j.site AS j, x.n + j.p - i.p AS x, y.n + j.p - i.p AS y, z.n + j.p - i.p AS z FROM s, f i, f j, t x, t y, t z WHERE i.site <> j.site OR x.n <> 0 OR y.n <> 0 OR z.n <> 0),
+    r AS (SELECT id, i, j, a * CASE WHEN id % 2 = 0 THEN sqrt((y + z) ** 2 + (x + z) ** 2 + (x + y) ** 2) / 2 ELSE sqrt(x ** 2 + y ** 2 + z ** 2) END AS distance FROM d)
+    SELECT id, i, j, count(*) AS n, round(min(distance), 6) AS nearest, round(sum(distance), 4) AS total FROM r WHERE distance <= 6 GROUP BY ALL""",
+)
+def periodic_pairs(spark, sf):
+    structures, sites = _crystals(spark, sf)
+    n = periodic.neighbours(structures, sites, 6.0)
+    return n.groupBy("id", "i", "j").agg(F.count("*").alias("n"), F.round(F.min("distance"), 6).alias("nearest"), F.round(F.sum("distance"), 4).alias("total"))
+
+
+def _bonds(spark, sf):
+    structures, sites = _crystals(spark, sf)
+    near = periodic.neighbours(structures, sites, 5.0).filter("i = 0 and j = 1")
+    first = near.groupBy("id").agg(F.min("distance").alias("least"))
+    return near.join(first, "id").filter("distance < 1.05 * least").select("id", "i", "j", "tx", "ty", "tz"), structures, sites
+
+
+@register(
+    "polyhedra_rules",
+    """SELECT s_suppkey AS id, 0.0::DOUBLE AS worst_deviation, round(CASE WHEN s_suppkey % 2 = 0 THEN 6 / 9.0 ELSE 6 / 13.0 END::DOUBLE, 6) AS edges, round(CASE WHEN s_suppkey % 2 = 0 THEN 0 ELSE 3 / 13.0 END::DOUBLE, 6) AS faces, 1::BIGINT AS environments FROM supplier""",
+)
+def polyhedra_rules(spark, sf):
+    """Octahedra of rock salt share edges with 12 neighbours and corners with 6, cubes of caesium chloride faces with 6, edges with 12 and corners with 8."""
+    bonds, _, sites = _bonds(spark, sf)
+    got = periodic.polyhedra(bonds, sites)
+    return got.select("id", F.round(F.abs(F.round("worst_deviation", 9)), 6).alias("worst_deviation"), F.round("edges", 6).alias("edges"), F.round("faces", 6).alias("faces"), "environments")
+
+
+@register(
+    "madelung_constants",
+    """SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 1.747565 ELSE 1.762675 END::DOUBLE AS madelung FROM supplier""",
+)
+def madelung_constants(spark, sf):
+    structures, sites = _crystals(spark, sf)
+    nearest = F.col("a") * F.when(F.col("rock"), 0.5).otherwise(F.sqrt(F.lit(3.0)) / 2)
+    return periodic.madelung(structures, sites, nearest, digits=9).select("id", F.round("madelung", 6).alias("madelung"))

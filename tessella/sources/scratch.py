@@ -2,12 +2,32 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_SENT: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once an application, for functions that run there, whatever their working folder."""
+    if spark.sparkContext.applicationId in _SENT:
+        return
+    root = Path(__file__).resolve().parents[1]
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    at = Path(tempfile.mkdtemp(prefix="tessella-library-")) / f"tessella_library_{os.getpid()}.zip"
+    at.write_bytes(packed.getvalue())
+    spark.sparkContext.addPyFile(str(at))
+    _SENT.add(spark.sparkContext.applicationId)
 
 
 def scratch_dir(spark: SparkSession) -> str:

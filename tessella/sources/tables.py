@@ -139,3 +139,37 @@ class AuditLog:
         with open(self.path, "a") as f:
             f.write(json.dumps(what, sort_keys=True) + "\n")
         return n + 1
+
+
+class UseLog:
+    """A quota of uses in a shared folder: each use is a file of its own number, made only if it is not there.
+
+    Two writers that take one number at a time can't both have it, on any file system
+    on which a file is created exclusively.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, quota: int):
+        self.spark, self.path, self.quota = spark, path, quota
+
+    def _fs(self, at: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def used(self) -> int:
+        fs, at = self._fs(self.path)
+        return sum(f.getPath().getName().startswith("use-") for f in fs.listStatus(at)) if fs.exists(at) else 0
+
+    def record(self, **what) -> int:
+        """The number of this use; refused once the quota is used up."""
+        for n in range(self.used() + 1, self.quota + 1):
+            fs, at = self._fs(f"{self.path}/use-{n:06d}")
+            try:
+                out = fs.create(at, False)
+            except Exception:
+                if not fs.exists(at):
+                    raise
+                continue  # another writer has this number
+            out.write(bytearray(json.dumps(what, sort_keys=True).encode()))
+            out.close()
+            return n
+        raise SourceError(f"the quota of {self.quota} is used up")

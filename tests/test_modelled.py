@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
+import operator
 import random
 from fractions import Fraction
 
@@ -289,7 +291,7 @@ def test_joint_ceiling_finds_what_no_feature_tells_alone(spark):
     d = spark.range(3000).select("id", h(1).alias("a"), h(2).alias("b"), h(3).alias("c"))
     d = d.withColumn("y", ((F.col("a") > 3) != (F.col("b") > 6)).cast("int"))
     fold = F.col("id") % 3
-    s = boosting.Settings(rounds=15, depth=3, rate=0.3)
+    s = boosting.Settings(rounds=8, depth=3, rate=0.5)
     joint = boosting.joint_ceiling(d, ["a", "b"], "y", fold, 3, s).first()
     alone = {r.feature: r.accuracy for r in audit.single_feature_ceiling(d, ["a", "b"], "y", fold, 3).collect()}
     assert joint.features == 2 and joint.cv_accuracy > 0.97 and joint.cv_gain > 0.3 and max(alone.values()) < 0.75
@@ -382,3 +384,56 @@ def test_mean_valences(spark):
     got = {r.i: r.v for r in d.select("i", geometry.mean_valences(F.col("e"), F.col("n"), {"O": -2, "F": -1}, {"Na": 1, "Li": 1}).alias("v")).collect()}
     assert got[1] == {"Fe": pytest.approx(8 / 3), "O": -2.0} and got[2] == {"Na": 1.0, "Fe": 3.5, "O": -2.0}
     assert got[3] is got[4] is got[5] is got[6] is got[7] is None
+
+
+def test_additive_search_equals_brute_force(spark):
+    from tessella.operators import additive
+
+    rng = random.Random(21)
+    rows = []
+    for i in range(220):
+        severe = rng.random() < 0.4
+        x = [None if rng.random() < 0.05 else round(rng.gauss(0.6 * severe, 0.5), 1), round(rng.gauss(0.4 * severe, 0.5), 1), round(rng.random(), 1), round(rng.gauss(0.3 * severe, 0.3), 1)]
+        rows.append((*x, severe, not severe and rng.random() < 0.8))
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, severe boolean, protected boolean")
+    terms = [additive.Term(n, g, F.col(n)) for n, g in (("d", "y"), ("a", "x"), ("b", "x"), ("c", "y"))]
+    got = additive.search(df, terms, F.col("severe"), F.col("protected"), 0.5, 0.5, (0.5, 2.0), pairs=3, triples=3, per_group=2)
+    bound = {}
+
+    def low(k, n):
+        if n and (k, n) not in bound:
+            z = 1.959963984540054
+            p = k / n
+            bound[k, n] = (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+        return bound[k, n] if n else 0.0
+
+    def judged(ids, ws):
+        # Added one by one: the built-in sum of floats is compensated, and ties hang on the last bit.
+        total = lambda r: functools.reduce(operator.add, [w * r["abcd".index(t)] for t, w in zip(ids, ws)])
+        scored = [(total(r), r[4], r[5]) for r in rows if all(r["abcd".index(t)] is not None for t in ids)]
+        s, p = [v for v, a, _ in scored if a], [v for v, _, b in scored if b]
+        auc = np.mean([(u > v) + 0.5 * (u == v) for u in s for v in p])
+        protected, best = sum(r[5] for r in rows), None
+        for cut in sorted({v for v, *_ in scored}):
+            hit, bad = sum(v >= cut and a for v, a, _ in scored), sum(v >= cut and b for v, _, b in scored)
+            if hit and low(hit, hit + bad) >= 0.5 and low(protected - bad, protected) >= 0.5:
+                x = (hit, round(low(hit, hit + bad), 9), cut)
+                best = max(best, x) if best else x
+        return auc, best
+
+    singles = {t: judged((t,), (1.0,)) for t in "abcd"}
+    order = sorted("abcd", key=lambda t: (-round(singles[t][0], 9), t))[:3]
+    specs = [((t,), (1.0,)) for t in "abcd"] + [(s, (1.0, w)) for s in itertools.combinations(sorted(order), 2) for w in (0.5, 2.0)]
+    specs += [(tuple(sorted(order)), (1.0, v, w)) for v in (0.5, 2.0) for w in (0.5, 2.0)]
+    assert {(f.terms, f.weights) for f in got} == set(specs) and len(got) == len(specs)
+    for f in got:
+        auc, best = judged(f.terms, f.weights)
+        assert f.auc == pytest.approx(auc)
+        assert (f.threshold is None) == (best is None)
+        if best:
+            assert (f.severe, f.threshold) == (best[0], pytest.approx(best[2])) and f.precision_lower == pytest.approx(best[1], abs=1e-8)
+    assert [f.rank() for f in got] == sorted(f.rank() for f in got)
+    capped = additive.shortlist(sorted(terms, key=lambda t: t.id), [f for f in got if len(f.terms) == 1], 4, 1)
+    assert len({sorted(terms, key=lambda t: t.id)[i].group for i in capped}) == len(capped) == 2
+    with pytest.raises(ValueError):
+        additive.search(df, [terms[0], terms[0]], F.col("severe"), F.col("protected"))
