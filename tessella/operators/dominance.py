@@ -87,16 +87,17 @@ def _grid(by: list[str]):
     return run
 
 
-def dominated(points: DataFrame, asked: DataFrame, by: list[str]) -> DataFrame:
+def dominated(points: DataFrame, asked: DataFrame, by: list[str], span: int | None = None) -> DataFrame:
     """(by, tag, m): over the questions (by, tag, x, y) of a group and tag, the sum of n of its points (by, x, y, n) with smaller x and y.
 
-    Groups without a question have no row; keys in ``by`` are not null.
+    Groups without a question have no row; keys in ``by`` are not null. A range has
+    about ``span`` points.
     """
     ship(points.sparkSession)
     kinds = ", ".join(f"`{c}` {points.schema[c].dataType.simpleString()}" for c in by)
     most = max(2, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     marks = lambda c: F.percentile_approx(c, [i / most for i in range(1, most)], 100 * most)
-    parts = F.least(F.lit(most), F.ceil(F.count("*") / SPAN)).cast("int")
+    parts = F.least(F.lit(most), F.ceil(F.count("*") / (span or SPAN))).cast("int")
     bounds = points.groupBy(*by).agg(marks("x").alias("_bx"), marks("y").alias("_by"), parts.alias("_parts"))
     few = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("_parts") - 1), lambda i: F.get(c, (i * most / F.col("_parts")).cast("int") - 1)))
     bounds = bounds.withColumns({c: F.when(F.col("_parts") > 1, few(F.col(c))).otherwise(F.array().cast("array<double>")) for c in ("_bx", "_by")})

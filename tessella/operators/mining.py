@@ -255,10 +255,10 @@ def pareto_beam(
             for i in range((d["laws"][-1] + 1) if d["laws"] else 0, len(candidates)):
                 if candidates[i].feature in used:
                     continue
-                satisfaction, rejection = all_good[n, i] / n_good, (n_wrong - all_wrong[n, i]) / n_wrong
+                satisfaction, rejection = float(all_good[n, i] / n_good), float((n_wrong - all_wrong[n, i]) / n_wrong)
                 if satisfaction < floor or any(g[k][n, i] / good.totals[k] < stratum_floor for k in floors) or rejection - d["rejection"] < least_gain:
                     continue
-                worst = min(((m - w[k][n, i]) / m for k, m in wrong.totals.items() if k is not None), default=0.0)
+                worst = min((float((m - w[k][n, i]) / m) for k, m in wrong.totals.items() if k is not None), default=0.0)
                 new.append({"laws": (*d["laws"], i), "satisfaction": satisfaction, "rejection": rejection, "worst_kind": worst})
         a = sorted(new, key=lambda d: (-round(d["rejection"] + 0.5 * d["worst_kind"], 12), d["laws"]))
         b = sorted(new, key=lambda d: (-round(d["rejection"] / max(1e-9, 1 - d["satisfaction"] + 1e-6), 9), d["laws"]))

@@ -96,6 +96,7 @@ SUMS = ("n", "known", "ties", "committed", "right", "concordant")
 
 
 MOST = 1.7976931348623157e308
+PART: int | None = None  # points of a group in a range, where the default is not wanted
 
 
 def _limits(levels: list[float], tolerance: float):
@@ -141,7 +142,7 @@ def _counts_by_level(d: DataFrame, by: list[str], levels: list[float], tolerance
     points = d.groupBy(*by, F.col("_t").alias("x"), F.coalesce("_s", F.lit(MOST)).alias("y")).agg(F.count("*").alias("n"))
     ship(d.sparkSession)
     asked = d.select(*by, "_t", "_s").mapInArrow(_limits(levels, tolerance), f"{kinds}, tag int, x double, y double")
-    found = dominated(points, asked, by).withColumns({"level": F.floor(F.col("tag") / 6).cast("int"), "kind": F.col("tag") % 6})
+    found = dominated(points, asked, by, PART).withColumns({"level": F.floor(F.col("tag") / 6).cast("int"), "kind": F.col("tag") % 6})
     wide = found.groupBy(*by, "level").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("m"))), F.lit(0)).alias(f"k{k}") for k in range(6)])
     right, near = (F.col("k4"), F.col("k5")) if tolerance > 0 else (F.col("k2"), F.col("k3"))
     counts = {"n": F.col("k0"), "known": F.col("k1"), "ties": F.col("k3") - F.col("k2"), "committed": right + F.col("k1") - near, "right": right, "concordant": F.col("k2")}

@@ -81,15 +81,15 @@ def robust_beam(spark, sf):
 @register(
     "joint_rates",
     """WITH r(i, lo, hi, f) AS (VALUES (0, NULL, 40.0, 'q'), (1, 5.0, NULL, 'q'), (2, NULL, 0.07, 't'), (3, 0.01, NULL, 'd')),
-    o AS (SELECT l_returnflag AS by, [l_quantity <= 40, l_quantity >= 5, l_tax <= 0.07, l_discount >= 0.01] AS ok FROM lineitem)
-    SELECT by, s.i AS first, r.i AS second, count(*) FILTER (WHERE ok[s.i + 1] AND ok[r.i + 1]) AS n FROM o, r s, r GROUP BY ALL""",
+    o AS (SELECT l_returnflag AS flag, [l_quantity <= 40, l_quantity >= 5, l_tax <= 0.07, l_discount >= 0.01] AS ok FROM lineitem)
+    SELECT flag, s.i AS first, r.i AS second, count(*) FILTER (WHERE ok[s.i + 1] AND ok[r.i + 1]) AS n FROM o, r s, r GROUP BY ALL""",
 )
 def joint_rates(spark, sf):
     d = table(spark, sf, "lineitem")
     rules = [F.col("l_quantity") <= 40, F.col("l_quantity") >= 5, F.col("l_tax") <= 0.07, F.col("l_discount") >= 0.01]
     got = masks.joint_counts(masks.pack(d, rules, F.col("l_returnflag")), [(i,) for i in range(4)])
     rows = [(k, i, j, int(x[i, j])) for k, x in got.items() for i in range(4) for j in range(4)]
-    return spark.createDataFrame(rows, "by string, first int, second int, n long")
+    return spark.createDataFrame(rows, "flag string, first int, second int, n long")
 
 
 @register("joint_ceiling")
@@ -182,10 +182,10 @@ def sharded_sales(spark, sf):
 
 @register("nested_selection")
 def nested_selection(spark, sf):
-    """Sparse pairwise scores of suppliers' balances by nested folds of nations."""
+    """Sparse pairwise scores of suppliers' balances by nested folds of four groups."""
     s, features = _supplier_features(spark, sf)
-    nation = F.col("s_nationkey")
-    got = manyfits.nested_selection(s, "s_nationkey", "s_suppkey", "s_acctbal", features, nation % 2, 2, F.floor(nation / 2) % 2, 2, [0.1, 1.0], [1, 2])
+    part = F.col("part")
+    got = manyfits.nested_selection(s, "part", "s_suppkey", "s_acctbal", features, part % 2, 2, F.floor(part / 2), 2, [10.0, 100.0], [1, 2])
     rows = [(c.fold, c.c, c.terms, round(c.mean, 6), round(c.accuracy, 6), ",".join(sorted(c.coefficients))) for c in got]
     return spark.createDataFrame(rows, "fold int, c double, terms int, inner_accuracy double, accuracy double, chosen string")
 
@@ -201,7 +201,7 @@ def refit_stability(spark, sf):
 def _supplier_features(spark, sf):
     s = table(spark, sf, "supplier")
     noise = F.pmod(F.xxhash64("s_suppkey"), F.lit(1000)) / 1000.0
-    s = s.select("s_nationkey", "s_suppkey", "s_acctbal", noise.alias("noise"), (F.col("s_suppkey") % 7 / 7.0).alias("key"), (F.col("s_acctbal") / 10000 + noise).alias("told"))
+    s = s.select("s_nationkey", (F.col("s_suppkey") % 4).cast("int").alias("part"), "s_suppkey", "s_acctbal", noise.alias("noise"), (F.col("s_suppkey") % 7 / 7.0).alias("key"), (F.col("s_acctbal") / 10000 + noise).alias("told"))
     return s, ["noise", "key", "told"]
 
 
