@@ -103,9 +103,10 @@ NOT_ALNUM = ~table(bytes([*range(48, 58), *range(65, 91), *range(97, 123), *rang
 
 
 def trim() -> None:
-    """Give memory that a finished task freed back to the system, where the C library can."""
+    """Give memory that a finished task freed back to the system: Arrow's, and the C library's where it can."""
     import ctypes
 
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):

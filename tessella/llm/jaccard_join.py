@@ -157,6 +157,7 @@ def _write_sets(out: str, k: int):
                     yield flush()
         if sizes:
             yield flush()
+        B.trim()
 
     return run
 
@@ -241,6 +242,7 @@ def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     [pa.array([m], pa.int64()), pa.array([_pack40(t[keep])], pa.binary()), pa.array([d[keep].astype("<u4").tobytes()], pa.binary())],
                     ["m", "tokens", "df"],
                 )
+    B.trim()
 
 
 def _prefixes(out: str, percent: int):
@@ -303,6 +305,7 @@ def _prefixes(out: str, percent: int):
             got = of(m0, np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
             if got is not None:
                 yield got
+        B.trim()
 
     return run
 

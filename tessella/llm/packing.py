@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.llm import bytesops as B
 from tessella.llm.shared import materialize
 from tessella.llm.tokens import encoder, tokenizer_path
 
@@ -106,6 +107,7 @@ def _cut(path: str, capacity: int):
                     [batch.column(0).take(pa.array(a + row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())],
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+            B.trim()
 
     return run
 

@@ -234,6 +234,7 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", threshol
                 pa.array(p[:, 0] >= threshold),
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], schema.names)
+        B.trim()
 
     return docs.mapInArrow(run, schema)
 
