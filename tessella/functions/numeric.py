@@ -57,6 +57,11 @@ def quantise(c, grid: int) -> Column:
     return F.rint(_c(c) * grid) / grid
 
 
+def scaled_round(c, digits: int) -> Column:
+    """The scaled double's nearest integer, scaled back, as DuckDB rounds; F.round takes the shortest decimal that stands for the double, so ties part."""
+    return F.round(_c(c) * 10.0**digits) / 10.0**digits
+
+
 def joint(kind: str, *cols) -> Column:
     """min, mean, product, geometric or harmonic of several columns."""
     cols = [_c(c) for c in cols]

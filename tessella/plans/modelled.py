@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tessella.functions import text
+from tessella.functions import numeric, text
 from tessella.operators import additive, audit, boosting, cells, fanout, geometry, manyfits, masks, mining, periodic, quantiles
 from tessella.plans.mined import FEATURES, _sides
 from tessella.plans.registry import register, table
@@ -240,7 +240,7 @@ def _crystals(spark, sf):
 def periodic_pairs(spark, sf):
     structures, sites = _crystals(spark, sf)
     n = periodic.neighbours(structures, sites, 6.0)
-    return n.groupBy("id", "i", "j").agg(F.count("*").alias("n"), F.round(F.min("distance"), 6).alias("nearest"), F.round(F.sum("distance"), 4).alias("total"))
+    return n.groupBy("id", "i", "j").agg(F.count("*").alias("n"), numeric.scaled_round(F.min("distance"), 6).alias("nearest"), numeric.scaled_round(F.sum("distance"), 4).alias("total"))
 
 
 def _bonds(spark, sf):

@@ -6,10 +6,12 @@ import itertools
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tessella.operators import periodic
 
 CUBE = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]
@@ -99,3 +101,13 @@ def test_madelung_constants_and_the_split(spark):
     a, b = ({(r.id, r.site): r.potential for r in periodic.ewald(s, sites, split=x).collect()} for x in (2.0, 4.0))
     assert a.keys() == b.keys() and all(v == pytest.approx(b[k], abs=1e-6) for k, v in a.items())
     assert periodic.ewald(s.limit(0), sites).count() == 0
+
+
+def test_pairs_round_ties_as_their_sql(spark, tmp_path):
+    """Edges whose halves and sums end in a 5 behind the last place: the nearest double of some lies below the tie, the scaled one on it, and the reverse."""
+    balances = [1212.49, 475.27, 331.3, -2769.45, 34.75, 924.07, 0.0, 2564.25, 2564.75, 9999.99, None]
+    rows = [(2 * i + odd, b) for i, b in enumerate(balances) for odd in (0, 1)]
+    spark.createDataFrame(rows, "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = sorted(map(tuple, entry.queries()["periodic_pairs"](spark, str(tmp_path)).collect()))
+    want = duckdb.sql(f"WITH supplier AS (SELECT * FROM read_parquet('{tmp_path}/supplier.parquet/*.parquet')) SELECT * FROM ({entry.oracle_sql()["periodic_pairs"]})").fetchall()
+    assert len(got) == 4 * (len(rows) - 2) and got == sorted(want)
