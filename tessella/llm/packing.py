@@ -28,11 +28,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm import bytesops as B
-from tessella.llm.shared import materialize
+from tessella.llm.shared import arrow_rows, materialize
 from tessella.llm.tokens import encoder, tokenizer_path
 
 CAPACITY = 2048
 END_ID = 0
+BATCH = 2000  # whole texts that go to Python at once
 
 
 def _largest(counts: np.ndarray, most: int) -> int:
@@ -101,7 +102,7 @@ def _cut(path: str, capacity: int):
                 first = ((n - 1) % capacity + 1)[row]
                 start = np.where(piece == 0, 0, first + (piece - 1) * capacity)
                 length = np.where(piece == 0, first, capacity)
-                raw, begin = memoryview(ids.astype("<u4")).cast("B"), 4 * (at[row] + start)
+                raw, begin = memoryview(ids.astype("<u4", copy=False)).cast("B"), 4 * (at[row] + start)
                 crc = [zlib.crc32(raw[x:y]) for x, y in zip(begin.tolist(), (begin + 4 * length).tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(a + row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())],
@@ -168,7 +169,9 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def packed_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), a row per piece."""
-    return pack(materialize(pieces(docs, path or tokenizer_path(), capacity), "packing-pieces"), capacity)
+    with arrow_rows(docs.sparkSession, BATCH):
+        cut = materialize(pieces(docs, path or tokenizer_path(), capacity), "packing-pieces")
+    return pack(cut, capacity)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

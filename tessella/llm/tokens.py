@@ -23,9 +23,10 @@ import pyarrow as pa
 
 from tessella.llm import bytesops as B
 
-MEMO = 1_000_000  # pieces
+MEMO = 500_000  # pieces
 STORE = 1 << 23  # ids of pieces
-CHUNK = 8 << 20  # bytes of text encoded together
+CHUNK = 4 << 20  # bytes of text encoded together
+STEP = 1 << 14  # new pieces that the library's model takes together, as its tokens are objects
 _WORKER: dict[str, Encoder] = {}
 _HEAD = B.table(b" \n")
 _MARK = B.table(b",.")
@@ -92,6 +93,13 @@ def _direct(data: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return np.logical_and.reduceat(fine, cut[:-1]) & (np.diff(cut) > space)
 
 
+def _grown(x: np.ndarray, used: int, more: int) -> np.ndarray:
+    """Room for at least ``more`` behind the first ``used``; what is not yet written takes no memory."""
+    out = np.empty(len(x) + max(len(x), more), x.dtype)
+    out[:used] = x[:used]
+    return out
+
+
 class Encoder:
     def __init__(self, path: str):
         import os
@@ -151,10 +159,13 @@ class Encoder:
         first = np.flatnonzero(direct)
         if len(first):
             length = np.diff(cut)
-            own = data[np.repeat(direct, length)]
-            got = list(map(self.library.model.tokenize, self._in_letters(own, np.append(0, np.cumsum(length[direct])))))
-            size[first] = list(map(len, got))
-            parts.append(np.array([t.id for x in got for t in x], np.uint32))
+            own, at = data[np.repeat(direct, length)], np.append(0, np.cumsum(length[direct]))
+            for a in range(0, len(first), STEP):
+                some = first[a : a + STEP]
+                x, y = at[a], at[a + len(some)]
+                got = list(map(self.library.model.tokenize, self._in_letters(own[x:y], at[a : a + len(some) + 1] - x)))
+                size[some] = list(map(len, got))
+                parts.append(np.array([t.id for x in got for t in x], np.uint32))
         joint, alone = [], []
         for i in np.flatnonzero(~direct).tolist():
             p = pieces[i]
@@ -180,15 +191,22 @@ class Encoder:
         """``flat`` has the pieces' ids one after the other in ``order``."""
         n, k = len(self.memo), len(pieces)
         if n + k > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros(max(len(x), k), np.int64)]) for x in (self.start, self.size))
+            self.start, self.size = (_grown(x, n, k) for x in (self.start, self.size))
         if self.used + len(flat) > len(self.store):
-            self.store = np.concatenate([self.store, np.zeros(max(len(self.store), len(flat)), np.uint32)])
+            self.store = _grown(self.store, self.used, len(flat))
         self.start[n + order] = self.used + np.cumsum(size[order]) - size[order]
         self.size[n : n + k] = size
         self.store[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
         self.memo.update(zip(pieces, range(n, n + k)))
 
+    def _gather(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the slots one after the other, how many each has)."""
+        size = self.size[slot]
+        at = np.repeat(self.start[slot] - np.cumsum(size) + size, size)
+        at += np.arange(len(at))
+        return self.store[at], size
+
     def _by_pieces(self, data: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts = piece_starts(data, o)
         cut = np.append(starts, len(data)).astype(np.int32)
@@ -198,16 +216,16 @@ class Encoder:
         slots = np.fromiter(map(self.memo.get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(slots < 0)
         if len(new) and (len(self.memo) + len(new) > MEMO or self.used > STORE):
+            known = np.flatnonzero(slots >= 0)  # what this chunk has again is worth keeping
+            ids, size = self._gather(slots[known])
             self._clear()
-            new = np.arange(len(words))
+            self._keep([words[i] for i in known.tolist()], np.arange(len(known)), size, ids)
+            slots[known] = np.arange(len(known))
         if len(new):
             slots[new] = len(self.memo) + np.arange(len(new))
             self._learn(column.take(pa.array(new)), [words[i] for i in new.tolist()])
-        slot = slots[pieces.indices.to_numpy()]
-        size = self.size[slot]
-        ends = np.cumsum(size)
-        ids = self.store[np.arange(ends[-1]) + np.repeat(self.start[slot] - ends + size, size)]
-        return ids, np.append(0, ends)[np.searchsorted(starts, o)]
+        ids, size = self._gather(slots[pieces.indices.to_numpy()])
+        return ids, np.append(0, np.cumsum(size))[np.searchsorted(starts, o)]
 
     def ids(self, data: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets from 0) of texts given by their bytes and offsets from 0."""

@@ -187,6 +187,38 @@ def test_encoder_forgets_and_stays_exact(monkeypatch):
     assert len(e.memo) < 200
 
 
+def test_encoder_keeps_what_recurs_and_learns_in_steps(monkeypatch):
+    """A full memo asks the library for no piece again that the chunk at hand shares with it, and tokens are made for few pieces at once."""
+    monkeypatch.setattr(tokens, "MEMO", 300)
+    monkeypatch.setattr(tokens, "STEP", 16, raising=False)
+    monkeypatch.setattr(tokens, "CHUNK", 2000)
+    e, fresh, asked, steps = tokens.Encoder(tokens.tokenizer_path()), fresh_library(), collections.Counter(), []
+    learn, letters = e._learn, e._in_letters
+    monkeypatch.setattr(e, "_learn", lambda column, pieces: (asked.update(pieces), learn(column, pieces)))
+    monkeypatch.setattr(e, "_in_letters", lambda data, cut: (steps.append(len(cut) - 1), letters(data, cut))[1])
+    texts = [" ".join(["same", *(f"{w}{chr(97 + i % 26)}{chr(97 + i // 26)}" for w in ("so", "many", "new")), "words"]) for i in range(600)]
+    assert e.encode(texts) == [library_ids(fresh, t) for t in texts]
+    assert asked[b"same"] == asked[b" words"] == 1 and len(asked) > 4 * 300 and max(steps) <= 16
+
+
+def test_packing_hands_python_few_rows_at_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    def sizes(path, capacity):
+        def run(batches):
+            for b in batches:
+                n = b.num_rows
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x] * n, t) for x, t in ((0, pa.int32()), (0, pa.int64()), (1, pa.int64()), (n, pa.int64())))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+
+        return run
+
+    monkeypatch.setattr(packing, "_cut", sizes)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = spark.range(9000).coalesce(1).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"))
+    got = packing.packed_documents(docs).agg(F.count("*"), F.max("ids_crc32")).first()
+    assert got[0] == 9000 and got[1] <= 2000 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_encoder_of_a_very_long_text():
     e, rng = tokens.Encoder(tokens.tokenizer_path()), random.Random(3)
     text = " ".join(rng.choice(["word", "other,", "Häuser.", "x  y", "12"]) for _ in range(900_000))
