@@ -2,10 +2,13 @@
 
 Model: severity grades 0..2 with P(grade >= k | x) = sigmoid(w.x - theta_k), one
 weight vector shared by all thresholds and theta_1 < theta_2 (kept in order by
-learning the log of their gap). Features are log(1 + count) of byte n-grams
-within words, those that the labels single out: smoothed log-odds for the toxic
-label above a bound. The output is the expected severity, the sum over k of
-P(grade >= k).
+learning the log of their gap). Features are byte n-grams within words, those
+that the labels single out: smoothed log-odds for the toxic label above a bound.
+Their values are shares, log(1 + count) over its sum in the text; one more feature
+is the log of their number a hundred words. So what the grades below are made from
+is among the features, and no feature grows with a text's length (weights shared by
+both thresholds can't fit such grades from counts, and then lose toxic rows). The
+output is the expected severity, the sum over k of P(grade >= k).
 
 The labels only tell toxic from not. Grades among the toxic training rows are
 made from the evidence a word, which does not grow with a text's length: rows with
@@ -102,10 +105,11 @@ class Vocabulary:
     def _slot(self, g: np.ndarray) -> np.ndarray:
         return (g * B.MULTIPLIER) >> np.uint64(64 - self.BITS)
 
-    def bags(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(first row, end row, row, feature, count) over whole texts, (row, feature) unique."""
+    def bags(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(first row, end row, row, feature, count, words of each row) over whole texts, (row, feature) unique."""
         for a, b, data, o in B.chunks(column):
             rows, feats = [], []
+            words = np.bincount(B.rows_of(B.words(data, o, B.SPACE)[0], o), minlength=b - a)
             for r, g in _grams(data, o):
                 if not len(self.grams):
                     continue
@@ -116,24 +120,24 @@ class Vocabulary:
                 feats.append(at[hit])
             if rows:
                 key, count = np.unique(np.concatenate(rows).astype(np.int64) << 32 | np.concatenate(feats), return_counts=True)
-                yield a, b, key >> 32, key & 0xFFFFFFFF, count
+                yield a, b, key >> 32, key & 0xFFFFFFFF, count, words
             else:
                 z = np.zeros(0, np.int64)
-                yield a, b, z, z, z
+                yield a, b, z, z, z, words
 
 
 def _bags(vocab: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label = batch.column(1).to_numpy(zero_copy_only=False)
-            for a, b, r, f, c in vocab.bags(batch.column(0)):
+            for a, b, r, f, c, words in vocab.bags(batch.column(0)):
                 cut = np.searchsorted(r, np.arange(b - a + 1))
                 yield pa.record_batch(
                     [
                         pa.array(label[a:b], pa.int32()),
                         pa.array([f[i:j].astype(np.int32).tobytes() for i, j in zip(cut, cut[1:])], pa.binary()),
                         pa.array([c[i:j].astype(np.int32).tobytes() for i, j in zip(cut, cut[1:])], pa.binary()),
-                        batch.column(2).slice(a, b - a),
+                        pa.array(words, pa.int32()),
                     ],
                     ["label", "feats", "counts", "words"],
                 )
@@ -151,14 +155,28 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_train: int
     return met.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("text", "label")
 
 
+def values(rows: np.ndarray, feats: np.ndarray, counts: np.ndarray, words: np.ndarray | None, n: int, grams: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, value) of n texts: each gram's share and, as feature ``grams``, the evidence a hundred words; without words the grams' log counts alone."""
+    x = np.log1p(counts)
+    if words is None:
+        return rows, feats, x
+    dense = np.log1p(100 * np.bincount(rows, counts, minlength=n) / np.maximum(words, 1))
+    at = np.flatnonzero(dense)
+    share = x / np.bincount(rows, x, minlength=n)[rows]
+    return np.concatenate([rows, at]), np.concatenate([feats, np.full(len(at), grams)]), np.concatenate([share, dense[at]])
+
+
 class OrdinalModel:
-    """Vocabulary, weights shared by all thresholds, ordered thresholds."""
+    """Vocabulary, weights (grams', then the density's) shared by all thresholds, ordered thresholds."""
 
     def __init__(self, vocab: Vocabulary, weights: np.ndarray, thresholds: np.ndarray):
         self.vocab, self.weights, self.thresholds = vocab, weights, thresholds
 
-    def linear(self, rows: np.ndarray, feats: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
-        return np.bincount(rows, self.weights[feats] * np.log1p(counts), minlength=n) if len(rows) else np.zeros(n)
+    def linear(self, rows: np.ndarray, feats: np.ndarray, counts: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
+        if not len(rows):
+            return np.zeros(n)
+        r, f, x = values(rows, feats, counts, words, n, len(self.vocab.grams))
+        return np.bincount(r, self.weights[f] * x, minlength=n)
 
     def at_least(self, z: np.ndarray) -> np.ndarray:
         """P(grade >= k), a column per threshold."""
@@ -178,10 +196,11 @@ def fit(rows: list, vocab: Vocabulary, l2: float = 1e-5, steps: int = 600, rate:
         return OrdinalModel(Vocabulary(np.zeros(0, np.uint64)), np.zeros(0), np.array([40.0, 41.0]))
     f = [np.frombuffer(r["feats"], np.int32) for r in rows]
     raw = np.concatenate([np.frombuffer(r["counts"], np.int32) for r in rows])
-    r, w, c = np.repeat(np.arange(len(y)), [len(x) for x in f]), np.concatenate(f), np.log1p(raw)
-    words = np.array([max(x["words"], 1) if "words" in x else 1 for x in rows])
-    g = grades(y, np.bincount(r, raw, minlength=len(y)) / words)
-    n, top = len(vocab.grams), int(g.max())
+    r = np.repeat(np.arange(len(y)), [len(x) for x in f])
+    words = np.array([x["words"] for x in rows]) if "words" in rows[0] else None
+    g = grades(y, np.bincount(r, raw, minlength=len(y)) / (1 if words is None else np.maximum(words, 1)))
+    r, w, c = values(r, np.concatenate(f), raw, words, len(y), len(vocab.grams))
+    n, top = len(vocab.grams) + (words is not None), int(g.max())
     at_least = (g[:, None] >= np.arange(1, top + 1)[None, :]).astype(float)
     p = np.concatenate([np.zeros(n), [1.0], np.zeros(top - 1)])  # weights, theta_1, log gaps
     m, v = np.zeros_like(p), np.zeros_like(p)
@@ -207,8 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Ord
     odds = F.log((F.col("tox") + 0.5) / (pos + 1.0)) - F.log((F.col("df") - F.col("tox") + 0.5) / (n - pos + 1.0))
     evidence = counts.filter((F.col("tox") >= least) & (odds > EVIDENCE_LOG_ODDS)).orderBy(F.desc("tox"), "gram").limit(MAX_VOCABULARY)
     vocab = Vocabulary(np.array([x["gram"] for x in evidence.select("gram").collect()], np.int64).view(np.uint64))
-    words = F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")).alias("words")
-    bags = sample.select("text", "label", words).mapInArrow(_bags(vocab), "label int, feats binary, counts binary, words int")
+    bags = sample.mapInArrow(_bags(vocab), "label int, feats binary, counts binary, words int")
     return fit(bags.collect(), vocab)  # at most max_train rows
 
 
@@ -225,8 +243,8 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", threshol
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = np.zeros((batch.num_rows, len(model.thresholds)))
-            for a, b, r, f, c in model.vocab.bags(batch.column(at)):
-                p[a:b] = model.at_least(model.linear(r, f, c, b - a))
+            for a, b, r, f, c, words in model.vocab.bags(batch.column(at)):
+                p[a:b] = model.at_least(model.linear(r, f, c, words, b - a))
             more = [
                 pa.array(p.sum(1)),
                 pa.array((p >= 0.5).sum(1), pa.int32()),

@@ -67,6 +67,23 @@ def test_toxicity_stage(stages):
     assert set(before) - set(after) == toxic and all(after[i] == before[i] for i in after)
 
 
+def test_toxic_rows_go_whatever_their_length_and_share(spark, tmp_path):
+    rng = random.Random(6)
+    bad = ["stupid", "moron", "clown", "idiot", "trash", "loser", "pathetic", "worthless", "disgusting", "scum"]
+    clean = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(800):
+        n, share = int(20 * 40 ** rng.random()), rng.uniform(0.02, 0.1) if i % 5 == 0 else 0
+        words = [rng.choice(bad) if rng.random() < share else rng.choice(clean) for _ in range(n)]
+        rows.append((i, " ".join(words + [rng.choice(bad)] * (i % 5 == 0))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = [(i, 1, int(i % 5 == 0)) for i in range(400)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.toxicity_stage(spark, docs, str(tmp_path)).collect()}
+    assert kept >= {i for i in range(800) if i % 5}
+    assert sum(i % 5 == 0 for i in kept) <= 0.02 * 160  # half of them were not among the labelled rows
+
+
 def test_line_stage(stages):
     rows, got = rows_of(stages[1]), {r[0]: r for r in rows_of(stages[2])}
     want = {}
