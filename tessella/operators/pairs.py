@@ -99,6 +99,34 @@ MOST = 1.7976931348623157e308
 PART: int | None = None  # points of a group in a range, where the default is not wanted
 
 
+def _key(v: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of doubles, neighbours for neighbours."""
+    i = v.view(np.int64)
+    return np.where(i >= 0, i, np.iinfo(np.int64).min - i)
+
+
+def _double(key: np.ndarray) -> np.ndarray:
+    return np.where(key >= 0, key, np.iinfo(np.int64).min - key).view(np.float64)
+
+
+def _under(v: np.ndarray, start: np.ndarray, step: float, fits) -> np.ndarray:
+    """The smallest number over the largest w that fits; what fits is all up to some number near ``start`` = v -+ step.
+
+    A difference is rounded to the spacing of v or step, which near 0 spans many
+    doubles w, so that the border is found by halving.
+    """
+    some = np.isfinite(start)
+    wide = 4 * np.spacing(np.maximum(np.maximum(np.abs(v), np.abs(start)), abs(step)), where=some, out=np.zeros(len(v)))
+    lo, hi = _key(np.where(some, start - wide, 0.0)), _key(np.where(some, start + wide, 0.0))
+    while True:
+        mid = (lo >> 1) + (hi >> 1) + (lo & hi & 1)
+        if not (mid > lo).any():
+            break
+        ok = fits(v, _double(mid))
+        lo, hi = np.where(ok, mid, lo), np.where(ok, hi, mid)
+    return np.where(some, _double(hi), start)
+
+
 def _limits(levels: list[float], tolerance: float):
     """Per row, level and kind of question, the numbers that a point must lie under, exact for differences as doubles give them.
 
@@ -106,26 +134,16 @@ def _limits(levels: list[float], tolerance: float):
     4 one lower by more than the tolerance, 5 one not higher by more than it.
     """
 
-    def largest(v: np.ndarray, start: np.ndarray, fits) -> np.ndarray:
-        """The smallest number over the largest w that fits; what fits is all up to some number near ``start``."""
-        w = start
-        for _ in range(8):
-            w = np.where(fits(v, w), w, np.nextafter(w, -np.inf))
-        for _ in range(8):
-            up = np.nextafter(w, np.inf)
-            w = np.where(fits(v, up), up, w)
-        return np.nextafter(w, np.inf)
-
     def run(batches):
         for batch in batches:
             t, s = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_t", "_s"))
             known = ~np.isnan(s)
             ys = [np.full(len(s), np.inf), np.full(len(s), MOST), s, np.nextafter(s, np.inf)]
             if tolerance > 0:
-                ys.append(largest(s, s - tolerance, lambda v, w: v - w > tolerance))
-                ys.append(largest(s, s + tolerance, lambda v, w: w - v <= tolerance))
+                ys.append(_under(s, s - tolerance, tolerance, lambda v, w: v - w > tolerance))
+                ys.append(_under(s, s + tolerance, tolerance, lambda v, w: w - v <= tolerance))
             for i, c in enumerate(levels):
-                x = t if c <= 0 else largest(t, t - c, lambda v, w: v - w >= c)  # noqa: B023
+                x = t if c <= 0 else _under(t, t - c, c, lambda v, w: v - w >= c)  # noqa: B023
                 for kind, y in enumerate(ys):
                     some = pa.array(known if kind else np.ones(len(s), bool))
                     rows = batch.filter(some)
