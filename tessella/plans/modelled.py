@@ -119,7 +119,7 @@ def rational_keys(spark, sf):
     a, b, c = F.col("p_size") % 9 + 1, F.col("p_partkey") % 7 + 1, F.col("p_partkey") % 3 + 1
     share = lambda x: F.format_string("%.10f", x / (a + b + c).cast("double"))
     formula = F.concat(F.lit("Ca"), share(a), F.lit("Ti"), share(b), F.lit("O"), share(c))
-    return table(spark, sf, "part").select("p_partkey", text.rational_key(formula).alias("key"))
+    return text.with_rational_key(table(spark, sf, "part").select("p_partkey", formula.alias("formula")), "formula", "key").select("p_partkey", "key")
 
 
 @register(

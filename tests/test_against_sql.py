@@ -34,3 +34,11 @@ def test_gap_strata_at_edges_as_doubles_give_them(both):
             rows += [(len(rows), nation, round(low, 2)), (len(rows) + 1, nation, round(low + edge, 2))]
     got, want = both("gap_strata", "customer", CUSTOMER, rows)
     assert got == want and len(got) == 3
+
+
+def test_rational_keys_computes_each_part_once(both, spark, tmp_path):
+    """A fraction's steps stand once in the plan, not once more for every use of them."""
+    got, want = both("rational_keys", "part", "p_partkey long, p_size int", [(k, 10 * k % 51) for k in range(40)])
+    assert got == want and len(got) == 40
+    plan = entry.queries()["rational_keys"](spark, str(tmp_path))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("aggregate(") <= 10
