@@ -193,6 +193,58 @@ def pair_counts(df: DataFrame, group: str, identity: str, target: str, score: st
     return steps.filter("n > 0")
 
 
+def _from(c: float):
+    """Rows with ``x``: what is under it lies at least c under the row's target, for differences as doubles give them."""
+
+    def run(batches):
+        for batch in batches:
+            t = batch.column("_t").to_numpy(zero_copy_only=False)
+            yield batch.append_column("x", pa.array(_under(t, t - c, c, lambda v, w: v - w >= c)))
+
+    return run
+
+
+def _gap_sums(d: DataFrame, by: list[str], gap: float) -> DataFrame:
+    """(by, n, gap) of the pairs of rows (by, _t) whose targets differ, by ``gap`` or more."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    # Sums of targets are exact where they have at most 10 decimals and are not huge, else sums of doubles.
+    exact = F.col("_t").try_cast("decimal(20,10)")
+    row = {"p": one, "pd": exact, "pf": F.col("_t"), "q": one, "qd": exact, "qf": F.col("_t"), "lost": exact.isNull().cast("long")}
+    if gap <= 0:
+        both = d.select(*by, F.col("_t").alias("x"), *[v.alias(k) for k, v in row.items()])
+    else:
+        ship(d.sparkSession)
+        kinds = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in by)
+        asked = d.select(*by, "_t").mapInArrow(_from(gap), f"{kinds}, _t double, x double")
+        empty = lambda names: {k: v if k in names else (none if k in ("p", "q", "lost") else F.lit(0).cast(d.select(v).schema[0].dataType)) for k, v in row.items()}
+        points = d.select(*by, F.col("_t").alias("x"), *[v.alias(k) for k, v in empty(("p", "pd", "pf", "lost")).items()])
+        both = points.unionByName(asked.select(*by, "x", *[v.alias(k) for k, v in empty(("q", "qd", "qf", "lost")).items()]))
+    run = running_totals(both, "x", {k: F.col(k) for k in row}, by)
+    below = {k: F.col(f"cum_{k}") - F.col(k) for k in ("p", "pd", "pf")}
+    whole, parts = lambda c: c.cast("decimal(11,0)"), lambda c: c.try_cast("decimal(26,10)")
+    sums = run.groupBy(*by).agg(
+        F.sum(F.col("q") * below["p"]).alias("n"),
+        (F.try_sum(parts(F.col("qd")) * whole(below["p"])) - F.try_sum(parts(below["pd"]) * whole(F.col("q")))).cast("double").alias("_exact"),
+        F.sum(F.col("qf") * below["p"] - below["pf"] * F.col("q")).alias("_near"),
+        F.sum("lost").alias("_lost"),
+    )
+    return sums.select(*by, "n", F.when(F.col("_lost") == 0, F.coalesce("_exact", "_near")).otherwise(F.col("_near")).alias("gap"))
+
+
+def pair_totals(df: DataFrame, group: str, identity: str, target: str, gap: float = 0.0) -> DataFrame:
+    """(group, n, gap): number and summed target gap of the pairs that ``unordered`` would make, n log n in a group and without a pair.
+
+    Over the sorted targets each row's gaps are its target times the rows under it less
+    their sum. Rows that share an identity are summed as a group of their own and taken off.
+    """
+    d = df.filter(F.col(group).isNotNull() & F.col(target).isNotNull() & F.col(identity).isNotNull())
+    d = d.select(group, F.col(identity).alias("_id"), F.col(target).cast("double").alias("_t"))
+    again = d.groupBy(group, "_id").agg(F.count("*").alias("_times")).filter("_times > 1").drop("_times")
+    own = _gap_sums(d.join(again, [group, "_id"], "left_semi"), [group, "_id"], gap).select(group, (-F.col("n")).alias("n"), (-F.col("gap")).alias("gap"))
+    both = _gap_sums(d, [group], gap).unionByName(own)
+    return both.groupBy(group).agg(F.sum("n").alias("n"), F.sum("gap").alias("gap")).filter("n > 0")
+
+
 def rank_by_target(df: DataFrame, group: str, identity: str, target: str, score: str, gap: float = 0.0, tolerance: float = 0.0) -> DataFrame:
     """One row over pairs of differing targets, each number group-equal: commit and accuracy (lower target, lower score)."""
     p = pair_counts(df, group, identity, target, score, gap, tolerance)

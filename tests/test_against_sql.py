@@ -42,3 +42,35 @@ def test_rational_keys_computes_each_part_once(both, spark, tmp_path):
     assert got == want and len(got) == 40
     plan = entry.queries()["rational_keys"](spark, str(tmp_path))._jdf.queryExecution().analyzed().toString()
     assert plan.count("aggregate(") <= 10
+
+
+@pytest.fixture
+def no_pairs(monkeypatch):
+    def made(*_, **__):
+        raise AssertionError("pairs were made")
+
+    monkeypatch.setattr("tessella.operators.pairs.unordered", made)
+    monkeypatch.setattr("tessella.operators.pairs.bipartite", made)
+
+
+#: Equal balances, copies of a key with like and unlike balances, NULLs, a nation of one row and one of ties only, and edges of 5000.
+ODD_CUSTOMERS = [(k, k % 3, round(k * 7919 % 9973 / 7, 2)) for k in range(150)] + [
+    *[(k, 4, round(k * 3.7 - 60 + e, 2)) for k in range(30) for e in (0, 5000)],
+    *[(7, 1, 55.5), (7, 1, 9000.25), (7, 1, 9000.25), (11, 2, -1.0), (11, 2, 99.0)],
+    *[(900, 7, 1.0), (901, 8, 2.5), (902, 8, 2.5), (903, None, 1.0), (None, 1, 4.0), (904, 1, None)],
+]
+
+
+@pytest.mark.parametrize(("query", "nations"), [("pairs_unordered", 4)])
+def test_pair_sums_without_pairs(both, no_pairs, query, nations):
+    got, want = both(query, "customer", CUSTOMER, ODD_CUSTOMERS)
+    assert got == want and len(got) == nations
+
+
+def test_pair_sums_of_huge_and_fine_targets(spark):
+    """Targets that 10 decimals don't hold are summed as doubles."""
+    from tessella.operators import pairs
+
+    rows = [("a", i, t) for i, t in enumerate((1e15, 3e15, -2e300, 1.0))] + [("b", i, t) for i, t in enumerate((0.1, 0.30000000004, 7.0))]
+    got = {r.g: (r.n, r.gap) for r in pairs.pair_totals(spark.createDataFrame(rows, "g string, i int, t double"), "g", "i", "t").collect()}
+    assert got == {"a": (6, pytest.approx(6e300)), "b": (3, pytest.approx(13.8))}
