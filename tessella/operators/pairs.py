@@ -6,6 +6,9 @@ sums over sorted values or ranges instead, so that no pair is a row.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -245,6 +248,20 @@ def pair_totals(df: DataFrame, group: str, identity: str, target: str, gap: floa
     return both.groupBy(group).agg(F.sum("n").alias("n"), F.sum("gap").alias("gap")).filter("n > 0")
 
 
+def bipartite_totals(df: DataFrame, group: str, positive: Column, value: str) -> DataFrame:
+    """(group, n, lower): the pairs that ``bipartite`` would make, and in how many the positive has the lower value; no pair is made.
+
+    NULL values are pairs that are not compared; ``lower`` is NULL where none is.
+    """
+    d = df.select(group, positive.cast("long").alias("y"), F.col(value).cast("double").alias("s")).filter(F.col(group).isNotNull() & F.col("y").isNotNull())
+    known = F.col("s").isNotNull()
+    of = lambda *cs: F.count(F.when(reduce(and_, cs), 1))
+    t = d.groupBy(group).agg(of(F.col("y") == 1).alias("p"), of(F.col("y") == 0).alias("m"), of(F.col("y") == 1, known).alias("ps"), of(F.col("y") == 0, known).alias("ms"))
+    v = _sorted_counts(d, [group]).groupBy(group).agg(F.sum(F.col("below") * (F.col("vm") - F.col("vp"))).alias("lower"))
+    j = t.filter((F.col("p") > 0) & (F.col("m") > 0)).join(v, group, "left")
+    return j.select(group, (F.col("p") * F.col("m")).alias("n"), F.when((F.col("ps") > 0) & (F.col("ms") > 0), F.col("lower")).alias("lower"))
+
+
 def rank_by_target(df: DataFrame, group: str, identity: str, target: str, score: str, gap: float = 0.0, tolerance: float = 0.0) -> DataFrame:
     """One row over pairs of differing targets, each number group-equal: commit and accuracy (lower target, lower score)."""
     p = pair_counts(df, group, identity, target, score, gap, tolerance)

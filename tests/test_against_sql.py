@@ -74,3 +74,10 @@ def test_pair_sums_of_huge_and_fine_targets(spark):
     rows = [("a", i, t) for i, t in enumerate((1e15, 3e15, -2e300, 1.0))] + [("b", i, t) for i, t in enumerate((0.1, 0.30000000004, 7.0))]
     got = {r.g: (r.n, r.gap) for r in pairs.pair_totals(spark.createDataFrame(rows, "g string, i int, t double"), "g", "i", "t").collect()}
     assert got == {"a": (6, pytest.approx(6e300)), "b": (3, pytest.approx(13.8))}
+
+
+def test_bipartite_counts_without_pairs(both, no_pairs):
+    rows = [(k, f"B{k % 3}", k * 13 % 51, float(k * 31 % 17)) for k in range(90)]
+    rows += [(100, "B0", 30, None), (101, "B1", 3, None), (102, "B2", None, 1.0), (103, None, 30, 1.0), (104, "one", 30, 1.0), (105, "none", 30, None), (106, "none", 3, 2.0)]
+    got, want = both("bipartite_pairs", "part", "p_partkey long, p_brand string, p_size int, p_retailprice double", rows)
+    assert got == want and len(got) == 4
