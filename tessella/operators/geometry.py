@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import itertools
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.sources.scratch import ship
+
 
 def radius_join(points: DataFrame, group: str, identity: str, xyz: tuple[str, str, str], cutoff: float) -> DataFrame:
     """(group, i, j, distance) of i < j within the cutoff: an equi-join on grid cells of that size.
@@ -18,7 +22,8 @@ def radius_join(points: DataFrame, group: str, identity: str, xyz: tuple[str, st
     Each point meets only the 27 cells about its own, so a dense group costs as many
     comparisons as it has near pairs.
     """
-    cell = [F.floor(F.col(c) / cutoff).cast("long") for c in xyz]
+    # A little wider than the cutoff, as a quotient's rounding may move a point to the next cell.
+    cell = [F.floor(F.col(c) / (cutoff * (1 + 1e-9))).cast("long") for c in xyz]
     names = ["_cx", "_cy", "_cz"]
     left = points.select(group, F.col(identity).alias("i"), *[F.col(c).alias(f"_l{k}") for k, c in enumerate(xyz)], *[c.alias(n) for c, n in zip(cell, names)])
     steps = F.array(*[F.struct(*[F.lit(s).alias(n) for s, n in zip(d, "xyz")]) for d in itertools.product((-1, 0, 1), repeat=3)])
@@ -29,6 +34,97 @@ def radius_join(points: DataFrame, group: str, identity: str, xyz: tuple[str, st
     return near.filter(F.col("distance") < cutoff).select(group, "i", "j", "distance")
 
 
+SPAN = 16_384  # points of a slab whose neighbours one task looks for
+CHUNK = 1 << 17  # distances held at once
+
+
+def _distances(cutoff: float):
+    """(group, n, total, least) of the pairs within the cutoff of which one point is asked for and the other lies not before it.
+
+    Points are ordered by columns of half the cutoff's width in x and y, in a column by
+    z; a few points meet the stretches of the 13 columns at and after theirs that their z reaches.
+    """
+    wide = cutoff * (1 + 1e-9)
+    limit = cutoff * cutoff  # the least square whose root is not under the cutoff
+    while np.sqrt(limit) >= cutoff:
+        limit = np.nextafter(limit, 0.0)
+    while np.sqrt(limit) < cutoff:
+        limit = np.nextafter(limit, np.inf)
+
+    def run(table: pa.Table) -> pa.Table:
+        cx, cy, i, x, y, z, own = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("cx", "cy", "i", "x", "y", "z", "own"))
+        order = np.lexsort((i, y, x, z, cy, cx))
+        cx, cy, i, x, y, z, own = (v[order] for v in (cx, cy, i, x, y, z, own))
+        new = np.flatnonzero(np.append(True, (cx[1:] != cx[:-1]) | (cy[1:] != cy[:-1])))
+        ends = np.append(new[1:], len(cx))
+        columns = {(int(cx[a]), int(cy[a])): (int(a), int(b)) for a, b in zip(new, ends)}
+        again = len(np.unique(i)) < len(i)
+        n, totals, least = 0, [], np.inf
+        for (c, d), (a, b) in columns.items():
+            asked = a + np.flatnonzero(own[a:b])
+            if not len(asked):
+                continue
+            near = [columns[k] for k in [(c, d + 1), (c, d + 2), *[(c + u, d + v) for u in (1, 2) for v in range(-2, 3)]] if k in columns]
+            size = max(1, min(64, CHUNK // max(1, b - a)))
+            for at in range(0, len(asked), size):
+                left = asked[at : at + size]
+                low, high = z[left[0]] - wide, z[left[-1]] + wide
+                # In the own column only what comes later, so that a pair is met once.
+                first = max(a, int(left[0]))
+                stretches = [(first, first + int(np.searchsorted(z[first:b], high, "right")))]
+                stretches += [(s + int(np.searchsorted(z[s:e], low)), s + int(np.searchsorted(z[s:e], high, "right"))) for s, e in near]
+                right = np.concatenate([np.arange(s, e) for s, e in stretches])
+                step = max(1, CHUNK // len(left))
+                for r in range(0, len(right), step):
+                    some = right[r : r + step]
+                    d2, other = x[left][:, None] - x[some], y[left][:, None] - y[some]
+                    d2 *= d2
+                    other *= other
+                    d2 += other
+                    np.subtract(z[left][:, None], z[some], out=other)
+                    other *= other
+                    d2 += other
+                    ok = d2 < limit
+                    if some[0] < b and some[0] >= a:
+                        ok &= some > left[:, None]
+                    if again:
+                        ok &= i[some] != i[left][:, None]
+                    found = np.sqrt(d2[ok])
+                    if len(found):
+                        n += len(found)
+                        totals.append(float(found.sum()))
+                        least = min(least, float(found.min()))
+        rows = 1 if n else 0
+        return pa.table([table.column(0).slice(0, rows), pa.array([n] * rows, pa.int64()), pa.array([math.fsum(totals)] * rows, pa.float64()), pa.array([least] * rows, pa.float64())], [table.column_names[0], "n", "total", "least"])
+
+    return run
+
+
+def radius_totals(points: DataFrame, group: str, identity: str, xyz: tuple[str, str, str], cutoff: float) -> DataFrame:
+    """(group, n, total, least): number, sum and least of the distances that ``radius_join`` would list; no pair is a row.
+
+    Space is dealt in slabs as wide as the cutoff; a task has the points of a slab (some
+    of them, where it holds more than ``SPAN``) and of the next. Near pairs are all
+    looked at, in pieces of bounded size, so that time grows with them and memory does not.
+    """
+    ship(points.sparkSession)
+    half = cutoff * (1 + 1e-9) / 2
+    key = F.col(identity)
+    if points.schema[identity].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        key = F.xxhash64(identity)
+    d = points.dropna(subset=[group, identity, *xyz])
+    d = d.select(group, key.cast("long").alias("i"), *[F.col(c).cast("double").alias(k) for c, k in zip(xyz, "xyz")])
+    d = d.withColumns({f"c{k}": F.floor(F.col(k) / half).cast("long") for k in "xy"}).withColumn("slab", F.floor(F.col("cx") / 2))
+    parts = d.groupBy(group, "slab").agg(F.ceil(F.count("*") / SPAN).cast("int").alias("parts"))
+    met = d.withColumn("slab", F.explode(F.array("slab", F.col("slab") - 1))).join(parts, [group, "slab"])
+    met = met.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    own = (F.floor(F.col("cx") / 2) == F.col("slab")) & (F.pmod(F.xxhash64("i", "x", "y", "z"), F.col("parts")) == F.col("part"))
+    met = met.select(group, "slab", "part", "cx", "cy", "i", "x", "y", "z", own.alias("own"))
+    kind = points.schema[group].dataType.simpleString()
+    found = met.groupBy(group, "slab", "part").applyInArrow(_distances(cutoff), f"`{group}` {kind}, n long, total double, least double")
+    return found.groupBy(group).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("least").alias("least"))
+
+
 KINDS = ("S1", "S2", "S3", "S4", "S5")
 #: Ranges of the damage, and the least difference of swapped cations' charges.
 COMPRESSION, EXPANSION, DEVIATION, CHARGE_STEP = (0.15, 0.30), (0.20, 0.40), (0.3, 0.8), 1.0

@@ -81,3 +81,18 @@ def test_bipartite_counts_without_pairs(both, no_pairs):
     rows += [(100, "B0", 30, None), (101, "B1", 3, None), (102, "B2", None, 1.0), (103, None, 30, 1.0), (104, "one", 30, 1.0), (105, "none", 30, None), (106, "none", 3, 2.0)]
     got, want = both("bipartite_pairs", "part", "p_partkey long, p_brand string, p_size int, p_retailprice double", rows)
     assert got == want and len(got) == 4
+
+
+def test_radius_sums_without_pairs(both, monkeypatch):
+    """Points dealt in many parts, equal points, copies of a key and points that lie a cutoff apart."""
+    from tessella.operators import geometry
+
+    def made(*_, **__):
+        raise AssertionError("pairs were made")
+
+    monkeypatch.setattr(geometry, "radius_join", made)
+    monkeypatch.setattr(geometry, "SPAN", 40)
+    rows = [(k * 37, f"B{k % 2}", k * 13 % 51, 900 + k * 31 % 700 / 10) for k in range(500)]
+    rows += [(0, "B0", 7, 900.0), (0, "B0", 0, 900.0), (83, "B0", 7, 900.0), (83, "B0", 14, 900.0), (166, "B0", 21, 900.0), (5, "B0", None, 900.0), (6, None, 7, 900.0), (9, "one", 1, 901.0)]
+    got, want = both("radius_neighbours", "part", "p_partkey long, p_brand string, p_size int, p_retailprice double", rows)
+    assert got == want and len(got) == 2
