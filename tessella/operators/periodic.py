@@ -3,18 +3,23 @@
 Structures are (id, lattice) with the lattice's vectors as rows; sites are (id, site,
 x, y, z) with fractional coordinates, which are wrapped into the cell. A lattice's
 heights say how many images a radius reaches, however skew it is. Everything is joins
-and sums keyed by structure and cell; no structure is one task's work.
+and sums keyed by structure and cell; no structure is one task's work, but in
+``ewald`` a small one.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.sources.scratch import ship, written
+
 
 def _v(lattice: Column, i: int, j: int) -> Column:
     return F.get(F.get(lattice, F.lit(i)), F.lit(j))
@@ -122,21 +127,10 @@ def _erfc() -> Column:
     return erfc
 
 
-def ewald(structures: DataFrame, sites: DataFrame, digits: int = 8, split: float | None = None) -> DataFrame:
-    """(id, site, potential): the electrostatic potential at each site of a neutral structure, in charges per length.
-
-    ``sites`` have a column ``charge``. Charges within a cut-off meet in the neighbour
-    join, screened; the rest is a sum over wave vectors of structure factors, which are
-    grouped sums over sites; wave vectors are taken where both sums' cut-offs bound the
-    error to about ``digits`` digits. ``split`` (inverse length) moves work between the
-    two; the result does not hang on it. Half of charge times potential, summed over
-    sites, is the energy of a cell.
-    """
+def _ewald_joined(structures: DataFrame, sites: DataFrame, reach: float, split: float | None) -> DataFrame:
+    """The sums of ``ewald`` as joins: of neighbours within the cut-off, and of sites with wave vectors, whose structure factors are grouped sums."""
     shaped = structures.filter(volume(F.col("lattice")) > 0)
-    reach = math.sqrt(digits * math.log(10))
     size = shaped.agg(F.avg(F.pow(volume(F.col("lattice")), F.lit(1 / 3)))).first()[0]
-    if size is None:
-        return sites.select("id", "site", F.lit(None).cast("double").alias("potential")).limit(0)
     alpha = split or math.sqrt(math.pi) / size
     q = sites.select("id", "site", "charge")
     near = neighbours(structures, sites, reach / alpha)
@@ -165,6 +159,132 @@ def ewald(structures: DataFrame, sites: DataFrame, digits: int = 8, split: float
     return out.select("id", "site", (none("near") + none("far") - 2 * alpha / math.sqrt(math.pi) * F.col("charge")).alias("potential"))
 
 
+WORK = 1 << 20  # distances and phases of a structure that is summed as a whole
+CHUNK = 1 << 15  # distances held at once, which a core keeps near
+
+
+def _erfc_of(x: np.ndarray) -> np.ndarray:
+    return np.fromiter(map(math.erfc, x.tolist()), float, len(x))
+
+
+def _potentials(m: np.ndarray, f: np.ndarray, q: np.ndarray, alpha: np.ndarray, images: np.ndarray, waves: np.ndarray, reach: float) -> np.ndarray:
+    """(structure, site) potentials of structures with as many sites, images and wave vectors (of which a half is given)."""
+    b, n = q.shape
+    inside = f - np.floor(f)
+    apart = (inside[:, None, :, :] - inside[:, :, None, :]) @ m[:, None]
+    moved = images @ m
+    d2 = np.zeros((b, len(images), n, n))
+    for k in range(3):
+        step = moved[:, :, None, None, k] + apart[:, None, :, :, k]
+        step *= step
+        d2 += step
+    own = np.flatnonzero(~images.any(1))[0]
+    d2[:, own, np.arange(n), np.arange(n)] = np.inf
+    s, _, i, j = at = np.nonzero(d2 <= ((reach / alpha) ** 2)[:, None, None, None])
+    d = np.sqrt(d2[at])
+    near = np.bincount(s * n + i, q[s, j] * _erfc_of(alpha[s] * d) / d, b * n).reshape(b, n)
+    k2 = ((2 * math.pi * waves @ np.linalg.inv(m).transpose(0, 2, 1)) ** 2).sum(2)
+    w = 8 * math.pi / np.abs(np.linalg.det(m))[:, None] * np.exp(-k2 / (4 * alpha * alpha)[:, None]) / k2
+    w[k2 > ((2 * alpha * reach) ** 2)[:, None]] = 0.0
+    phase = 2 * math.pi * f @ waves.T.astype(float)
+    c, s = np.cos(phase), np.sin(phase)
+    far = c @ (w * (q[:, None] @ c)[:, 0])[:, :, None] + s @ (w * (q[:, None] @ s)[:, 0])[:, :, None]
+    return near + far[:, :, 0] - 2 * alpha[:, None] / math.sqrt(math.pi) * q
+
+
+def _shapes(reach: float, split: float | None):
+    """Rows of structures with a volume, with the split and the ranges of images and of wave vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m = batch.column("lattice").flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, 3, 3)
+            cross = np.stack([np.cross(m[:, (i + 1) % 3], m[:, (i + 2) % 3]) for i in range(3)], 1)
+            vol = np.abs((m[:, 0] * cross[:, 0]).sum(1))
+            some = vol > 0
+            m, cross, vol = m[some], cross[some], vol[some]
+            alpha = np.full(len(m), float(split)) if split else math.sqrt(math.pi) / np.cbrt(vol)
+            # Coordinates in the cell differ by less than one; |n| of a wave vector is at most its length times the vector's by 2 pi.
+            r = np.floor(reach / alpha[:, None] * np.sqrt((cross**2).sum(2)) / vol[:, None] + 1)
+            w = np.ceil(alpha[:, None] * (reach / math.pi) * np.sqrt((m**2).sum(2)))
+            whole = [pa.array(v.astype(np.int64)) for v in (*r.T, *w.T)]
+            spans = [pa.array((2 * v + 1).prod(1)) for v in (r, w)]
+            kept = batch.filter(pa.array(some))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(alpha), *whole, *spans], ["id", "lattice", "alpha", *[f"{a}{k}" for a in "rw" for k in "xyz"], "images", "waves"])
+
+    return run
+
+
+def _whole(reach: float):
+    """A row a structure with all its sites -> a row a site with its potential."""
+
+    def grid(reaches: np.ndarray) -> np.ndarray:
+        return np.stack(np.meshgrid(*[np.arange(-r, r + 1) for r in reaches], indexing="ij"), -1).reshape(-1, 3)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            col = {k: batch.column(k) for k in batch.schema.names}
+            m = col["lattice"].flatten().flatten().to_numpy().reshape(-1, 3, 3)
+            atoms = col["atoms"].flatten()
+            n = col["atoms"].value_lengths().to_numpy()
+            first = np.cumsum(n) - n
+            xyz = np.stack([atoms.field(k).to_numpy() for k in "xyz"], 1)
+            charge, alpha = atoms.field("charge").to_numpy(), col["alpha"].to_numpy()
+            shapes, kind = np.unique(np.stack([n, *[col[k].to_numpy() for k in ("rx", "ry", "rz", "wx", "wy", "wz")]], 1), axis=0, return_inverse=True)
+            out = np.zeros(len(charge))
+            for at, shape in enumerate(shapes):
+                rows = np.flatnonzero(kind.reshape(-1) == at)
+                images, waves = grid(shape[1:4]), grid(shape[4:7])
+                waves = waves[len(waves) // 2 + 1 :]  # of a vector and its reverse the second
+                size = max(1, CHUNK // (len(images) * shape[0] ** 2 + len(waves) * shape[0]))
+                for a in range(0, len(rows), size):
+                    some = rows[a : a + size]
+                    sites = first[some][:, None] + np.arange(shape[0])
+                    out[sites] = _potentials(m[some], xyz[sites], charge[sites], alpha[some], images, waves, reach)
+            ids = col["id"].take(pa.array(np.repeat(np.arange(len(n)), n)))
+            yield pa.RecordBatch.from_arrays([ids, atoms.field("site"), pa.array(out)], ["id", "site", "potential"])
+
+    return run
+
+
+def ewald(structures: DataFrame, sites: DataFrame, digits: int = 8, split: float | None = None) -> DataFrame:
+    """(id, site, potential): the electrostatic potential at each site of a neutral structure, in charges per length.
+
+    ``sites`` have a column ``charge``. Charges within a cut-off are summed screened, the
+    rest as a sum over wave vectors of structure factors, up to where both sums' cut-offs
+    bound the error to about ``digits`` digits. ``split`` (inverse length) moves work
+    between the two; the result does not hang on it. Half of charge times potential,
+    summed over sites, is the energy of a cell.
+
+    A structure of few distances and wave vectors is a row, and such rows are summed many
+    at once; larger ones are joins and grouped sums over sites, as no structure of any
+    size may be one task's work.
+    """
+    ship(structures.sparkSession)
+    reach = math.sqrt(digits * math.log(10))
+    full = F.col("lattice").isNotNull() & (F.size("lattice") == 3) & F.forall("lattice", lambda v: F.size(v) == 3)
+    ranges = [f"{a}{k}" for a in "rw" for k in "xyz"]
+    kind = structures.schema["id"].dataType.simpleString()
+    types = f"id {kind}, lattice array<array<double>>, alpha double, {', '.join(f'{r} long' for r in ranges)}, images double, waves double"
+    shaped = structures.filter(full).select("id", F.col("lattice").cast("array<array<double>>").alias("lattice")).mapInArrow(_shapes(reach, split), types)
+    placed = sites.dropna(subset=["id", "site", "x", "y", "z", "charge"])
+    sized = shaped.join(placed.groupBy("id").agg(F.count("*").cast("double").alias("n")), "id")
+    sized = sized.withColumn("work", F.col("n") * F.col("n") * F.col("images") + F.col("n") * F.col("waves"))
+    sized = written(sized.drop("images", "waves"), "sized-structures")
+    atom = F.struct("site", *[F.col(k).cast("double").alias(k) for k in ("x", "y", "z", "charge")])
+    few = placed.join(sized.filter(F.col("work") <= WORK), "id")
+    few = few.groupBy("id").agg(*[F.first(k).alias(k) for k in ("lattice", "alpha", *ranges)], F.collect_list(atom).alias("atoms"))
+    kinds = [f"{k} {sites.schema[k].dataType.simpleString()}" for k in ("id", "site")]
+    out = few.mapInArrow(_whole(reach), ", ".join([*kinds, "potential double"]))
+    many = sized.filter(F.col("work") > WORK).select("id")
+    if many.isEmpty():
+        return out
+    return out.unionByName(_ewald_joined(structures.join(many, "id", "left_semi"), sites.join(many, "id", "left_semi"), reach, split))
+
+
 def madelung(structures: DataFrame, sites: DataFrame, length: Column, digits: int = 8) -> DataFrame:
     """(id, energy, madelung): the energy of a cell, and its sites' mean constant for a nearest distance ``length`` (of the structure)."""
     p = ewald(structures, sites, digits).join(sites.select("id", "site", "charge"), ["id", "site"])

@@ -111,3 +111,23 @@ def test_pairs_round_ties_as_their_sql(spark, tmp_path):
     got = sorted(map(tuple, entry.queries()["periodic_pairs"](spark, str(tmp_path)).collect()))
     want = duckdb.sql(f"WITH supplier AS (SELECT * FROM read_parquet('{tmp_path}/supplier.parquet/*.parquet')) SELECT * FROM ({entry.oracle_sql()["periodic_pairs"]})").fetchall()
     assert len(got) == 4 * (len(rows) - 2) and got == sorted(want)
+
+
+def test_small_structures_as_rows_equal_joins(spark, monkeypatch):
+    """Rows of structures of unlike sizes and shapes have the potentials of the joined sums, and need no join of neighbours."""
+    rng = random.Random(5)
+    crystals = dict(CRYSTALS)
+    for k in range(4):
+        lattice = [[rng.uniform(-1, 1) + (2.5 * (i == j)) for j in range(3)] for i in range(3)]
+        charges = [2, -2, 1, -1, -3, 3][: 2 * (k % 3 + 1)] if k != 1 else [1, 2, -3]
+        crystals[f"r{k}"] = (lattice, [("X", q, [rng.uniform(-1, 2) for _ in range(3)]) for q in charges])
+    crystals["flat"] = ([[1.0, 0.0, 0.0], [2.0, 0.0, 0.0], [0.0, 0.0, 1.0]], [("X", 1, (0, 0, 0)), ("X", -1, (0.5, 0, 0))])
+    s, sites = frames(spark, crystals)
+    read = lambda: {(r.id, r.site): r.potential for r in periodic.ewald(s, sites, digits=9).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(periodic, "WORK", 0)
+        joined = read()
+    monkeypatch.setattr(periodic, "neighbours", None)
+    rows = read()
+    assert rows.keys() == joined.keys() == {(k, i) for k, (_, atoms) in crystals.items() if k != "flat" for i in range(len(atoms))}
+    assert all(v == pytest.approx(joined[k], abs=1e-7) for k, v in rows.items())
