@@ -21,15 +21,17 @@ from pyspark.sql import functions as F
 from tessella.operators.resampling import poisson_weight
 from tessella.sources.scratch import ship, written
 
-PART = 256  # rows of a group on one side of a block
-CHUNK = 1 << 20  # pair x model numbers held at once
+PART = 2048  # rows of a group on one side of a block
+CHUNK = 1 << 16  # pairs held at once, which a core keeps near
+RANGE = 600.0  # of scores, above which a ratio of their exponentials might not be a number
 
 
 class Shape(NamedTuple):
-    """How many models and features, and the least gap of a pair's targets; what tasks need to know."""
+    """How many models, features and columns of members (1 for all models), and the least gap of a pair's targets; what tasks need to know."""
 
     models: int
     features: int
+    takes: int
     gap: float
 
 
@@ -70,53 +72,87 @@ def pair_blocks(
     ship(df.sparkSession)
     weights = weights or [F.lit(1.0)]
     array = lambda cs: F.array(*[c.cast("double") for c in cs])
+    takes = F.array(*[(c.cast("double") != 0).cast("tinyint") for c in members or [F.lit(1.0)]])
     d = df.dropna(subset=[group, identity, target, *features])
-    row = F.struct(
-        F.xxhash64(identity).alias("id"),
-        F.col(target).cast("double").alias("t"),
-        array([F.col(f) for f in features]).alias("x"),
-        array(members if members else [F.lit(1.0)]).alias("m"),
-    )
-    d = d.select(F.col(group).alias("g"), array(weights).alias("w"), array(held or weights).alias("h"), row.alias("row"))
-    parts = d.groupBy("g").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    d = d.join(parts, "g").withColumn("p", F.pmod(F.col("row.id"), F.col("parts")).cast("int"))
+    row = [F.xxhash64(identity).alias("id"), F.col(target).cast("double").alias("t"), array([F.col(f) for f in features]).alias("x"), takes.alias("m")]
+    d = d.select(F.col(group).alias("g"), array(weights).alias("w"), array(held or weights).alias("h"), *row)
+    # Of a group as much as its blocks need stays beside them, not beside rows.
+    groups = d.groupBy("g").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.first("w").alias("w"), F.first("h").alias("h"))
+    d = d.drop("w", "h").join(groups.select("g", "parts"), "g").withColumn("p", F.pmod(F.col("id"), F.col("parts")).cast("int"))
     d = d.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    side = F.struct((F.col("p") > F.col("o")).alias("right"), F.col("row"))
-    blocks = d.groupBy("g", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"))
-    blocks = blocks.agg(F.first("w").alias("w"), F.first("h").alias("h"), F.collect_list(side).alias("rows"))
-    blocks = blocks.withColumn("b", F.xxhash64("g", "i", "j")).withColumn("rows", F.array_sort("rows"))
-    out = Blocks(written(blocks, "pair-blocks"), Shape(len(weights), len(features), gap))
-    # How many pairs of a group each model has.
+    blocks = d.select("g", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), (F.col("p") > F.col("o")).alias("right"), "id", "t", "x", "m")
     kind = blocks.schema["g"].dataType.simpleString()
-    counts = out.table.select("g", "i", "j", "w", "h", "rows").mapInArrow(_counts(out.shape), f"g {kind}, m int, n double")
+    blocks = blocks.groupBy("g", "i", "j").applyInArrow(_packed, f"g {kind}, i int, j int, left binary, other binary")
+    # Small row groups, so that a reader's batch of blocks is small.
+    small = {"parquet.block.size": str(16 << 20)}
+    shape = Shape(len(weights), len(features), len(members or [1]), gap)
+    table = written(blocks, "pair-blocks", **small)
+    # How many pairs of a group each model has.
+    counts = table.select("g", "left", "other").mapInArrow(_counts(shape), f"g {kind}, m int, n double")
     counts = counts.groupBy("g", "m").agg(F.sum("n").alias("n")).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("m", "n"))).alias("c"))
     share = F.zip_with(F.col("w"), F.col("c.n"), lambda w, n: F.when(n > 0, w / n).otherwise(0.0))
-    table = out.table.join(counts, "g").withColumns({"w": share, "n": F.col("c.n")}).drop("c")
-    return out._replace(table=written(table, "weighted-blocks"))
+    groups = groups.join(counts, "g").select("g", share.alias("w"), "h", F.col("c.n").alias("n"))
+    return Blocks(written(table.join(groups, "g"), "weighted-blocks", **small), shape)
+
+
+def _packed(table: pa.Table) -> pa.Table:
+    """A block's rows as one row with both sides' arrays, each in the order of targets; without a right side both are the left."""
+    col = lambda c: table.column(c).combine_chunks()
+    right, ids, t = (col(c).to_numpy(zero_copy_only=False) for c in ("right", "id", "t"))
+    x, m = (col(c).flatten().to_numpy().reshape(len(ids), -1) for c in ("x", "m"))
+    sides = []
+    for side in (~right, right):
+        at = np.flatnonzero(side)
+        at = at[np.lexsort((ids[at], t[at]))]
+        sides.append(b"".join(np.ascontiguousarray(v[at]).tobytes() for v in (t, ids, x, m)))
+    keys = [table.column(c).slice(0, 1).combine_chunks() for c in ("g", "i", "j")]
+    # A block of two parts without rows of the second has no pairs.
+    if keys[1] != keys[2] and not right.any():
+        sides[0] = b""
+    return pa.table([*keys, *[pa.array([v], pa.binary()) for v in sides]], ["g", "i", "j", "left", "other"])
+
+
+def _side(data: bytes, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(targets, ids, features, members) of one side."""
+    p, width = shape.features, 16 + 8 * shape.features + shape.takes
+    n = len(data) // width
+    t, ids = np.frombuffer(data, "<f8", n), np.frombuffer(data, "<i8", n, 8 * n)
+    x, m = np.frombuffer(data, "<f8", n * p, 16 * n), np.frombuffer(data, "i1", n * shape.takes, (16 + 8 * p) * n)
+    return t, ids, x.reshape(n, p), m.reshape(n, shape.takes).astype(float)
 
 
 def _each(batch: pa.RecordBatch, shape: Shape):
-    """(row number, differences, label, members) of chunks of each block's pairs; label 1: the first has the lower target."""
-    at = {n: i for i, n in enumerate(batch.schema.names)}
+    """(row number, x and members of some left rows, those of the right ones, which of them are pairs, which have the lower target on the left)."""
+    left, other = (batch.column(batch.schema.get_field_index(c)) for c in ("left", "other"))
     for r in range(batch.num_rows):
-        i, j = batch.column(at["i"])[r].as_py(), batch.column(at["j"])[r].as_py()
-        rows = batch.column(at["rows"]).slice(r, 1).flatten()
-        right, row = rows.field("right").to_numpy(zero_copy_only=False), rows.field("row")
-        ids, t = row.field("id").to_numpy(), row.field("t").to_numpy()
-        x = row.field("x").flatten().to_numpy().reshape(len(ids), -1)
-        m = row.field("m").flatten().to_numpy().reshape(len(ids), -1)
-        left, other = np.flatnonzero(~right), np.flatnonzero(~right if i == j else right)
-        step = max(1, CHUNK // (max(len(other), 1) * max(shape.models, 1)))
-        for a in range(0, len(left), step):
-            own = left[a : a + step]
-            gap = t[own][:, None] - t[other][None, :]
-            ok = (gap != 0) & (np.abs(gap) >= shape.gap) & (ids[own][:, None] != ids[other][None, :])
-            if i == j:  # each pair once
-                ok &= own[:, None] < other[None, :]
-            p, q = np.nonzero(ok)
-            if len(p):
-                p, q = own[p], other[q]
-                yield r, x[p] - x[q], (t[p] < t[q]).astype(float), m[p] * m[q]
+        a, b = left[r].as_py(), other[r].as_py()
+        t, ids, x, m = _side(a, shape)
+        u, jds, v, k = _side(b, shape) if b else (t, ids, x, m)
+        at = 0
+        while at < len(t):
+            start = 0 if b else at  # inside a part each pair once
+            end = at + max(1, CHUNK // max(1, len(u) - start))
+            gap = t[at:end, None] - u[start:]
+            ok = (gap != 0) & (ids[at:end, None] != jds[start:])
+            if shape.gap > 0:
+                ok &= np.abs(gap) >= shape.gap
+            if not b:
+                ok &= np.arange(len(t))[at:end, None] < np.arange(start, len(u))
+            if ok.any():
+                yield r, x[at:end], m[at:end], v[start:], k[start:], ok, gap < 0
+            at = end
+
+
+def _scores(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """Sums feature by feature, so that equal rows have equal scores."""
+    out = np.zeros(len(x))
+    for f in np.flatnonzero(beta):
+        out += x[:, f] * beta[f]
+    return out
+
+
+def _members(m: np.ndarray, k: int) -> np.ndarray:
+    return m[:, k if m.shape[1] > 1 else 0]
 
 
 def _lists(batch: pa.RecordBatch, name: str, r: int) -> np.ndarray:
@@ -127,36 +163,69 @@ def _counts(shape: Shape):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = np.zeros((batch.num_rows, shape.models))
-            for r, _, _, m in _each(batch, shape):
-                n[r] += m.sum(0)
+            for r, _, m, _, k, ok, _ in _each(batch, shape):
+                n[r] += (m * (ok.astype(float) @ k)).sum(0)
             groups = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), shape.models)))
             yield pa.RecordBatch.from_arrays([groups, pa.array(np.tile(np.arange(shape.models, dtype=np.int32), batch.num_rows)), pa.array(n.reshape(-1))], ["g", "m", "n"])
 
     return run
 
 
-def step_sums(blocks: Blocks, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(losses, gradients, Hessians) of all models at ``beta`` (model, feature), from one pass."""
+def _curves(s: np.ndarray, o: np.ndarray, ok: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log-losses, slopes, curvatures) of the pairs of scores s and o, 0 where there is none."""
+    low, high = min(s.min(), o.min()), max(s.max(), o.max())
+    if high - low > RANGE:
+        z = s[:, None] - o
+        loss = np.logaddexp(0, z) - lower * z
+        e = np.exp(-np.abs(z))
+        mu = np.where(z > 0, 1, e) / (1 + e)
+        curve = e / (1 + e) ** 2
+    else:
+        mid = (low + high) / 2
+        ratio = np.exp(mid - s)[:, None] * np.exp(o - mid)
+        mu = 1 + ratio
+        np.reciprocal(mu, out=mu)
+        ratio *= mu  # one less mu
+        loss = np.where(lower, mu, ratio)
+        np.log(loss, out=loss)
+        np.negative(loss, out=loss)
+        curve = ratio
+        curve *= mu
+    mu -= lower
+    for v in (loss, mu, curve):
+        v *= ok
+    return loss, mu, curve
+
+
+def step_sums(blocks: Blocks, beta: np.ndarray, active: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(losses, gradients, Hessians) of the active models (else of all) at ``beta`` (model, feature), from one pass."""
     models, p = beta.shape
     width, shape = 1 + p + p * p, blocks.shape
+    active = np.ones(models, bool) if active is None else active
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((models, width))
         for batch in batches:
-            for r, x, y, m in _each(batch, shape):
-                w = _lists(batch, "w", r)[None, :] * m
-                z = x @ beta.T
-                mu = 1 / (1 + np.exp(-z))
-                sums[:, 0] += (w * (np.logaddexp(0, z) - y[:, None] * z)).sum(0)
-                sums[:, 1 : 1 + p] += (w * (mu - y[:, None])).T @ x
-                curve = w * mu * (1 - mu)
-                for k in range(models):
-                    sums[k, 1 + p :] += ((x * curve[:, k : k + 1]).T @ x).reshape(-1)
+            weight = {r: _lists(batch, "w", r) for r in range(batch.num_rows)}
+            for r, x, m, v, n, ok, lower in _each(batch, shape):
+                for k in np.flatnonzero(active & (weight[r] != 0)):
+                    a, b = _members(m, k), _members(n, k)
+                    # Rows that do not take part are left out, where they are many.
+                    i, j = (np.flatnonzero(c) if c.mean() < 0.9 else slice(None) for c in (a, b))
+                    xk, vk, a, b = x[i], v[j], a[i], b[j]
+                    if not (len(xk) and len(vk)):
+                        continue
+                    loss, mu, curve = _curves(_scores(xk, beta[k]), _scores(vk, beta[k]), ok[i][:, j], lower[i][:, j])
+                    cross = xk.T @ ((a[:, None] * (curve @ (b[:, None] * vk))))
+                    rows, columns = a * (curve @ b), b * (a @ curve)
+                    h = (xk.T * rows) @ xk + (vk.T * columns) @ vk - cross - cross.T
+                    g = xk.T @ (a * (mu @ b)) - vk.T @ (b * (a @ mu))
+                    sums[k] += weight[r][k] * np.concatenate([[a @ loss @ b], g, h.reshape(-1)])
         k, c = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(sums[k, c])], ["k", "c", "v"])
 
     out = np.zeros((models, width))
-    for r in blocks.table.select("i", "j", "w", "rows").mapInArrow(run, "k int, c int, v double").groupBy("k", "c").agg(F.sum("v").alias("v")).collect():
+    for r in blocks.table.select("w", "left", "other").mapInArrow(run, "k int, c int, v double").groupBy("k", "c").agg(F.sum("v").alias("v")).collect():
         out[r["k"], r["c"]] = r["v"]
     return out[:, 0], out[:, 1 : 1 + p], out[:, 1 + p :].reshape(models, p, p)
 
@@ -192,7 +261,7 @@ def fit(blocks: Blocks, l2: np.ndarray, l1: np.ndarray | None = None, free: np.n
     beta, before, tried = np.zeros((models, p)), np.full(models, np.inf), np.zeros((models, p))
     done = np.zeros(models, bool)
     for _ in range(steps):
-        loss, g, h = step_sums(blocks, tried)
+        loss, g, h = step_sums(blocks, tried, ~done)
         value = loss + l2 * (tried**2).sum(1) / 2 + l1 * np.abs(tried).sum(1)
         new = tried.copy()
         for k in np.flatnonzero(~done):
@@ -227,19 +296,21 @@ def accuracies(blocks: Blocks, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             right, seen = np.zeros((batch.num_rows, models)), np.zeros((batch.num_rows, models))
-            for r, x, y, m in _each(batch, shape):
-                z = x @ beta.T
-                m = np.broadcast_to(m, z.shape)
-                right[r] += (m * np.where(z == 0, 0.5, (z > 0) == (y[:, None] == 1))).sum(0)
-                seen[r] += m.sum(0)
+            held = np.array([_lists(batch, "h", r) for r in range(batch.num_rows)]).reshape(batch.num_rows, models)
+            for r, x, m, v, n, ok, lower in _each(batch, shape):
+                for k in np.flatnonzero(held[r] > 0):
+                    s, o, a, b = _scores(x, beta[k])[:, None], _scores(v, beta[k]), _members(m, k), _members(n, k)
+                    hit, tie = (s > o) == lower, s == o
+                    good = np.where(tie, 0.5, hit) * ok
+                    right[r, k] += a @ good @ b
+                    seen[r, k] += a @ ok.astype(float) @ b
             groups = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), models)))
-            held = np.concatenate([_lists(batch, "h", r) for r in range(batch.num_rows)]) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
-                [groups, pa.array(np.tile(np.arange(models, dtype=np.int32), batch.num_rows)), pa.array(held), pa.array(right.reshape(-1)), pa.array(seen.reshape(-1))], ["g", "m", "h", "right", "seen"]
+                [groups, pa.array(np.tile(np.arange(models, dtype=np.int32), batch.num_rows)), *[pa.array(v.reshape(-1)) for v in (held, right, seen)]], ["g", "m", "h", "right", "seen"]
             )
 
     kind = blocks.table.schema["g"].dataType.simpleString()
-    per = blocks.table.select("g", "i", "j", "h", "rows").mapInArrow(run, f"g {kind}, m int, h double, right double, seen double")
+    per = blocks.table.select("g", "h", "left", "other").mapInArrow(run, f"g {kind}, m int, h double, right double, seen double")
     per = per.groupBy("g", "m").agg(F.first("h").alias("h"), (F.sum("right") / F.nullif(F.sum("seen"), F.lit(0.0))).alias("a")).filter("a is not null and h > 0")
     out, weight = np.full(models, np.nan), np.zeros(models)
     for r in per.groupBy("m").agg((F.sum(F.col("h") * F.col("a")) / F.sum("h")).alias("a"), F.sum("h").alias("h")).collect():

@@ -43,9 +43,9 @@ def scratch_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once as a table in the shared folder and read back, which cuts its lineage."""
+def written(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """``df`` written once (with the writer's options) as a table in the shared folder and read back, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tessella/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -155,3 +155,25 @@ def test_no_pair_and_paired_bootstrap(spark, df):
     want = np.array([i % 7 / 10 - i % 5 / 10 for i in range(200) if i % 50])
     assert r.groups == 196 and r.difference == pytest.approx(want.mean()) and r.lower < r.difference < r.upper
     assert r.upper - r.lower == pytest.approx(2 * 1.96 * want.std() / 14, rel=0.25)
+
+
+def test_blocks_are_packed_and_few(spark):
+    """A row is copied once a part of its group, so parts are large; a block is a row of bytes, of at most two parts."""
+    df = spark.range(1500).selectExpr("'A' AS g", "id AS i", "cast(id % 700 AS double) AS t", "rand(3) AS a")
+    blocks = manyfits.pair_blocks(df, "g", "i", "t", ["a"], 0.0, [F.lit(1.0)] * 3)
+    rows = blocks.table.selectExpr("length(left) + length(other) AS size", "n").collect()
+    pairs = sum(1 for p, q in itertools.combinations(range(1500), 2) if p % 700 != q % 700)
+    assert [r["size"] for r in rows] == [1500 * 25] and rows[0]["n"] == [pairs] * 3
+
+
+def test_curves_of_far_scores_equal_formulas(monkeypatch):
+    rng = np.random.default_rng(2)
+    s, o = rng.normal(size=9) * 5, rng.normal(size=7) * 5
+    ok, lower = rng.random((9, 7)) < 0.8, rng.random((9, 7)) < 0.5
+    z = s[:, None] - o
+    mu = 1 / (1 + np.exp(-z))
+    want = [ok * v for v in (np.logaddexp(0, z) - lower * z, mu - lower, mu * (1 - mu))]
+    for most in (600.0, 0.0):
+        monkeypatch.setattr(manyfits, "RANGE", most)
+        assert all(np.allclose(a, b, atol=1e-12) for a, b in zip(manyfits._curves(s, o, ok, lower), want))
+    assert all(np.isfinite(v).all() for v in manyfits._curves(s * 400, o * 400, ok, lower))
